@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination_report, find_contamination
 from .mixture import mixture_report
+from .ngram_join import ngram_groups
 from .pii import span_report
 
 
@@ -16,6 +17,10 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixture": op3_mixture, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate}
+    return {"op3_mixture": op3_mixture, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
