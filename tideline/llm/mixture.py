@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shuffle_width
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -111,7 +111,8 @@ def slots(wanted: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shar
     before = Window.orderBy(F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("slots_before", F.coalesce(F.sum("n_slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
     runs = per.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_slots") - 1) / SLOT_RUN))))
-    runs = runs.repartition("source", "run")
+    # a fixed number of partitions: these few rows grow to all slots, which their size does not show
+    runs = runs.repartition(shuffle_width(wanted.sparkSession), "source", "run")
     each = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
     place = permuted(F.col("slots_before") + F.col("j"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed + 1), F.coalesce(F.col("source"), F.lit("")))
@@ -132,7 +133,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS,
     known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
     parts = pack(word_offsets(known.select("row_id", "doc_id", "source", "size", "part")), block_words)
     taken = slots(wanted, seed, block_words)
-    both = taken.join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"])).select(taken["source"], "shard", "slot", taken["block"], "row_id", "words")
+    both = taken.hint("merge").join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"])).select(taken["source"], "shard", "slot", taken["block"], "row_id", "words")
     return known.select("row_id", "doc_id", "size", "source", "source_size", "target"), both
 
 
