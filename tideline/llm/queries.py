@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination_report, find_contamination
+from .language_id import language_report
 from .mixture import mixture_report
 from .ngram_join import ngram_groups
 from .pii import span_report
+from .quality import quality_report
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(find_contamination(docs.select("doc_id", "text"), items))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 _OP9_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -56,7 +66,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixture": op3_mixture, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate}
+    return {"op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
