@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination_report, find_contamination
 from .language_id import language_report
 from .mixture import mixture_report
+from .nearest import nearest
 from .ngram_join import ngram_groups
 from .pii import span_report
 from .quality import quality_report
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -66,7 +72,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
+    return {"op1_nearest": op1_nearest, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
