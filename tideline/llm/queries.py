@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunking import repeated_passages
 from .common import table
 from .decontaminate import contamination_report, find_contamination
 from .language_id import language_report
@@ -15,6 +16,7 @@ from .nearest import nearest
 from .ngram_join import ngram_groups
 from .pii import span_report
 from .quality import quality_report
+from .token_counts import section_tokens
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +35,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return contamination_report(find_contamination(docs.select("doc_id", "text"), items))
@@ -72,7 +82,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearest": op1_nearest, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op7_pii": op7_pii, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
+    return {"op1_nearest": op1_nearest, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts, "op7_pii": op7_pii, "op8_substring_dedup": op8_substring_dedup, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
