@@ -185,8 +185,11 @@ def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "tex
     signed = named.mapInArrow(lambda it: _signature_rows(it, n, percent, True), "sig bigint, node bigint")
     signed = checkpoint(signed.join(shared, "sig").distinct())
     hub = signed.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("sig", "hub")
-    edges = signed.join(hub, "sig").where("node <> hub").select("hub", "node").distinct()
-    groups = connected_components(edges, "hub", "node")
+    pairs = checkpoint(signed.join(hub, "sig").where("node <> hub").select("hub", "node").distinct())
+    # a class with many hubs keeps its smallest one, to which the others are tied instead: those ties are few and repeat
+    nearest = pairs.groupBy("node").agg(F.min("hub").alias("least"))
+    ties = pairs.join(nearest, "node").where("hub <> least").select(F.col("least").alias("hub"), F.col("hub").alias("node"))
+    groups = connected_components(nearest.select(F.col("least").alias("hub"), "node").union(ties).distinct(), "hub", "node")
 
     elements = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     members = checkpoint(groups.join(elements, "node").select("node", F.col("component").alias("group"), "doc_id", "n_shingles"))
