@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkernel import ASCII_LOWER, SYMBOL_SEPARATORS, chunks, mix, words
 
@@ -186,15 +187,14 @@ def find_contamination(
     wanted = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out_schema = lambda names: ", ".join([f"`{c}` {fields[c]}" for c in names] + ["n_words bigint", "hit_words array<array<bigint>>", "hit_items array<string>"])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("hit_items", T.ArrayType(T.StringType()))]
     out = docs.select(*dict.fromkeys([*carry, text_column]))
     for b in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else wanted
         patterns = Patterns([(r.id, r.text) for r in part.collect()], window)
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
         keep = carry if b == blocks - 1 else list(dict.fromkeys([*carry, text_column]))
-        out = out.mapInArrow(lambda it, s=shared, k=keep: _search_batches(it, s.value, k, text_column), out_schema(keep))
+        out = out.mapInArrow(lambda it, s=shared, k=keep: _search_batches(it, s.value, k, text_column), T.StructType([docs.schema[c] for c in keep] + added))
     return out
 
 

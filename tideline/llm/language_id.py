@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out
 from .sampling import sample_ids
@@ -201,8 +202,8 @@ def classify_language(docs: DataFrame, network: ByteNetwork | None, text: str =
     """The columns `carry` (default doc_id) with lang_pred and score."""
     carry = list(carry or ["doc_id"])
     own = docs.select(*carry, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
-    return own.mapInArrow(lambda it: _classify(it, network, len(carry), carry), f"{fields}, lang_pred string, score double")
+    schema = T.StructType([own.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(lambda it: _classify(it, network, len(carry), carry), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

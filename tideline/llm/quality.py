@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out
 from .sampling import sample_ids
@@ -208,8 +209,8 @@ def score_quality(docs: DataFrame, forest: Forest | None, text: str = "text", ca
     """The columns `carry` (default doc_id) with score, and predicted (1 if the score is 0.5 or more)."""
     carry = list(carry or ["doc_id"])
     own = docs.select(*carry, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
-    scored = own.mapInArrow(lambda it: _score(it, forest, len(carry), carry), f"{fields}, score double")
+    schema = T.StructType([own.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
+    scored = own.mapInArrow(lambda it: _score(it, forest, len(carry), carry), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
