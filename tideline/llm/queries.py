@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chunking import repeated_passages
 from .common import table
+from .cross_entropy import cross_entropy_difference
 from .decontaminate import contamination_report, find_contamination
 from .language_id import language_report
 from .mixture import mixture_report
@@ -23,6 +24,12 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is every document labelled as good."""
+    target = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -82,7 +89,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearest": op1_nearest, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts, "op7_pii": op7_pii, "op8_substring_dedup": op8_substring_dedup, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
+    return {"op1_nearest": op1_nearest, "op2_cross_entropy": op2_cross_entropy, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts, "op7_pii": op7_pii, "op8_substring_dedup": op8_substring_dedup, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
