@@ -5,13 +5,12 @@ chunk borders move with the text: after an insertion, or at the start of a copie
 back within a few dozen bytes. The hash of all positions is found in five doubling steps over whole buffers.
 
 Chunks are deduplicated by a 64-bit digest over all documents: a digest that two documents have is shared.
-Consecutive shared chunks of a document form a run. Runs of few words are coincidences and are left out; in the rest,
-neighbouring chunks must be shared as pairs too, so that unrelated repeats side by side are not taken for a passage.
+Consecutive shared chunks of a document form a run, a repeated passage. Runs of few words are coincidences and are left out.
 Only digests and positions are shuffled, never texts; digests are counted with partial aggregates, so a passage
 in a third of all documents is a few rows per task.
 
 Defined results: null and empty texts have no chunks; rows with a null id take no part; rows with the same id count
-as one document, so what repeats only within it is not shared.
+as one document, so what repeats only within it is not shared, and the same text twice under one id counts once.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
 from .textkernel import BYTE_VALUES, PIECE, SPACE_SEPARATORS, _tables, chunks, mix
 
 #: A chunk ends at one position in 2**CUT_BITS on average, and not within SHORTEST bytes after another candidate.
@@ -65,7 +63,7 @@ def cuts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, doc_id), or with `whole` also (seq, start, stop, words)."""
+    """Rows (digest, doc_id), or with `whole` also (start, stop, words)."""
     up, down = _tables()
     for batch in batches:
         for chunk in chunks(batch.column(1), PIECE):
@@ -104,18 +102,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.R
             new = np.append(True, owner[1:] != owner[:-1])
             first_at = np.flatnonzero(new)
             which = np.cumsum(new) - 1
-            seq = np.arange(len(owner)) - first_at[which]
             length = b - a
             before = np.cumsum(length) - length
             start_char = before - before[first_at][which]
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids, *[pa.array(x) for x in (seq, start_char, start_char + length, n_words)]], names=["digest", "doc_id", "seq", "start", "stop", "words"])
-
-
-def _runs(rows: DataFrame, step: str = "seq") -> DataFrame:
-    """Add run_words, the words of the run of consecutive chunks that a row is in."""
-    order = Window.partitionBy("doc_id", "text_no").orderBy(step)
-    rows = rows.withColumn("run", F.col(step) - F.row_number().over(order))
-    return rows.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "text_no", "run")))
+            places = [pa.array(x.astype(np.int32)) for x in (start_char, start_char + length, n_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids, *places], names=["digest", "doc_id", "start", "stop", "words"])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
@@ -125,17 +116,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     kind = source.schema["doc_id"].dataType.simpleString()
     brief = source.mapInArrow(lambda it: _chunk_rows(it, False), f"digest bigint, doc_id {kind}")
     shared = brief.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    whole = source.mapInArrow(lambda it: _chunk_rows(it, True), f"digest bigint, doc_id {kind}, seq bigint, start bigint, stop bigint, words bigint")
-    # rows with the same id and place but other chunks are texts of their own
-    found = whole.join(shared, "digest").withColumn("text_no", F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy("start", "digest")))
-    runs = checkpoint(_runs(found).where(F.col("run_words") >= run_words).drop("run", "run_words"))
-    order = Window.partitionBy("doc_id", "text_no").orderBy("seq")
-    linked = runs.withColumn("pair", F.when(F.lag("seq").over(order) == F.col("seq") - 1, F.xxhash64(F.lag("digest").over(order), "digest")))
-    pairs = linked.where("pair is not null").groupBy("pair").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("pair")
-    joined = linked.join(pairs.withColumn("together", F.lit(True)), "pair", "left")
-    # a chunk continues its run if the pair with the chunk before it is shared
-    starts = joined.withColumn("island", F.sum(F.when(F.col("together"), 0).otherwise(1)).over(order))
-    out = starts.groupBy("doc_id", "text_no", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc")
-    )
-    return out.where(F.col("n_words") >= run_words).select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc")
+    whole = source.mapInArrow(lambda it: _chunk_rows(it, True), f"digest bigint, doc_id {kind}, start int, stop int, words int")
+    found = whole.join(shared.hint("merge"), "digest").repartition("doc_id")
+    # from here on a document's rows are together, and all windows use that
+    copies = Window.partitionBy("doc_id", "start", "stop", "digest").orderBy("first_doc")
+    found = found.withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    order = Window.partitionBy("doc_id").orderBy("start", "stop", "digest")
+    found = found.withColumn("new", F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc"))
+    return runs.where(F.col("n_words") >= run_words).select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc")
