@@ -113,7 +113,11 @@ def test_cross_entropy_matches_brute_force(spark, docs, rows):
     target = spark.createDataFrame([(i,) for i in range(0, 200, 3)] + [(99999,), (3,)], "doc_id long")
     got = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(docs, target).collect()}
     assert len(got) == len(rows)
-    grams = lambda s: [tuple(([0, 0, 0] + [int(cross_entropy._SYMBOL[c]) for c in s.encode()])[i : i + 4]) for i in range(len(s.encode()))]
+
+    def grams(s):
+        padded = [0, 0, 0] + [int(cross_entropy._SYMBOL[c]) for c in s.encode()]
+        return [tuple(padded[i : i + 4]) for i in range(len(padded) - 3)]
+
     text = {r[0]: r[1] or "" for r in rows}
     models = []
     for ids in (set(range(0, 200, 3)), set(text)):
