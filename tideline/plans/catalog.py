@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import encode, likelihood, rates, segments, trees
+from ..operators import encode, likelihood, placement, rates, segments, trees
 from ..sources import trees as tree_text
+from ..streaming import incremental
 
 LENGTH = 64
 #: A default branch length: one change per sequence.
@@ -27,7 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str, by_label: bool = False) -> DataFrame:
     """(aln, seq, pos, ch): one character for each component of each embedding; alignments are all rows, or labels."""
-    wide = table(spark, sf_dir, "embeddings").select((F.col("label") if by_label else F.lit(0)).alias("aln"), F.col("vec_id").alias("seq"), F.posexplode("embedding").alias("pos", "x"))
+    return _characters(table(spark, sf_dir, "embeddings"), by_label)
+
+
+def _characters(vectors: DataFrame, by_label: bool = False) -> DataFrame:
+    wide = vectors.select((F.col("label") if by_label else F.lit(0)).alias("aln"), F.col("vec_id").alias("seq"), F.posexplode("embedding").alias("pos", "x"))
     x, letter = F.col("x").cast("double"), lambda k: F.substring(F.lit("ACGT"), (F.col("pos") + k) % 4 + 1, F.lit(1))
     ch = F.when(F.abs(x) < 0.002, "N").when(F.abs(x) < 0.004, "-").when(x < -0.26, letter(1)).when(x > 0.26, letter(2)).when(x > 0.24, letter(3)).otherwise(letter(0))
     return wide.select("aln", "seq", "pos", ch.alias("ch"))
@@ -217,11 +222,11 @@ def q23_root_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, label, lh): log-likelihood change of hanging each sequence on each label's consensus by a branch of length STEP."""
-    sites = cells(spark, sf_dir).where(F.col("ch").isin("A", "C", "G", "T")).select("seq", "pos", F.col("ch").alias("to_state"))
-    ref = encode.consensus(cells(spark, sf_dir, True)).select(F.col("aln").alias("label"), "pos", F.col("ref").alias("from_state"))
-    joined = sites.join(ref, "pos").join(F.broadcast(_matrix(spark, sf_dir)), ["from_state", "to_state"])  # 16 rows
-    gain = F.when(F.col("from_state") == F.col("to_state"), F.col("q") * STEP).otherwise(F.log(F.col("q") * STEP))
-    return joined.groupBy("seq", "label").agg(F.sum(gain).alias("lh"))
+    return placement.placement_costs(cells(spark, sf_dir), _profiles(spark, sf_dir), _matrix(spark, sf_dir), STEP)
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.consensus(cells(spark, sf_dir, True)).select(F.col("aln").alias("label"), "pos", "ref")
 
 
 def q24_placement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,5 +325,15 @@ def q35_site_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.site_likelihoods(nodes, leaves, q, [pi[s] for s in "ACGT"]).select(F.col("tree").alias("label"), "pos", F.round("lh", 6).alias("lh"))
 
 
+def q36_streamed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's best label, placed by a stream over the files of the table."""
+    kind = table(spark, sf_dir, "embeddings").schema
+    # a pattern, since the table may be one file or a folder of them
+    arriving = spark.readStream.schema(kind).parquet(f"{sf_dir}/embeddings*.parquet")
+    store = incremental.shared_folder(spark, "placements")
+    incremental.place_stream(arriving, _characters, _profiles(spark, sf_dir), _matrix(spark, sf_dir), store, STEP).awaitTermination()
+    return incremental.placements(spark, store).select("seq", "label", "lh")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

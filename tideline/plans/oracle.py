@@ -156,6 +156,7 @@ v AS (SELECT a.label, a.pos, a.hit - b.hit AS v FROM hit a JOIN hit b ON b.label
 draw AS (SELECT b, ((b * 1103515245 + i * 12345 + b * i * 7919) // 16) % 64 AS pos FROM unnest(range(0, 100)) AS t(b), unnest(range(0, 64)) AS u(i)),
 s AS (SELECT label, b, sum(v) AS s FROM v JOIN draw USING (pos) GROUP BY label, b) SELECT label, round(100 * avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END), 6) AS support FROM s GROUP BY label""",
         "q33_two_largest": """SELECT l_orderkey, l_linenumber, l_partkey, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[3], 6) AS first, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[2], 6) AS second FROM lineitem""",
+        "q36_streamed_placements": f"WITH {_COSTS} SELECT seq, min(label) AS label, max(lh) AS lh FROM near WHERE lh = best GROUP BY seq",
         "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl WHERE pos < 8 GROUP BY aln, seq)
 SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq HAVING min(a.seq) < b.seq""",
     }
