@@ -40,8 +40,8 @@ PI = np.array([0.3, 0.2, 0.2, 0.3])
 
 
 def test_likelihood_against_dense_recursion(spark):
-    """The plain recursion with I + Qt over vectors. Below an unknown sibling the first-order form adds lengths up, and at the root
-    the length that is left over is not applied; all else differs from the recursion only to second order."""
+    """The recursion with I + Qt over vectors, and its first-order rules: beside an unknown sibling lengths are added up, equal determined
+    states stay determined at the cost of their diagonal rate, and at the root a length that is left over is not applied."""
     nodes = [(1, 0, None, None), (1, 1, 0, 0.01), (1, 2, 0, 0.02), (1, 3, 1, 0.015), (1, 4, 1, 0.01)]
     sites = list(itertools.product((1, 2, 4, 8, 15, 5), repeat=3))
     cells = [(1, n, i, b) for i, s in enumerate(sites) for n, b in zip((2, 3, 4), s, strict=True)]
@@ -51,19 +51,23 @@ def test_likelihood_against_dense_recursion(spark):
     move = lambda v, t: v + t * Q @ v
 
     def meet(a, b):
-        """(vector, length above it) of two children; None is unknown."""
+        """(vector, length above it, log-likelihood so far) of two children; None is unknown."""
         if a is None or b is None:
             return a or b
-        return move(*a) * move(*b), 0.0
+        if a[0].max() == 1 and (a[0] == b[0]).all():
+            s = a[0].argmax()
+            return a[0], 0.0, a[2] + b[2] + Q[s, s] * (a[1] + b[1])
+        both = move(*a[:2]) * move(*b[:2])
+        return both / both.sum(), 0.0, a[2] + b[2] + np.log(both.sum())
 
     def longer(x, t):
-        return x and (x[0], x[1] + t)
+        return x and (x[0], x[1] + t, x[2])
 
     for i, (b2, b3, b4) in enumerate(sites):
-        n2, n3, n4 = (None if b == 15 else (leaf(b), t) for b, t in ((b2, 0.02), (b3, 0.015), (b4, 0.01)))
+        n2, n3, n4 = (None if b == 15 else (leaf(b), t, 0.0) for b, t in ((b2, 0.02), (b3, 0.015), (b4, 0.01)))
         root = meet(longer(meet(n3, n4), 0.01), n2)
-        dense = 0.0 if root is None else np.log(PI @ root[0])
-        assert found[i] == pytest.approx(dense, abs=2e-3), (b2, b3, b4)
+        dense = 0.0 if root is None else root[2] + np.log(PI @ root[0])
+        assert found[i] == pytest.approx(dense, abs=1e-6), (b2, b3, b4)
 
 
 def test_branch_length():
