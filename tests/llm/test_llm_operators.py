@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import chunking, cross_entropy, decontaminate, language_id, mixture, nearest, ngram_join, pii, prefix_tree, quality, textkernel, token_counts
+from tideline.llm import chunking, cross_entropy, decontaminate, language_id, mixture, nearest, ngram_join, pii, prefix_tree, quality, sketch, textkernel, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, score string, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,6 +276,50 @@ def test_pages_of_a_large_group(docs, rows, monkeypatch):
     assert got == components(rows, 3, 90)
 
 
+def test_a_shared_passage_joins_no_candidates(spark, monkeypatch):
+    """Texts with half of their words in common are not linked, and no candidate group holds them; their near copies are found."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for _ in range(40):
+        w = passage + [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(docs, 5, 80).collect()}
+    assert got == components(rows, 5, 80)
+    found = []
+    inner = ngram_join._candidate_groups
+    monkeypatch.setattr(ngram_join, "_candidate_groups", lambda *args: found.append(inner(*args)) or found[-1])
+    ngram_join.ngram_links(docs, 5, 80)
+    assert {r["count"] for r in found[0].groupBy("component").count().collect()} == {2}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_lose_no_pair(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in (1, 2, 5, 31, 32, 33, 200, 1000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.2, 0.5):
+            drop = rng.random(n) < share
+            sets.append(np.unique(np.concatenate([base[~drop], rng.integers(0, 2**63, int(drop.sum()) // 2).astype(np.uint64)])))
+    sets.append(np.zeros(0, np.uint64))
+    size = np.array([len(s) for s in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    packed = sketch.sketches(flat, row, size).to_pylist()
+    left, right = (x.ravel() for x in np.triu_indices(len(sets), 1))
+    close = set(sketch.close_pairs(size, packed, left, right, percent).tolist())
+    linked, unlike = set(), set()
+    for k, (i, j) in enumerate(zip(left, right, strict=True)):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if both and 100 * both >= percent * (size[i] + size[j] - both):
+            linked.add(k)
+        elif both * 2 < size[i] and min(size[i], size[j]) > 100:
+            unlike.add(k)
+    assert linked and linked <= close
+    assert unlike and not unlike & close
+
+
 def test_ngram_groups_edges(spark, empty):
     assert ngram_join.ngram_groups(empty).count() == 0
     twice = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "A b  c d"), (8, None)], "doc_id long, text string")

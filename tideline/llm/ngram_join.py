@@ -7,8 +7,11 @@
    signature per part. Sizes fall into bands that are one similarity ratio wide, so a pair is in one band or in
    neighbours, and a set emits for its band and, where a partner can be there, for the band below. Nearly empty
    parts say little; each set leaves out at most d of them, and k+1+2d parts make up for that.
-3. Classes that share a signature are joined to the smallest one of them, and connected components of these
-   edges are the candidate groups: no link leaves a group.
+3. Sketches thin the candidates without loss. A sketch is the parity of a set's elements per hash bucket; the bits in which
+   two sketches differ are at most the elements in which the sets do, so a pair with too many such bits has no link.
+   First each class is compared with the smallest class of its signatures. Only signatures that still join classes of
+   different components are compared in full, in pages like those below. Connected components of the pairs that
+   remain are the candidate groups: no link leaves a group, and a passage that many texts share joins none of them.
 4. Each group's sets meet in a task, are put in one global order and stored in a prefix tree that every set of
    the group is looked up in (see prefix_tree). Groups with more sets than a page are cut into pages, and each pair
    of pages is a task of its own, so no task holds more than two pages however large a group is. A task returns the links
@@ -30,17 +33,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 from .components import connected_components
 from .prefix_tree import link_forest
+from .sketch import close_pairs, sketches
 from .textkernel import ASCII_LOWER, SPACE_SEPARATORS, Chunk, chunks, mix, ngram_hashes, words
 
 #: Sets in a page of a large group, and elements that the sets of one task have, about.
 PAGE_SETS = 512
 TASK_ELEMENTS = 2_000_000
+#: Bytes of sketches that one task has, about; pairs of sketches that are compared at once; places of a hub's sketch.
+TASK_BYTES, PAIRS, SALTS = 32 << 20, 1 << 16, 8
 _MIN_WEIGHT = 3
 
 
@@ -76,13 +82,15 @@ def _digest(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, nodes = [], []
+        sizes, nodes, parities = [], [], []
         for chunk in chunks(batch.column(1)):
             h, row, size = distinct_ngrams(chunk, n)
             sizes.append(size)
             nodes.append(_digest(h, row, size))
+            parities.append(sketches(h, row, size))
         if sizes:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes))], names=["doc_id", "n_shingles", "node"])
+            sketch = pa.chunked_array(parities, pa.binary()).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes)), sketch], names=["doc_id", "n_shingles", "node", "sketch"])
 
 
 def _signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,35 +181,108 @@ def _join_group(percent: int):  # noqa: ANN202
     return join
 
 
+def _close_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, size and sketch of a, size and sketch of b) the pairs that may be linked."""
+    for batch in batches:
+        size = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)])
+        sketch = batch.column(3).to_pylist() + batch.column(5).to_pylist()
+        left = np.arange(batch.num_rows)
+        keep = pa.array(close_pairs(size, sketch, left, left + batch.num_rows, percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+
+def _compare_pages(percent: int):  # noqa: ANN202
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        edges: list[tuple[int, int]] = []
+        for (_, left, right), own in rows.groupby(["sig", "left", "right"], sort=True):
+            node, page, component = (own[c].to_numpy() for c in ("node", "page", "component"))
+            size, sketch = own["n_shingles"].to_numpy(), own["sketch"].tolist()
+            stored = np.flatnonzero(page == right)
+            parent = {int(c): int(c) for c in component}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for probe in np.array_split(np.flatnonzero(page == left), max(1, len(own) * len(stored) // PAIRS)):
+                i, j = (x.ravel() for x in np.meshgrid(probe, stored, indexing="ij"))
+                fresh = (component[i] != component[j]) & (node[i] < node[j] if left == right else True)
+                i, j = i[fresh], j[fresh]
+                close = close_pairs(size, sketch, i, j, percent)
+                for x, y in zip(i[close].tolist(), j[close].tolist(), strict=True):
+                    cx, cy = root(int(component[x])), root(int(component[y]))
+                    if cx != cy:
+                        parent[cx] = cy
+                        edges.append((int(node[x]), int(node[y])))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _met_pages() -> Column:
+    """Page i meets every page j: once as the page that is looked up (i <= j), once as the one that is stored."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1), lambda j: F.struct(F.least("page", j).alias("left"), F.greatest("page", j).alias("right")))
+
+
+def _close_stars(signed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each class and the smallest class of its signatures, and of such smallest classes, those that may be linked."""
+    hub = signed.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("sig", "hub")
+    pairs = checkpoint(signed.join(hub, "sig").where("node <> hub").select("hub", "node").distinct())
+    # a class with many hubs keeps its smallest one, to which the others are tied instead: those ties are few and repeat
+    nearest = pairs.groupBy("node").agg(F.min("hub").alias("least"))
+    ties = pairs.join(nearest, "node").where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b"))
+    star = nearest.select(F.col("least").alias("a"), F.col("node").alias("b")).union(ties).distinct()
+    of_b = known.select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    # one hub may be that of many classes: its sketch goes to SALTS places
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    of_a = known.join(pairs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("n_shingles").alias("size_a"), F.col("sketch").alias("sketch_a"), salts)
+    both = star.join(of_b, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(of_a, ["a", "salt"])
+    return checkpoint(both.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(lambda it: _close_rows(it, percent), "a bigint, b bigint"))
+
+
+def _candidate_groups(signed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that may be linked with another one."""
+    star = _close_stars(signed, known, percent)
+    near = connected_components(star)
+    placed = signed.join(near, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    # signatures whose classes are in one component already add nothing, and of those with the same classes one is enough
+    same = [F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *same).where("lo <> hi")
+    mixed = mixed.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("sets") / PAGE_SETS).alias("pages"))
+    open_sets = checkpoint(placed.join(mixed, "sig").withColumn("page", F.pmod(F.xxhash64("node", F.lit(1)), "pages")).select("sig", "node", "component", "page", F.inline(_met_pages())))
+    bare = open_sets.join(known.select("node", "n_shingles", "sketch"), "node")
+    total = bare.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
+    tasks = int(total // TASK_BYTES) + 4 * signed.sparkSession.sparkContext.defaultParallelism
+    bare = bare.withColumn("task", F.pmod(F.xxhash64("sig", "left", "right"), F.lit(tasks)).cast("int"))
+    more = bare.groupBy("task").applyInPandas(_compare_pages(percent), "a bigint, b bigint")
+    return connected_components(star.union(more))
+
+
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, n_shingles, node) of all documents, where node is the class of equal sets, and links
     (a, b) between classes, which connect what all links at similarity percent / 100 connect."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint"
+    fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, sketch binary"
     rows = checkpoint(source.mapInArrow(lambda it: _sets_of(it, n), fields))
     named = source.where("doc_id is not null").select("text")
     once = named.mapInArrow(lambda it: _signature_rows(it, n, percent, False), "sig bigint")
     shared = once.groupBy("sig").count().where("count > 1").select("sig")
     signed = named.mapInArrow(lambda it: _signature_rows(it, n, percent, True), "sig bigint, node bigint")
     signed = checkpoint(signed.join(shared, "sig").distinct())
-    hub = signed.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("sig", "hub")
-    pairs = checkpoint(signed.join(hub, "sig").where("node <> hub").select("hub", "node").distinct())
-    # a class with many hubs keeps its smallest one, to which the others are tied instead: those ties are few and repeat
-    nearest = pairs.groupBy("node").agg(F.min("hub").alias("least"))
-    ties = pairs.join(nearest, "node").where("hub <> least").select(F.col("least").alias("hub"), F.col("hub").alias("node"))
-    groups = connected_components(nearest.select(F.col("least").alias("hub"), "node").union(ties).distinct(), "hub", "node")
+    known = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    known = checkpoint(known.join(signed.select("node").distinct(), "node", "left_semi"))
+    rows = rows.drop("sketch")
+    groups = _candidate_groups(signed, known, percent)
 
-    elements = rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    members = checkpoint(groups.join(elements, "node").select("node", F.col("component").alias("group"), "doc_id", "n_shingles"))
+    members = checkpoint(groups.join(known, "node").select("node", F.col("component").alias("group"), "doc_id", "n_shingles"))
     size = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("total"))
     pages = F.greatest(F.ceil(F.col("sets") / PAGE_SETS), F.ceil(F.col("total") / TASK_ELEMENTS))
     members = members.join(size.select("group", pages.alias("pages")), "group")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = int(total // TASK_ELEMENTS) + 4 * docs.sparkSession.sparkContext.defaultParallelism
     members = members.withColumn("page", F.pmod(F.xxhash64("node", F.lit(1)), "pages"))
-    # page i meets every page j: once as the page that is looked up (i <= j), once as the one that is stored
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1), lambda j: F.struct(F.least("page", j).alias("left"), F.greatest("page", j).alias("right")))
-    members = members.select("node", "group", "doc_id", "page", F.inline(pairs))
+    members = members.select("node", "group", "doc_id", "page", F.inline(_met_pages()))
     task = F.pmod(F.xxhash64("group", "left", "right"), F.lit(tasks)).cast("int")
     members = members.withColumn("task", task).withColumnRenamed("doc_id", "member_id")
     texts = source.join(members, F.col("doc_id") == F.col("member_id")).select("text", "node", "group", "page", "left", "right", "task")
