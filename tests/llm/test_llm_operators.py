@@ -445,6 +445,41 @@ def test_passages(spark, empty):
     assert chunking.repeated_passages(empty).count() == 0
 
 
+def brute_passages(rows: list[tuple], size: int = 51) -> set[tuple]:
+    """(id, start, stop, words, first id) of each run of windows of `size` words that two ids have."""
+    texts = sorted({(i, t or "") for i, t in rows if i is not None})
+    owners = collections.defaultdict(set)
+    for i, t in texts:
+        w = WORD.findall(t)
+        for k in range(len(w) - size + 1):
+            owners[tuple(w[k : k + size])].add(i)
+    out = set()
+    for i, t in texts:
+        spans = [m.span() for m in WORD.finditer(t)]
+        w = [t[a:b] for a, b in spans]
+        hits = [k for k in range(len(w) - size + 1) if len(owners[tuple(w[k : k + size])]) > 1]
+        for k in hits:
+            if k - 1 not in hits:
+                end = k
+                while end + 1 in hits:
+                    end += 1
+                first = min(min(owners[tuple(w[j : j + size])]) for j in range(k, end + 1))
+                out.add((i, spans[k][0], spans[end + size - 1][1], end - k + size, first))
+    return out
+
+
+def passage_rows(df) -> set[tuple]:
+    return {(r.doc_id, r.start, r.stop, r.n_words, r.first_doc) for r in df.collect()}
+
+
+def test_phrases_of_other_documents_are_no_passage(spark):
+    """Every 20 words of a document are in another one, but no two documents have more than 40 words together."""
+    words = [f"{random.Random(k).choice('abcdefgh')}{random.Random(k).randrange(10**5)}" for k in range(300)]
+    rows = [(0, " ".join(words))] + [(1 + k, " ".join([f"s{k}", *words[k : k + 40], f"t{k}"])) for k in range(0, 280, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert chunking.repeated_passages(docs).count() == 0
+
+
 # decontamination
 
 

@@ -1,16 +1,20 @@
-"""Substring deduplication by content-defined chunking with a gear rolling hash.
+"""Substring deduplication by content-defined chunking with a gear rolling hash over words.
 
-The gear hash of a position depends on the 32 bytes before it only. Where its top bits are zero a chunk may end, so
-chunk borders move with the text: after an insertion, or at the start of a copied passage, the same borders come
-back within a few dozen bytes. The hash of all positions is found in five doubling steps over whole buffers.
+The gear hash of a word depends on it and the GEAR - 1 words before it only. Every window of PASSAGE words, the shortest
+passage that counts, names the word inside it whose gear hash is least (the first of equals), among those whose hash
+depends on words of the window only. So equal windows name the same word wherever they stand, and chunk borders,
+the words that are named, move with the text. A chunk is the run of windows that name one border.
 
-Chunks are deduplicated by a 64-bit digest over all documents: a digest that two documents have is shared.
-Consecutive shared chunks of a document form a run, a repeated passage. Runs of few words are coincidences and are left out.
-Only digests and positions are shuffled, never texts; digests are counted with partial aggregates, so a passage
-in a third of all documents is a few rows per task.
+A chunk is known by a 64-bit digest of the GEAR words up to its border, and carries a 64-bit digest of each of its windows.
+Only chunks whose digest two documents have are looked at further; there, a window that two documents have is
+shared. Equal windows are always in chunks of one digest, so no passage is lost and none is guessed: all words of a
+passage stand together in another document, and its extent is exact. Only digests and places are shuffled, never
+texts. Collisions (two of 2**64) are the only approximation.
 
-Defined results: null and empty texts have no chunks; rows with a null id take no part; rows with the same id count
-as one document, so what repeats only within it is not shared, and the same text twice under one id counts once.
+Defined results: words are runs of anything but ASCII white space, so how they are spaced does not matter; null and empty texts
+have no chunks; rows with a null id take no part; rows with the same id count as one document, so what repeats only
+within it is not shared, and the same text twice under one id counts once. A passage is a run of consecutive shared
+windows; those of one passage may be shared with different documents.
 """
 
 from __future__ import annotations
@@ -22,106 +26,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import BYTE_VALUES, PIECE, SPACE_SEPARATORS, _tables, chunks, mix
-
-#: A chunk ends at one position in 2**CUT_BITS on average, and not within SHORTEST bytes after another candidate.
-CUT_BITS, SHORTEST = 4, 8
-#: Longer stretches without a border are cut wherever their hash is least, which suits texts that repeat one short run.
-LONGEST = 192
-#: Words that a run of shared chunks has at least. Chunks at both ends of a passage also hold words beside it and are not
-#: shared, so a passage of 50 words leaves a run of at least about this many.
-RUN_WORDS = 38
-
-_GEAR = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-
-def cuts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stop, row) of all chunks of the texts data[begin:end], in order. Every text's last chunk ends with it."""
-    size = end - begin
-    row = np.repeat(np.arange(len(begin)), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    if len(row) != len(data):
-        data = data[np.repeat(begin, size) + place]
-    h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        if len(h) > k:
-            h[k:] += np.where(place[k:] >= k, h[:-k] << np.uint32(k), np.uint32(0))
-    found = np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0)
-    found = found[np.append(True, np.diff(found) >= SHORTEST)] if len(found) else found
-    ends = np.cumsum(size)[size > 0] - 1
-    last = np.union1d(found, ends)
+from .textkernel import SPACE_SEPARATORS, chunks, mix, words
+
+#: Words of the shortest passage: over 50.
+PASSAGE = 51
+#: Words that a gear hash depends on: of 32 bits, two leave with each word.
+GEAR = 16
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_MASK = (1 << 64) - 1
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A digest of each run of n hashes, found in doubling steps."""
+    power, width, done, out = h, 1, 0, None
     while True:
-        edge = np.append(-1, last)
-        extra = []
-        for i in np.flatnonzero(np.diff(edge) > LONGEST):
-            inner = h[edge[i] + 33 : edge[i + 1]]
-            extra.append(edge[i] + 33 + np.flatnonzero(inner == inner.min()))
-        if not extra:
-            break
-        last = np.union1d(last, np.concatenate(extra))
-    return begin[row[last]] + place[last] + 1, row[last]
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, doc_id), or with `whole` also (start, stop, words)."""
-    up, down = _tables()
+        if n & width:
+            if out is None:
+                out = power
+            else:
+                m = len(h) - done - width + 1
+                out = out[:m] * np.uint64(pow(_BASE, width, _MASK + 1)) + power[done : done + m]
+            done += width
+        if done == n:
+            return mix(out[: len(h) - n + 1])
+        power = power[:-width] * np.uint64(pow(_BASE, width, _MASK + 1)) + power[width:]
+        width *= 2
+
+
+def _least(key: np.ndarray, n: int) -> np.ndarray:
+    """The least of each run of n keys."""
+    width = 1
+    while 2 * width <= n:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    rest = n - width
+    return np.minimum(key[: len(key) - rest], key[rest:])
+
+
+def borders(h: np.ndarray, size: int) -> np.ndarray:
+    """The border that each window of `size` words names, from the hashes of all words."""
+    gear = (mix(h) >> np.uint64(32)).astype(np.uint32)
+    for k in (1, 2, 4, 8):
+        gear[k:] = gear[k:] + (gear[:-k] << np.uint32(2 * k))
+    key = (gear.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    return (_least(key[GEAR - 1 :], size - GEAR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, doc_id), or with `whole` also (body, word, digests, places): a digest of the text, the number of the first
+    window's first word, and of each window the digest, and where it starts and stops."""
     for batch in batches:
-        for chunk in chunks(batch.column(1), PIECE):
-            # very long texts are cut every PIECE bytes as well
-            parts = np.maximum(1, -(-(chunk.end - chunk.begin) // PIECE))
-            text = np.repeat(np.arange(len(parts)), parts)
-            number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin = chunk.begin[text] + number * PIECE
-            end = np.minimum(begin + PIECE, chunk.end[text])
-            out = []
-            lo = 0
-            while lo < len(begin):
-                hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + PIECE, side="right")) - 1)
-                base = begin[lo]
-                data = chunk.data[base : end[hi - 1]]
-                stop, row = cuts(data, begin[lo:hi] - base, end[lo:hi] - base)
-                if len(stop):
-                    first = np.append(True, row[1:] != row[:-1])
-                    start = np.where(first, (begin[lo:hi] - base)[row], np.append(0, stop[:-1]))
-                    shift = np.arange(len(data)) % PIECE
-                    run = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[data] * up[shift])])
-                    digest = mix((run[stop] - run[start]) * down[start % PIECE] + (stop - start).astype(np.uint64))
-                    blank = SPACE_SEPARATORS[data]
-                    opens = ~blank & np.append(True, blank[:-1])
-                    opened = np.concatenate([[0], np.cumsum(opens)])
-                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    out.append((digest, text[lo:hi][row], opened[stop] - opened[start], chars[start], chars[stop]))
-                lo = hi
-            if not out:
+        for chunk in chunks(batch.column(1)):
+            w = words(chunk, SPACE_SEPARATORS)
+            if len(w.hash) < size:
                 continue
-            digest, owner, n_words, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            ids = batch.column(0).take(pa.array(owner + chunk.lo))
+            inside = np.flatnonzero(w.row[: len(w.row) - size + 1] == w.row[size - 1 :])
+            if not len(inside):
+                continue
+            border = borders(w.hash, size)[inside]
+            first = np.flatnonzero(np.append(True, (border[1:] != border[:-1]) | (w.row[inside[1:]] != w.row[inside[:-1]])))
+            digest = _grams(w.hash, GEAR)[border[first] - GEAR + 1]
+            row = w.row[inside[first]]
+            columns = [pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(row + chunk.lo))]
             if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids], names=["digest", "doc_id"])
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id"])
                 continue
-            new = np.append(True, owner[1:] != owner[:-1])
-            first_at = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            length = b - a
-            before = np.cumsum(length) - length
-            start_char = before - before[first_at][which]
-            places = [pa.array(x.astype(np.int32)) for x in (start_char, start_char + length, n_words)]
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids, *places], names=["digest", "doc_id", "start", "stop", "words"])
-
-
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """Passages that other documents have too: doc_id, start and stop (code points), n_words, n_chunks, and first_doc, the
-    smallest id of a document that shares a chunk of it. Documents without such a passage have no row."""
+            number = np.arange(len(w.hash)) - w.first[w.row]
+            running = np.append(np.uint64(0), np.cumsum(mix(w.hash ^ mix(number.astype(np.uint64) + np.uint64(1)))))
+            body = mix(running[w.first[1:]] - running[w.first[:-1]])[row]
+            chars = np.append(0, np.cumsum((chunk.data & 0xC0) != 0x80))
+            zero = chars[chunk.begin][w.row[inside]]
+            start, stop = chars[w.start[inside]] - zero, chars[w.stop[inside + size - 1]] - zero
+            # places are told from the first window's start, so that they are small numbers
+            begin = start[first]
+            owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(inside))))
+            places = ((start - begin[owner]) << 32) | (stop - start)
+            short = places.copy()
+            fits = (start - begin[owner] < 1 << 15) & (stop - start < 1 << 16)
+            short = np.where(fits, ((start - begin[owner]) << 16) | (stop - start), 0).astype(np.int32)
+            wide = np.bincount(owner, ~fits, len(first)) > 0
+            compact = _lists(short, first)
+            full = pa.array([places[a:b].tolist() if x else None for a, b, x in zip(first, np.append(first[1:], len(inside)), wide, strict=True)], pa.list_(pa.int64())) if wide.any() else pa.nulls(len(first), pa.list_(pa.int64()))
+            columns += [pa.array(body.view(np.int64)), pa.array(number[inside[first]].astype(np.int32)), pa.array(begin.astype(np.int32))]
+            columns += [_lists(_grams(w.hash, size)[inside].view(np.int64), first), compact, full]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "body", "word", "begin", "digests", "places", "far"])
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+    """Passages of at least `passage` words that other documents have too: doc_id, start and stop (code points), n_words, n_chunks,
+    and first_doc, the smallest id of a document that has `passage` words of it. Documents without such a passage have no row."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     kind = source.schema["doc_id"].dataType.simpleString()
-    brief = source.mapInArrow(lambda it: _chunk_rows(it, False), f"digest bigint, doc_id {kind}")
-    shared = brief.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    whole = source.mapInArrow(lambda it: _chunk_rows(it, True), f"digest bigint, doc_id {kind}, start int, stop int, words int")
-    found = whole.join(shared.hint("merge"), "digest").repartition("doc_id")
-    # from here on a document's rows are together, and all windows use that
-    copies = Window.partitionBy("doc_id", "start", "stop", "digest").orderBy("first_doc")
-    found = found.withColumn("copy", F.row_number().over(copies)).where("copy = 1")
-    order = Window.partitionBy("doc_id").orderBy("start", "stop", "digest")
-    found = found.withColumn("new", F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc"))
-    return runs.where(F.col("n_words") >= run_words).select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc")
+    brief = source.mapInArrow(lambda it: _chunk_rows(it, False, passage), f"chunk bigint, doc_id {kind}")
+    shared = brief.groupBy("chunk").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("chunk")
+    fields = f"chunk bigint, doc_id {kind}, body bigint, word int, begin int, digests array<bigint>, places array<int>, far array<bigint>"
+    whole = source.mapInArrow(lambda it: _chunk_rows(it, True, passage), fields)
+    # dealt by chunk once: equal windows are in one chunk, so all windows and groups up to the next deal use that
+    each = whole.join(shared.hint("merge"), "chunk").select("chunk", "doc_id", "body", "word", "begin", "places", "far", F.posexplode("digests").alias("at", "digest"))
+    near, far = F.get("places", F.col("at")), F.get("far", F.col("at"))
+    start = F.col("begin") + F.coalesce(F.shiftright(far, 32).cast("int"), F.shiftright(near, 16))
+    length = F.coalesce(far.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), near.bitwiseAND(F.lit((1 << 16) - 1)))
+    each = each.select("chunk", "digest", "doc_id", "body", "word", (F.col("word") + F.col("at")).alias("lo"), start.alias("start"), (start + length).alias("stop"))
+    copies = Window.partitionBy("chunk", "digest")
+    found = each.withColumn("first_doc", F.min("doc_id").over(copies)).withColumn("last_doc", F.max("doc_id").over(copies)).where("first_doc < last_doc")
+    order = Window.partitionBy("chunk", "doc_id", "body", "word").orderBy("lo")
+    # lo - rank is the same for consecutive windows, also where a text occurs twice
+    found = found.withColumn("island", F.col("lo") - F.dense_rank().over(order))
+    parts = found.groupBy("chunk", "doc_id", "body", "word", "island").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc"))
+    inner = Window.partitionBy("doc_id", "body").orderBy("lo", "hi")
+    parts = parts.select("doc_id", "body", "lo", "hi", "start", "stop", "first_doc").repartition("doc_id")
+    parts = parts.withColumn("run", F.sum(F.when(F.lag("hi").over(inner) == F.col("lo") - 1, 0).otherwise(1)).over(inner))
+    runs = parts.groupBy("doc_id", "body", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("hi") - F.min("lo") + passage).cast("bigint").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc").alias("first_doc"))
+    return runs.select("doc_id", "start", "stop", "n_words", "n_chunks", "first_doc")
