@@ -480,6 +480,36 @@ def test_phrases_of_other_documents_are_no_passage(spark):
     assert chunking.repeated_passages(docs).count() == 0
 
 
+@pytest.mark.parametrize("letters", [1, 4, 7])
+def test_passages_match_brute_force(spark, letters):
+    """Passages of 50, 51, 52 and 60 words, short and long words, other spacing, repeated ids, nulls."""
+    rng = random.Random(letters)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklmnopé") for _ in range(letters)) for _ in range(n)]
+    rows = [(None, " ".join(["n"] * 60)), (900, None), (901, ""), (902, "n " * 60)]
+    for k in range(60):
+        shared = prose((50, 51, 52, 60)[k % 4])
+        for copy in range(2):
+            rows.append((2 * k + copy, (" ", "\n ")[copy].join(prose(rng.randint(0, 60)) + shared + prose(rng.randint(0, 60)))))
+    rows += [(500, rows[6][1]), (500, rows[6][1]), (500, rows[9][1]), (501, " ".join(prose(30) * 4)), (501, " ".join(prose(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_passages(rows)
+    assert len(want) > 80
+    assert passage_rows(chunking.repeated_passages(docs)) == want
+
+
+def test_passages_across_pieces_and_after_long_words(spark):
+    """51 words at every place around a piece's end, and windows whose places need more than 16 bits."""
+    rng = random.Random(3)
+    prose = lambda n: [f"{rng.randrange(10**4):04d}" for _ in range(n)]
+    shared = prose(51)
+    lead = textkernel.PIECE // 5
+    filler = prose(lead + 100)
+    rows = [(k, " ".join(f"{k}{w}" for w in filler)[: textkernel.PIECE - 5 * back] + " " + " ".join(shared)) for k, back in enumerate((60, 51, 25, 1, 0))]
+    rows += [(50, " ".join(["a", *prose(3)] + ["x" * 70_000] + shared)), (51, " ".join(["b"] + ["x" * 70_000] + shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert passage_rows(chunking.repeated_passages(docs)) == brute_passages(rows)
+
+
 # decontamination
 
 
