@@ -206,6 +206,21 @@ def test_quality_learns_and_generalises(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_keeps_to_the_ratio_of_labels(spark):
+    """Two kinds of texts, 19 and 7 of 10 good: a bound below the counts of both labels predicts as one above them."""
+    rng = random.Random(12)
+    rows = [(i, ("walk tree river", "CLOUD! 12 house|")[i // 3 % 2]) for i in range(2400)]
+    labels = [(i, int(rng.random() < (0.95, 0.7)[i // 3 % 2])) for i, _ in rows]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    usable = collections.Counter(q for i, q in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert min(usable.values()) > 150
+    got = []
+    for bound in (10_000, 300):
+        forest = quality.train_quality(docs, known, bound)
+        got.append({r.doc_id: r.predicted for r in quality.score_quality(docs, forest).collect()})
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_flat_trees_are_the_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3))

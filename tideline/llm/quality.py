@@ -6,7 +6,8 @@ arrays (feature, threshold and leaf value by tree and heap position), so scoring
 all trees together.
 
 Trees are fitted on the driver on at most `bound` labelled texts (a bounded sample, the only bounded part; all texts are
-scored whole). Labels, language, source and id are never inputs.
+scored whole). The sample has about as many texts of each label, so each counts for as many labels as it stands for, and the
+score keeps to the ratio of all labels whatever the bound is. Labels, language, source and id are never inputs.
 
 Defined results: null counts as an empty text; several labels of one id count by their mean (0.5 and more is 1);
 without labels to learn from every score is 0.5, and with one class only it is near that class.
@@ -135,17 +136,19 @@ class Forest:
         return 1 / (1 + np.exp(-total))
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray) -> Forest:
+def fit_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Forest:
+    """Trees for the labels y of the rows x; weights count relative to their mean, so that equal ones change nothing."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
     inner, n_features = 2**DEPTH - 1, x.shape[1]
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(n_features)]
     binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
-    base = (y.sum() + 1) / (len(y) + 2)
+    base = ((weight * y).sum() + 1) / (len(y) + 2)
     start = float(np.log(base / (1 - base)))
     total = np.full(len(y), start)
     feature, threshold, leaf = np.zeros((TREES, inner), np.int64), np.full((TREES, inner), np.inf), np.zeros((TREES, 2**DEPTH))
     for t in range(TREES):
         p = 1 / (1 + np.exp(-total))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         at = np.zeros(len(y), np.int64)
         for level in range(DEPTH):
             first, n_nodes = 2**level - 1, 2**level
@@ -177,25 +180,25 @@ def fit_forest(x: np.ndarray, y: np.ndarray) -> Forest:
 
 def _statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [statistics(chunk) for chunk in chunks(batch.column(2))]
+        parts = [statistics(chunk) for chunk in chunks(batch.column(3))]
         if parts:
             x = np.concatenate(parts)
             stats = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stats], names=["doc_id", "quality", "stats"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], stats], names=["doc_id", "quality", "weight", "stats"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Forest | None:
     """Trees trained on documents with a label (doc_id, quality) that are not held out; None if there are none."""
     usable = labels.where(~held_out("doc_id") & F.col("quality").isNotNull())
     one = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    ids = sample_ids(one, "quality", bound).withColumnRenamed("doc_id", "picked")
+    ids = sample_ids(one, "quality", bound, weight="weight").withColumnRenamed("doc_id", "picked")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("doc_id", "quality", "text")  # at most `bound` ids
-    rows = picked.mapInArrow(_statistics_rows, f"doc_id {kind}, quality int, stats array<double>").collect()
+    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("doc_id", "quality", "weight", "text")  # at most `bound` ids
+    rows = picked.mapInArrow(_statistics_rows, f"doc_id {kind}, quality int, weight double, stats array<double>").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.stats))
-    return fit_forest(np.array([r.stats for r in rows]), np.array([float(r.quality) for r in rows]))
+    return fit_forest(np.array([r.stats for r in rows]), np.array([float(r.quality) for r in rows]), np.array([r.weight for r in rows]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], forest: Forest | None, text_at: int, keep: list[str]) -> Iterator[pa.RecordBatch]:

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 MOST_LABELS = 256
 
 
-def sample_ids(rows: DataFrame, label: str, bound: int, key: str = "doc_id") -> DataFrame:
-    """At most `bound` rows (key, label), about as many of each label, chosen by a hash of the key.
+def sample_ids(rows: DataFrame, label: str, bound: int, key: str = "doc_id", weight: str | None = None) -> DataFrame:
+    """At most `bound` rows (key, label), about as many of each label, chosen by a hash of the key. A column `weight`, if wanted,
+    says how many rows of its label each one stands for.
 
     Labels are counted first, so only a hash range that holds a few times the wanted number is ranked.
     """
     rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     if not counts:
-        return rows.limit(0)
+        return rows.limit(0).select("*", *([F.lit(1.0).alias(weight)] if weight else []))
     each = max(1, bound // len(counts))
     share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, (3.0 * each + 100) / n)))])
     place = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
     near = rows.withColumn("_place", place).where(F.col("_place") < F.element_at(share, F.col(label)))
     order = Window.partitionBy(label).orderBy("_place", key)
-    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select(key, label)
+    picked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+    if not weight:
+        return picked.select(key, label)
+    total = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(float(n)))])
+    return picked.select(key, label, (F.element_at(total, F.col(label)) / F.count(F.lit(1)).over(Window.partitionBy(label))).alias(weight))
