@@ -343,6 +343,33 @@ def test_ngram_groups_edges(spark, empty):
     assert sorted(str(r.doc_id) for r in ngram_join.keep_one(twice).collect()) == ["5", "8", "None"]
 
 
+def test_one_id_with_several_texts(spark):
+    """A text stays or goes by itself, whatever else its id has."""
+    a, b, c = "one two three four five six", "red green blue black white grey", "here is the last of all texts"
+    docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (5, c, 4), (5, c, 4), (9, b, 5)], "doc_id long, text string, node int")
+    assert sorted(ngram_join.keep_one(docs).collect()) == [(3, a, 1), (5, c, 4), (5, b, 3)]
+
+
+@pytest.mark.parametrize("sets", [64, 128])
+def test_links_of_a_cluster_grow_with_its_sets(spark, monkeypatch, sets):
+    """M near copies in pages of 8 give fewer than 2 M links and candidate edges; a cluster whose links form a long chain is found whole."""
+    monkeypatch.setattr(ngram_join, "PAGE_SETS", 8)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(sets):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{k}" for k in range(100 + 3 * sets)]
+    rows += [(1000 + i, " ".join(chain[3 * i : 3 * i + 100])) for i in range(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known, links = ngram_join.ngram_links(docs, 3, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(docs, 3, 90).collect()}
+    assert got == components(rows, 3, 90)
+    assert links.distinct().count() < 4 * sets
+
+
 def test_prefix_tree_against_all_pairs():
     rng = random.Random(9)
     for _ in range(60):

@@ -130,15 +130,16 @@ class PrefixTree:
 LEVELS, SWEEP = 6, 2048
 
 
-def link_forest(sets: list[np.ndarray], percent: int, probes: list[int] | None = None, stored: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect the same sets as all links do, at most one less than there are sets.
+def link_forest(sets: list[np.ndarray], percent: int, probes: list[int] | None = None, stored: list[int] | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the same sets as all links do, at most one less than there are sets. Sets of equal labels in `known` are
+    connected already; then there are fewer links than labels.
 
     Elements are ordered by how many of these sets hold them, most common first, which is one order for all sets here
     and lets similar sets share long beginnings. Only `probes` are looked up among `stored` (default: all).
     """
     probes = list(range(len(sets))) if probes is None else probes
     stored = list(range(len(sets))) if stored is None else stored
-    if not probes or not stored:
+    if not probes or not stored or (known is not None and (known == known[0]).all()):
         return []
     values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
@@ -147,7 +148,7 @@ def link_forest(sets: list[np.ndarray], percent: int, probes: list[int] | None =
     ranked = [np.sort(rank[place[e - len(s) : e]]) for s, e in zip(sets, ends, strict=True)]
     tree = PrefixTree([ranked[i] for i in stored])
     owner = np.array(stored)[tree.order]
-    group = np.arange(len(sets))
+    group = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     inside = np.zeros(len(values), bool)
     links = []
     for i in probes:
