@@ -1,111 +1,166 @@
 """Cross-entropy difference of documents under matched target and background n-gram models.
 
-Both models are symbol n-grams of one order over one vocabulary of 64 symbols (boundary, letters without case, digits,
-blanks, punctuation, classes of other bytes), with the same smoothing: the counts of each context are mixed with the
-next shorter model by a Dirichlet weight. A document's score is the mean over its symbols of target loss minus
-background loss, so lower is more like the target.
-
-Counts are gathered from every document and every symbol, in one array per task and then by a partial aggregate, so no key
-is hot. The vocabulary bounds a model at 64**4 cells whatever the corpus is: that is the proof of size for collecting
-the counts and for sending the losses to the tasks. Texts are never shuffled except to find the target's documents.
-
-Defined results: null and empty texts have no symbols, losses and score 0; without target texts both models are equal
-to the background, and scores are 0; labels of ids without a document do nothing; repeated rows count as often as they occur.
+Words are cut into pieces of WIDTH characters, which are the vocabulary of both models; it is whatever all documents have. Both are
+bigram models of pieces, a boundary standing before and after each text. The background is every document that is not in the
+target; its counts are scaled to the target's total, so that equal smoothing weighs equally in both. A bigram's counts are
+mixed with those of its last piece, and these with the frequency of the piece in all documents, by Dirichlet weights. What a
+document itself adds to the counts is taken off when it is scored, so that no text is told by heart. A document's score is the
+mean over its pieces of target loss minus background loss: lower is more like the target.
+
+Documents are dealt to chunks of about CHUNK_BYTES by a hash of their id. A chunk counts its distinct n-grams, counts of all
+chunks meet by n-gram (a frequent one has a row per chunk, not per occurrence), and go back to the chunks that asked; nothing
+is collected but two sums, and no model is ever in one place.
+
+Defined results: null and blank texts have no pieces, losses and score 0; without target documents, or without others, scores are 0;
+labels of ids without a document do nothing; repeated rows count as often as they occur, and a row takes off its own
+counts only; a null id is never in the target; other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import ASCII_LOWER, Chunk, chunks
-
-ORDER, BITS = 4, 6
-CELLS = 1 << (ORDER * BITS)
-#: Weight of the shorter model in each context.
-PRIOR = 4.0
-
-_SYMBOL = np.full(256, 38, np.uint8)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[48:58] = 27
-for _code, _chars in enumerate((b" \t\x0b\x0c\r", b"\n", b".", b",", b";:", b"!?", b"'\"`", b"-_", b"()[]{}<>", b"*#$%&@|", b"+=/\\~^"), start=28):
-    _SYMBOL[list(_chars)] = _code
-_SYMBOL[128:] = 40 + np.arange(128) % 24
-_SYMBOL = _SYMBOL[ASCII_LOWER]
-
-
-def cells(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of every symbol: the symbol with the ORDER - 1 before it; the text's beginning counts as symbol 0."""
-    size = chunk.end - chunk.begin
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    data = chunk.data if len(row) == len(chunk.data) else chunk.data[np.repeat(chunk.begin, size) + place]
-    symbol = _SYMBOL[data].astype(np.int32)
-    cell = symbol.copy()
-    for k in range(1, ORDER):
-        if len(cell) > k:
-            cell[k:] |= np.where(place[k:] >= k, symbol[:-k] << (BITS * k), 0)
-    return cell, row
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.uint32)
-    for batch in batches:
-        for chunk in chunks(batch.column(0)):
-            np.add.at(total, cells(chunk)[0], 1)
-    found = np.flatnonzero(total)
-    for lo in range(0, len(found), 1 << 16):
-        part = found[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names=["cell", "n"])
-
-
-def count_cells(texts: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(cells, counts) over all texts; at most CELLS of them."""
-    counted = texts.select(text).mapInArrow(_count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
-    return counted["cell"].to_numpy().astype(np.int64), counted["n"].to_numpy().astype(np.float64)
-
-
-def losses(at: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Loss (natural logarithm) of the cells `at` under the model with counts `n` of `cell`."""
-    width = 1 << BITS
-    seen = np.bincount(cell & (width - 1), n, width)
-    p = ((seen + PRIOR / width) / (seen.sum() + PRIOR))[at & (width - 1)]
-    for order in range(2, ORDER + 1):
-        mask = (1 << (BITS * order)) - 1
-        counts = np.bincount(cell & mask, n, mask + 1)
-        context = counts.reshape(-1, width).sum(1)
-        p = (counts[at & mask] + PRIOR * p) / (context[(at & mask) >> BITS] + PRIOR)
-    return -np.log(p)
-
-
-def _score(batches: Iterator[pa.RecordBatch], at: np.ndarray, target: np.ndarray, background: np.ndarray) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((2, CELLS), np.float32)
-    table[0, at], table[1, at] = target, background
-    for batch in batches:
-        parts = []
-        for chunk in chunks(batch.column(1)):
-            cell, row = cells(chunk)
-            n = len(chunk.begin)
-            parts.append((np.bincount(row, minlength=n), np.bincount(row, table[0, cell], n), np.bincount(row, table[1, cell], n)))
-        if parts:
-            n, t, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            some = np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(t / some), pa.array(b / some), pa.array((t - b) / some)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, target_loss, background_loss and score; `target` has the ids (doc_id) of the target's texts."""
-    own = docs.select("doc_id", F.col(text).alias("text"))
-    cell, n = count_cells(own)
-    # always a shuffled join: the ids grow with the corpus, so they are not sent to all tasks at any size
-    cell_t, n_t = count_cells(own.join(target.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-    if not len(cell_t):
-        cell_t, n_t = cell, n
-    sent = own.sparkSession.sparkContext.broadcast((cell, losses(cell, cell_t, n_t).astype(np.float32), losses(cell, cell, n).astype(np.float32)))
+from .textkernel import ASCII_LOWER, BYTE_VALUES, SPACE_SEPARATORS, Chunk, chunks, mix
+
+#: Characters of a piece; text bytes that are counted together; weight of the shorter model in each context.
+WIDTH, CHUNK_BYTES, PRIOR = 4, 16 << 20, 4.0
+_POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: The boundary as a piece, and the row that holds a chunk's totals.
+_BOUNDARY, _TOTAL = np.uint64(1), np.uint64(2)
+
+
+def pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the pieces of every text: words are cut after each WIDTH characters; a word's first piece is marked."""
+    data = ASCII_LOWER[chunk.data]
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[chunk.begin] = edge[chunk.end] = True
+    word = ~SPACE_SEPARATORS[data]
+    opens = word.copy()
+    opens[1:] &= ~word[:-1] | edge[1:n]
+    lead = (data & 0xC0) != 0x80
+    place = np.cumsum(lead, dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(opens, place, 0))
+    cut = word & lead & (place % WIDTH == 0) | opens
+    stops = np.append(np.flatnonzero(cut | ~word | edge[:n]), n)
+    start = np.flatnonzero(cut)
+    size = stops[np.searchsorted(stops, start, side="right")] - start
+    h = np.where(opens[start], np.uint64(7), np.uint64(3)) + size.astype(np.uint64)
+    power = np.uint64(1)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        power = power * _POWER
+        h[live] += BYTE_VALUES[data[start[live] + k]] * power
+    row = np.searchsorted(chunk.begin, start, side="right") - 1
+    inside = start < chunk.end[row]
+    return mix(h[inside]) | np.uint64(4), row[inside]
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, last, context, pair) of each predicted piece, the closing boundary included: keys of the piece, of the one before and of both."""
+    rows, lasts, contexts = [], [], []
+    for chunk in chunks(texts):
+        h, row = pieces(chunk)
+        count = np.bincount(row, minlength=len(chunk.begin))
+        some = count > 0
+        first = (np.cumsum(count + some) - (count + some))[some]
+        total = int((count + some).sum())
+        last = np.full(total, _BOUNDARY)
+        inner = np.ones(total, bool)
+        inner[first + count[some]] = False
+        last[inner] = h
+        context = np.empty(total, np.uint64)
+        context[1:] = last[:-1]
+        context[first] = _BOUNDARY
+        rows.append(np.repeat(np.arange(len(count)), count + some) + chunk.lo)
+        lasts.append(last)
+        contexts.append(context)
+    if not rows:
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, none, none
+    row, last, context = (np.concatenate(x) for x in (rows, lasts, contexts))
+    return row, last, context, mix(mix(context) + last) | np.uint64(4)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _in_target(docs: pa.Table, ids: pa.Array) -> np.ndarray:
+    return pc.is_in(_column(docs, "doc_id"), value_set=ids.drop_null()).to_numpy(zero_copy_only=False)
+
+
+def _count(key: tuple, docs: pa.Table, ids: pa.Table) -> pa.Table:
+    """The distinct n-grams of a chunk with their counts in the target's documents and in the others."""
+    row, last, _, pair = _grams(_column(docs, "text"))
+    wanted = _in_target(docs, _column(ids, "doc_id"))[row]
+    gram, at = np.unique(np.concatenate([last, pair]), return_inverse=True)
+    every, own = np.bincount(at, minlength=len(gram)), np.bincount(at, np.tile(wanted, 2), len(gram)).astype(np.int64)
+    gram, own = np.append(gram, _TOTAL), np.append(own, wanted.sum())
+    rest = np.append(every, len(row)) - own
+    return pa.table({"chunk": pa.array(np.full(len(gram), key[0].as_py(), np.int64)), "gram": pa.array(gram.view(np.int64)), "n_target": pa.array(own), "n_rest": pa.array(rest)})
+
+
+def _own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each row has each of its keys, for every occurrence."""
+    order = np.lexsort((key, row))
+    new = np.append(True, (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
+    number = np.cumsum(new) - 1
+    out = np.empty(len(key), np.int64)
+    out[order] = np.bincount(number)[number]
+    return out
+
+
+def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
+    row, last, context, pair = _grams(_column(docs, "text"))
+    n_docs = docs.num_rows
+    member = _in_target(docs, _column(model, "doc_id"))
+    known = model.filter(pc.is_valid(model.column("gram")))
+    gram, counts = (_column(known, "gram").to_numpy().view(np.uint64), [_column(known, c).to_numpy().astype(float) for c in ("n_target", "n_rest")])
+    order = np.argsort(gram)
+    gram, counts = gram[order], [c[order] for c in counts]
+    size = np.bincount(row, minlength=n_docs)
+    losses = np.zeros((2, n_docs))
+    if len(row):
+        where = {name: np.searchsorted(gram, k) for name, k in (("last", last), ("context", context), ("pair", pair))}
+        total = [float(c[np.searchsorted(gram, _TOTAL)]) for c in counts]
+        scales = (float(total[1] > 0), total[0] / total[1] if total[1] else 0.0)
+        every = (counts[0] + counts[1])[where["last"]] / sum(total)
+        own = {name: _own_counts(row, k) for name, k in (("last", last), ("context", context), ("pair", pair))}
+        for side, belongs in enumerate((member, ~member)):
+            mine = belongs[row]
+            seen = {name: (counts[side][at] - own[name] * mine) * scales[side] for name, at in where.items()}
+            whole = (total[side] - size[row] * mine) * scales[side]
+            p = (seen["last"] + PRIOR * every) / (whole + PRIOR)
+            p = (seen["pair"] + PRIOR * p) / (seen["context"] + PRIOR)
+            losses[side] = np.bincount(row, -np.log(p), n_docs)
+    losses /= np.maximum(size, 1)
+    return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "target_loss": pa.array(losses[0]), "background_loss": pa.array(losses[1]), "score": pa.array(losses[0] - losses[1])})
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, n_tokens (pieces and the closing boundary), target_loss, background_loss and score; `target` has the ids
+    (column `doc_id`) of the target's documents."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    n_chunks = int((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES) + 1
+
+    def dealt(spread: Column) -> Column:
+        return F.pmod(spread, F.lit(n_chunks)).alias("chunk")
+
+    texts = own.select("doc_id", "text", dealt(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    ids = target.select(F.col("doc_id").cast(own.schema["doc_id"].dataType).alias("doc_id")).where("doc_id is not null").distinct().withColumn("chunk", dealt(F.xxhash64("doc_id")))
+    counted = texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_count, "chunk bigint, gram bigint, n_target bigint, n_rest bigint")
+    same = Window.partitionBy("gram")
+    none = F.lit(None)
+    model = counted.select("chunk", "gram", F.sum("n_target").over(same).alias("n_target"), F.sum("n_rest").over(same).alias("n_rest"), none.cast(own.schema["doc_id"].dataType).alias("doc_id"))
+    model = model.unionByName(ids.select("chunk", none.cast("bigint").alias("gram"), none.cast("bigint").alias("n_target"), none.cast("bigint").alias("n_rest"), "doc_id"))
     schema = T.StructType([own.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")]])
-    return own.mapInArrow(lambda it: _score(it, *sent.value), schema)
+    return texts.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score, schema)
