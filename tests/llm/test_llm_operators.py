@@ -109,36 +109,74 @@ def test_error_bounds_hold():
 # language model scores
 
 
-def test_cross_entropy_matches_brute_force(spark, docs, rows):
-    target = spark.createDataFrame([(i,) for i in range(0, 200, 3)] + [(99999,), (3,)], "doc_id long")
-    got = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(docs, target).collect()}
-    assert len(got) == len(rows)
-
-    def grams(s):
-        padded = [0, 0, 0] + [int(cross_entropy._SYMBOL[c]) for c in s.encode()]
-        return [tuple(padded[i : i + 4]) for i in range(len(padded) - 3)]
-
-    text = {r[0]: r[1] or "" for r in rows}
-    models = []
-    for ids in (set(range(0, 200, 3)), set(text)):
-        by, context = [collections.Counter() for _ in range(5)], [collections.Counter() for _ in range(5)]
-        for i in ids & set(text):
-            for g in grams(text[i]):
-                for k in range(1, 5):
-                    by[k][g[-k:]] += 1
-                    context[k][g[-k:-1]] += 1
-
-        def p(g, by=by, context=context):
-            q = (by[1][g[-1:]] + 4 / 64) / (context[1][()] + 4)
-            for k in range(2, 5):
-                q = (by[k][g[-k:]] + 4 * q) / (context[k][g[-k:-1]] + 4)
-            return q
-
-        models.append(p)
-    for i in [*range(20), 1000, 1001, 1003, 1004]:
-        g = grams(text[i])
-        t, b = (sum(-math.log(p(x)) for x in g) / max(len(g), 1) for p in models)
-        assert got[i].score == pytest.approx(t - b, abs=1e-5) and got[i].n_tokens == len(g)
+def pieces_of(text: str | None) -> list[str]:
+    out = []
+    for w in WORD.findall(lower(text)):
+        out += [("" if k else "^") + w[k : k + cross_entropy.WIDTH] for k in range(0, len(w), cross_entropy.WIDTH)]
+    return out
+
+
+def slow_scores(rows: list[tuple], target: set[int]) -> list[tuple]:
+    """(id, tokens, target loss, background loss) of each row, by counting all others for each one."""
+    texts = [(r[0], pieces_of(r[1])) for r in rows]
+    sides = [[collections.Counter(), collections.Counter(), 0] for _ in range(2)]
+    grams = []
+    for i, p in texts:
+        steps = list(zip(["$", *p], [*p, "$"], strict=True)) if p else []
+        grams.append(steps)
+        side = sides[i not in target]
+        side[0].update(w for _, w in steps)
+        side[1].update(steps)
+        side[2] += len(steps)
+    total = sides[0][2] + sides[1][2]
+    out = []
+    for (i, _), steps in zip(texts, grams, strict=True):
+        mine, pairs = collections.Counter(w for _, w in steps), collections.Counter(steps)
+        loss = []
+        for k, (uni, bi, n) in enumerate(sides):
+            off = (i in target) == (k == 0)
+            scale = float(sides[1][2] > 0) if k == 0 else (sides[0][2] / n if n else 0.0)
+            value = 0.0
+            for v, w in steps:
+                q = (sides[0][0][w] + sides[1][0][w]) / total
+                p = ((uni[w] - off * mine[w]) * scale + 4 * q) / ((n - off * len(steps)) * scale + 4)
+                p = ((bi[v, w] - off * pairs[v, w]) * scale + 4 * p) / ((uni[v] - off * mine[v]) * scale + 4)
+                value -= math.log(p)
+            loss.append(value / max(len(steps), 1))
+        out.append((i, len(steps), *loss))
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [16 << 20, 3000])
+def test_cross_entropy_matches_brute_force(spark, docs, rows, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(cross_entropy, "CHUNK_BYTES", chunk_bytes)
+    wanted = {*range(0, 200, 3), 1005}
+    target = spark.createDataFrame([(i,) for i in wanted] + [(99999,), (3,), (None,)], "doc_id long")
+    twice = docs.unionByName(docs.where("doc_id in (3, 4)"))
+    twice = twice.unionByName(spark.createDataFrame([(None, "no id at all", "", "", "", ""), (77777, "x\u2003y ßßßßß", "", "", "", "")], DOCS))
+    every = rows + [r for r in rows if r[0] in (3, 4)] + [(None, "no id at all"), (77777, "x\u2003y ßßßßß")]
+    got = sorted(tuple(r) for r in cross_entropy.cross_entropy_difference(twice, target).collect() if r.doc_id is not None)
+    want = sorted(x for x in slow_scores(every, wanted) if x[0] is not None)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], abs=1e-9) and g[4] == pytest.approx(w[2] - w[3], abs=1e-9)
+
+
+def test_cross_entropy_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long")
+    assert {r.score for r in cross_entropy.cross_entropy_difference(docs, none).collect()} == {0.0}
+    assert {r.score for r in cross_entropy.cross_entropy_difference(docs, docs.select("doc_id")).collect()} == {0.0}
+    assert cross_entropy.cross_entropy_difference(empty, none).count() == 0
+
+
+def test_cross_entropy_tells_the_target(spark):
+    """Held-out texts of the target's kind score lower than others."""
+    rng = random.Random(8)
+    kinds = [[f"{a}{b}" for a in "bcdfg" for b in ("al", "en", "or")], [f"{a}{b}" for a in "mnprt" for b in ("ax", "iv", "uz")]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) + rng.choice(kinds[i % 2]) for _ in range(40))) for i in range(200)]
+    target = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "doc_id long")
+    got = {r.doc_id: r.score for r in cross_entropy.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), target).collect()}
+    assert max(got[i] for i in range(100, 200, 2)) < min(got[i] for i in range(101, 200, 2))
 
 
 # mixture
@@ -350,11 +388,10 @@ def test_one_id_with_several_texts(spark):
     assert sorted(ngram_join.keep_one(docs).collect()) == [(3, a, 1), (5, c, 4), (5, b, 3)]
 
 
-@pytest.mark.parametrize("sets", [64, 128])
-def test_links_of_a_cluster_grow_with_its_sets(spark, monkeypatch, sets):
-    """M near copies in pages of 8 give fewer than 2 M links and candidate edges; a cluster whose links form a long chain is found whole."""
+def test_links_of_a_cluster_grow_with_its_sets(spark, monkeypatch):
+    """M near copies in pages of 8 give fewer than 2 M links; a cluster whose links form a long chain is found whole."""
     monkeypatch.setattr(ngram_join, "PAGE_SETS", 8)
-    rng = random.Random(5)
+    rng, sets = random.Random(5), 48
     base = [f"w{k}" for k in range(120)]
     rows = []
     for i in range(sets):
@@ -364,10 +401,13 @@ def test_links_of_a_cluster_grow_with_its_sets(spark, monkeypatch, sets):
     chain = [f"c{k}" for k in range(100 + 3 * sets)]
     rows += [(1000 + i, " ".join(chain[3 * i : 3 * i + 100])) for i in range(sets)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    known, links = ngram_join.ngram_links(docs, 3, 90)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(docs, 3, 90).collect()}
-    assert got == components(rows, 3, 90)
-    assert links.distinct().count() < 4 * sets
+    found, links = ngram_join.ngram_links(docs, 3, 90)
+    assert links.distinct().count() < 2 * 2 * sets
+    least: dict[int, int] = {}
+    keys = {r.doc_id: r.key for r in ngram_join._components(found, links).collect()}
+    for i, key in keys.items():
+        least[key] = min(least.get(key, i), i)
+    assert {i: least[k] for i, k in keys.items()} == {i: c for i, (_, c) in components(rows, 3, 90).items()}
 
 
 def test_prefix_tree_against_all_pairs():

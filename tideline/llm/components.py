@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,19 +11,30 @@ from .common import checkpoint
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
-    Each round takes the smallest label among neighbours (partly aggregated before the shuffle, so a hub costs
-    one row per task) and then follows labels to their own labels. Rounds are cut by checkpoints and end when no
-    label has changed; their number grows with the logarithm of the longest path in practice.
+    Each round points a node at the smallest of its neighbours and itself (partly aggregated before the shuffle, so a hub costs
+    one row per task), follows pointers to their ends by doubling, and puts those in place of the nodes. Edges that have become
+    loops or equal go, so a round leaves at most half of the nodes of a component that is not done. Pointers lead to smaller
+    nodes only, so what is left of it at last is its smallest node.
     """
-    both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    both = checkpoint(both.union(both.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("component")))
+    ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = checkpoint(edges.select(ends(F.col(a), F.col(b)).alias("e")).select("e.a", "e.b").where("a < b").distinct())
+    labels = None
     while True:
-        heard = both.join(labels, both["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
-        spread = labels.join(heard, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        roots = spread.select(F.col("node").alias("root"), F.col("component").alias("beyond"))
-        jumped = spread.join(roots, spread["component"] == roots["root"]).select("node", F.least("component", "beyond").alias("component"), "was")
-        jumped = checkpoint(jumped)
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> was").isEmpty():
+        ways = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("w"))
+        up = checkpoint(ways.groupBy("w.node").agg(F.min("w.other").alias("least")).select("node", F.least("node", "least").alias("up")))
+        moving = True
+        while moving:
+            for _ in range(3):
+                up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+            up = checkpoint(up)
+            moving = not up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").where("up <> top").isEmpty()
+        above = lambda x, table=up: table.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}"))
+        moved = left.join(above("a"), "a").join(above("b"), "b").select(ends(F.col("up_a"), F.col("up_b")).alias("e")).select("e.a", "e.b")
+        left = checkpoint(moved.where("a < b").distinct())
+        if labels is None:
+            labels = up.withColumnRenamed("up", "component")
+        else:
+            labels = labels.join(above("component"), "component", "left").select("node", F.coalesce("up_component", "component").alias("component"))
+        labels = checkpoint(labels)
+        if left.isEmpty():
             return labels
