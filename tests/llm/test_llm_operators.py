@@ -117,7 +117,7 @@ def pieces_of(text: str | None) -> list[str]:
 
 
 def slow_scores(rows: list[tuple], target: set[int]) -> list[tuple]:
-    """(id, tokens, target loss, background loss) of each row, by counting all others for each one."""
+    """(id, tokens, target loss, background loss) of each row, each occurrence being left out of the counts it is scored by."""
     texts = [(r[0], pieces_of(r[1])) for r in rows]
     sides = [[collections.Counter(), collections.Counter(), 0] for _ in range(2)]
     grams = []
@@ -131,7 +131,6 @@ def slow_scores(rows: list[tuple], target: set[int]) -> list[tuple]:
     total = sides[0][2] + sides[1][2]
     out = []
     for (i, _), steps in zip(texts, grams, strict=True):
-        mine, pairs = collections.Counter(w for _, w in steps), collections.Counter(steps)
         loss = []
         for k, (uni, bi, n) in enumerate(sides):
             off = (i in target) == (k == 0)
@@ -139,8 +138,8 @@ def slow_scores(rows: list[tuple], target: set[int]) -> list[tuple]:
             value = 0.0
             for v, w in steps:
                 q = (sides[0][0][w] + sides[1][0][w]) / total
-                p = ((uni[w] - off * mine[w]) * scale + 4 * q) / ((n - off * len(steps)) * scale + 4)
-                p = ((bi[v, w] - off * pairs[v, w]) * scale + 4 * p) / ((uni[v] - off * mine[v]) * scale + 4)
+                p = ((uni[w] - off) * scale + 4 * q) / ((n - off) * scale + 4)
+                p = ((bi[v, w] - off) * scale + 4 * p) / ((uni[v] - off) * scale + 4)
                 value -= math.log(p)
             loss.append(value / max(len(steps), 1))
         out.append((i, len(steps), *loss))

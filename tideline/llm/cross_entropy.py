@@ -3,22 +3,24 @@
 Words are cut into pieces of WIDTH characters, which are the vocabulary of both models; it is whatever all documents have. Both are
 bigram models of pieces, a boundary standing before and after each text. The background is every document that is not in the
 target; its counts are scaled to the target's total, so that equal smoothing weighs equally in both. A bigram's counts are
-mixed with those of its last piece, and these with the frequency of the piece in all documents, by Dirichlet weights. What a
-document itself adds to the counts is taken off when it is scored, so that no text is told by heart. A document's score is the
-mean over its pieces of target loss minus background loss: lower is more like the target.
+mixed with those of its last piece, and these with the frequency of the piece in all documents, by Dirichlet weights. An
+occurrence is scored without what it adds to the counts itself, so that no text is told by heart. A document's score is the mean over
+its pieces of target loss minus background loss: lower is more like the target.
 
 Documents are dealt to chunks of about CHUNK_BYTES by a hash of their id. A chunk counts its distinct n-grams, counts of all
 chunks meet by n-gram (a frequent one has a row per chunk, not per occurrence), and go back to the chunks that asked; nothing
 is collected but two sums, and no model is ever in one place.
 
 Defined results: null and blank texts have no pieces, losses and score 0; without target documents, or without others, scores are 0;
-labels of ids without a document do nothing; repeated rows count as often as they occur, and a row takes off its own
-counts only; a null id is never in the target; other columns play no part.
+labels of ids without a document do nothing; repeated rows count as often as they occur; a null id is never in the target; other columns play no part.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +30,11 @@ from pyspark.sql import types as T
 from .textkernel import ASCII_LOWER, BYTE_VALUES, SPACE_SEPARATORS, Chunk, chunks, mix
 
 #: Characters of a piece; text bytes that are counted together; weight of the shorter model in each context.
-WIDTH, CHUNK_BYTES, PRIOR = 4, 16 << 20, 4.0
-_POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
+WIDTH, CHUNK_BYTES, PRIOR = 3, 16 << 20, 4.0
+#: A factor for each byte of a piece; a character has up to four.
+_POWERS = np.multiply.accumulate(np.full(4 * 16, 0x9E3779B97F4A7C15 | 1, np.uint64))
+#: Occurrences that are scored in one step.
+_STEP = 1 << 20
 #: The boundary as a piece, and the row that holds a chunk's totals.
 _BOUNDARY, _TOTAL = np.uint64(1), np.uint64(2)
 
@@ -53,40 +58,53 @@ def pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(cut)
     size = stops[np.searchsorted(stops, start, side="right")] - start
     h = np.where(opens[start], np.uint64(7), np.uint64(3)) + size.astype(np.uint64)
-    power = np.uint64(1)
     for k in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > k)
-        power = power * _POWER
-        h[live] += BYTE_VALUES[data[start[live] + k]] * power
+        h[live] += BYTE_VALUES[data[start[live] + k]] * _POWERS[k]
     row = np.searchsorted(chunk.begin, start, side="right") - 1
     inside = start < chunk.end[row]
     return mix(h[inside]) | np.uint64(4), row[inside]
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, last, context, pair) of each predicted piece, the closing boundary included: keys of the piece, of the one before and of both."""
-    rows, lasts, contexts = [], [], []
+@dataclass
+class Coded:
+    """The predicted pieces of some texts, each closing boundary included: row, number of the piece and of the pair with the piece
+    before; and the keys of the numbered pieces and pairs. Piece 0 is the boundary."""
+
+    row: np.ndarray
+    last: np.ndarray
+    pair: np.ndarray
+    pieces: np.ndarray
+    pairs: np.ndarray
+    #: the piece before, of each pair
+    before: np.ndarray
+
+
+def _coded(texts: pa.Array) -> Coded:
+    rows, lasts, firsts, total = [], [np.full(1, _BOUNDARY)], [], 0
     for chunk in chunks(texts):
         h, row = pieces(chunk)
         count = np.bincount(row, minlength=len(chunk.begin))
         some = count > 0
-        first = (np.cumsum(count + some) - (count + some))[some]
-        total = int((count + some).sum())
-        last = np.full(total, _BOUNDARY)
-        inner = np.ones(total, bool)
-        inner[first + count[some]] = False
+        end = np.cumsum(count + some)
+        last = np.full(int(end[-1]), _BOUNDARY)
+        inner = np.ones(len(last), bool)
+        inner[end[some] - 1] = False
         last[inner] = h
-        context = np.empty(total, np.uint64)
-        context[1:] = last[:-1]
-        context[first] = _BOUNDARY
-        rows.append(np.repeat(np.arange(len(count)), count + some) + chunk.lo)
+        rows.append((np.repeat(np.arange(len(count)), count + some) + chunk.lo).astype(np.int32))
         lasts.append(last)
-        contexts.append(context)
-    if not rows:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none, none
-    row, last, context = (np.concatenate(x) for x in (rows, lasts, contexts))
-    return row, last, context, mix(mix(context) + last) | np.uint64(4)
+        firsts.append((end - count - some)[some] + total)
+        total += len(last)
+    number, keys = pd.factorize(np.concatenate(lasts))
+    number = number[1:]
+    context = np.empty(total, np.int64)
+    context[1:] = number[:-1]
+    context[np.concatenate(firsts) if firsts else np.zeros(0, np.int64)] = 0
+    pair, packed = pd.factorize((context << 32) | number)
+    keys = np.asarray(keys, np.uint64)
+    packed = np.asarray(packed, np.int64)
+    joined = mix(mix(keys[packed >> 32]) + keys[packed & 0xFFFFFFFF]) | np.uint64(4)
+    return Coded(np.concatenate(rows) if rows else np.zeros(0, np.int32), number.astype(np.int32), pair.astype(np.int32), keys, joined, packed >> 32)
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -100,48 +118,40 @@ def _in_target(docs: pa.Table, ids: pa.Array) -> np.ndarray:
 
 def _count(key: tuple, docs: pa.Table, ids: pa.Table) -> pa.Table:
     """The distinct n-grams of a chunk with their counts in the target's documents and in the others."""
-    row, last, _, pair = _grams(_column(docs, "text"))
-    wanted = _in_target(docs, _column(ids, "doc_id"))[row]
-    gram, at = np.unique(np.concatenate([last, pair]), return_inverse=True)
-    every, own = np.bincount(at, minlength=len(gram)), np.bincount(at, np.tile(wanted, 2), len(gram)).astype(np.int64)
-    gram, own = np.append(gram, _TOTAL), np.append(own, wanted.sum())
-    rest = np.append(every, len(row)) - own
-    return pa.table({"chunk": pa.array(np.full(len(gram), key[0].as_py(), np.int64)), "gram": pa.array(gram.view(np.int64)), "n_target": pa.array(own), "n_rest": pa.array(rest)})
+    x = _coded(_column(docs, "text"))
+    wanted = _in_target(docs, _column(ids, "doc_id"))[x.row]
+    gram = np.concatenate([x.pieces, x.pairs, [_TOTAL]])
 
+    def counts(of: np.ndarray) -> np.ndarray:
+        last, pair = np.bincount(x.last[of], minlength=len(x.pieces)), np.bincount(x.pair[of], minlength=len(x.pairs))
+        return np.concatenate([last, pair, [of.sum()]])
 
-def _own_counts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """How often each row has each of its keys, for every occurrence."""
-    order = np.lexsort((key, row))
-    new = np.append(True, (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
-    number = np.cumsum(new) - 1
-    out = np.empty(len(key), np.int64)
-    out[order] = np.bincount(number)[number]
-    return out
+    return pa.table({"chunk": pa.array(np.full(len(gram), key[0].as_py(), np.int64)), "gram": pa.array(gram.view(np.int64)), "n_target": pa.array(counts(wanted)), "n_rest": pa.array(counts(~wanted))})
 
 
 def _score(key: tuple, docs: pa.Table, model: pa.Table) -> pa.Table:
-    row, last, context, pair = _grams(_column(docs, "text"))
-    n_docs = docs.num_rows
+    x = _coded(_column(docs, "text"))
     member = _in_target(docs, _column(model, "doc_id"))
     known = model.filter(pc.is_valid(model.column("gram")))
-    gram, counts = (_column(known, "gram").to_numpy().view(np.uint64), [_column(known, c).to_numpy().astype(float) for c in ("n_target", "n_rest")])
+    gram = _column(known, "gram").to_numpy().view(np.uint64)
     order = np.argsort(gram)
-    gram, counts = gram[order], [c[order] for c in counts]
-    size = np.bincount(row, minlength=n_docs)
-    losses = np.zeros((2, n_docs))
-    if len(row):
-        where = {name: np.searchsorted(gram, k) for name, k in (("last", last), ("context", context), ("pair", pair))}
-        total = [float(c[np.searchsorted(gram, _TOTAL)]) for c in counts]
+    gram, sides = gram[order], [_column(known, c).to_numpy()[order].astype(float) for c in ("n_target", "n_rest")]
+    size = np.bincount(x.row, minlength=docs.num_rows)
+    losses = np.zeros((2, docs.num_rows))
+    if len(x.row):
+        pieces_at, pairs_at = np.searchsorted(gram, x.pieces), np.searchsorted(gram, x.pairs)
+        total = [float(c[np.searchsorted(gram, _TOTAL)]) for c in sides]
         scales = (float(total[1] > 0), total[0] / total[1] if total[1] else 0.0)
-        every = (counts[0] + counts[1])[where["last"]] / sum(total)
-        own = {name: _own_counts(row, k) for name, k in (("last", last), ("context", context), ("pair", pair))}
-        for side, belongs in enumerate((member, ~member)):
-            mine = belongs[row]
-            seen = {name: (counts[side][at] - own[name] * mine) * scales[side] for name, at in where.items()}
-            whole = (total[side] - size[row] * mine) * scales[side]
-            p = (seen["last"] + PRIOR * every) / (whole + PRIOR)
-            p = (seen["pair"] + PRIOR * p) / (seen["context"] + PRIOR)
-            losses[side] = np.bincount(row, -np.log(p), n_docs)
+        every = (sides[0] + sides[1])[pieces_at] / sum(total)
+        for side, (counts, whole, scale) in enumerate(zip(sides, total, scales, strict=True)):
+            of_piece, of_pair = counts[pieces_at], counts[pairs_at]
+            belongs = member if side == 0 else ~member
+            for lo in range(0, len(x.row), _STEP):
+                row, last, pair = (c[lo : lo + _STEP] for c in (x.row, x.last, x.pair))
+                mine = belongs[row].astype(float)
+                p = ((of_piece[last] - mine) * scale + PRIOR * every[last]) / ((whole - mine) * scale + PRIOR)
+                p = ((of_pair[pair] - mine) * scale + PRIOR * p) / ((of_piece[x.before[pair]] - mine) * scale + PRIOR)
+                losses[side] += np.bincount(row, -np.log(p), len(size))
     losses /= np.maximum(size, 1)
     return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "target_loss": pa.array(losses[0]), "background_loss": pa.array(losses[1]), "score": pa.array(losses[0] - losses[1])})
 
