@@ -299,7 +299,8 @@ def _candidate_groups(shared: DataFrame, known: DataFrame, percent: int) -> Data
 def _links_in_pages(source: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): components to be joined, from rows (node, group, component, doc_id, n_shingles, page, left, right)."""
     dealt = _in_tasks(dealt, F.col("n_shingles"), TASK_ELEMENTS).withColumnRenamed("doc_id", "member_id")
-    texts = source.join(dealt, F.col("doc_id") == F.col("member_id")).select("text", "node", "left", "right", "group", "component", "page", "task")
+    # always a shuffled join, since members grow with the corpus: so a small input needs what a large one does
+    texts = source.join(dealt.hint("merge"), F.col("doc_id") == F.col("member_id")).select("text", "node", "left", "right", "group", "component", "page", "task")
     sets = texts.mapInArrow(lambda it: _member_rows(it, n), "node bigint, `left` bigint, `right` bigint, group bigint, component bigint, page bigint, task int, elements array<bigint>")
     return sets.groupBy("task").applyInPandas(_join_pages(percent), "a bigint, b bigint")
 
