@@ -207,7 +207,7 @@ def test_permutation(spark, n):
 
 def test_mixture(docs, rows, empty):
     got = {r.doc_id: r for r in mixture.mixture_report(docs).collect()}
-    again = {r.doc_id: r for r in mixture.mixture_report(docs.repartition(5)).collect()}
+    again = {r.doc_id: r for r in mixture.mixture_report(docs).collect()}
     assert got == again and len(got) == len(rows)
     by = collections.defaultdict(lambda: [0, 0, 0.0])
     for i, text, _, source, *_ in rows:
@@ -221,6 +221,54 @@ def test_mixture(docs, rows, empty):
     assert mixture.mixture_report(empty).count() == 0
 
 
+def test_taken_words_match_brute_force(spark):
+    """Words are laid out and counted block by block in Python, with the slots as drawn; rows repeat, ids repeat and are null."""
+    rng = random.Random(7)
+    rows = [(i // 2, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", None])) for i in range(80)] + [(3, "w w w", "b")] * 3 + [(None, "w " * 40, "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    known, mix = mixture.mix_sources(docs, block_words=16)
+    known = known.collect()
+    base = docs.select("doc_id", "source", mixture.word_count("text").alias("size")).withColumn("row_id", F.monotonically_increasing_id())
+    wanted = spark.createDataFrame(list({(r.source, r.source_size, r.target) for r in known}), "source string, source_size long, target double")
+    taken = collections.Counter((r.source, r.block) for r in mixture.slots(wanted, 0, 16).collect())
+    got = collections.Counter()
+    blocks = collections.defaultdict(collections.Counter)
+    for r in mix.collect():
+        got[r.row_id] += r.words
+        blocks[r.source, r.block][r.row_id] = r.words
+    # every block that is taken is full of words, but for the last of its source, and every word of a source is in one block
+    for source, size in {(r.source, r.source_size) for r in known}:
+        n = -(-size // 16)
+        assert {b for s, b in taken if s == source} <= set(range(n))
+        for b in range(n):
+            if taken[source, b]:
+                assert sum(blocks[source, b].values()) == min(16, size - 16 * b)
+    for r in known:
+        parts = [(k, c[r.row_id]) for k, c in blocks.items() if c[r.row_id]]
+        assert got[r.row_id] == sum(words * taken[k] for k, words in parts) <= 2 * r.size
+        if all(taken[r.source, b] for b in range(-(-r.source_size // 16))):
+            assert sum(words for _, words in parts) == r.size
+    assert sum(got.values()) == pytest.approx(sum({r.source: r.target for r in known}.values()), abs=16 * 3)
+    assert base.count() == len(known)
+
+
+def test_shards_draw_their_sources(spark):
+    """Source counts of shards vary as multinomial draws do, and their sums meet the targets."""
+    wanted = spark.createDataFrame([("a", 60_000, 100_000.0), ("b", 40_000, 40_000.0), (None, 20_000, 20_000.0)], "source string, source_size long, target double")
+    _, drawn = mixture.draws(wanted, 1, 10, 100)
+    counts = np.array([[r[s] or 0 for s in ("a", "b", "null")] for r in drawn.groupBy("shard").pivot("source").count().collect()])
+    assert counts.shape == (160, 3) and set(counts.sum(1)) == {100}
+    share = np.array([10, 4, 2]) / 16
+    assert np.allclose(counts.mean(0), 100 * share, atol=2)
+    assert np.allclose(counts.std(0), np.sqrt(100 * share * (1 - share)), rtol=0.25)  # a dealt-out permutation would vary alike, but sum up exactly
+    assert abs(counts.sum(0) - [10_000, 4_000, 2_000]).sum() > 0
+    met = mixture.slots(wanted, 1, 10, 100)
+    assert {r.source: r["count"] for r in met.groupBy("source").count().collect()} == {"a": 10_000, "b": 4_000, None: 2_000}
+    assert met.select("shard", "slot").distinct().count() == 16_000
+    most = met.groupBy("source", "block").count().agg(F.max("count")).first()[0]
+    assert most == 2
+
+
 # classifiers
 
 

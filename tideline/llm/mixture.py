@@ -1,18 +1,21 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source are laid end to end and packed into blocks of `block_words` (the last one may be
-shorter). A target says how many words the mix takes from each source, hence how many blocks, its slots.
-The slots of all sources are dealt to output shards by one pseudorandom permutation, so the source counts of a
-shard are multinomial draws given that the totals are met exactly. Slot j of a source takes block
-`permutation(j mod n_blocks)` of that source, so a block is taken again only when all others have been
+shorter). A target says how many words the mix takes from each source, hence how many blocks, its slots. The mix is cut
+into shards of `shard_slots` slots, and every slot of a shard draws its source, so the source counts of a shard are a
+multinomial draw with the targets as weights. Over all shards such draws miss the targets by chance: the slots that a source has drawn
+beyond its number go to the sources that have drawn too few, in pseudorandom order, and then every target is met. The j-th slot of a
+source takes block `permutation(j mod n_blocks)` of that source, so a block is taken again only when all others have been
 taken as often. Slots and blocks meet in one equi-join on (source, block).
 
 Nothing is collected. Word offsets come from two-level running sums: documents fall into hash buckets of a
 source (so a source with a third of all rows is spread over many tasks), buckets are summed, and only the
-bucket sums are ordered. All draws are functions of the data and `seed`, so reruns and retried tasks agree.
+bucket sums are ordered; the places of a shard's slots in their source likewise. All draws are functions of the data and `seed`, so
+reruns and retried tasks agree.
 
 Defined results: null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own,
-last in order; repeated rows are documents of their own; without words every target is 0.
+last in order; repeated rows, null ids and rows of one id are documents of their own; without words every target is 0; columns other
+than doc_id, source and text play no part.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS = 128
 #: Documents of a source that one bucket of the running sums holds, about.
 BUCKET_DOCS = 4096
-#: Slots that one row is expanded to.
-SLOT_RUN = 4096
+#: Slots that one row is expanded to; slots of a shard; shards that are added up together; parts that intervals are looked up in.
+SLOT_RUN, SHARD_SLOTS, SHARD_RUN, PARTS = 4096, 8192, 4096, 1024
 _ROUNDS = 4
 
 
@@ -102,21 +105,68 @@ def pack(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return parts.select("row_id", "source", "block", (upper - F.greatest("begin", F.col("block") * block_words)).alias("words"))
 
 
-def slots(wanted: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = 1024) -> DataFrame:
-    """(source, shard, slot, block) of the whole mix, from rows of (source, source_size, target)."""
+def _inside(points: DataFrame, at: str, intervals: DataFrame, whole: str) -> DataFrame:
+    """Points joined with the one interval [begin, stop) of [0, whole) that holds `at`. Both meet by part of the range, so it is an
+    equi-join however many intervals there are; every point has a column `whole`."""
+    width = lambda c: F.greatest(F.ceil(F.col(c) / PARTS), F.lit(1)).cast("bigint")
+    spread = intervals.where("stop > begin").withColumn("_part", F.explode(F.sequence(F.floor(F.col("begin") / width(whole)), F.floor((F.col("stop") - 1) / width(whole))))).drop(whole)
+    found = points.withColumn("_part", F.floor(F.col(at) / width(whole))).join(spread, "_part")
+    return found.where((F.col(at) >= F.col("begin")) & (F.col(at) < F.col("stop"))).drop("_part", "begin", "stop")
+
+
+def _laid_out(rows: DataFrame, size: str) -> DataFrame:
+    """Sources with the interval [begin, stop) that each has when sizes are laid end to end, and their sum `whole`: a row per source."""
+    order = Window.orderBy(F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("stop", F.sum(size).over(order)).withColumn("begin", F.col("stop") - F.col(size)).withColumn("whole", F.sum(size).over(Window.partitionBy()))
+
+
+def draws(wanted: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(sources, drawn): rows (source, n_blocks, n_slots, begin, stop, whole), and a row (place, shard, source, n_blocks, n_slots) for each slot of
+    the mix with the source that it has drawn, from rows (source, source_size, target)."""
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("bigint")
     # as many blocks as come nearest to the target, counted in words of a mean block
     count = F.least(F.round(F.col("target") / F.col("source_size") * n_blocks), 2 * n_blocks).cast("bigint")
     per = wanted.where("source_size > 0").select("source", n_blocks.alias("n_blocks"), count.alias("n_slots")).where("n_slots > 0")
-    before = Window.orderBy(F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("slots_before", F.coalesce(F.sum("n_slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
-    runs = per.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_slots") - 1) / SLOT_RUN))))
+    sources = checkpoint(_laid_out(per, "n_slots"))
+    whole = sources.agg(F.max("whole").alias("whole")).where("whole > 0")
+    runs = whole.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("whole") - 1) / SLOT_RUN))))
     # a fixed number of partitions: these few rows grow to all slots, which their size does not show
-    runs = runs.repartition(shuffle_width(wanted.sparkSession), "source", "run")
-    each = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
-    place = permuted(F.col("slots_before") + F.col("j"), F.col("all_slots"), F.lit(seed))
+    runs = runs.repartition(shuffle_width(wanted.sparkSession), "run")
+    each = runs.select("whole", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("whole"), (F.col("run") + 1) * SLOT_RUN) - 1)).alias("place"))
+    each = each.withColumn("shard", F.floor(F.col("place") / shard_slots)).withColumn("u", F.pmod(F.xxhash64("place", F.lit(seed)), F.col("whole")))
+    return sources, _inside(each, "u", sources, "whole").select("place", "shard", "source", "n_blocks", "n_slots")
+
+
+def slots(wanted: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(source, shard, slot, block) of the whole mix, from rows of (source, source_size, target)."""
+    sources, drawn = draws(wanted, seed, block_words, shard_slots)
+    drawn = checkpoint(drawn)
+    counts = drawn.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("shard") / SHARD_RUN))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("source", "run").agg(F.sum("n").alias("run_n"))
+    runs = runs.select(F.col("source").alias("run_source"), F.col("run").alias("run_number"), F.coalesce(F.sum("run_n").over(before("source").orderBy("run")), F.lit(0)).alias("run_first"))
+    first = counts.join(runs, counts["source"].eqNullSafe(runs["run_source"]) & (counts["run"] == runs["run_number"]))
+    first = first.withColumn("first", F.col("run_first") + F.coalesce(F.sum("n").over(before("source", "run").orderBy("shard")), F.lit(0)))
+    first = first.select(F.col("source").alias("in_source"), F.col("shard").alias("in_shard"), "first")
+    numbered = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "source").orderBy("place")) - 1)
+    numbered = numbered.join(first, numbered["source"].eqNullSafe(first["in_source"]) & (numbered["shard"] == first["in_shard"]))
+    numbered = numbered.select("place", "shard", "source", "n_blocks", "n_slots", (F.col("first") + F.col("nth")).alias("j"))
+
+    # what a source has drawn beyond its number goes to those that have drawn too few
+    totals = counts.groupBy("source").agg(F.sum("n").alias("drawn")).withColumnRenamed("source", "d_source")
+    balance = sources.drop("begin", "stop", "whole").join(totals, F.col("source").eqNullSafe(F.col("d_source")), "left").drop("d_source").fillna(0, ["drawn"])
+    balance = checkpoint(balance)
+    lacking = _laid_out(balance.select("source", "n_blocks", "drawn", F.greatest(F.col("n_slots") - F.col("drawn"), F.lit(0)).alias("lack")), "lack")
+    beyond = _laid_out(balance.select("source", F.greatest(F.col("drawn") - F.col("n_slots"), F.lit(0)).alias("over")), "over")
+    beyond = beyond.select(F.col("source").alias("b_source"), F.col("begin").alias("b_begin"), F.col("whole").alias("b_whole")).where("b_whole > 0")
+    excess = numbered.where("j >= n_slots")
+    excess = excess.join(beyond, excess["source"].eqNullSafe(beyond["b_source"])).select("place", "shard", (F.col("b_begin") + F.col("j") - F.col("n_slots")).alias("number"), F.col("b_whole").alias("all"))
+    excess = excess.select("place", "shard", F.col("all").alias("whole"), permuted(F.col("number"), F.col("all"), F.lit(seed + 2)).alias("u"))
+    # begin is where the source's part of all missing slots begins
+    given = _inside(excess, "u", lacking.withColumn("low", F.col("begin")), "whole").select("place", "shard", "source", "n_blocks", (F.col("drawn") + F.col("u") - F.col("low")).alias("j"))
+    met = numbered.where("j < n_slots").select("place", "shard", "source", "n_blocks", "j").unionByName(given)
     block = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed + 1), F.coalesce(F.col("source"), F.lit("")))
-    return each.select("source", F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"), block.alias("block"))
+    return met.select("source", "shard", (F.col("place") % shard_slots).alias("slot"), block.alias("block"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +180,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS,
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     wanted = checkpoint(targets(sizes, weights, share, most).join(sizes.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     known = base.join(wanted, base["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
-    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
     parts = pack(word_offsets(known.select("row_id", "doc_id", "source", "size", "part")), block_words)
     taken = slots(wanted, seed, block_words)
     both = taken.hint("merge").join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"])).select(taken["source"], "shard", "slot", taken["block"], "row_id", "words")
