@@ -339,6 +339,53 @@ def test_language(spark):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_every_label_is_sampled(spark):
+    """300 languages with one or many texts each, ids that repeat: every language is in the sample, and ids count once."""
+    from tideline.llm.sampling import sample_ids
+
+    rows = [(i, f"l{i % 300}") for i in range(3000)] + [(7, "l7")] * 500 + [(9000 + i, "l0") for i in range(2000)]
+    got = sample_ids(spark.createDataFrame(rows, "doc_id long, lang string"), "lang", 600, weight="w").collect()
+    by = collections.Counter(r.lang for r in got)
+    assert len(by) == 300 and set(by.values()) == {2} and len({r.doc_id for r in got}) == 600
+    assert {r.w for r in got} == {5.0, 1005.0}
+
+
+def test_language_learns_from_an_id_once(spark):
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(ids[i % 2], "the cat sat on the mat" if i % 2 else "der Hund und das Haus", "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.language_report(docs).collect()} <= {"en", "de"}
+
+
+def slow_probabilities(network, text: str) -> np.ndarray:
+    """Windows, filters, pooling and softmax of the network, written out."""
+    data = lower(text).encode()
+    total = np.zeros(len(network.languages))
+    for lo in range(0, len(data), language_id.WINDOW):
+        own = list(data[lo : lo + language_id.WINDOW])
+        padded = own + [0] * (language_id.WINDOW - len(own))
+        e = [network.embedding[b] for b in padded]
+        best = []
+        for f in range(network.filters.shape[1]):
+            wide = max(language_id.WIDTHS)
+            responses = [sum(float(e[at + k] @ network.filters[k * language_id.DIMENSIONS : (k + 1) * language_id.DIMENSIONS, f]) for k in range(wide)) for at in range(language_id.WINDOW - wide + 1)]
+            best.append(max(0.0, max(responses) + float(network.filter_bias[f])))
+        z = np.array(best) @ network.weights + network.bias
+        z = np.exp(z - z.max())
+        total += z / z.sum() * len(own)
+    return total / len(data)
+
+
+def test_language_forward_pass_matches_brute_force(spark):
+    network = language_id.ByteNetwork.new(["de", "en", "fr"], 3)
+    texts = ["short", "é" * 200 + " mixed Text " * 40, "x" * 256, "y" * 257]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.classify_language(docs, network).collect()}
+    for i, t in enumerate(texts):
+        p = slow_probabilities(network, t)
+        assert got[i][0] == network.languages[int(p.argmax())] and got[i][1] == pytest.approx(p.max(), abs=1e-5)
+
+
 # n-gram join
 
 
@@ -642,7 +689,7 @@ def test_passages_across_pieces_and_after_long_words(spark):
 # decontamination
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 400])
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 400 * 12, 400 * 200])
 def test_contamination_matches_brute_force(spark, docs, rows, block_bytes):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     items = [(1, " ".join(WORD.findall(rows[3][1])[:25])), (2, " ".join(WORD.findall(rows[9][1])[5:40])), (10, "lorem ipsum"), (11, None), (12, "!?"), (2, "One"), (None, "éclair7"), (13, "lorem ipsum dolor")]
@@ -664,6 +711,16 @@ def test_contamination_matches_brute_force(spark, docs, rows, block_bytes):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit))
 
 
+def test_contamination_carries_columns(spark):
+    """Extra columns of any name go along, but for those of the results; repeated rows and ids keep their rows."""
+    docs = spark.createDataFrame([(1, "a b c d", "x", 7), (1, "a b c d", "x", 7), (2, None, None, 8), (None, "b c", "y", 9)], "doc_id long, text string, seen string, _x int")
+    items = spark.createDataFrame([(5, "b c"), (6, "z")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.seen, r["_x"], r.n_words, r.hit_words, r.hit_items) for r in decontaminate.find_contamination(docs, items, carry=["doc_id", "seen", "_x"]).collect()), key=str)
+    assert got == sorted([(1, "x", 7, 4, [[1, 3]], ["5"])] * 2 + [(2, None, 8, 0, [], []), (None, "y", 9, 2, [[0, 2]], ["5"])], key=str)
+    with pytest.raises(ValueError, match="hit_words"):
+        decontaminate.find_contamination(docs.withColumnRenamed("seen", "hit_words"), items, carry=["doc_id", "hit_words"])
+
+
 def test_no_benchmark(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination_report(decontaminate.find_contamination(docs, none)).collect())

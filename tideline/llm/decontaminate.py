@@ -5,12 +5,15 @@ pattern. Documents are read once, word by word hash; a block shift table says ho
 skipped, a bucket of the patterns' suffix blocks selects the few patterns that may end at a position, and a
 direct comparison of all their words confirms an occurrence.
 
-The patterns are the only thing sent to the tasks. They are taken in blocks of at most `block_bytes` of
-benchmark text (each block is searched in a pass of its own over the same rows, one after the other in the
-same stage), so the broadcast has a fixed bound however large the benchmark is, and no shuffle is needed.
+The patterns are the only thing sent to the tasks, as flat arrays. They are taken in blocks whose arrays have at most about
+`block_bytes` (reckoned from the items' words before they are read; an item that is larger than a block is cut into pieces
+that overlap by a window less one word). Each block is searched in a pass of its own over the same rows, one after
+the other in the same stage, so the broadcast has a fixed bound however large the benchmark is, and no shuffle is needed.
+"Direct comparison" is of 64-bit word hashes, all of them; two of 2**64 are the only approximation.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no window; an item
-with a null id can hit words but is never listed; repeated rows each get their own result row.
+with a null id can hit words but is never listed; repeated rows each get their own result row; other columns play no part, and a
+carried column may not have a result's name.
 """
 
 from __future__ import annotations
@@ -26,21 +29,19 @@ from pyspark.sql import types as T
 
 from .textkernel import ASCII_LOWER, SYMBOL_SEPARATORS, chunks, mix, words
 
-#: Text bytes of the benchmark items that one pass searches for.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block's arrays, at most about; bytes that a window's arrays and its share of the tables take.
+BLOCK_BYTES, WINDOW_BYTES = 64 << 20, 400
 _LANE = 256
 
 
 class PatternSearch:
-    """Wu-Manber search for word sequences that all have at least `self.least` words."""
+    """Wu-Manber search for word sequences that all have at least `self.least` words: pattern k is flat[first[k] : first[k] + lengths[k]]."""
 
-    def __init__(self, patterns: list[np.ndarray]) -> None:
-        self.least = min(len(p) for p in patterns)
+    def __init__(self, flat: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.first, self.lengths = flat, first, lengths
+        self.least = int(lengths.min())
         self.block = 2 if self.least >= 2 else 1
-        self.lengths = np.array([len(p) for p in patterns])
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.flat = np.concatenate(patterns)
-        bits = int(np.clip(np.ceil(np.log2(len(patterns) * self.least * 8)), 10, 24))
+        bits = int(np.clip(np.ceil(np.log2(len(first) * self.least * 8)), 10, 24))
         self.mask = np.uint64((1 << bits) - 1)
         most = self.least - self.block + 1
         self.shift = np.full(1 << bits, min(most, 255), np.uint8)
@@ -95,39 +96,64 @@ class PatternSearch:
         return start, which
 
 
+def _windows(flat: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit digest of the `size` words from each place on."""
+    key = np.zeros(len(first), np.uint64)
+    for j in range(size):
+        key = mix(key) + flat[first + j]
+    return mix(key)
+
+
 class Patterns:
-    """Distinct windows of benchmark items, with the items that each belongs to."""
+    """Distinct windows of benchmark items, with the items that each belongs to: owners of window k are owner[owner_first[k] : owner_first[k + 1]]."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
-        found: dict[bytes, list] = {}
         self.ids: list[str | None] = []
+        sequences = []
         for item_id, text in items:
             [chunk] = chunks(pa.array([text], pa.large_string()), 1 << 62)
             seq = words(chunk, SYMBOL_SEPARATORS, ASCII_LOWER).hash
-            if not len(seq):
+            if len(seq):
+                self.ids.append(None if item_id is None else str(item_id))
+                sequences.append(seq)
+        self.groups: list[tuple[PatternSearch, np.ndarray, np.ndarray]] = []
+        if not sequences:
+            return
+        flat = np.concatenate(sequences)
+        count = np.array([len(s) for s in sequences])
+        begin = np.cumsum(count) - count
+        size = np.minimum(count, window)
+        per = count - size + 1
+        item = np.repeat(np.arange(len(count)), per)
+        first = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
+        for own in (np.flatnonzero(size[item] == window), np.flatnonzero(size[item] < window)):
+            if not len(own):
                 continue
-            number = len(self.ids)
-            self.ids.append(None if item_id is None else str(item_id))
-            size = min(window, len(seq))
-            for i in range(len(seq) - size + 1):
-                entry = found.setdefault(seq[i : i + size].tobytes(), [seq[i : i + size], []])
-                if not entry[1] or entry[1][-1] != number:
-                    entry[1].append(number)
-        full = [v for v in found.values() if len(v[0]) == window]
-        short = [v for v in found.values() if len(v[0]) < window]
-        self.groups = [(PatternSearch([v[0] for v in g]), [np.array(v[1]) for v in g]) for g in (full, short) if g]
-
-    def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Starts and lengths of all occurrences, and the numbers of the items that each stands for."""
-        starts, lengths, owners = [], [], []
-        for group, items in self.groups:
+            lengths = size[item[own]]
+            digest = np.empty(len(own), np.uint64)
+            for n in np.unique(lengths):
+                at = lengths == n
+                digest[at] = _windows(flat, first[own[at]], int(n)) + np.uint64(n)
+            _, place, number = np.unique(digest, return_index=True, return_inverse=True)
+            order = np.lexsort((item[own], number))
+            number, owner = number[order], item[own][order]
+            new = np.append(True, (number[1:] != number[:-1]) | (owner[1:] != owner[:-1]))
+            number, owner = number[new], owner[new]
+            self.groups.append((PatternSearch(flat, first[own[place]], lengths[place]), owner, np.append(np.searchsorted(number, np.arange(len(place))), len(number))))
+
+    def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length) of all occurrences, and (start, item) of what they stand for."""
+        none = np.zeros(0, np.int64)
+        starts, lengths, places, items = [none], [none], [none], [none]
+        for group, owner, owner_first in self.groups:
             start, which = group.find(text)
             starts.append(start)
             lengths.append(group.lengths[which])
-            owners += [items[k] for k in which]
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        return np.concatenate(starts), np.concatenate(lengths), owners
+            count = owner_first[which + 1] - owner_first[which]
+            within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            places.append(np.repeat(start, count))
+            items.append(owner[np.repeat(owner_first[which], count) + within])
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(places), np.concatenate(items)
 
 
 def _merge(intervals: list[list[int]]) -> list[list[int]]:
@@ -140,41 +166,65 @@ def _merge(intervals: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], patterns: Patterns, keep: list[str], text_column: str) -> Iterator[pa.RecordBatch]:
-    """Add this block's hits to the columns that the blocks before have made (or make them)."""
+def _covered(start: np.ndarray, length: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of words inside any occurrence."""
+    change = np.zeros(total + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + length, -1)
+    inside = np.concatenate([[False], np.cumsum(change) > 0])
+    return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch], patterns: Patterns, keep: list[str], first: bool) -> Iterator[pa.RecordBatch]:
+    """From rows (text, keep..., and but for the first block n_words, hit_words, hit_items of the blocks before) the same with this block's hits."""
     for batch in batches:
-        names = batch.schema.names
-        text = batch.column(names.index(text_column))
-        seen = "hit_words" in names
-        before_hits = batch.column(names.index("hit_words")).to_pylist() if seen else [[] for _ in range(batch.num_rows)]
-        before_ids = batch.column(names.index("hit_items")).to_pylist() if seen else [[] for _ in range(batch.num_rows)]
+        at = 1 + len(keep)
+        hits = [[] for _ in range(batch.num_rows)] if first else batch.column(at + 1).to_pylist()
+        named = [[] for _ in range(batch.num_rows)] if first else batch.column(at + 2).to_pylist()
         counts = np.zeros(batch.num_rows, np.int64)
-        for chunk in chunks(text):
+        for chunk in chunks(batch.column(0)):
             w = words(chunk, SYMBOL_SEPARATORS, ASCII_LOWER)
             per_row = np.diff(w.first)
             counts[chunk.lo : chunk.hi] = per_row
             # one word that no pattern has between any two rows
             apart = np.zeros(len(w.hash) + len(per_row), np.uint64)
-            place = np.arange(len(w.hash)) + w.row
-            apart[place] = w.hash
+            apart[np.arange(len(w.hash)) + w.row] = w.hash
             row_at = w.first[:-1] + np.arange(len(per_row))
-            start, length, owners = patterns.search(apart)
+            start, length, place, item = patterns.search(apart)
             if not len(start):
                 continue
-            row = np.searchsorted(row_at, start, side="right") - 1
-            for r in np.unique(row):
-                own = np.flatnonzero(row == r)
-                begin = start[own] - row_at[r]
-                before_hits[chunk.lo + r] = _merge(before_hits[chunk.lo + r] + [[int(a), int(a + n)] for a, n in zip(begin, length[own], strict=True)])
-                ids = {patterns.ids[k] for o in own for k in owners[o]} - {None}
-                before_ids[chunk.lo + r] = sorted(ids | set(before_ids[chunk.lo + r]))
-        columns = [batch.column(names.index(c)) for c in keep]
+            row_of = lambda x, row_at=row_at: np.searchsorted(row_at, x, side="right") - 1
+            begin, end = _covered(start, length, len(apart))
+            row = row_of(begin)
+            for r, a, b in zip(row.tolist(), (begin - row_at[row]).tolist(), (end - row_at[row]).tolist(), strict=True):
+                hits[chunk.lo + r].append([a, b])
+            for key in np.unique(row_of(place) * len(patterns.ids) + item).tolist():
+                r, i = divmod(key, len(patterns.ids))
+                if patterns.ids[i] is not None:
+                    named[chunk.lo + r].append(patterns.ids[i])
+        hits = [_merge(x) if len(x) > 1 else x for x in hits]
+        named = [sorted(set(x)) if len(x) > 1 else x for x in named]
+        columns = [batch.column(i) for i in range(at)]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(counts), pa.array(before_hits, pa.list_(pa.list_(pa.int64()))), pa.array(before_ids, pa.list_(pa.string()))],
-            names=[*keep, "n_words", "hit_words", "hit_items"],
+            [*columns, pa.array(counts), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string()))],
+            names=["_text", *keep, *ADDED],
         )
 
 
+ADDED = ("n_words", "hit_words", "hit_items")
+
+
+def _pieces(items: DataFrame, window: int, most_words: int) -> DataFrame:
+    """Items (id, text); one of more than `most_words` words is cut into pieces that overlap by a window less one word."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    long = items.where(F.octet_length("text") > 2 * most_words)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = long.select("id", F.regexp_extract_all(lower, F.lit(word), F.lit(0)).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(most_words))
+    cut = cut.where(F.size("w") > 0).select("id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, F.lit(most_words + window - 1)), " "))).alias("text"))
+    return items.where(F.octet_length("text") <= 2 * most_words).unionByName(cut)
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -184,18 +234,23 @@ def find_contamination(
     hit_items (sorted ids, as text, of the items with an occurring window).
     """
     carry = list(carry or ["doc_id"])
+    if clash := set(ADDED) & set(carry):
+        raise ValueError(f"carried columns {sorted(clash)} have the names of results")
     wanted = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
+    # a word has two bytes of text with its separator, at least, and starts one window at most
+    most_words = max(1, block_bytes // WINDOW_BYTES)
+    wanted = _pieces(wanted, window, most_words)
+    total = wanted.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    blocks = int(total // (2 * most_words)) + 1
     added = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    out = docs.select(*dict.fromkeys([*carry, text_column]))
+    out = docs.select(F.col(text_column).alias("_text"), *carry)
+    kept = [out.schema[c] for c in carry]
     for b in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else wanted
         patterns = Patterns([(r.id, r.text) for r in part.collect()], window)
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
-        keep = carry if b == blocks - 1 else list(dict.fromkeys([*carry, text_column]))
-        out = out.mapInArrow(lambda it, s=shared, k=keep: _search_batches(it, s.value, k, text_column), T.StructType([docs.schema[c] for c in keep] + added))
-    return out
+        out = out.mapInArrow(lambda it, s=shared, f=b == 0: _search_batches(it, s.value, carry, f), T.StructType([T.StructField("_text", out.schema["_text"].dataType), *kept, *added]))
+    return out.drop("_text")
 
 
 def contamination_report(found: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ slide over them, each filter keeps its largest response, and a softmax gives the
 a text's are the mean over its windows, weighted by their bytes. Windows go through the network in
 batches, so memory does not depend on the text's length.
 
-The network is trained on the driver on at most `bound` windows of labelled texts, about as many of each language
-(a bounded sample, the only bounded part; all texts are classified whole).
+The network is trained on the driver on about `bound` windows of labelled texts, as many of each language and at least one text
+of every language (a bounded sample, the only bounded part; all texts are classified whole).
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything when there is nothing
-to learn from; repeated rows are counted once per row.
+to learn from; a repeated row gets its result each time, and an id is learnt from once for each language that it is given; other columns
+play no part, and a carried column may not have a result's name.
 """
 
 from __future__ import annotations
@@ -155,9 +156,10 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def train_language_id(docs: DataFrame, bound: int = BOUND) -> ByteNetwork | None:
     """A network trained on rows (doc_id, text, lang) that are not held out; None if there are none."""
     learn = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
-    ids = sample_ids(learn, "lang", bound // PER_TEXT).select(F.col("doc_id").alias("picked"))
+    ids = sample_ids(learn, "lang", bound // PER_TEXT).select(F.col("doc_id").alias("picked"), F.col("lang").alias("as_lang"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = learn.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("doc_id", "lang", "text")  # at most `bound` ids
+    picked = learn.join(F.broadcast(ids), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("as_lang")))  # about `bound` ids
+    picked = picked.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text for an id, however often it is there
     rows = picked.mapInArrow(_training_windows, f"doc_id {kind}, lang string, at bigint, window binary").collect()
     if not rows:
         return None
@@ -201,6 +203,8 @@ def _classify(batches: Iterator[pa.RecordBatch], network: ByteNetwork | None, te
 def classify_language(docs: DataFrame, network: ByteNetwork | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (default doc_id) with lang_pred and score."""
     carry = list(carry or ["doc_id"])
+    if clash := {"lang_pred", "score"} & set(carry):
+        raise ValueError(f"carried columns {sorted(clash)} have the names of results")
     own = docs.select(*carry, F.col(text).alias("_text"))
     schema = T.StructType([own.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return own.mapInArrow(lambda it: _classify(it, network, len(carry), carry), schema)

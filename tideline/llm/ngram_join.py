@@ -50,7 +50,7 @@ from .textkernel import ASCII_LOWER, SPACE_SEPARATORS, Chunk, chunks, mix, ngram
 
 #: Sets in a page of a large group, and elements that the sets of one task have, about.
 PAGE_SETS = 512
-TASK_ELEMENTS = 2_000_000
+TASK_ELEMENTS = 1_000_000
 #: Bytes of sketches that one task has, about; pairs of sketches that are compared at once.
 TASK_BYTES, PAIRS = 32 << 20, 1 << 16
 _MIN_WEIGHT = 3

@@ -10,7 +10,8 @@ scored whole). The sample has about as many texts of each label, so each counts
 score keeps to the ratio of all labels whatever the bound is. Labels, language, source and id are never inputs.
 
 Defined results: null counts as an empty text; several labels of one id count by their mean (0.5 and more is 1);
-without labels to learn from every score is 0.5, and with one class only it is near that class.
+without labels to learn from every score is 0.5, and with one class only it is near that class; a repeated row gets its score each
+time, and of several texts of one id one is learnt from; other columns play no part, and a carried column may not have a result's name.
 """
 
 from __future__ import annotations
@@ -193,7 +194,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> For
     one = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     ids = sample_ids(one, "quality", bound, weight="weight").withColumnRenamed("doc_id", "picked")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).select("doc_id", "quality", "weight", "text")  # at most `bound` ids
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))  # about `bound` ids
+    # one text for an id, however often it is there
+    picked = picked.groupBy("doc_id", "quality", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = picked.mapInArrow(_statistics_rows, f"doc_id {kind}, quality int, weight double, stats array<double>").collect()
     if not rows:
         return None
@@ -211,6 +214,8 @@ def _score(batches: Iterator[pa.RecordBatch], forest: Forest | None, text_at: in
 def score_quality(docs: DataFrame, forest: Forest | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (default doc_id) with score, and predicted (1 if the score is 0.5 or more)."""
     carry = list(carry or ["doc_id"])
+    if clash := {"score", "predicted"} & set(carry):
+        raise ValueError(f"carried columns {sorted(clash)} have the names of results")
     own = docs.select(*carry, F.col(text).alias("_text"))
     schema = T.StructType([own.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
     scored = own.mapInArrow(lambda it: _score(it, forest, len(carry), carry), schema)

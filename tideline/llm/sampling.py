@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels that a sample has at most; the most frequent ones come first.
-MOST_LABELS = 256
+#: Ids that a task ranks before the sample is put together.
+_SPREAD = 64
 
 
 def sample_ids(rows: DataFrame, label: str, bound: int, key: str = "doc_id", weight: str | None = None) -> DataFrame:
-    """At most `bound` rows (key, label), about as many of each label, chosen by a hash of the key. A column `weight`, if wanted,
-    says how many rows of its label each one stands for.
+    """About `bound` distinct rows (key, label), the same number of each label, but at least one of every label, chosen by a hash of the
+    key. A column `weight`, if wanted, says how many distinct rows of its label each one stands for.
 
-    Labels are counted first, so only a hash range that holds a few times the wanted number is ranked.
+    Every label is counted. Only a hash range that holds a few times the wanted number is ranked, in parts first, so no task gets
+    more than _SPREAD times what it passes on.
     """
-    rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
-    if not counts:
+    rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_total"))
+    labels = counts.agg(F.count(F.lit(1))).first()[0]
+    if not labels:
         return rows.limit(0).select("*", *([F.lit(1.0).alias(weight)] if weight else []))
-    each = max(1, bound // len(counts))
-    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, (3.0 * each + 100) / n)))])
+    each = max(1, bound // labels)
     place = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    near = rows.withColumn("_place", place).where(F.col("_place") < F.element_at(share, F.col(label)))
-    order = Window.partitionBy(label).orderBy("_place", key)
-    picked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+    near = rows.join(counts, label).withColumn("_place", place).where(F.col("_place") < (3.0 * each + 100) / F.col("_total"))
+    part = F.pmod(F.xxhash64(key, F.lit(18)), F.lit(_SPREAD))
+    for keys in ((label, "_part"), (label,)):
+        order = Window.partitionBy(*keys).orderBy("_place", key)
+        near = near.withColumn("_part", part).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_part", "_rank")
     if not weight:
-        return picked.select(key, label)
-    total = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(float(n)))])
-    return picked.select(key, label, (F.element_at(total, F.col(label)) / F.count(F.lit(1)).over(Window.partitionBy(label))).alias(weight))
+        return near.select(key, label)
+    return near.select(key, label, (F.col("_total") / F.count(F.lit(1)).over(Window.partitionBy(label))).alias(weight))
