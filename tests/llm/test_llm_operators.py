@@ -598,6 +598,39 @@ def test_labelers_are_weighed():
     assert model.reliability["card", "regex"] > model.reliability["card", "gazetteer"] > 0.5
 
 
+def test_the_model_adds_some_spans_and_rejects_others(spark):
+    """Loose matches with cues are added, loose matches that look like hashes, versions or sums are not; strict ones stay in any case."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    rows, want = [], {}
+
+    def add(before: str, value: str, after: str, kind: str | None) -> None:
+        rows.append((len(rows), f"{before}{value}{after}"))
+        want[len(rows) - 1] = f"{kind}:{len(before)}:{len(before) + len(value)}" if kind else ""
+
+    for k in range(40):
+        add("please write a mail to ", f"user{k} [at] site{k} [dot] org", " today", "email")
+        add("my phone is ", f"({digits(3)}) {digits(3)}-{digits(4)}", " at home", "phone")
+        add("reach it on host ", f"10[.]{k}[.]3[.]4", " inside", "ip")
+        add("paid by visa card ", "4111.1111.1111." + digits(4), " online", "card")
+        add("the serial version hash key", f"x{k} [at] y{k} [dot] zzzz", "_", None)
+        add("sha key", f"999[.]{k}[.]999[.]1", "f", None)
+        add("version id", f"0000/{digits(4)}/{digits(4)}/{digits(4)}", "z", None)
+        add("isbn serial x", f"{'1' + digits(2)}.{digits(3)}.{digits(4)}", "x", None)
+        add("", f"strict{k}@mail{k}.org", " is plain", "email")
+        add("call ", f"+49 {digits(9)}", " now", "phone")
+        add("server ", f"10.0.0.{k}", " is up", "ip")
+        add("card ", "4111 1111 1111 1111", " was used", "card")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.span_report(docs).collect()}
+    assert got == want
+    assert pii.span_report(docs.limit(0)).count() == 0
+    twice = pii.span_report(docs.where("doc_id = 0").union(docs.where("doc_id = 0"))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    with pytest.raises(ValueError, match="base_spans"):
+        pii.redact(docs.withColumn("base_spans", F.lit(1)))
+
+
 # substring dedup
 
 

@@ -1,8 +1,8 @@
 """Personal data by weak supervision, with DataFrame operations only.
 
 Candidates are matches of a pattern per kind (e-mail address, IP address, payment card, phone number), strict or
-loose. Four labelers vote on each (-1, 0 or 1): the strict pattern with its checks, a gazetteer, the words
-before, and the characters around. Votes are counted over the whole corpus by pattern, which gives a table of
+loose, of all four kinds. Four labelers vote on each (-1, 0 or 1): the strict pattern with its checks (0 for a loose
+match), a gazetteer (domain ends, address blocks, issuers' numbers, calling codes), the words before, and the characters around. Votes are counted over the whole corpus by pattern, which gives a table of
 bounded size (kinds x 3**4 votes x length classes); expectation maximisation on those counts estimates how
 reliable each labeler is for each kind, and its posteriors are the soft labels of a logistic classifier of
 spans, which is again a SQL expression. Strict matches always stay; the classifier adds others.
@@ -11,7 +11,8 @@ Patterns use possessive repeats and start at run borders, so a long run of one c
 Positions are in code points. They are running sums of the lengths of matches and of the text between
 them; the sums go over blocks of matches, so very many matches in one text stay affordable.
 
-Defined results: null counts as an empty text; repeated rows each get their own row.
+Defined results: null counts as an empty text; repeated rows each get their own row; an empty table gives an empty result; other
+columns stay as they are, but for names that begin with one of OWN_COLUMNS, which are an error.
 """
 
 from __future__ import annotations
@@ -37,10 +38,14 @@ _CARD_DIGITS, _PHONE_DIGITS = (13, 19), (9, 15)
 # Loose patterns, gazetteers and cue words.
 _LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(](?:\.|dot|DOT)[\])]\x20?[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9./_])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 _DOMAIN_ENDS = "com|org|net|edu|gov|info|biz|io|de|fr|es|uk|eu|us|ca|ch|at|it|nl|be|mx|ar|br"
 _CARD_STARTS = "4|5[1-5]|2[2-7]|3[4578]|6[05]|62"
+#: country calling codes of one, two and three digits
+_CALLING_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-368]|2[2-6][0-9]|29[017-9]|35[0-9]|37[0-8]|38[0-25-79]|42[013]|50[0-9]|59[0-9]|67[02-9]|68[0-9]|69[0-2]|85[0235-6]|88[06]|96[0-8]|97[0-79]|99[2-68]"
 _CUES = {
     "email": "mail|contact|write|reach|schreib|correo|courriel",
     "ip": "ip|host|server|address|adresse|direcci",
@@ -115,7 +120,8 @@ def _present(kind: str, text: Column) -> Column:
 
 
 def _loosely_present(kind: str, text: Column) -> Column:
-    return text.rlike(r"[\[(](?:at|AT)[\])]") if kind == "email" else text.rlike(r"[0-9][\x20.-][0-9]{4}")
+    tests = {"email": r"[\[(](?:at|AT)[\])]", "ip": r"[0-9]\x20?[\[(](?:\.|dot|DOT)[\])]", "card": "[0-9]{4}[./_][0-9]{4}[./_]", "phone": r"[0-9][\x20.-][0-9]{4}"}
+    return text.rlike(tests[kind])
 
 
 _CANDIDATE = "array<struct<start:bigint,end:bigint,strict:int,regex:int,gazetteer:int,context:int,shape:int,size:int>>"
@@ -130,12 +136,15 @@ def _voted(kind: str, spans: Column, strict: bool) -> Column:
         if kind == "email":
             gazetteer = F.when(F.lower(value).rlike(rf"(?:\.|dot[\])]\x20?)(?:{_DOMAIN_ENDS})$"), 1).otherwise(-1)
         elif kind == "ip":
-            first = F.coalesce(F.split(value, r"\.")[0].try_cast("int"), F.lit(999))
-            gazetteer = F.when(first.between(1, 255), 1).otherwise(-1)
+            parts = F.transform(F.split(value, "[^0-9]+"), lambda p: F.coalesce(p.try_cast("int"), F.lit(999)))
+            # blocks that hosts can have: neither 0 nor multicast nor beyond
+            gazetteer = F.when(parts[0].between(1, 223) & F.forall(parts, lambda p: p <= 255), 1).otherwise(-1)
         elif kind == "card":
             gazetteer = F.when(digits.rlike(f"^(?:{_CARD_STARTS})"), 1).otherwise(-1)
         else:
-            gazetteer = F.when(digits.rlike("^[1-9]"), 1).otherwise(-1)
+            # with a plus sign a calling code, without one an area code of ten digits, which never starts with 0 or 1
+            known = F.when(value.startswith("+"), digits.rlike(f"^(?:{_CALLING_CODES})")).otherwise(digits.rlike("^[2-9][0-9]{2}[2-9]"))
+            gazetteer = F.when(known, 1).otherwise(-1)
         left = F.lower(x["left"])
         context = F.when(left.rlike(_AGAINST), -1).when(left.rlike(rf"(?:^|[^a-z])(?:{_CUES[kind]})"), 1).otherwise(0)
         inside = x["left"].rlike("[A-Za-z0-9_]$") | x["right"].rlike("^[A-Za-z0-9_]")
@@ -157,6 +166,9 @@ def _apart_from(others: Column) -> Callable[[Column], Column]:
     return lambda x: ~F.exists(others, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
 
 
+OWN_COLUMNS = ("_email", "_ip", "_card", "_phone", "_cut", "base_spans", "all_spans")
+
+
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add a column per kind with its candidates and their votes, strict matches and loose ones, by start."""
     col, none = F.coalesce(F.col(text), F.lit("")), F.array().cast(_CANDIDATE)
@@ -244,6 +256,8 @@ def fit(counts: list, rounds: int = 50, steps: int = 400) -> SpanModel:
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add base_spans and all_spans to every row: arrays of (kind, start, end), by kind as in KINDS, then by start."""
+    if clash := [c for c in docs.columns if c.startswith(OWN_COLUMNS)]:
+        raise ValueError(f"columns {clash} have names of results")
     candidates = with_candidates(docs, text)
     model = fit(vote_counts(with_candidates(docs.select(text), text)).collect())
 
