@@ -7,6 +7,9 @@ import itertools
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tideline.operators import algebra
 from tideline.operators import likelihood as lk
 from tideline.operators import trees
 from tideline.sources import trees as tt
@@ -70,9 +73,54 @@ def test_likelihood_against_dense_recursion(spark):
         assert found[i] == pytest.approx(dense, abs=1e-6), (b2, b3, b4)
 
 
-def test_branch_length():
-    ratios = np.array([0.001, 0.01, 0.05])
-    t = lk.branch_length(-200.0, ratios, 1e-9)
-    assert (1 / (ratios + t)).sum() == pytest.approx(200, rel=1e-4)
-    assert lk.branch_length(-1.0, np.zeros(0), 1e-6) == -1
-    assert lk.branch_length(-1.0, np.array([0.0]), 1e-6) == pytest.approx(0.1)
+def test_a_path_of_5000_nodes(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(5000)], "node long, parent long")
+    assert {r.node: r.depth for r in trees.depths(nodes).collect()} == {i: i for i in range(5000)}
+    assert trees.ancestors(nodes, 4000).count() == 4001
+
+
+def test_solved_lengths(spark):
+    rows = [(0, -200.0, [0.001, 0.01, 0.05]), (1, -1.0, []), (2, -1.0, [0.0]), (3, -2000.0, [0.01, 0.02]), (4, -100.0, [-0.5, 0.1]), (5, -100.0, [0.0, 0.0])]
+    t = {r.id: r.t for r in spark.createDataFrame(rows, "id int, k double, ratios array<double>").select("id", algebra.solved_lengths(F.col("k"), F.col("ratios"), 1e-9).alias("t")).collect()}
+    assert sum(1 / (x + t[0]) for x in rows[0][2]) == pytest.approx(200, rel=1e-4)
+    assert (t[1], t[2], t[3], t[4]) == (None, 0.1, None, 0.1) and t[5] == pytest.approx(0.02, abs=1e-8)
+
+
+def test_algebra_against_numpy(spark):
+    """Merges and costs of all kinds of runs against vectors written out."""
+    m = algebra.Model.of(Q.tolist(), PI.tolist())
+    kinds = [("R", None, None, None), ("C", None, None, None), ("C", 0.01, None, None), ("G", 0.01, 0.02, None), ("O", None, None, [0.1, 0.2, 0.3, 0.4]), ("O", 0.03, None, [0.0, 0.5, 0.5, 0.0]), ("N", None, None, None)]
+    rows = [(i, j, a, b) for i, a in enumerate(kinds) for j, b in enumerate(kinds) if b[2] is None]
+    df = spark.createDataFrame(rows, f"i int, j int, a {algebra.RUN}, b {algebra.RUN}")
+    t, u, ref, same = F.lit(0.015), F.lit(0.02), F.lit("A"), F.lit(float(Q[0, 0]))
+    got = df.select("i", "j", algebra.merge_lowers(m, F.col("a"), t, F.col("b"), u, ref, same).alias("low"), algebra.merge_upper_lower(m, F.col("a"), t, F.col("b"), u, ref).alias("up"), algebra.sample_cost(m, F.col("a"), F.col("b"), t, ref, same).alias("cost"), algebra.subtree_cost(m, F.col("a"), F.col("b"), t, ref).alias("sub")).collect()
+    hot = lambda x: np.array(x[3]) if x[0] == "O" else np.eye(4)["ACGT".index("A" if x[0] == "R" else x[0])]
+    far = lambda x, s: (x[1] or 0.0) + s
+    for r in got:
+        a, b = kinds[r.i], kinds[r.j]
+        if "N" in (a[0], b[0]):
+            assert r.cost == 0 and r.sub == 0 and (r.low.run.type == r.up.type == "N" or a[0] != b[0])
+            continue
+        low = (hot(a) + far(a, 0.015) * Q @ hot(a)) * (hot(b) + far(b, 0.02) * Q @ hot(b))
+        if a[0] == b[0] != "O":
+            k = "ACGT".index("A" if a[0] == "R" else a[0])
+            assert r.low.run.type == a[0] and r.low.gain == pytest.approx(Q[k, k] * (far(a, 0.015) + far(b, 0.02)))
+            assert r.up.type == a[0] and r.cost == pytest.approx(Q[k, k] * (far(a, 0.015) + (a[2] or 0)))
+            continue
+        assert r.low.gain == pytest.approx(np.log(low.sum())) and np.allclose(r.low.run.v, low / low.sum())
+        if a[2] is None:
+            above = hot(a) + far(a, 0.015) * Q.T @ hot(a)
+        else:
+            s = "ACGT".index(a[0])
+            start = PI * (np.eye(4)[s] + a[1] * Q[:, s])
+            above = start + (a[2] + 0.015) * Q.T @ start
+        up = above * (hot(b) + far(b, 0.02) * Q @ hot(b))
+        assert np.allclose(r.up.v, up / up.sum())
+        if a[2] is None:
+            can = (np.array(hot(b)) > 0.1).astype(float)
+            if a[0] == "O":
+                assert r.cost == pytest.approx(np.log(hot(a) @ (can + far(a, 0.015) * Q @ can)))
+            elif b[0] != "O":
+                assert r.cost == pytest.approx(np.log(hot(a) @ Q @ hot(b) * far(a, 0.015)))
+            length = (a[1] or 0.0) + 0.015 + (b[1] or 0.0)
+            assert r.sub == pytest.approx(np.log(hot(a) @ (hot(b) + length * Q @ hot(b)) if "O" in (a[0], b[0]) else hot(a) @ Q @ hot(b) * length))

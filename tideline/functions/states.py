@@ -59,10 +59,12 @@ def clean_body(text: Column) -> Column:
 
 
 def sequence_type(text: Column) -> Column:
-    """dna, protein or unknown, by the share of nucleotides, or else of letters, among all but gaps and unknowns."""
+    """dna, protein or unknown, by the share of nucleotides, or else of letters, among all but gaps and unknowns. N and X are unknown sites and
+    count on neither side for nucleotides; among letters they count as letters."""
     body = F.regexp_replace(ascii_upper(text), r"[-?.~\x09-\x0D\x20]", "")
-    share = lambda pattern: F.regexp_count(body, F.lit(pattern)) / F.length(body)
-    return F.when(F.length(body) == 0, "unknown").when(share("[ACGTUNX]") > 0.9, "dna").when(share("[A-Z*]") > 0.9, "protein").otherwise("unknown")
+    count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+    known = F.length(body) - count("[NX]")
+    return F.when(F.length(body) == 0, "unknown").when(count("[ACGTU]") > 0.9 * known, "dna").when(count("[A-Z*]") > 0.9 * F.length(body), "protein").otherwise("unknown")
 
 
 def safe_name(name: Column) -> Column:

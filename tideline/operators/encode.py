@@ -49,8 +49,14 @@ def distances(cells: DataFrame, mut: DataFrame) -> DataFrame:
     return every.withColumn("ord", F.row_number().over(Window.partitionBy("aln").orderBy("distance", "seq")))
 
 
-def effectiveness(mut: DataFrame, sizes: DataFrame, max_share: float = 0.067, mean_share: float = 0.02) -> DataFrame:
-    """(aln, n, most, total, effective): are all rows, and rows on average, close enough to the reference? `sizes` is (aln, n, length)."""
+def effectiveness(mut: DataFrame, sizes: DataFrame, max_share: float = 0.067, mean_share: float = 0.02, least: int = 3) -> DataFrame:
+    """(aln, n, most, total, effective): are all rows, and rows on average, close enough to the reference? `sizes` is (aln, n, length).
+
+    Fewer than `least` rows, an empty reference, or a limit for one row below that for the mean are errors."""
+    if max_share < mean_share:
+        raise ValueError(f"the limit of a row, {max_share}, is below the limit of the mean, {mean_share}")
+    if (bad := sizes.where((F.col("n") < least) | (F.coalesce("length", F.lit(0)) < 1)).first()) is not None:
+        raise ValueError(f"alignment {bad.aln} has {bad.n} rows and {bad.length} sites; {least} rows and one site are needed")
     per = mut.groupBy("aln", "seq").count().groupBy("aln").agg(F.max("count").alias("most"), F.sum("count").alias("total"))
     out = sizes.join(per, "aln", "left").fillna(0, ["most", "total"])
     ok = (F.col("most") <= F.col("length") * max_share) & (F.col("total") <= F.col("length") * mean_share * F.col("n"))

@@ -146,29 +146,3 @@ def site_likelihoods(nodes: DataFrame, cells: DataFrame, q: list[list[float]], p
         return pd.DataFrame({"tree": key[0], "pos": where.astype("int64"), "lh": tree_sites(tree, leaves, q_, pi_)})
 
     return cells.groupBy("tree", "block").cogroup(copies.groupBy("in_tree", "in_block")).applyInPandas(run, "tree long, pos long, lh double")
-
-
-def branch_length(linear: float, ratios: np.ndarray, sensitivity: float, most: float = 0.1) -> float:
-    """The length t that solves sum 1 / (ratio + t) = -linear: -1 for none, at most `most`. Found by halving an interval."""
-    if not len(ratios):
-        return -1.0
-    low_ratio, high_ratio = float(ratios.min()), float(ratios.max())
-    if low_ratio < 0 or linear >= 0:
-        return most
-    upper = min(most, len(ratios) / -linear - low_ratio)
-    if upper <= 0:
-        return -1.0
-    lower = min(most, len(ratios) / -linear - high_ratio)
-    if lower >= most:
-        return most
-    if lower < sensitivity:
-        lower = sensitivity if low_ratio == 0 else 0.0
-    slope = lambda t: float((1 / (ratios + t)).sum()) + linear
-    if slope(lower) < 0:
-        return -1.0 if lower <= sensitivity else lower
-    if slope(upper) > 0:
-        return upper
-    while upper - lower > sensitivity:
-        middle = (lower + upper) / 2
-        lower, upper = (middle, upper) if slope(middle) > 0 else (lower, middle)
-    return lower

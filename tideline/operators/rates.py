@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Starting pseudo-counts of nucleotide transitions, rows and columns A, C, G, T.
@@ -17,6 +17,12 @@ def root_frequencies(ref: DataFrame, key: list[str] | None = None) -> DataFrame:
     return counts.select(*key, "state", (F.col("count") / F.sum("count").over(Window.partitionBy(*key))).alias("freq"))
 
 
+def equal_rates(spark: SparkSession, states: str = STATES) -> DataFrame:
+    """(from_state, to_state, q): every change as likely, at a mean rate of 1, whatever the data."""
+    rate = lambda a, b: -1.0 if a == b else 1.0 / (len(states) - 1)
+    return spark.createDataFrame([(a, b, rate(a, b)) for a in states for b in states], "from_state string, to_state string, q double")
+
+
 def seed_counts(like: DataFrame) -> DataFrame:
     rows = [(STATES[i], STATES[j], float(DNA_SEED[i][j])) for i in range(4) for j in range(4) if i != j]
     return like.sparkSession.createDataFrame(rows, "from_state string, to_state string, n double")
@@ -68,3 +74,15 @@ def supports(rows: DataFrame, key: list[str], score: str = "lh", slack: float |
         near = near.where(F.col(score) >= F.col("_best") - slack)
     e = F.exp(F.col(score) - F.col("_best"))
     return near.withColumn("support", e / F.sum(e).over(w)).drop("_best")
+
+
+def support_lines(rows: DataFrame, key: str, place: str, least: float = 0.01) -> DataFrame:
+    """(key, line): the best place of each key with its support and the other places that have `least` support, as tab-separated text. `rows` is
+    (key, place, lh, support)."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("lh"), place))
+    ranked = rows.withColumn("nth", nth)
+    label = F.format_string("in%s:%.5f", F.col(place).cast("string"), F.col("support"))
+    others = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("nth") > 1) & (F.col("support") >= least), F.struct("nth", label.alias("text"))))), lambda x: x["text"]), ",")
+    best = lambda c: F.max(F.when(F.col("nth") == 1, F.col(c)))
+    per = ranked.groupBy(key).agg(best(place).alias("place"), best("support").alias("support"), others.alias("others"))
+    return per.select(key, F.concat_ws("\t", F.concat(F.lit("s"), F.col(key).cast("string")), F.col("place").cast("string"), F.format_string("%.5f", "support"), "others").alias("line"))

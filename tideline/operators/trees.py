@@ -1,73 +1,117 @@
-"""Operators on trees as node tables (node, parent): level loops of joins, each level over all trees at once."""
+"""Operators on trees as node tables (node, parent), in rounds of joins whose number grows with the logarithm of the depth.
+
+Pointers to ancestors are doubled: after k rounds every node knows its ancestor 2**k above. So trees of any shape cost a few joins of
+node tables, and nothing follows one level after the other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, step: int) -> DataFrame:
-    """Every few levels, cut the lineage in the shared checkpoint folder if there is one."""
-    return df.checkpoint() if step % 8 == 7 and df.sparkSession.sparkContext.getCheckpointDir() else df
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names for checkpoints. Only where driver and executors are one process (tests) may a
+    local one take its place."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='tideline-')}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder, which cuts its lineage and gives its true size to the next plan."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _climb(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
+    """(node, steps, the columns of `values`): how many ancestors each node has, and the sums of columns over itself and its ancestors."""
+    start = nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast("bigint").alias(k) for k, v in values.items()])
+    ways = written(start)
+    while not ways.where("up is not null").isEmpty():
+        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), *[F.col(k).alias(f"more_{k}") for k in values])
+        moved = ways.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), *[(F.col(k) + F.col(f"more_{k}")).alias(k) for k in values])
+        ways = written(moved.unionByName(ways.where("up is null")))
+    return ways.drop("up")
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """(node, parent, depth), the root at 0."""
-    level = nodes.where("parent is null").select("node", "parent", F.lit(0).alias("depth"))
-    out, step = level, 0
-    while True:
-        below = nodes.join(level.select(F.col("node").alias("parent")), "parent").select("node", "parent", F.lit(step + 1).alias("depth"))
-        below = _cut(below, step)
-        if below.isEmpty():
-            return out
-        out, level, step = out.unionByName(below), below, step + 1
+    return nodes.select("node", "parent").join(_climb(nodes, {}).select("node", F.col("steps").cast("int").alias("depth")), "node")
+
+
+def _below(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n): the sum of `own` (node, n) over a node and all below it.
+
+    Each round adds what has been gathered by nodes 2**k below, then doubles the pointers."""
+    total = written(nodes.select("node", F.col("parent").alias("up")).join(own, "node", "left").fillna(0, ["n"]))
+    while not total.where("up is not null").isEmpty():
+        gained = total.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"))
+        above = total.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        summed = total.join(gained, "node", "left").join(above, "up", "left")
+        total = written(summed.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    return total.select("node", "n")
 
 
 def subtree_counts(nodes: DataFrame, weight: str | None = None) -> DataFrame:
     """(node, n): number (or sum of `weight`) of the leaves below a node, itself included if it is one."""
     inner = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct()
-    leaves = nodes.join(inner, "node", "left_anti").select("node", (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
-    up = nodes.select("node", "parent").where("parent is not null")
-    out, level, step = leaves, leaves, 0
-    while True:
-        above = level.join(up, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
-        above = _cut(above, step)
-        if above.isEmpty():
-            return out.groupBy("node").agg(F.sum("n").alias("n"))
-        out, level, step = out.unionByName(above), above, step + 1
+    leaves = nodes.join(inner, "node", "left_anti").select("node", (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"))
+    return _below(nodes, leaves)
 
 
 def pre_order(nodes: DataFrame, order: str = "node") -> DataFrame:
-    """(node, depth, place): position in pre-order with siblings by `order`: the parent's place, and the sizes of the siblings before."""
-    every = depths(nodes)
-    up = nodes.select("node", "parent").where("parent is not null")
-    sizes, level, step = nodes.select("node", F.lit(1).cast("long").alias("n")), nodes.select("node", F.lit(1).cast("long").alias("n")), 0
-    while True:
-        level = _cut(level.join(up, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n")), step)
-        if level.isEmpty():
-            break
-        sizes, step = sizes.unionByName(level), step + 1
-    sizes = sizes.groupBy("node").agg(F.sum("n").alias("size"))
+    """(node, depth, place): position in pre-order with siblings by `order`: a node adds one and the sizes of its siblings before to its
+    parent's place."""
+    sizes = _below(nodes, nodes.select("node", F.lit(1).cast("bigint").alias("n"))).withColumnRenamed("n", "size")
     before = Window.partitionBy("parent").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    shift = every.join(sizes, "node").withColumn("shift", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0))))
-    placed = shift.where("depth = 0").select("node", "depth", F.col("shift").alias("place"))
-    out, step = placed, 0
-    while True:
-        placed = shift.where(F.col("depth") == step + 1).join(placed.select(F.col("node").alias("parent"), F.col("place").alias("base")), "parent").select("node", "depth", (F.col("base") + F.col("shift")).alias("place"))
-        placed = _cut(placed, step)
-        if placed.isEmpty():
-            return out
-        out, step = out.unionByName(placed), step + 1
+    shift = nodes.join(sizes, "node").withColumn("shift", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0))))
+    placed = _climb(shift.select("node", "parent", "shift"), {"place": "shift"})
+    return placed.select("node", F.col("steps").cast("int").alias("depth"), "place")
+
+
+def ancestors(nodes: DataFrame, node: object) -> DataFrame:
+    """(node, parent) of a node and all nodes above it: pointers are doubled, and what is marked marks what it points at."""
+    ways = written(nodes.select("node", "parent", F.col("parent").alias("up"), (F.col("node") == F.lit(node)).alias("marked")))
+    while not ways.where("up is not null and marked").isEmpty():
+        hit = ways.where("marked and up is not null").select(F.col("up").alias("node")).distinct().withColumn("hit", F.lit(True))
+        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        ways = ways.join(hit, "node", "left").join(above, "up", "left").select("node", "parent", F.col("next").alias("up"), (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked"))
+        ways = written(ways)
+    return ways.where("marked").select("node", "parent")
 
 
 def reroot(nodes: DataFrame, new_root: object) -> DataFrame:
     """(node, parent) with `new_root` as the root: parents on the path to the old root are turned around."""
-    path = nodes.where(F.col("node") == F.lit(new_root)).select("node", "parent")
-    out, step = path, 0
-    while True:
-        path = _cut(nodes.join(path.select(F.col("parent").alias("node")), "node").select("node", "parent"), step)
-        if path.isEmpty():
-            break
-        out, step = out.unionByName(path), step + 1
-    turned = out.where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("below"))
+    turned = ancestors(nodes, new_root).where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("below"))
     return nodes.join(turned, "node", "left").select("node", F.when(F.col("node") == F.lit(new_root), F.lit(None)).otherwise(F.coalesce("below", "parent")).alias("parent"))
+
+
+def unknown_leaves(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, name) of leaves (rows with a name) that the alignment's names do not have: a tree is bound only if there are none."""
+    return nodes.where("name is not null").join(names.select("name").distinct(), "name", "left_anti").select("node", "name")
+
+
+def bind(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add `seq`, the alignment's row (seq, name), to the leaves of a tree by name; binding anew replaces an older `seq`."""
+    return nodes.drop("seq").join(rows.select("name", "seq"), "name", "left")
+
+
+def unplaced(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (seq, name) of the alignment that no leaf stands for; none means that the tree is complete."""
+    return rows.join(nodes.select("name").where("name is not null").distinct(), "name", "left_anti")
+
+
+def collapsed(nodes: DataFrame, limit: float) -> DataFrame:
+    """(node, host): leaves on branches of at most `limit` beside a sibling leaf that is on one as well, with the sibling that keeps the
+    place, the smallest of them. `nodes` is (node, parent, length)."""
+    inner = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct()
+    short = nodes.join(inner, "node", "left_anti").where(F.col("length") <= limit)
+    host = F.min("node").over(Window.partitionBy("parent"))
+    return short.withColumn("host", host).where("node <> host").select("node", "host")

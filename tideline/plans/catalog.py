@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import encode, likelihood, placement, rates, segments, trees
+from ..operators import algebra, encode, likelihood, placement, rates, segments, trees
 from ..sources import trees as tree_text
 from ..streaming import incremental
 
@@ -298,19 +298,15 @@ def q33_two_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(top, 6).alias("first"), F.round(F.greatest(F.least(a, b), F.least(F.greatest(a, b), c)), 6).alias("second"))
 
 
-def q34_absorbed(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
-    """Rows that say no more than another row of their label (equal but for unknown sites), with the smallest such row."""
-    sites = cells(spark, sf_dir, True).where(F.col("pos") < width)
+def _absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = F.when(F.col("ch") == "-", "N").otherwise(F.col("ch"))
-    rows = sites.groupBy("aln", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", ch.alias("ch")))).alias("p")).select("aln", "seq", F.array_join(F.transform("p", lambda x: x["ch"]), "").alias("text"))
-    # rows are compared by the sites that the less informed one knows: one equi-join per set of known sites that occurs
-    mask = F.regexp_replace("text", "[ACGT]", "x")
-    masks = rows.select("aln", mask.alias("mask")).distinct()
-    seen = lambda text, m: F.array_join(F.zip_with(F.split(text, ""), F.split(m, ""), lambda t, k: F.when(k == "x", t).otherwise("N")), "")
-    keyed = rows.join(masks, "aln").select("aln", "seq", "text", "mask", seen(F.col("text"), F.col("mask")).alias("key"))
-    best = keyed.groupBy("aln", "mask", "key").agg(F.min("seq").alias("host"))
-    own = rows.select("aln", "seq", F.col("text").alias("key"), mask.alias("mask"))
-    return own.join(best, ["aln", "mask", "key"]).where("host < seq").select("aln", "seq", "host")
+    rows = cells(spark, sf_dir, True).groupBy("aln", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", ch.alias("ch")))).alias("p"))
+    return segments.absorbed(rows.select("aln", "seq", F.array_join(F.transform("p", lambda x: x["ch"]), "").alias("text")), LENGTH)
+
+
+def q34_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that say no more than another row of their label (equal but for unknown sites), with the smallest such row."""
+    return _absorbed(spark, sf_dir)
 
 
 def q35_site_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,5 +331,97 @@ def q36_streamed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.placements(spark, store).select("seq", "label", "lh")
 
 
+def _model(spark: SparkSession, sf_dir: str) -> tuple[algebra.Model, DataFrame]:
+    """The shared model as columns, and (pos, ref, rate, log_pi): running sums over sites of what the reference's states have of both."""
+    q = {(r.from_state, r.to_state): r.q for r in _matrix(spark, sf_dir).collect()}  # 16 rows
+    ref = encode.consensus(cells(spark, sf_dir))
+    pi = {r.state: r.freq for r in rates.root_frequencies(ref).collect()}  # 4 rows
+    m = algebra.Model.of([[q[a, b] for b in "ACGT"] for a in "ACGT"], [pi.get(s, 0.0) for s in "ACGT"])
+    number = m.index(F.col("ref"))
+    values = {"rate": m.rate(number, number), "log_pi": F.log(F.element_at(m.pi, number))}
+    sums = segments.prefix_sums(ref.select("pos", "ref"), [], "pos", values, block=16)
+    return m, trees.written(sums.join(ref.select("pos", "ref"), "pos"))
+
+
+def _pair_segments(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
+    """(seq, start, stop, a, b, ref, rate, log_pi): shared segments of rows 2k and 2k + 1 as runs, with the reference's sums over each."""
+    sites = cells(spark, sf_dir)
+    runs = encode.regions(_mut(sites), _rows(sites), LENGTH).select("seq", "start", "stop", "type")
+    both = segments.overlay(runs.where("seq % 2 = 0"), runs.where("seq % 2 = 1").withColumn("seq", F.col("seq") - 1), ["seq"]).where("a is not null and b is not null")
+    upper = sums.select(F.col("pos").alias("stop"), "ref", "rate", "log_pi")
+    lower = sums.select((F.col("pos") + 1).alias("start"), F.col("rate").alias("rate_before"), F.col("log_pi").alias("log_before"))
+    over = both.join(upper, "stop").join(lower, "start", "left")
+    base = lambda c: F.coalesce(c, F.lit(0.0))
+    return over.select("seq", "start", "stop", algebra.run(F.col("a")).alias("a"), algebra.run(F.col("b")).alias("b"), "ref", (F.col("rate") - base("rate_before")).alias("rate"), (F.col("log_pi") - base("log_before")).alias("log_pi"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[algebra.Model, DataFrame]:
+    m, sums = _model(spark, sf_dir)
+    return m, _pair_segments(spark, sf_dir, sums)
+
+
+def q37_cherry_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of each pair of neighbouring rows as the two leaves of a tree."""
+    m, rows = _pairs(spark, sf_dir)
+    step = F.lit(STEP)
+    merged = rows.select("seq", "ref", "log_pi", algebra.merge_lowers(m, F.col("a"), step, F.col("b"), step, F.col("ref"), F.col("rate")).alias("x"))
+    # an unknown beside a run of the reference keeps its run, whose sum of frequencies is that of the segment
+    return merged.groupBy("seq").agg(F.round(F.sum(F.col("x.gain") + algebra.root_likelihood(m, F.col("x.run"), F.col("ref"), F.col("log_pi"))), 6).alias("lh"))
+
+
+def q38_upper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands on the way to one leaf of such a pair, where the run of the other comes down from the root: sites by type and lengths."""
+    m, rows = _pairs(spark, sf_dir)
+    above = algebra.root_total(m, F.col("b"), F.lit(STEP))
+    met = rows.select("seq", (F.col("stop") - F.col("start") + 1).cast("bigint").alias("sites"), algebra.merge_upper_lower(m, above, F.lit(STEP), F.col("a"), F.lit(STEP), F.col("ref")).alias("x"))
+    return met.groupBy("seq", "x.type", "x.n", "x.r").agg(F.sum("sites").alias("sites"))
+
+
+def q39_sample_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, rows = _pairs(spark, sf_dir)
+    return rows.groupBy("seq").agg(F.round(F.sum(algebra.sample_cost(m, F.col("a"), F.col("b"), F.lit(STEP), F.col("ref"), F.col("rate"))), 6).alias("cost"))
+
+
+def q40_branch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best length of a branch between neighbouring rows: collected terms, and the zero of the slope."""
+    m, rows = _pairs(spark, sf_dir)
+    terms = rows.where("a.type <> 'N' and b.type <> 'N'").select("seq", algebra.length_terms(m, F.col("a"), F.col("b"), F.col("ref"), F.col("rate")).alias("x"))
+    sums = terms.groupBy("seq").agg(F.sum("x.linear").alias("linear"), F.collect_list("x.ratio").alias("ratios"))
+    return sums.select("seq", F.round("linear", 6).alias("linear"), F.size("ratios").cast("bigint").alias("n_ratios"), F.round(algebra.solved_lengths(F.col("linear"), F.col("ratios"), 1e-10), 6).alias("length"))
+
+
+def q41_subtree_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, rows = _pairs(spark, sf_dir)
+    return rows.groupBy("seq").agg(F.round(F.sum(algebra.subtree_cost(m, F.col("a"), F.col("b"), F.lit(STEP), F.col("ref"))) - STEP * LENGTH, 6).alias("cost"))
+
+
+def q42_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.equal_rates(spark).select(F.lit("JC").alias("model"), "from_state", "to_state", F.round("q", 6).alias("q"))
+
+
+def q43_collapsed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a positive balance as leaves on branches without length, below their nation."""
+    node = F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    leaves = table(spark, sf_dir, "customer").select(node.alias("node"), F.col("c_nationkey").cast("string").alias("parent"), F.col("c_acctbal").cast("double").alias("length"))
+    return trees.collapsed(leaves, 0.0)
+
+
+def q44_bound_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as leaves that are named after their customers, bound to customers by name."""
+    leaves = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
+    bound = trees.bind(leaves, table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("seq")))
+    return bound.groupBy("name", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q45_support_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _costs(spark, sf_dir).withColumn("lh", F.round("lh", 6))
+    return rates.support_lines(rates.supports(scored, ["seq"], "lh", round(math.log(LENGTH), 6)), "seq", "label")
+
+
+def q46_minor_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with those that they absorb as clades without lengths."""
+    return tree_text.minor_clades(_absorbed(spark, sf_dir).select("aln", "host", "seq", F.concat(F.lit("s"), F.col("host").cast("string")).alias("host_name"), F.concat(F.lit("s"), F.col("seq").cast("string")).alias("name")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

@@ -48,6 +48,11 @@ def _matrix(name: str, symmetric: bool, where: str = "true") -> str:
 
 _PI = "pi AS (SELECT ref AS state, count(*) / sum(count(*)) OVER () AS freq FROM r0 GROUP BY ref)"
 _GTR = f"{ALL}, {LABEL}, {_PI}, {_matrix('g', True)}"
+_PAIRS = f"""{_GTR},
+site AS (SELECT c0.seq, c0.pos, ref, CASE WHEN ch IN ('N', '-') THEN 'N' ELSE ch END AS ch FROM c0 JOIN r0 ON r0.pos = c0.pos),
+pairs AS (SELECT x.seq, x.pos, x.ref, x.ch AS a, y.ch AS b FROM site x JOIN site y ON y.seq = x.seq + 1 AND y.pos = x.pos WHERE x.seq % 2 = 0),
+mix AS (SELECT gx.b AS x, gy.b AS y, ln(sum(freq * (CASE WHEN gx.a = gx.b THEN 1 ELSE 0 END + gx.q / 64) * (CASE WHEN gy.a = gy.b THEN 1 ELSE 0 END + gy.q / 64))) AS lh FROM g gx JOIN g gy ON gy.a = gx.a JOIN pi ON state = gx.a GROUP BY gx.b, gy.b),
+gg AS (SELECT a AS ga, b AS gb, q FROM g)"""
 _STEPS = """
 st AS (SELECT user_id, event_type AS from_type, lead(event_type) OVER w AS to_type, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS wait_us
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -74,8 +79,9 @@ _UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
 
 def _type(text: str) -> str:
     body = f"regexp_replace({_UP.format(text)}, '[-?.~\\x09-\\x0D\\x20]', '', 'g')"
-    share = lambda p: f"length(regexp_replace({body}, '[^{p}]', '', 'g')) / CAST(length({body}) AS DOUBLE)"
-    return f"CASE WHEN length({body}) = 0 THEN 'unknown' WHEN {share('ACGTUNX')} > 0.9 THEN 'dna' WHEN {share('A-Z*')} > 0.9 THEN 'protein' ELSE 'unknown' END"
+    count = lambda p: f"length(regexp_replace({body}, '[^{p}]', '', 'g'))"
+    return f"CASE WHEN length({body}) = 0 THEN 'unknown' WHEN {count('ACGTU')} > CAST(0.9 AS DOUBLE) * (length({body}) - {count('NX')}) THEN 'dna' WHEN {count('A-Z*')} > CAST(0.9 AS DOUBLE) * length({body}) THEN 'protein' ELSE 'unknown' END"
+
 
 
 def _body(text: str) -> str:
@@ -156,7 +162,31 @@ v AS (SELECT a.label, a.pos, a.hit - b.hit AS v FROM hit a JOIN hit b ON b.label
 draw AS (SELECT b, ((b * 1103515245 + i * 12345 + b * i * 7919) // 16) % 64 AS pos FROM unnest(range(0, 100)) AS t(b), unnest(range(0, 64)) AS u(i)),
 s AS (SELECT label, b, sum(v) AS s FROM v JOIN draw USING (pos) GROUP BY label, b) SELECT label, round(100 * avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END), 6) AS support FROM s GROUP BY label""",
         "q33_two_largest": """SELECT l_orderkey, l_linenumber, l_partkey, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[3], 6) AS first, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[2], 6) AS second FROM lineitem""",
+        "q37_cherry_likelihoods": f"""WITH {_PAIRS}
+SELECT seq, round(sum(CASE WHEN a = 'N' AND b = 'N' THEN 0 WHEN a = 'N' THEN ln(pb.freq) WHEN b = 'N' THEN ln(pa.freq) WHEN a = b THEN ln(pa.freq) + gs.q * 2 / 64 ELSE mix.lh END), 6) AS lh
+FROM pairs LEFT JOIN pi pa ON pa.state = a LEFT JOIN pi pb ON pb.state = b LEFT JOIN gg gs ON gs.ga = pairs.a AND gs.gb = pairs.a LEFT JOIN mix ON x = pairs.a AND y = pairs.b GROUP BY seq""",
+        "q38_upper_runs": f"""WITH {_PAIRS}
+SELECT seq, CASE WHEN a = 'N' AND b = 'N' THEN 'N' WHEN a = 'N' AND b = ref OR b = 'N' AND a = ref OR a = b AND a = ref THEN 'R' WHEN a = 'N' THEN b WHEN b = 'N' OR a = b THEN a ELSE 'O' END AS type,
+  CASE WHEN a = 'N' AND b <> 'N' OR b = 'N' AND a <> 'N' THEN CAST(1 AS DOUBLE) / 64 END AS n, CASE WHEN a = 'N' AND b <> 'N' THEN CAST(1 AS DOUBLE) / 64 WHEN b = 'N' AND a <> 'N' THEN CAST(0 AS DOUBLE) END AS r, CAST(count(*) AS BIGINT) AS sites
+FROM pairs GROUP BY ALL""",
+        "q39_sample_costs": f"""WITH {_PAIRS}
+SELECT seq, round(sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q / 64 ELSE ln(q / 64) END), 6) AS cost FROM pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq""",
+        "q40_branch_lengths": f"""WITH {_PAIRS},
+t AS (SELECT seq, sum(CASE WHEN a = b THEN q ELSE 0 END) AS linear, sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS m FROM pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b WHERE a <> 'N' AND b <> 'N' GROUP BY seq)
+SELECT seq, round(linear, 6) AS linear, CAST(m AS BIGINT) AS n_ratios, CASE WHEN m > 0 THEN round(least(CAST(0.1 AS DOUBLE), m / -linear), 6) END AS length FROM t""",
+        "q41_subtree_costs": f"""WITH {_PAIRS}
+SELECT seq, round(-1 + sum(CASE WHEN a = 'N' OR b = 'N' OR a = b AND a = ref THEN 0 WHEN a = b THEN q / 64 ELSE ln(q / 64) END), 6) AS cost FROM pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq""",
+        "q42_models": f"""WITH {ALL}, {_PI}, s(state) AS (VALUES ('A'), ('C'), ('G'), ('T'))
+SELECT 'JC' AS model, x.state AS from_state, y.state AS to_state, CASE WHEN x.state = y.state THEN CAST(-1 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / 3, 6) END AS q FROM s x, s y""",
+        "q43_collapsed_leaves": """SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS node, host FROM (SELECT c_custkey, 'c' || lpad(CAST(min(c_custkey) OVER (PARTITION BY c_nationkey) AS VARCHAR), 9, '0') AS host FROM customer WHERE c_acctbal <= 0) WHERE 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') <> host""",
+        "q44_bound_leaves": """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, c_custkey AS seq, CAST(count(*) AS BIGINT) AS n FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') GROUP BY ALL""",
+        "q45_support_rows": f"""WITH {_COSTS}, s AS (SELECT seq, label, exp(lh - best) / sum(exp(lh - best)) OVER (PARTITION BY seq) AS support, row_number() OVER (PARTITION BY seq ORDER BY lh DESC, label) AS place, count(*) OVER (PARTITION BY seq) AS n FROM near WHERE lh >= best - round(ln(64.0), 6))
+SELECT a.seq, 's' || a.seq || chr(9) || a.label || chr(9) || printf('%.5f', a.support) || chr(9) || coalesce(string_agg('in' || b.label || ':' || printf('%.5f', b.support), ',' ORDER BY b.place), '') AS line
+FROM s a LEFT JOIN s b ON b.seq = a.seq AND b.place > 1 AND b.support >= 0.01 WHERE a.place = 1 GROUP BY a.seq, a.label, a.support""",
+        "q46_minor_clades": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq),
+h AS (SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq)
+SELECT aln, host, '(' || 's' || host || ':0,' || string_agg('s' || seq || ':0', ',' ORDER BY seq) || ')' AS clade FROM h WHERE host < seq GROUP BY aln, host""",
         "q36_streamed_placements": f"WITH {_COSTS} SELECT seq, min(label) AS label, max(lh) AS lh FROM near WHERE lh = best GROUP BY seq",
-        "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl WHERE pos < 8 GROUP BY aln, seq)
+        "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq)
 SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq HAVING min(a.seq) < b.seq""",
     }

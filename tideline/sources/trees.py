@@ -138,3 +138,10 @@ def nexus_text(names: list[str], newick: str) -> str:
     """A NEXUS document with a taxa block and one tree."""
     taxa = "\n".join(names)
     return f"#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS\n{taxa}\n;\nEND;\nBEGIN TREES;\nTREE tree1 = [&R] {newick}\nEND;\n"
+
+
+def minor_clades(rows: DataFrame) -> DataFrame:
+    """(aln, host, clade): a row with those that it absorbs as one clade of zero lengths, from rows (aln, host, seq, host_name, name)."""
+    parts = rows.groupBy("aln", "host", "host_name").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("own"))
+    names = F.array_join(F.transform("own", lambda x: F.concat(x["name"], F.lit(":0"))), ",")
+    return parts.select("aln", "host", F.concat(F.lit("("), "host_name", F.lit(":0,"), names, F.lit(")")).alias("clade"))

@@ -6,8 +6,6 @@ its own part, so a batch that is run again after a failure leaves the same rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.placement import best_placement, placement_costs
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names for checkpoints; a local one only where none is named (tests)."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='tideline-')}/{name}-{uuid.uuid4()}"
+from ..operators.trees import shared_folder  # noqa: F401
 
 
 def placements(spark: SparkSession, store: str) -> DataFrame:
