@@ -372,8 +372,9 @@ def q37_cherry_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q38_upper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands on the way to one leaf of such a pair, where the run of the other comes down from the root: sites by type and lengths."""
     m, rows = _pairs(spark, sf_dir)
-    above = algebra.root_total(m, F.col("b"), F.lit(STEP))
-    met = rows.select("seq", (F.col("stop") - F.col("start") + 1).cast("bigint").alias("sites"), algebra.merge_upper_lower(m, above, F.lit(STEP), F.col("a"), F.lit(STEP), F.col("ref")).alias("x"))
+    # a column of its own: merges look at it many times
+    rows = rows.withColumn("above", algebra.root_total(m, F.col("b"), F.lit(STEP)))
+    met = rows.select("seq", (F.col("stop") - F.col("start") + 1).cast("bigint").alias("sites"), algebra.merge_upper_lower(m, F.col("above"), F.lit(STEP), F.col("a"), F.lit(STEP), F.col("ref")).alias("x"))
     return met.groupBy("seq", "x.type", "x.n", "x.r").agg(F.sum("sites").alias("sites"))
 
 
