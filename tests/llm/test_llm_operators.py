@@ -549,6 +549,40 @@ def test_allocation_rules():
     assert np.allclose(token_counts.allocate(ends, first, "share")[0], [1 + 2 / 6, 3 / 6, 1 + 1 / 6])
 
 
+def test_most_rule_and_given_sections(spark):
+    """The query's rule against spans counted byte by byte; given sections, with what lies between them as section -1; nulls and repeated rows."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abc éß😀\n.") for _ in range(rng.randint(0, 80))) for _ in range(30)] + ["", None]
+    spans = [[(a, a + 5) for a in range(0, max(len(t or "") - 8, 0), 12)] for t in texts]
+    rows = [(i, t, s) for i, (t, s) in enumerate(zip(texts, spans, strict=True))] + [(3, texts[3], spans[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,stop:int>>")
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder, length = token_counts._encoder(f.read())
+
+    def slow(text: str, borders: list[int]) -> list[int]:
+        """Tokens by section of the byte borders: each to the first of those that hold most of its bytes."""
+        out, at = [0] * (len(borders) - 1), 0
+        for token in encoder.encode_ordinary(text):
+            inside = [sum(lo <= b < hi for b in range(at, at + int(length[token]))) for lo, hi in zip(borders, borders[1:], strict=False)]
+            out[inside.index(max(inside))] += 1
+            at += int(length[token])
+        return out
+
+    for name in (None, "parts"):
+        got = collections.defaultdict(list)
+        for r in token_counts.section_tokens(docs, sections=name).collect():
+            got[r.doc_id].append((r.start, r.stop, r.section, r.n_tokens))
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            t = t or ""
+            own = sorted(set(got[i]))
+            assert "".join(t[a:b] for a, b, *_ in own) == t and len(got[i]) == len(own) * (2 if i == 3 else 1)
+            borders = [len(t[:a].encode()) for a, *_ in own] + [len(t.encode())]
+            assert [n for *_, n in own] == slow(t, borders)
+            if name and t:
+                assert [(a, b) for a, b, k, _ in own if k >= 0] == spans[i]
+
+
 # personal data
 
 BASE = {

@@ -93,7 +93,7 @@ def _section_rows(batches: Iterator[pa.RecordBatch], vocabulary: bytes, rule: st
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 if given:  # (start, stop) in code points, disjoint; what lies between is section -1
                     spans = sorted((s["start"], s["stop"], k) for k, s in enumerate(batch.column(2)[chunk.lo + i].as_py() or []))
-                    to_byte = lambda c, chars=chars: int(np.searchsorted(chars, c, side="left"))
+                    to_byte = lambda c, chars=chars: int(np.searchsorted(chars, c, side="right")) - 1
                     first, label = [0], [-1]
                     for s, e, k in spans:
                         first += [to_byte(s), to_byte(e)]
