@@ -99,3 +99,16 @@ def test_overlay_matches_a_join_of_intervals(spark):
     right = spark.createDataFrame([(1, 0, 2, "N"), (1, 3, 9, "R"), (2, 0, 3, "R"), (2, 4, 9, "N")], "k int, start int, stop int, type string")
     got = sorted(tuple(r) for r in segments.overlay(left, right, ["k"]).collect())
     assert got == [(1, 0, 2, "R", "N"), (1, 3, 4, "R", "R"), (1, 5, 5, "A", "R"), (1, 6, 9, "R", "R"), (2, 0, 3, "N", "R"), (2, 4, 9, "N", "N")]
+
+
+@pytest.mark.parametrize("block", [1, 3, 65_536])
+def test_distance_order_in_blocks_is_one_stable_order(spark, block):
+    rows = [(aln, seq, pos, "ACGT"[(seq * 7 + pos * seq) % 3 % 2]) for aln in (0, 1) for seq in range(11) for pos in range(5)]
+    sites = spark.createDataFrame(rows, "aln int, seq long, pos int, ch string")
+    ref = spark.createDataFrame([(aln, pos, "A") for aln in (0, 1) for pos in range(5)], "aln int, pos int, ref string")
+    found = encode.distances(sites, encode.differences(sites, ref), block).collect()
+    off = {(a, s): 1000 * sum(1 for x, y, _, ch in rows if (x, y) == (a, s) and ch != "A") for a, s, _, _ in rows}
+    want = {(a, s): 1 + sorted((d, k) for (b, k), d in off.items() if b == a).index((off[a, s], s)) for a, s in off}
+    assert {(r.aln, r.seq): r.ord for r in found} == want
+    assert len(found) == len(want)
+    assert not encode.distances(sites.limit(0), encode.differences(sites, ref).limit(0), block).collect()

@@ -41,12 +41,22 @@ def differences(cells: DataFrame, ref: DataFrame) -> DataFrame:
     return off.withColumn("run", run).groupBy("aln", "seq", "type", "run").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("len")).drop("run")
 
 
-def distances(cells: DataFrame, mut: DataFrame) -> DataFrame:
-    """(aln, seq, records, ambiguous, distance, ord): 1000 * records + ambiguous sites, and the stable order by it."""
+def distances(cells: DataFrame, mut: DataFrame, block: int = 65_536) -> DataFrame:
+    """(aln, seq, records, ambiguous, distance, ord): 1000 * records + ambiguous sites, and the stable order by it.
+
+    Rows are counted by distance and by block of `block` numbers, and ranked inside those only, so no task orders a whole alignment.
+    """
     per = mut.groupBy("aln", "seq").agg(F.count(F.lit(1)).alias("records"), F.sum(F.when(F.col("type").isin("A", "C", "G", "T"), 0).otherwise(F.col("len"))).alias("ambiguous"))
     every = cells.select("aln", "seq").distinct().join(per, ["aln", "seq"], "left").fillna(0, ["records", "ambiguous"])
     every = every.withColumn("distance", F.col("records") * 1000 + F.col("ambiguous"))
-    return every.withColumn("ord", F.row_number().over(Window.partitionBy("aln").orderBy("distance", "seq")))
+    every = every.withColumn("block", F.floor(F.col("seq") / block))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = every.groupBy("aln", "distance", "block").agg(F.count(F.lit(1)).alias("n"))
+    nearer = blocks.groupBy("aln", "distance").agg(F.sum("n").alias("n")).select("aln", "distance", F.coalesce(F.sum("n").over(before("aln", "distance")), F.lit(0)).alias("nearer"))
+    earlier = blocks.select("aln", "distance", "block", F.coalesce(F.sum("n").over(before("aln", "distance", "block")), F.lit(0)).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("aln", "distance", "block").orderBy("seq"))
+    ranked = every.withColumn("inside", inside).join(earlier, ["aln", "distance", "block"]).join(nearer, ["aln", "distance"])
+    return ranked.select("aln", "seq", "records", "ambiguous", "distance", (F.col("nearer") + F.col("earlier") + F.col("inside")).alias("ord"))
 
 
 def effectiveness(mut: DataFrame, sizes: DataFrame, max_share: float = 0.067, mean_share: float = 0.02, least: int = 3) -> DataFrame:
