@@ -49,6 +49,50 @@ def rate_matrix(counts: DataFrame, freqs: DataFrame, symmetric: bool = True) ->
     return every.select("from_state", "to_state", (F.col("q") / mean).alias("q"))
 
 
+def exchange_matrix(exchange: DataFrame, freqs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, from_state, to_state, q): rates from exchangeabilities (key, from_state, to_state, s), each pair given once or both ways, times the
+    frequency (key, state, freq) of the state that is changed to; row sums 0, mean rate 1. Keys are models: a few rows for each.
+    """
+    key = key or []
+    turned = exchange.select(*key, F.col("to_state").alias("from_state"), F.col("from_state").alias("to_state"), "s")
+    both = exchange.select(*key, "from_state", "to_state", "s").unionByName(turned).where("from_state <> to_state")
+    both = both.groupBy(*key, "from_state", "to_state").agg(F.max("s").alias("s"))
+    raw = both.join(freqs.select(*key, F.col("state").alias("to_state"), "freq"), [*key, "to_state"]).select(*key, "from_state", "to_state", (F.col("s") * F.col("freq")).alias("q"))
+    diagonal = raw.groupBy(*key, "from_state").agg((-F.sum("q")).alias("q")).select(*key, "from_state", F.col("from_state").alias("to_state"), "q")
+    mean = diagonal.join(freqs.select(*key, F.col("state").alias("from_state"), "freq"), [*key, "from_state"]).groupBy(*key).agg((-F.sum(F.col("q") * F.col("freq"))).alias("mean"))
+    every = raw.unionByName(diagonal)
+    scaled = every.join(mean, key) if key else every.crossJoin(F.broadcast(mean))  # one row
+    return scaled.select(*key, "from_state", "to_state", (F.col("q") / F.col("mean")).alias("q"))
+
+
+def key_matrices(counts: DataFrame, waits: DataFrame, key: str, pseudo: float = 0.1, low: float = 1e-3, high: float = 250.0) -> DataFrame:
+    """(key, from_state, to_state, rate): a matrix for each key (a site, a user) from expected changes (key, from_state, to_state, c) and waiting
+    times (key, from_state, wait), a share of their means over all keys added to both; clamped."""
+    mean_wait = waits.groupBy("from_state").agg(F.avg("wait").alias("mean_wait"))
+    mean_count = counts.groupBy("from_state", "to_state").agg(F.avg("c").alias("mean_c"))
+    full = counts.join(waits, [key, "from_state"]).join(mean_wait, "from_state").join(mean_count, ["from_state", "to_state"])
+    rate = (F.col("c") + pseudo * F.col("mean_c")) / (F.col("wait") + pseudo * F.col("mean_wait"))
+    return full.select(key, "from_state", "to_state", F.least(F.greatest(rate, F.lit(low)), F.lit(high)).alias("rate"))
+
+
+def site_matrices(sites: DataFrame, shared: DataFrame, own: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """(pos, q), q being an array of rows as `algebra.Model` takes it: the shared matrix (from_state, to_state, q) at every site (pos), replaced by the
+    site's own (pos, from_state, to_state, q) where there is one, times the site's rate (pos, rate), 1 if not given. States are in order."""
+    as_rows = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda r: r["row"])
+
+    def folded(matrix: DataFrame, by: list[str]) -> DataFrame:
+        lines = matrix.groupBy(*by, "from_state").agg(F.transform(F.array_sort(F.collect_list(F.struct("to_state", "q"))), lambda x: x["q"]).alias("row"))
+        return lines.groupBy(*by).agg(as_rows(F.struct("from_state", "row")).alias("q"))
+
+    every = sites.select("pos").crossJoin(F.broadcast(folded(shared, [])))  # one row, of states x states numbers
+    if own is not None:
+        every = every.join(folded(own, ["pos"]).withColumnRenamed("q", "own"), "pos", "left").select("pos", F.coalesce("own", "q").alias("q"))
+    if rates is not None:
+        rate = F.coalesce("rate", F.lit(1.0))
+        every = every.join(rates.select("pos", "rate"), "pos", "left").select("pos", F.transform("q", lambda row: F.transform(row, lambda x: x * rate)).alias("q"))
+    return every
+
+
 def changed(old: DataFrame, new: DataFrame, limit: float = 1e-3) -> DataFrame:
     """(change, updated): sum of absolute differences off the diagonal, and whether it exceeds the limit."""
     both = old.where("from_state <> to_state").withColumnRenamed("q", "q0").join(new.where("from_state <> to_state"), ["from_state", "to_state"], "full")

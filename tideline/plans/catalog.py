@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import algebra, encode, likelihood, placement, rates, segments, trees
+from ..operators import algebra, encode, likelihood, placement, rates, segments, trees, trials
 from ..sources import trees as tree_text
 from ..streaming import incremental
 
@@ -197,13 +197,11 @@ def q21_key_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q22_count_matrices(spark: SparkSession, sf_dir: str, pseudo: float = 0.1) -> DataFrame:
     """Per user: transition counts with a share of the overall rate added to counts and waiting times, and their quotient."""
     steps = _steps(spark, sf_dir)
-    waits = steps.groupBy("user_id", "from_type").agg((F.sum("wait_us") / 86_400e6).alias("wait"))
-    counts = steps.where("from_type <> to_type").groupBy("user_id", "from_type", "to_type").agg(F.count(F.lit(1)).alias("c"))
-    mean_wait = waits.groupBy("from_type").agg(F.avg("wait").alias("mean_wait"))
-    mean_count = counts.groupBy("from_type", "to_type").agg(F.avg("c").alias("mean_c"))
-    full = counts.join(waits, ["user_id", "from_type"]).join(mean_wait, "from_type").join(mean_count, ["from_type", "to_type"])
-    rate = (F.col("c") + pseudo * F.col("mean_c")) / (F.col("wait") + pseudo * F.col("mean_wait"))
-    return full.select("user_id", "from_type", "to_type", F.round(F.least(F.greatest(rate, F.lit(1e-3)), F.lit(250.0)), 6).alias("rate"))
+    steps = steps.select("user_id", F.col("from_type").alias("from_state"), F.col("to_type").alias("to_state"), "wait_us")
+    waits = steps.groupBy("user_id", "from_state").agg((F.sum("wait_us") / 86_400e6).alias("wait"))
+    counts = steps.where("from_state <> to_state").groupBy("user_id", "from_state", "to_state").agg(F.count(F.lit(1)).alias("c"))
+    found = rates.key_matrices(counts, waits, "user_id", pseudo)
+    return found.select("user_id", F.col("from_state").alias("from_type"), F.col("to_state").alias("to_type"), F.round("rate", 6).alias("rate"))
 
 
 def q23_root_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,5 +422,34 @@ def q46_minor_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_text.minor_clades(_absorbed(spark, sf_dir).select("aln", "host", "seq", F.concat(F.lit("s"), F.col("host").cast("string")).alias("host_name"), F.concat(F.lit("s"), F.col("seq").cast("string")).alias("name")))
 
 
+def q47_length_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branch on which a row hangs on its neighbour, halved and doubled as long as that gains."""
+    m, rows = _pairs(spark, sf_dir)
+    found = []
+    for way, factor in (("shorter", 0.5), ("longer", 2.0)):
+        lengths = trials.trial_lengths(F.lit(STEP), factor, STEP / 64, STEP * 16)
+        costs = trials.trial_costs(rows, ["seq"], lengths, lambda t: algebra.sample_cost(m, F.col("a"), F.col("b"), t, F.col("ref"), F.col("rate")))
+        found.append(trials.best_trial(costs, ["seq"]).select("seq", F.lit(way).alias("way"), "k", "length", F.round("cost", 6).alias("cost")))
+    return found[0].unionByName(found[1])
+
+
+def q48_exchange_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix per label from its frequencies, with changes within A, G and within C, T twice as likely as others."""
+    freqs = rates.root_frequencies(encode.consensus(cells(spark, sf_dir, True)), ["aln"])
+    pairs = spark.createDataFrame([(a, b, 2.0 if a + b in ("AG", "CT") else 1.0) for a in "ACGT" for b in "ACGT" if a < b], "from_state string, to_state string, s double")
+    exchange = freqs.select("aln").distinct().crossJoin(F.broadcast(pairs))  # six rows
+    return rates.exchange_matrix(exchange, freqs, ["aln"]).select("aln", "from_state", "to_state", F.round("q", 6).alias("q"))
+
+
+def q49_site_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared matrix at every site, times the site's rate: how often each state leaves itself there."""
+    sites = cells(spark, sf_dir)
+    ref = encode.consensus(sites)
+    events = sites.join(ref, ["aln", "pos"])
+    of_site = rates.site_rates(events, "pos", (F.col("ch") != F.col("ref")).cast("long"), F.lit(STEP))
+    per = rates.site_matrices(ref, _matrix(spark, sf_dir), rates=of_site)
+    return per.select("pos", F.inline(F.array(*[F.struct(F.lit(s).alias("state"), F.round(-F.col("q")[i][i], 6).alias("leaves")) for i, s in enumerate("ACGT")])))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

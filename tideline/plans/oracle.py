@@ -189,4 +189,18 @@ SELECT aln, host, '(' || 's' || host || ':0,' || string_agg('s' || seq || ':0',
         "q36_streamed_placements": f"WITH {_COSTS} SELECT seq, min(label) AS label, max(lh) AS lh FROM near WHERE lh = best GROUP BY seq",
         "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq)
 SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq HAVING min(a.seq) < b.seq""",
+        "q47_length_trials": f"""WITH {_PAIRS}, w AS (SELECT way, CAST(k AS INTEGER) AS k, CAST(1 AS DOUBLE) / 64 * pow(factor, k) AS length FROM (VALUES ('shorter', 0.5::DOUBLE, 5), ('longer', 2.0::DOUBLE, 4)) AS v(way, factor, most), unnest(range(0, 6)) AS t(k) WHERE k <= most),
+c AS (SELECT seq, way, k, length, sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q * length ELSE ln(q * length) END) AS cost FROM w, pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq, way, k, length),
+u AS (SELECT *, cost > lag(cost) OVER (PARTITION BY seq, way ORDER BY k) AS gain FROM c),
+e AS (SELECT *, min(CASE WHEN NOT gain THEN k END) OVER (PARTITION BY seq, way) AS ended FROM u)
+SELECT seq, way, k, length, round(cost, 6) AS cost FROM e WHERE k = coalesce(ended - 1, CASE way WHEN 'shorter' THEN 5 ELSE 4 END)""",
+        "q48_exchange_matrices": f"""WITH {LABEL}, s(state) AS (VALUES ('A'), ('C'), ('G'), ('T')),
+f AS (SELECT aln, ref AS state, count(*) / CAST(sum(count(*)) OVER (PARTITION BY aln) AS DOUBLE) AS freq FROM rl GROUP BY aln, ref),
+r AS (SELECT aln, x.state AS a, y.state AS b, freq * CASE WHEN x.state || y.state IN ('AG', 'GA', 'CT', 'TC') THEN 2 ELSE 1 END AS q FROM s x JOIN f y ON x.state <> y.state),
+d AS (SELECT aln, a, -sum(q) AS q FROM r GROUP BY aln, a), mean AS (SELECT d.aln, -sum(d.q * freq) AS mean FROM d JOIN f ON f.aln = d.aln AND f.state = d.a GROUP BY d.aln)
+SELECT z.aln, a AS from_state, b AS to_state, round(q / mean, 6) AS q FROM (SELECT aln, a, b, q FROM r UNION ALL SELECT aln, a, a, q FROM d) z JOIN mean ON mean.aln = z.aln""",
+        "q49_site_matrices": f"""WITH {_GTR}, p AS (SELECT c0.pos, sum(CAST(ch <> ref AS INTEGER)) AS n, count(*) / CAST(64 AS DOUBLE) AS e FROM c0 JOIN r0 ON r0.pos = c0.pos GROUP BY c0.pos),
+raw AS (SELECT pos, CASE WHEN e <= 0.01 THEN 1.0 WHEN n = 0 THEN 0.001 ELSE n / e END AS raw FROM p),
+r AS (SELECT pos, least(greatest(raw / (SELECT avg(raw) FROM raw), 0.0001), 100.0) AS rate FROM raw)
+SELECT pos, a AS state, round(-q * rate, 6) AS leaves FROM r, g WHERE a = b""",
     }

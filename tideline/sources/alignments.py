@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.states import clean_body
+from ..operators import encode
 
 REFERENCE_NAMES = ("REF", "REFERENCE")
 LEAST_ROWS = 3
@@ -19,6 +20,14 @@ class FormatError(ValueError):
     """A file that does not follow its format."""
 
 
+FORMATS = ("auto", "fasta", "phylip", "delta")
+
+
+def format_named(name: str) -> str:
+    """The format with this name, whatever its case; unknown for any other."""
+    return name.lower() if name.lower() in FORMATS else "unknown"
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
     """fasta, delta, phylip or unknown, from the first lines."""
     lines = [r.value.rstrip("\r") for r in spark.read.text(path).where("trim(value) <> ''").limit(200).collect()]
@@ -172,3 +181,58 @@ def read_site_rates(spark: SparkSession, path: str) -> DataFrame:
         raise FormatError("each line must hold twelve rates")
     each = F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), F.col("f")[i].cast("float").cast("double").alias("q")) for i, (a, b) in enumerate(pairs)])
     return split.select("pos", F.inline(each))
+
+
+def read_rows(spark: SparkSession, path: str, file_format: str, least: int = LEAST_ROWS) -> DataFrame:
+    """(seq, name, text) of a FASTA or PHYLIP file; other formats do not hold whole rows."""
+    readers = {"fasta": read_fasta, "phylip": read_phylip}
+    if format_named(file_format) not in readers:
+        raise FormatError(f"{file_format} is no format of whole sequences")
+    return readers[format_named(file_format)](spark, path, least)
+
+
+def read_alignment(spark: SparkSession, path: str, file_format: str = "auto", reference: str | None = None, least: int = LEAST_ROWS) -> tuple[str, DataFrame, DataFrame]:
+    """(reference, rows (seq, name), differences (seq, type, pos, len)) of a file of any format, which is found out if it is `auto`. Whole
+    sequences are compared with `reference`, or with their consensus if there is none; a file of differences has its own."""
+    found = format_named(file_format)
+    if found == "auto":
+        found = detect_format(spark, path)
+    if found == "unknown":
+        raise FormatError(f"the format of {path} is not known")
+    if found == "delta":
+        if reference is not None:
+            raise FormatError("a file of differences has a reference of its own")
+        own, rows, mut = read_delta(spark, path)
+        if rows.count() < least:
+            raise FormatError(f"at least {least} sequences are needed")
+        return own, rows, mut
+    rows = read_rows(spark, path, found, least)
+    sites = cells(rows)
+    if reference is None:
+        ref = encode.consensus(sites)
+        # one row for each site: the reference is a text that the caller holds
+        parts = ref.agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("parts")).first().parts
+        reference = "".join(x.ref for x in parts)
+    elif rows.where(F.length("text") != len(reference)).limit(1).count():
+        raise FormatError(f"sequences are not of the reference's length, {len(reference)}")
+    return reference, rows.select("seq", "name"), encode.differences(sites, reference_sites(spark, reference)).select("seq", "type", "pos", "len")
+
+
+def reference_sites(spark: SparkSession, reference: str) -> DataFrame:
+    """(aln, pos, ref) of a reference."""
+    return spark.createDataFrame([(0, reference.upper())], "aln int, text string").select("aln", F.posexplode(F.split("text", "")).alias("pos", "ref")).where("ref <> ''")
+
+
+def write_alignment(path: str, reference: str, rows: DataFrame, mut: DataFrame, file_format: str = "delta", overwrite: bool = False) -> None:
+    """Write rows (seq, name) and their differences (seq, type, pos, len) in a format; an existing path is an error unless `overwrite`."""
+    found = format_named(file_format)
+    if found not in ("fasta", "phylip", "delta"):
+        raise FormatError(f"cannot write {file_format}")
+    one = F.lit(0).alias("aln")
+    keyed = mut.select(one, "seq", "type", "pos", "len")
+    if found == "delta":
+        write_text(delta_file(reference, rows, encode.delta_lines(keyed, strict_reference=False)), path, overwrite)
+        return
+    spark = rows.sparkSession
+    texts = encode.reconstruct(keyed, reference_sites(spark, reference), rows.select(one, "seq")).join(rows.select("seq", "name"), "seq").select("aln", "seq", "name", "text")
+    write_text(fasta_lines(texts) if found == "fasta" else phylip_file(rows.count(), len(reference), encode.padded_rows(texts)), path, overwrite)
