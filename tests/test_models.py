@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.operators import encode, rates, trials
+from tideline.operators import algebra, encode, rates, trials
 from tideline.sources import alignments as al
 from tideline.sources import models
 
@@ -112,3 +113,16 @@ def test_formats_and_references_that_do_not_fit(spark, tmp_path):
     with pytest.raises(al.FormatError):
         al.write_alignment(str(tmp_path / "o"), "A", spark.range(0), spark.range(0), "auto")
     assert encode.consensus(al.cells(al.read_rows(spark, str(source), "Fasta"))).count() == 4
+
+
+def test_small_changes_of_a_length_are_left_alone(spark):
+    rows = [("near", 0.1, 0.1005, 0.1), ("far", 0.1, 0.102, 0.102), ("gone", 0.1, None, None), ("new", 0.0, 0.1, 0.1), ("none", 0.0, None, 0.0)]
+    got = spark.createDataFrame(rows, "key string, old double, new double, want double").withColumn("x", algebra.changed_length(F.col("old"), F.col("new")))
+    assert {r.key: r.x for r in got.collect()} == {key: want for key, _, _, want in rows}
+
+
+def test_lengths_to_try(spark):
+    lengths = lambda *a: [x.length for x in spark.range(1).select(trials.trial_lengths(F.lit(a[0]), *a[1:]).alias("x")).first().x]
+    assert lengths(1.0, 0.5, 0.2, 1.0) == [1.0, 0.5, 0.25]
+    assert lengths(1.0, 2.0, 0.2, 4.0) == [1.0, 2.0, 4.0]
+    assert lengths(0.1, 0.5, 0.2, 1.0) == [0.1]
