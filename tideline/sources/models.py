@@ -37,10 +37,9 @@ def read_models(spark: SparkSession, path: str, states: str = AMINO_ACIDS) -> tu
     models = models.withColumn("n_rates", F.when(F.col("symmetric"), n * (n - 1) // 2).otherwise(n * n))
     models = models.withColumn("freqs", F.slice("x", F.col("n_rates") + 1, F.lit(n))).withColumn("rates", F.slice("x", F.lit(1), F.col("n_rates")))
 
-    def each(symmetric: bool) -> Column:
-        return F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), F.get("rates", F.lit(i)).alias("s")) for i, (a, b) in enumerate(_positions(states, symmetric))])
-
-    rates = models.select("model", "symmetric", "x", "n_rates", F.inline(F.when(F.col("symmetric"), each(True)).otherwise(each(False))))
+    places = [(symmetric, i, *pair) for symmetric in (True, False) for i, pair in enumerate(_positions(states, symmetric))]
+    places = F.broadcast(spark.createDataFrame(places, "symmetric boolean, i int, from_state string, to_state string"))  # as many as pairs of states
+    rates = models.select("model", "symmetric", F.posexplode("rates").alias("i", "s")).join(places, ["symmetric", "i"])
     row_sum = rates.where("not symmetric").groupBy("model", "from_state").agg(F.sum("s").alias("total"))
     wrong = [
         models.where((F.size("x") != F.col("n_rates") + n) | F.exists("x", lambda x: x.isNull()) | F.exists("freqs", lambda x: x < 0)).select("model"),
