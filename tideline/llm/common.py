@@ -25,6 +25,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tideline-checkpoint-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+def setting(spark: SparkSession, key: str, vocabulary: str) -> str:
+    """The path that a session's setting names, or the file of that name in the installed package of vocabularies."""
+    if named := spark.conf.get(key, None):
+        return named
+    import public_tokenizers
+
+    return f"file://{public_tokenizers.path(vocabulary)}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and return a frame that reads it. A written table, since a checkpoint of a
     checkpoint carries estimates of size along that grow with each join of a loop."""

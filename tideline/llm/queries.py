@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunking import repeated_passages
-from .common import table
+from .common import scratch, setting, table
 from .cross_entropy import cross_entropy_difference
 from .decontaminate import contamination_report, find_contamination
 from .language_id import language_report
@@ -18,6 +18,9 @@ from .ngram_join import ngram_groups
 from .pii import span_report
 from .quality import quality_report
 from .token_counts import section_tokens
+from .token_store import token_report, write_tokens
+from .turn_repair import repair_report
+from .whitening import whiten
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary's place is the setting `spark.tideline.wordVocabulary`, or that of the installed package of vocabularies."""
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, setting(spark, "spark.tideline.wordVocabulary", "word_bpe_49k.json"))
+    return token_report(spark, path)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 _OP9_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -89,7 +108,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearest": op1_nearest, "op2_cross_entropy": op2_cross_entropy, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts, "op7_pii": op7_pii, "op8_substring_dedup": op8_substring_dedup, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language}
+    return {"op1_nearest": op1_nearest, "op2_cross_entropy": op2_cross_entropy, "op3_mixture": op3_mixture, "op4_quality": op4_quality, "op5_ngram_join": op5_ngram_join, "op6_token_counts": op6_token_counts, "op7_pii": op7_pii, "op8_substring_dedup": op8_substring_dedup, "op9_decontaminate": op9_decontaminate, "op10_language": op10_language, "op11_token_store": op11_token_store, "op12_whitening": op12_whitening, "op13_turn_repair": op13_turn_repair}
 
 
 def oracle_sql() -> dict[str, str]:
