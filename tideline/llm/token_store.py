@@ -8,8 +8,9 @@ Ids are a list column, by a dictionary or as deltas; the columns beside it are d
 enough that their statistics and the page index let a reader of a range of ids skip what it does not need, and readers of
 metadata never touch the ids.
 
-White space separates words for this vocabulary and is dropped, so a text is encoded word by word: each distinct word is given to the
-tokenizer once, and kept, while ids are put together with array operations. Texts of any length go through in pieces.
+White space separates words for this vocabulary and is dropped, and its words never hold both letters and marks like a comma, so a text is
+encoded by words that are cut there: each distinct one is given to the tokenizer once, and kept, while ids are put together with array
+operations. Words of letters are given to it many at a time, as its ids say where a word ends. Texts of any length go through in pieces.
 
 Defined results: null counts as empty; an empty text is the end id alone; rows with a null id come first; rows of one id are ordered by a hash
 of their texts, and equal rows follow each other in any order; an empty table has no parts; other columns are left alone.
@@ -17,6 +18,7 @@ of their texts, and equal rows follow each other in any order; an empty table ha
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,9 @@ from .textkernel import CHUNK_BYTES, SPACE_SEPARATORS, chunks
 #: Bytes of a vocabulary file, at most.
 VOCABULARY_BYTES = 32 << 20
 #: Words that a task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST_WORD = 1 << 17, 48
+REMEMBERED, LONGEST_WORD = 600_000, 48
+#: Words that are given to the tokenizer as one text.
+TOGETHER = 4_096
 #: Bytes of text in a part, about; bytes of a row group and of a page.
 PART_BYTES, GROUP_BYTES, PAGE_BYTES = 256 << 20, 32 << 20, 128 << 10
 ENCODINGS = ("dictionary", "delta")
@@ -41,41 +45,67 @@ class WordEncoder:
     """Ids of many words at once by a tokenizer for which white space only separates words."""
 
     def __init__(self, vocabulary: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        ids = self.tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for t, i in ids.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids of each)."""
-        # one by one: a batch would start the library's threads
-        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(n.sum())), n
+        found: list[np.ndarray] = [np.zeros(0, np.int32)]
+        n = np.zeros(len(words), np.int64)
+        plain = [w.isalpha() for w in words]
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        letters = sum(plain)
+        for lo in range(0, letters, TOGETHER):
+            own = order[lo : min(lo + TOGETHER, letters)]
+            ids = self._each([" ".join(words[i] for i in own)])[0]
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(own):
+                n[own] = np.diff(last, prepend=-1)
+                found.append(ids)
+            else:  # some letter is more than a letter to the tokenizer
+                each = self._each([words[i] for i in own])
+                n[own] = [len(x) for x in each]
+                found += each
+        each = self._each([words[i] for i in order[letters:]])
+        n[order[letters:]] = [len(x) for x in each]
+        ids, sizes = np.concatenate(found + each), n[order]
+        # back from that order to the given one
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(sizes) - sizes
+        return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each word) of a string array."""
         coded = words.dictionary_encode()
         code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        if len(self.slots) + len(distinct) > REMEMBERED:
+        if len(self.lengths) + len(distinct) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self.forget()
-        fresh = [w for w in distinct if w not in self.slots]
-        short = [w for w in fresh if len(w) <= LONGEST_WORD]
-        if short:
-            ids, n = self.encode(short)
-            self.slots.update(zip(short, range(len(self.slots), len(self.slots) + len(short)), strict=True))
-            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, n])
-        long = [w for w in fresh if len(w) > LONGEST_WORD]
+        known = self.slots
+        slots = np.array([known.get(w, -1) for w in distinct], np.int64)
         ids, lengths = self.ids, self.lengths
-        place = dict(zip(long, range(len(lengths), len(lengths) + len(long)), strict=True))
-        if long:
-            more, n = self.encode(long)
+        if len(fresh := np.flatnonzero(slots < 0)):
+            words = [distinct[i] for i in fresh]
+            more, n = self.encode(words)
+            slots[fresh] = len(lengths) + np.arange(len(words))
             ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, n])
-        slot = np.fromiter((self.slots[w] if w in self.slots else place[w] for w in distinct), np.int64, len(distinct))[code]
+            # slots are given to long words too, but no later batch finds those
+            known.update((w, k) for w, k in zip(words, slots[fresh].tolist(), strict=True) if len(w) <= LONGEST_WORD)
+            self.ids, self.lengths = ids, lengths
+        slot = slots[code]
         n = lengths[slot]
         first = (np.cumsum(lengths) - lengths)[slot]
         at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -104,12 +134,36 @@ def _cuts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return starts[order], rows[order]
 
 
+#: Marks that no word holds beside letters, and that no combining mark changes; bytes that end and begin a letter below U+0180.
+MARKS = np.zeros(256, bool)
+MARKS[list(b".,;:!?()")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _cut_within(data: np.ndarray) -> np.ndarray:
+    """Where a letter meets a mark, or a mark a letter: whether a word may be cut before each byte."""
+    mark, letter = MARKS[data], LETTERS[data]
+    lead = (data >= 0xC3) & (data <= 0xC5)
+    first, second = data[:-1], data[1:]
+    # two bytes, but for the signs of times and division, and the I with a dot, which becomes two characters in lower case
+    wide = lead[:-1] & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) & ~((first == 0xC4) & (second == 0xB0))
+    ends = letter.copy()
+    ends[1:] |= wide
+    begins = letter
+    begins[:-1] |= wide
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (ends[:-1] & mark[1:]) | (mark[:-1] & begins[1:])
+    return cut
+
+
 def _piece_ids(encoder: WordEncoder, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number in each row) of rows that lie end to end in `data` from `begin` on."""
     word = ~SPACE_SEPARATORS[data]
     opens = np.empty(len(data), bool)
     opens[:1], opens[1:] = True, ~word[:-1]
     opens[begin[begin < len(data)]] = True
+    opens |= _cut_within(data)
     opens &= word
     body = data[word]
     offsets = np.append(np.flatnonzero(opens[word]), len(body)).astype(np.int32)
