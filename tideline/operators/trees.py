@@ -2,6 +2,8 @@
 
 Pointers to ancestors are doubled: after k rounds every node knows its ancestor 2**k above. So trees of any shape cost a few joins of
 node tables, and nothing follows one level after the other.
+
+A node whose parent is not in the table is the root of a tree of its own; parents that form a cycle are an error.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,17 +33,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _climb(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
-    """(node, steps, the columns of `values`): how many ancestors each node has, and the sums of columns over itself and its ancestors."""
-    start = nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast("bigint").alias(k) for k, v in values.items()])
+def rooted(nodes: DataFrame) -> DataFrame:
+    """The nodes with null for a parent that is not in the table: such a node is a root."""
+    known = nodes.select(F.col("node").alias("_known")).where("_known is not null").distinct()
+    joined = nodes.join(known, F.col("parent") == F.col("_known"), "left")
+    return joined.select(*[F.col("_known").alias("parent") if c == "parent" else F.col(c) for c in nodes.columns])
+
+
+def _rounds(ways: DataFrame) -> Iterator[None]:
+    """As many rounds as pointers need to be doubled to the root of a tree of so many nodes; more mean that parents form a cycle."""
+    for _ in range(max(1, ways.count()).bit_length() + 1):
+        yield
+    raise ValueError("parents form a cycle")
+
+
+def climbed(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
+    """(node, top, steps, the columns of `values`): the root above each node, how many ancestors it has, and the sums of columns over itself
+    and its ancestors. A parent that is not in the table counts as none; a cycle is an error."""
+    start = rooted(nodes).select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast("bigint").alias(k) for k, v in values.items()])
     ways = written(start)
+    rounds = _rounds(ways)
     while not ways.where("up is not null").isEmpty():
-        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), *[F.col(k).alias(f"more_{k}") for k in values])
-        moved = ways.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), *[(F.col(k) + F.col(f"more_{k}")).alias(k) for k in values])
+        next(rounds)
+        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"), *[F.col(k).alias(f"more_{k}") for k in values])
+        moved = ways.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), F.col("next_top").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), *[(F.col(k) + F.col(f"more_{k}")).alias(k) for k in values])
         ways = written(moved.unionByName(ways.where("up is null")))
     return ways.drop("up")
 
 
+def _climb(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
+    """(node, steps, the columns of `values`), see `climbed`."""
+    return climbed(nodes, values).drop("top")
+
+
 def depths(nodes: DataFrame) -> DataFrame:
     """(node, parent, depth), the root at 0."""
     return nodes.select("node", "parent").join(_climb(nodes, {}).select("node", F.col("steps").cast("int").alias("depth")), "node")
@@ -50,8 +75,10 @@ def _below(nodes: DataFrame, own: DataFrame) -> DataFrame:
     """(node, n): the sum of `own` (node, n) over a node and all below it.
 
     Each round adds what has been gathered by nodes 2**k below, then doubles the pointers."""
-    total = written(nodes.select("node", F.col("parent").alias("up")).join(own, "node", "left").fillna(0, ["n"]))
+    total = written(rooted(nodes).select("node", F.col("parent").alias("up")).join(own, "node", "left").fillna(0, ["n"]))
+    rounds = _rounds(total)
     while not total.where("up is not null").isEmpty():
+        next(rounds)
         gained = total.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"))
         above = total.select(F.col("node").alias("up"), F.col("up").alias("next"))
         summed = total.join(gained, "node", "left").join(above, "up", "left")
@@ -69,6 +96,7 @@ def subtree_counts(nodes: DataFrame, weight: str | None = None) -> DataFrame:
 def pre_order(nodes: DataFrame, order: str = "node") -> DataFrame:
     """(node, depth, place): position in pre-order with siblings by `order`: a node adds one and the sizes of its siblings before to its
     parent's place."""
+    nodes = rooted(nodes)
     sizes = _below(nodes, nodes.select("node", F.lit(1).cast("bigint").alias("n"))).withColumnRenamed("n", "size")
     before = Window.partitionBy("parent").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     shift = nodes.join(sizes, "node").withColumn("shift", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0))))
@@ -78,8 +106,10 @@ def pre_order(nodes: DataFrame, order: str = "node") -> DataFrame:
 
 def ancestors(nodes: DataFrame, node: object) -> DataFrame:
     """(node, parent) of a node and all nodes above it: pointers are doubled, and what is marked marks what it points at."""
-    ways = written(nodes.select("node", "parent", F.col("parent").alias("up"), (F.col("node") == F.lit(node)).alias("marked")))
+    ways = written(rooted(nodes).select("node", "parent", F.col("parent").alias("up"), (F.col("node") == F.lit(node)).alias("marked")))
+    rounds = _rounds(ways)
     while not ways.where("up is not null and marked").isEmpty():
+        next(rounds)
         hit = ways.where("marked and up is not null").select(F.col("up").alias("node")).distinct().withColumn("hit", F.lit(True))
         above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"))
         ways = ways.join(hit, "node", "left").join(above, "up", "left").select("node", "parent", F.col("next").alias("up"), (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked"))
