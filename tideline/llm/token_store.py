@@ -94,6 +94,8 @@ class WordEncoder:
         code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if len(self.lengths) + len(distinct) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self.forget()
+        # of ASCII alone, and no special token: capitals make no difference to the vocabulary
+        distinct = [w.lower() if w.isascii() and "<" not in w else w for w in distinct]
         known = self.slots
         slots = np.array([known.get(w, -1) for w in distinct], np.int64)
         ids, lengths = self.ids, self.lengths
