@@ -8,10 +8,10 @@ beyond its number go to the sources that have drawn too few, in pseudorandom ord
 source takes block `permutation(j mod n_blocks)` of that source, so a block is taken again only when all others have been
 taken as often. Slots and blocks meet in one equi-join on (source, block).
 
-Nothing is collected. Word offsets come from two-level running sums: documents fall into hash buckets of a
-source (so a source with a third of all rows is spread over many tasks), buckets are summed, and only the
-bucket sums are ordered; the places of a shard's slots in their source likewise. All draws are functions of the data and `seed`, so
-reruns and retried tasks agree.
+Nothing is collected. Equal rows are counted first and laid end to end. Word offsets come from two-level running sums: distinct
+documents fall into buckets of a source by a hash of id and text (so a source with a third of all rows is spread over many tasks), buckets
+are summed, and only the bucket sums are ordered; the places of a shard's slots in their source likewise. All draws and places are functions of
+the data and `seed`, never of how files are split, so reruns and retried tasks agree.
 
 Defined results: null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own,
 last in order; repeated rows, null ids and rows of one id are documents of their own; without words every target is 0; columns other
@@ -86,14 +86,25 @@ def permuted(index: Column, size: Column, *keys: Column) -> Column:
 
 
 def word_offsets(docs: DataFrame) -> DataFrame:
-    """Add `begin`, the words of the same source before this row, to rows of (row_id, source, size, part)."""
-    buckets = docs.groupBy("source", "part").agg(F.sum("size").alias("bucket_size"))
+    """Add `begin`, the words of the same source before this row, to distinct rows (doc_id, source, size, h, g, copies, part); a row stands for
+    `copies` equal ones."""
+    docs = docs.withColumn("_all", F.col("size") * F.col("copies"))
+    buckets = docs.groupBy("source", "part").agg(F.sum("_all").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("source", "part", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_begin"))
-    inside = Window.partitionBy("source", "part").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = docs.withColumn("local_begin", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = local["source"].eqNullSafe(starts["source"]) & (local["part"] == starts["part"])
-    return local.join(starts, same).select(local["row_id"], local["doc_id"], local["source"], local["size"], (F.col("bucket_begin") + F.col("local_begin")).alias("begin"))
+    starts = buckets.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_begin"))
+    inside = Window.partitionBy("source", "part").orderBy("doc_id", "h", "g", "size").rowsBetween(Window.unboundedPreceding, -1)
+    local = docs.withColumn("local_begin", F.coalesce(F.sum("_all").over(inside), F.lit(0)))
+    both = local.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part")))
+    return both.withColumn("begin", F.col("bucket_begin") + F.col("local_begin")).drop("_all", "local_begin", "bucket_begin", "b_source", "b_part")
+
+
+def copied(placed: DataFrame) -> DataFrame:
+    """Rows with `begin` and `copies` as that many rows, one behind the other. Many copies are expanded in runs, by several tasks."""
+    one = placed.where(F.col("copies") <= SLOT_RUN).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    runs = placed.where(F.col("copies") > SLOT_RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / SLOT_RUN))))
+    runs = runs.repartition(shuffle_width(placed.sparkSession), "h", "_run")
+    many = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * SLOT_RUN, F.least(F.col("copies"), (F.col("_run") + 1) * SLOT_RUN) - 1))).drop("_run")
+    return one.unionByName(many).withColumn("begin", F.col("begin") + F.col("_copy") * F.col("size")).drop("_copy", "copies")
 
 
 def pack(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -175,16 +186,19 @@ def mix_sources(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS,
     The mix has a row (source, shard, slot, block, row_id, words) for each part of a document in each block it takes;
     `row_id` belongs to the row of documents. Write `slots` joined with `pack` to lay the mix out.
     """
-    base = docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("row_id", F.monotonically_increasing_id())
-    base = checkpoint(base)
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    base = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    base = checkpoint(base.groupBy("doc_id", "source", "size", "h", "g").agg(F.count(F.lit(1)).alias("copies")))
+    sizes = base.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     wanted = checkpoint(targets(sizes, weights, share, most).join(sizes.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     known = base.join(wanted, base["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
-    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
-    parts = pack(word_offsets(known.select("row_id", "doc_id", "source", "size", "part")), block_words)
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+    rows = copied(word_offsets(known.select("doc_id", "source", "size", "h", "g", "copies", "source_size", "target", "part")))
+    # numbers of rows as they are written; places do not depend on them
+    rows = checkpoint(rows.select("doc_id", "source", "size", "begin", "source_size", "target").withColumn("row_id", F.monotonically_increasing_id()))
+    parts = pack(rows, block_words)
     taken = slots(wanted, seed, block_words)
     both = taken.hint("merge").join(parts, taken["source"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"])).select(taken["source"], "shard", "slot", taken["block"], "row_id", "words")
-    return known.select("row_id", "doc_id", "size", "source", "source_size", "target"), both
+    return rows.select("row_id", "doc_id", "size", "source", "source_size", "target"), both
 
 
 def mixture_report(docs: DataFrame, **options: object) -> DataFrame:
