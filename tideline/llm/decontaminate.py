@@ -7,26 +7,31 @@ direct comparison of all their words confirms an occurrence.
 
 The patterns are the only thing sent to the tasks, as flat arrays. They are taken in blocks whose arrays have at most about
 `block_bytes` (reckoned from the items' words before they are read; an item that is larger than a block is cut into pieces
-that overlap by a window less one word). Each block is searched in a pass of its own over the same rows, one after
-the other in the same stage, so the broadcast has a fixed bound however large the benchmark is, and no shuffle is needed.
+that overlap by a window less one word). With one block documents are read once, and nothing is shuffled. With more, documents are written
+once with a number for each row, and each block has a pass over them of its own, a job that writes only the rows it hits; one block is made,
+sent and dropped before the next, and the hits of all blocks are joined to their rows at the end. So memory does not grow with the benchmark,
+on the driver or in tasks; the time does.
 "Direct comparison" is of 64-bit word hashes, all of them; two of 2**64 are the only approximation.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no window; an item
 with a null id can hit words but is never listed; repeated rows each get their own result row; other columns play no part, and a
-carried column may not have a result's name.
+carried column that has a result's name is returned with `_carried` behind it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpoint
 from .textkernel import ASCII_LOWER, SYMBOL_SEPARATORS, chunks, mix, words
 
 #: Bytes of a block's arrays, at most about; bytes that a window's arrays and its share of the tables take.
@@ -156,16 +161,6 @@ class Patterns:
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(places), np.concatenate(items)
 
 
-def _merge(intervals: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(intervals):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
 def _covered(start: np.ndarray, length: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of words inside any occurrence."""
     change = np.zeros(total + 1, np.int64)
@@ -175,12 +170,11 @@ def _covered(start: np.ndarray, length: np.ndarray, total: int) -> tuple[np.ndar
     return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], patterns: Patterns, keep: list[str], first: bool) -> Iterator[pa.RecordBatch]:
-    """From rows (text, keep..., and but for the first block n_words, hit_words, hit_items of the blocks before) the same with this block's hits."""
+def _search_batches(batches: Iterator[pa.RecordBatch], patterns: Patterns, hits_only: bool) -> Iterator[pa.RecordBatch]:
+    """From rows (text, row) to (row, n_words, hit_words, hit_items), of all rows or of those with hits."""
     for batch in batches:
-        at = 1 + len(keep)
-        hits = [[] for _ in range(batch.num_rows)] if first else batch.column(at + 1).to_pylist()
-        named = [[] for _ in range(batch.num_rows)] if first else batch.column(at + 2).to_pylist()
+        hits: list[list] = [[] for _ in range(batch.num_rows)]
+        named: list[list] = [[] for _ in range(batch.num_rows)]
         counts = np.zeros(batch.num_rows, np.int64)
         for chunk in chunks(batch.column(0)):
             w = words(chunk, SYMBOL_SEPARATORS, ASCII_LOWER)
@@ -202,13 +196,9 @@ def _search_batches(batches: Iterator[pa.RecordBatch], patterns: Patterns, keep:
                 r, i = divmod(key, len(patterns.ids))
                 if patterns.ids[i] is not None:
                     named[chunk.lo + r].append(patterns.ids[i])
-        hits = [_merge(x) if len(x) > 1 else x for x in hits]
         named = [sorted(set(x)) if len(x) > 1 else x for x in named]
-        columns = [batch.column(i) for i in range(at)]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(counts), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string()))],
-            names=["_text", *keep, *ADDED],
-        )
+        out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string()))], names=["row", *ADDED])
+        yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if hits_only else out
 
 
 ADDED = ("n_words", "hit_words", "hit_items")
@@ -234,23 +224,48 @@ def find_contamination(
     hit_items (sorted ids, as text, of the items with an occurring window).
     """
     carry = list(carry or ["doc_id"])
-    if clash := set(ADDED) & set(carry):
-        raise ValueError(f"carried columns {sorted(clash)} have the names of results")
     wanted = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     # a word has two bytes of text with its separator, at least, and starts one window at most
     most_words = max(1, block_bytes // WINDOW_BYTES)
     wanted = _pieces(wanted, window, most_words)
     total = wanted.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = int(total // (2 * most_words)) + 1
+    rows = docs.select(F.col(text_column).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("row"))
+    found = _one_block(rows, wanted, window) if blocks == 1 else _many_blocks(rows, wanted, window, blocks)
+    return found.select(*[F.col("row").getField(f"c{i}").alias(f"{c}_carried" if c in ADDED else c) for i, c in enumerate(carry)], *ADDED)
+
+
+def _searched(rows: DataFrame, patterns: Broadcast, hits_only: bool) -> DataFrame:
     added = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    out = docs.select(F.col(text_column).alias("_text"), *carry)
-    kept = [out.schema[c] for c in carry]
+    return rows.mapInArrow(lambda it: _search_batches(it, patterns.value, hits_only), T.StructType([rows.schema["row"], *added]))
+
+
+def _one_block(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    patterns = Patterns([(r.id, r.text) for r in items.collect()], window)  # a block's items, which are bounded
+    return _searched(rows, rows.sparkSession.sparkContext.broadcast(patterns), False)
+
+
+def _many_blocks(rows: DataFrame, items: DataFrame, window: int, blocks: int) -> DataFrame:
+    """The same in passes, one for each block."""
+    items = checkpoint(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))))
+    rows = checkpoint(rows.withColumn("number", F.monotonically_increasing_id()))
+    numbered = rows.select("text", F.col("number").alias("row"))
+    hits = []
     for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else wanted
-        patterns = Patterns([(r.id, r.text) for r in part.collect()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(patterns)
-        out = out.mapInArrow(lambda it, s=shared, f=b == 0: _search_batches(it, s.value, carry, f), T.StructType([T.StructField("_text", out.schema["_text"].dataType), *kept, *added]))
-    return out.drop("_text")
+        patterns = Patterns([(r.id, r.text) for r in items.where(F.col("block") == b).select("id", "text").collect()], window)
+        shared = rows.sparkSession.sparkContext.broadcast(patterns)
+        hits.append(checkpoint(_searched(numbered, shared, True).select("row", "hit_words", "hit_items")))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    # ranges in order of their begin: one that touches the last one's end goes on with it
+    last = lambda done: F.element_at(done, -1)
+    step = lambda done, x: F.when((F.size(done) > 0) & (F.get(last(done), F.lit(1)) >= x[0]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last(done)[0], F.greatest(last(done)[1], x[1]))))).otherwise(F.concat(done, F.array(x)))
+    merged = every.select(F.col("row").alias("number"), F.aggregate("w", F.array().cast("array<array<bigint>>"), step).alias("hit_words"), "hit_items")
+    # words are counted by a pass of its own, with no pattern
+    nothing = rows.sparkSession.sparkContext.broadcast(Patterns([], window))
+    counted = _searched(rows.select("text", F.struct("number", "row").alias("row")), nothing, False).select("row.number", "row.row", "n_words")
+    none = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("hit_words", "array<array<bigint>>"), ("hit_items", "array<string>"))]
+    return counted.join(merged, "number", "left").select("row", "n_words", *none)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
