@@ -784,8 +784,9 @@ def test_contamination_carries_columns(spark):
     items = spark.createDataFrame([(5, "b c"), (6, "z")], "item_id long, text string")
     got = sorted(((r.doc_id, r.seen, r["_x"], r.n_words, r.hit_words, r.hit_items) for r in decontaminate.find_contamination(docs, items, carry=["doc_id", "seen", "_x"]).collect()), key=str)
     assert got == sorted([(1, "x", 7, 4, [[1, 3]], ["5"])] * 2 + [(2, None, 8, 0, [], []), (None, "y", 9, 2, [[0, 2]], ["5"])], key=str)
-    with pytest.raises(ValueError, match="hit_words"):
-        decontaminate.find_contamination(docs.withColumnRenamed("seen", "hit_words"), items, carry=["doc_id", "hit_words"])
+    clashing = decontaminate.find_contamination(docs.withColumnRenamed("seen", "hit_words").withColumnRenamed("_x", "_text"), items, carry=["doc_id", "hit_words", "_text"])
+    assert clashing.columns == ["doc_id", "hit_words_carried", "_text", *decontaminate.ADDED]
+    assert sorted((tuple(r) for r in clashing.collect()), key=str) == got
 
 
 def test_no_benchmark(spark, docs, empty):

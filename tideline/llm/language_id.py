@@ -155,7 +155,8 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def train_language_id(docs: DataFrame, bound: int = BOUND) -> ByteNetwork | None:
     """A network trained on rows (doc_id, text, lang) that are not held out; None if there are none."""
-    learn = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
+    # texts without a letter teach nothing, so they are not sampled either
+    learn = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = sample_ids(learn, "lang", bound // PER_TEXT).select(F.col("doc_id").alias("picked"), F.col("lang").alias("as_lang"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = learn.join(F.broadcast(ids), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("as_lang")))  # about `bound` ids
