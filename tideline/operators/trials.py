@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trial_lengths(start: Column, factor: float, shortest: float, longest: float, most: int = 40) -> Column:
+def trial_lengths(start: Column, factor: float, shortest: float, longest: float) -> Column:
     """An array of structs (k, length): start * factor**k from k = 0 on, as far as it stays above `shortest` and not beyond `longest`; the start
     itself is always there."""
-    every = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), (start * F.pow(F.lit(float(factor)), k)).alias("length")))
+    if factor <= 0 or factor == 1:
+        raise ValueError(f"lengths do not change by a factor of {factor}")
+    bound = shortest if factor < 1 else longest
+    # one more than the logarithm says, since it is rounded; the filter decides
+    most = F.when(start > 0, F.greatest(F.ceil(F.log(F.lit(float(bound)) / start) / math.log(factor)) + 1, F.lit(0))).otherwise(0).cast("int")
+    every = F.transform(F.sequence(F.lit(0), most), lambda k: F.struct(k.alias("k"), (start * F.pow(F.lit(float(factor)), k)).alias("length")))
     return F.filter(every, lambda x: (x["k"] == 0) | ((x["length"] > shortest) & (x["length"] <= longest)))
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import algebra, encode, likelihood, placement, rates, segments, trees, trials
+from ..operators import algebra, encode, passes, placement, rates, segments, trees, trials
 from ..sources import trees as tree_text
 from ..streaming import incremental
 
@@ -307,16 +308,46 @@ def q34_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _absorbed(spark, sf_dir)
 
 
+def _quartets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Trees ((4k, 4k + 1), (4k + 2, 4k + 3)) of four rows, all branches of length STEP: nodes, and runs of leaves. Inner nodes are -1 (the root) to -3."""
+    sites = cells(spark, sf_dir)
+    tree = F.floor(F.col("seq") / 4).cast("bigint")
+    rows = _rows(sites).withColumn("tree", tree)
+    whole = trees.written(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("tree"))
+    tips = rows.join(whole, "tree").select("tree", F.col("seq").cast("bigint").alias("node"), F.when(F.col("seq") % 4 < 2, -2).otherwise(-3).cast("bigint").alias("parent"), F.lit(STEP).alias("length"))
+    inner = whole.select("tree", F.inline(F.array(*[F.struct(F.lit(n).cast("bigint").alias("node"), F.lit(p).cast("bigint").alias("parent"), F.lit(STEP).alias("length")) for n, p in ((-1, None), (-2, -1), (-3, -1))])))
+    runs = encode.regions(_mut(sites), _rows(sites), LENGTH).withColumn("tree", tree).join(whole, "tree")
+    return tips.unionByName(inner), runs.select("tree", F.col("seq").cast("bigint").alias("node"), "start", "stop", "type")
+
+
+@dataclass
+class _Passes:
+    m: algebra.Model
+    sums: DataFrame
+    ends: DataFrame
+    steps: DataFrame
+    lower: DataFrame
+    gains: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> _Passes:
+        m, sums = _model(spark, sf_dir)
+        ends = sums.where(F.col("pos") == LENGTH - 1).select("rate", "log_pi")
+        nodes, runs = _quartets(spark, sf_dir)
+        steps = passes.chains(nodes)
+        return cls(m, sums, ends, steps, *passes.lower_lists(steps, passes.runs_of(runs, sums), m, ends))
+
+    def upper(self) -> DataFrame:
+        return passes.upper_lists(self.steps, self.lower, self.m, self.ends)
+
+    def branches(self) -> DataFrame:
+        return passes.branch_segments(self.upper(), passes.node_lists(self.lower), self.ends)
+
+
 def q35_site_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-likelihood of each site of a star of each label's sequences, hung on one root by branches of length STEP."""
-    spread = _matrix(spark, sf_dir).collect()  # 16 rows
-    q = [[next(r.q for r in spread if r.from_state == a and r.to_state == b) for b in "ACGT"] for a in "ACGT"]
-    pi = {r.state: r.freq for r in rates.root_frequencies(encode.consensus(cells(spark, sf_dir))).collect()}
-    sites = cells(spark, sf_dir, True)
-    leaves = sites.select(F.col("aln").cast("long").alias("tree"), F.col("seq").alias("node"), F.col("pos").cast("long").alias("pos"), F.coalesce(_bits("ch"), F.lit(15)).alias("bits"))
-    tips = leaves.select("tree", "node").distinct()
-    nodes = tips.select("tree", "node", F.lit(-1).cast("long").alias("parent"), F.lit(STEP).alias("length")).unionByName(tips.select("tree", F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("length")).distinct())
-    return likelihood.site_likelihoods(nodes, leaves, q, [pi[s] for s in "ACGT"]).select(F.col("tree").alias("label"), "pos", F.round("lh", 6).alias("lh"))
+    """Log-likelihood of each site of trees of four rows, by the pass from the leaves to the root."""
+    p = _Passes.of(spark, sf_dir)
+    return passes.site_likelihoods(p.lower, p.gains, p.steps, p.m, p.sums, p.ends).select("tree", "pos", F.round("lh", 6).alias("lh"))
 
 
 def q36_streamed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,5 +482,38 @@ def q49_site_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("pos", F.inline(F.array(*[F.struct(F.lit(s).alias("state"), F.round(-F.col("q")[i][i], 6).alias("leaves")) for i, s in enumerate("ACGT")])))
 
 
+def q50_tree_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Passes.of(spark, sf_dir)
+    return passes.tree_likelihoods(p.lower, p.gains, p.steps, p.m, p.ends).select("tree", F.round("lh", 6).alias("lh"))
+
+
+def q51_lower_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies below the inner nodes of these trees: sites by type of run, and the lengths since they were seen."""
+    runs = passes.node_lists(_Passes.of(spark, sf_dir).lower).where("node < 0")
+    sites = (F.col("stop") - F.col("start") + 1).cast("bigint")
+    return runs.groupBy("tree", "node", "run.type").agg(F.sum(sites).alias("sites"), F.round(F.sum(sites * F.coalesce("run.n", F.lit(0.0))), 6).alias("length"))
+
+
+def q52_upper_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies on the other side of each branch: sites by type of run, lengths since they were seen and beyond the root."""
+    runs = _Passes.of(spark, sf_dir).upper()
+    sites = (F.col("stop") - F.col("start") + 1).cast("bigint")
+    length = lambda c: F.round(F.sum(sites * F.coalesce(c, F.lit(0.0))), 6)
+    return runs.groupBy("tree", "node", "run.type").agg(F.sum(sites).alias("sites"), length("run.n").alias("length"), length("run.r").alias("beyond"))
+
+
+def q53_branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes along the branches of these trees: unequal determined states at both ends."""
+    return passes.branch_counts(_Passes.of(spark, sf_dir).branches())
+
+
+def q54_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symmetric matrix from those changes and the starting pseudo-counts."""
+    counts = passes.branch_counts(_Passes.of(spark, sf_dir).branches())
+    sites = cells(spark, sf_dir)
+    found = rates.rate_matrix(counts.unionByName(rates.seed_counts(sites)), rates.root_frequencies(encode.consensus(sites)))
+    return found.select("from_state", "to_state", F.round("q", 6).alias("q"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

@@ -77,6 +77,71 @@ _TEXTS = f"{ALL}, tx AS (SELECT seq, string_agg(ch, '' ORDER BY pos) AS text FRO
 _UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
+# Runs of one site as (ty, n, r, v): a state, N or O, lengths, and a list of four numbers; all branches have the length 1/64.
+_T = "(CAST(1 AS DOUBLE) / 64)"
+
+
+def _far(x: str) -> str:
+    return f"(coalesce({x}.n, 0) + {_T})"
+
+
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a.format(k)} * {b.format(k)}" for k in range(1, 5)) + ")"
+
+
+def _below(x: str, i: int, far: str) -> str:
+    """Likelihood of state i at the upper end of a length, of a run below."""
+    own = f"1 + {far} * q[{i}][{i}]"
+    return f"CASE WHEN {x}.ty = 'O' THEN {x}.v[{i}] + {far} * {_dot(f'q[{i}][{{}}]', f'{x}.v[{{}}]')} WHEN instr('ACGT', {x}.ty) = {i} THEN CASE WHEN {own} < 0 THEN 0.25 ELSE {own} END WHEN {x}.ty <> 'N' THEN {far} * q[{i}][instr('ACGT', {x}.ty)] END"
+
+
+def _above(x: str, j: int) -> str:
+    """The same at the lower end, of a run above."""
+    start = lambda i: f"pi[{i}] * (CASE WHEN instr('ACGT', {x}.ty) = {i} THEN 1 ELSE 0 END + coalesce({x}.n, 0) * q[{i}][instr('ACGT', {x}.ty)])"
+    past = f"{start(j)} + ({x}.r + {_T}) * ({' + '.join(f'{start(i)} * q[{i}][{j}]' for i in range(1, 5))})"
+    return f"CASE WHEN {x}.ty = 'O' THEN {x}.v[{j}] + {_far(x)} * {_dot(f'{x}.v[{{}}]', f'q[{{}}][{j}]')} WHEN {x}.ty = 'N' THEN NULL WHEN {x}.r IS NOT NULL THEN {past} ELSE CASE WHEN instr('ACGT', {x}.ty) = {j} THEN 1 ELSE 0 END + {_far(x)} * q[instr('ACGT', {x}.ty)][{j}] END"
+
+
+def _list(f) -> str:  # noqa: ANN001
+    return "[" + ", ".join(f(i) for i in range(1, 5)) + "]"
+
+
+_SIMPLE = "CASE WHEN list_sum([CAST(z > 1e-8 AS INTEGER) FOR z IN w]) = 1 THEN substr('ACGT', list_position([z > 1e-8 FOR z IN w], true), 1) ELSE 'O' END"
+_JOIN = "FROM {a} a JOIN {b} b ON b.tree = a.tree AND b.pos = a.pos, qm"
+_NORMAL = "[z / list_sum(p) FOR z IN p] AS w"
+
+
+def _lower(name: str, a: str, b: str) -> str:
+    """The CTE `name` (tree, pos, ty, n, r, v, gain): two runs merged from below."""
+    product = _list(lambda i: f"({_below('a', i, _far('a'))}) * ({_below('b', i, _far('b'))})")
+    return f"""
+{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, {_far('a')} AS fa, {_far('b')} AS fb, a.v AS av, b.v AS bv, q[instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)][instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)] AS own, {product} AS p {_JOIN.format(a=a, b=b)}),
+{name}_w AS (SELECT *, {_NORMAL}, list_sum(p) AS s FROM {name}_p),
+{name} AS MATERIALIZED (SELECT tree, pos, CASE WHEN ka = 'N' THEN kb WHEN kb = 'N' OR ka = kb AND ka <> 'O' THEN ka ELSE {_SIMPLE} END AS ty,
+  CASE WHEN ka = 'N' AND kb <> 'N' THEN fb WHEN kb = 'N' AND ka <> 'N' THEN fa END AS n, CAST(NULL AS DOUBLE) AS r, CASE WHEN ka = 'N' THEN bv WHEN kb = 'N' THEN av ELSE w END AS v,
+  CASE WHEN ka = 'N' OR kb = 'N' THEN 0 WHEN ka = kb AND ka <> 'O' THEN (fa + fb) * own ELSE ln(s) END AS gain FROM {name}_w)"""
+
+
+def _upper(name: str, a: str, b: str) -> str:
+    """The CTE `name`: a run above met by one below."""
+    product = _list(lambda i: f"({_above('a', i)}) * ({_below('b', i, _far('b'))})")
+    of_b, of_a = _list(lambda i: f"pi[{i}] * ({_below('b', i, _far('b'))})"), _list(lambda i: _above("a", i))
+    return f"""
+{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, a.n AS an, a.r AS ar, {_far('a')} AS fa, {_far('b')} AS fb, {of_a} AS av, {of_b} AS bv, {product} AS p {_JOIN.format(a=a, b=b)}),
+{name}_w AS (SELECT *, {_NORMAL} FROM {name}_p),
+{name} AS MATERIALIZED (SELECT tree, pos, CASE WHEN ka = 'N' THEN kb WHEN kb = 'N' OR ka = kb AND ka <> 'O' THEN ka WHEN ka <> 'O' AND kb <> 'O' THEN 'O' ELSE {_SIMPLE} END AS ty,
+  CASE WHEN ka = 'N' AND kb = 'N' THEN NULL WHEN ka = 'N' THEN CASE WHEN kb = 'O' THEN 0 ELSE fb END WHEN kb = 'N' THEN CASE WHEN ka = 'O' THEN 0 WHEN ar IS NOT NULL THEN an ELSE fa END END AS n,
+  CASE WHEN ka = 'N' AND kb = 'N' THEN NULL WHEN ka = 'N' THEN 0 WHEN kb = 'N' THEN CASE WHEN ka = 'O' THEN 0 ELSE ar + {_T} END END AS r,
+  CASE WHEN ka = 'N' THEN [z / list_sum(bv) FOR z IN bv] WHEN kb = 'N' THEN av ELSE w END AS v FROM {name}_w)"""
+
+
+def _root(name: str, x: str) -> str:
+    """The CTE `name`: what a child of the root sees of the other child's run."""
+    return f"""
+{name}_p AS (SELECT tree, pos, ty, n, r, CASE WHEN ty = 'O' THEN {_list(lambda i: f"pi[{i}] * ({_below('x', i, _far('x'))})")} END AS p FROM {x} x, qm),
+{name} AS MATERIALIZED (SELECT tree, pos, ty, CASE WHEN ty = 'N' OR ty = 'O' THEN n ELSE coalesce(n, 0) + {_T} END AS n, CASE WHEN ty = 'N' OR ty = 'O' THEN r ELSE CAST(0 AS DOUBLE) END AS r, [z / list_sum(p) FOR z IN p] AS v FROM {name}_p)"""
+
+
 def _type(text: str) -> str:
     body = f"regexp_replace({_UP.format(text)}, '[-?.~\\x09-\\x0D\\x20]', '', 'g')"
     count = lambda p: f"length(regexp_replace({body}, '[^{p}]', '', 'g'))"
@@ -90,6 +155,22 @@ def _body(text: str) -> str:
     return f"CASE WHEN regexp_full_match({plain}, '[A-Z0-9?.*~-]*') THEN {plain} END"
 
 
+_QUARTETS = f"""{_GTR},
+qm AS (SELECT (SELECT list(row ORDER BY a) FROM (SELECT a, list(q ORDER BY b) AS row FROM g GROUP BY a)) AS q, (SELECT list(freq ORDER BY state) FROM pi) AS pi),
+four AS (SELECT seq // 4 AS tree FROM (SELECT DISTINCT seq FROM c0) GROUP BY seq // 4 HAVING count(*) = 4),
+tip AS (SELECT seq // 4 AS tree, c0.seq, c0.pos, ref, CASE WHEN ch IN ('N', '-') THEN 'N' ELSE ch END AS ty, CAST(NULL AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS DOUBLE[]) AS v FROM c0 JOIN r0 ON r0.pos = c0.pos WHERE seq // 4 IN (SELECT tree FROM four)),
+{', '.join(f"t{k} AS MATERIALIZED (SELECT * FROM tip WHERE seq % 4 = {k})" for k in range(4))},
+{_lower('l2', 't0', 't1')}, {_lower('l3', 't2', 't3')}, {_lower('l1', 'l2', 'l3')},
+site_lh AS (SELECT l1.tree, l1.pos, l1.gain + l2.gain + l3.gain + CASE WHEN l1.ty = 'N' THEN 0 WHEN l1.ty = 'O' THEN ln({_dot('l1.v[{}]', 'pi[{}]')}) ELSE ln(pi[instr('ACGT', l1.ty)]) END AS lh
+  FROM l1 JOIN l2 ON l2.tree = l1.tree AND l2.pos = l1.pos JOIN l3 ON l3.tree = l1.tree AND l3.pos = l1.pos, qm),
+lows AS (SELECT tree, pos, -1 AS node, ty, n FROM l1 UNION ALL SELECT tree, pos, -2, ty, n FROM l2 UNION ALL SELECT tree, pos, -3, ty, n FROM l3)"""
+_UPPERS = f"""{_QUARTETS}, {_root('u2', 'l3')}, {_root('u3', 'l2')}, {_upper('v0', 'u2', 't1')}, {_upper('v1', 'u2', 't0')}, {_upper('v2', 'u3', 't3')}, {_upper('v3', 'u3', 't2')},
+ups AS (SELECT tree, pos, -2 AS node, ty, n, r FROM u2 UNION ALL SELECT tree, pos, -3, ty, n, r FROM u3 {' '.join(f'UNION ALL SELECT tree, pos, 4 * tree + {k}, ty, n, r FROM v{k}' for k in range(4))}),
+ends AS (SELECT u.ty AS a, l.ty AS b FROM ups u JOIN (SELECT tree, pos, node, ty FROM lows UNION ALL SELECT tree, pos, seq, ty FROM tip) l ON l.tree = u.tree AND l.pos = u.pos AND l.node = u.node WHERE u.ty NOT IN ('N', 'O') AND l.ty NOT IN ('N', 'O') AND u.ty <> l.ty),
+counted AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM ends GROUP BY a, b)"""
+_KIND = "CASE WHEN ty = ref THEN 'R' ELSE ty END"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "q01_consensus": f"WITH {LABEL} SELECT aln, pos, ref FROM rl",
@@ -189,6 +270,16 @@ SELECT aln, host, '(' || 's' || host || ':0,' || string_agg('s' || seq || ':0',
         "q36_streamed_placements": f"WITH {_COSTS} SELECT seq, min(label) AS label, max(lh) AS lh FROM near WHERE lh = best GROUP BY seq",
         "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq)
 SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq HAVING min(a.seq) < b.seq""",
+        "q35_site_likelihoods": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(pos AS INTEGER) AS pos, round(lh, 6) AS lh FROM site_lh",
+        "q50_tree_likelihoods": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, round(sum(lh), 6) AS lh FROM site_lh GROUP BY tree",
+        "q51_lower_runs": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length FROM lows JOIN r0 USING (pos) GROUP BY ALL",
+        "q52_upper_sites": f"WITH {_UPPERS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length, round(sum(coalesce(r, 0)), 6) AS beyond FROM ups JOIN r0 USING (pos) GROUP BY ALL",
+        "q53_branch_counts": f"WITH {_UPPERS} SELECT a AS from_state, b AS to_state, n FROM counted",
+        "q54_tree_matrix": f"""WITH {_UPPERS},
+every AS (SELECT a, b, n FROM counted UNION ALL SELECT a, b, CAST(n AS DOUBLE) FROM {_SEEDS} AS t(a, b, n)),
+twice AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM every UNION ALL SELECT b, a, n FROM every) GROUP BY a, b),
+rate AS (SELECT a, b, n / freq AS q, freq FROM twice JOIN pi ON pi.state = a), diag AS (SELECT a, freq, -sum(q) AS q FROM rate GROUP BY a, freq), mean AS (SELECT -sum(freq * q) AS mean FROM diag)
+SELECT a AS from_state, b AS to_state, round(q / mean, 6) AS q FROM rate, mean UNION ALL SELECT a, a, round(q / mean, 6) FROM diag, mean""",
         "q47_length_trials": f"""WITH {_PAIRS}, w AS (SELECT way, CAST(k AS INTEGER) AS k, CAST(1 AS DOUBLE) / 64 * pow(factor, k) AS length FROM (VALUES ('shorter', 0.5::DOUBLE, 5), ('longer', 2.0::DOUBLE, 4)) AS v(way, factor, most), unnest(range(0, 6)) AS t(k) WHERE k <= most),
 c AS (SELECT seq, way, k, length, sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q * length ELSE ln(q * length) END) AS cost FROM w, pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq, way, k, length),
 u AS (SELECT *, cost > lag(cost) OVER (PARTITION BY seq, way ORDER BY k) AS gain FROM c),
