@@ -147,11 +147,20 @@ def _run_in(cells: Column, slot: Column) -> Column:
     return F.when(F.exists(cells, lambda x: x["slot"] == slot), found["cell"]["run"]).otherwise(algebra.run(F.lit("N")))
 
 
-def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_matrices(met: DataFrame, m: Model, matrices: DataFrame | None) -> tuple[DataFrame, Model]:
+    """Segments with the matrix of their first site, and the model that looks there: all but runs of the reference have one site."""
+    if matrices is None:
+        return met, m
+    own = matrices.select(F.col("pos").alias("_pos"), F.col("q").alias("_q"))
+    return met.join(own, F.col("start") == F.col("_pos")).drop("_pos"), Model(m.states, F.col("_q"), m.pi)
+
+
+def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, gains) of the lower pass: lists (tree, chain, at, node, last, top, ...) behind every step, leaves' own included, and
     (tree, node, start, stop, gain, same_rate) of all merges.
 
-    `steps` comes from `chains`; `leaves` are lists (tree, node, ...); `ends` is one row of the reference's sums over all sites (rate, log_pi)."""
+    `steps` comes from `chains`; `leaves` are lists (tree, node, ...); `ends` is one row of the reference's sums over all sites (rate, log_pi);
+    `matrices` (pos, q) replace the model's matrix at each site."""
     marks = ["at", "node", "last", "top"]
     bottoms = steps.where("at = 0").select(*CHAIN, *marks).join(leaves.select("tree", "node", *PARTS), ["tree", "node"])
     done, gains = [written(bottoms.select(*CHAIN, *marks, *PARTS))], []
@@ -161,9 +170,9 @@ def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame)
             lists = _every(done)
             behind = own.select(*CHAIN).distinct().join(lists.where(F.col("at") == piece * STEPS_AT_ONCE), CHAIN).select(*CHAIN, F.lit(0).alias("slot"), *PARTS)
             beside = own.where("sib is not null").select(*CHAIN, F.col("at").alias("slot"), "sib").join(lists.where("top").select("tree", F.col("chain").alias("sib"), *PARTS), ["tree", "sib"]).select(*CHAIN, "slot", *PARTS)
-            met = laid_over(behind.unionByName(beside), CHAIN, ends).join(_packed(own), CHAIN)
+            met, of_site = _with_matrices(laid_over(behind.unionByName(beside), CHAIN, ends).join(_packed(own), CHAIN), m, matrices)
 
-            def merge(x: Column, s: Column) -> Column:
+            def merge(x: Column, s: Column, m: Model = of_site) -> Column:
                 both = algebra.merge_lowers(m, x, s["step"]["x_length"], s["run"], s["step"]["sib_length"], F.col("ref"), F.col("same_rate"))
                 never = F.struct(F.lit(None).cast(RUN).alias("run"), F.lit(float("-inf")).alias("gain"))
                 met = F.when(x.isNull() | s["run"].isNull(), never).otherwise(both)
@@ -179,7 +188,7 @@ def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame)
     return _every(done), _every(gains) if gains else none
 
 
-def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame) -> DataFrame:
+def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
     """(tree, node, length, ...) lists of the upper pass: for each node but a root, all that is not below it, as seen from its parent's place; `length` is
     that of the node's branch. `lower` is the first result of `lower_lists`."""
     marks = ["chain", "at", "node", "length"]
@@ -194,9 +203,9 @@ def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame) -
             lists = [slot(beside, 2 * F.col("at")), slot(behind, 2 * F.col("at") + 1)]
             if done:
                 lists.append(slot(highest.join(_every(done).select(*CHAIN, "at", *PARTS), [*CHAIN, "at"]), F.lit(0)))
-            met = laid_over(_every(lists), CHAIN, ends).join(_packed(own, down=True), CHAIN)
+            met, of_site = _with_matrices(laid_over(_every(lists), CHAIN, ends).join(_packed(own, down=True), CHAIN), m, matrices)
 
-            def merge(a: Column, s: Column) -> Column:
+            def merge(a: Column, s: Column, m: Model = of_site) -> Column:
                 step, ref = s["step"], F.col("ref")
                 root = step["top"] & (step["depth"] == 0)
                 toward = lambda b, t: F.when(b.isNull(), None).when(root, algebra.root_total(m, b, t)).when(a.isNotNull(), algebra.merge_upper_lower(m, a, step["above"], b, t, ref))

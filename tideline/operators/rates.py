@@ -103,7 +103,7 @@ def changed(old: DataFrame, new: DataFrame, limit: float = 1e-3) -> DataFrame:
 def site_rates(events: DataFrame, key: str, n: Column, exposure: Column, low: float = 1e-4, high: float = 100.0) -> DataFrame:
     """(key, rate): substitutions per exposure, 0.001 without any, 1 where hardly any is to be expected; divided by the mean, clamped."""
     per = events.groupBy(key).agg(F.sum(n).alias("n"), F.sum(exposure).alias("expected"))
-    raw = F.when(F.col("expected") <= 0.01, 1.0).when(F.col("n") == 0, 0.001).otherwise(F.col("n") / F.col("expected"))
+    raw = F.when(F.col("n") == 0, 0.001).when(F.col("expected") <= 0.01, 1.0).otherwise(F.col("n") / F.col("expected"))
     scaled = per.select(key, raw.alias("raw"))
     mean = scaled.agg(F.avg("raw").alias("mean"))
     return scaled.crossJoin(F.broadcast(mean)).select(key, F.least(F.greatest(F.col("raw") / F.col("mean"), F.lit(low)), F.lit(high)).alias("rate"))

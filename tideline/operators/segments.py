@@ -27,10 +27,12 @@ def overlay(left: DataFrame, right: DataFrame, key: list[str], value: str = "typ
     return cut
 
 
-def informativeness(segments: DataFrame, key: list[str]) -> DataFrame:
+def informativeness(segments: DataFrame, key: list[str], identical: bool = False) -> DataFrame:
     """(key, code): 1 if `a` says at least as much as `b` everywhere, -1 if it says less, 0 if neither or they contradict. `a` and `b` are
-    bit sets of possible states; 15 is unknown."""
+    bit sets of possible states; 15 is unknown. With `identical` only equal sets count as 1, and anything else as 0."""
     a, b = F.col("a"), F.col("b")
+    if identical:
+        return segments.groupBy(*key).agg(F.when(F.bool_and(a == b), 1).otherwise(0).alias("code"))
     clash = F.bool_or((a.bitwiseAND(b) != a) & (a.bitwiseAND(b) != b))
     more, less = F.bool_or((a != b) & (a.bitwiseAND(b) == a)), F.bool_or((a != b) & (a.bitwiseAND(b) == b))
     flags = segments.groupBy(*key).agg(clash.alias("clash"), more.alias("more"), less.alias("less"))
@@ -55,26 +57,3 @@ def prefix_sums(rows: DataFrame, key: list[str], order: str, values: dict[str, C
     bases = totals.select(*key, "block", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in values])
     local = rows.select(*key, order, "block", *[F.sum(k).over(inside).alias(k) for k in values])
     return local.join(bases, [*key, "block"]).select(*key, order, *[(F.col(k) + F.col(f"{k}_before")).alias(k) for k in values])
-
-
-def absorbed(rows: DataFrame, width: int, piece: int = 8) -> DataFrame:
-    """(aln, seq, host): rows (aln, seq, text of `width` sites) that say no more than another row of their alignment, equal but for sites
-    that are N in them, with the smallest such row before them.
-
-    A row is compared with those that agree with it in its first piece without N (else in its first known site), which an equi-join finds;
-    a row without known sites is absorbed by the first row.
-    """
-    known = lambda step: F.filter(F.sequence(F.lit(0), F.lit((width - 1) // step)), lambda k: (F.instr(F.substring("text", k * step + 1, F.lit(step)), "N") == 0))
-    key = lambda step, k: F.concat(F.lit(f"{step}:"), k.cast("string"), F.lit(":"), F.substring("text", k * step + 1, F.lit(step)))
-    first = lambda step: F.when(F.size(known(step)) > 0, F.element_at(F.transform(known(step), lambda k: key(step, k)), 1))
-    asked = rows.select("aln", "seq", "text", F.coalesce(first(piece), first(1)).alias("key"))
-    plain = asked.where("key is not null")
-    steps = [r.step for r in plain.select(F.split("key", ":")[0].cast("int").alias("step")).distinct().collect()]  # two at most
-    all_keys = lambda step: F.transform(F.sequence(F.lit(0), F.lit((width - 1) // step)), lambda k: key(step, k))
-    keys = F.concat(*[all_keys(s) for s in steps]) if steps else F.array().cast("array<string>")
-    hosts = rows.select("aln", F.col("seq").alias("host"), F.col("text").alias("host_text"), F.explode(keys).alias("key"))
-    same = plain.join(hosts, ["aln", "key"]).where("host < seq").where(F.expr("host_text rlike concat('^', replace(text, 'N', '.'), '$')"))
-    found = same.groupBy("aln", "seq").agg(F.min("host").alias("host"))
-    least = rows.groupBy("aln").agg(F.min("seq").alias("host"))
-    blank = asked.where("key is null").join(least, "aln").where("host < seq").select("aln", "seq", "host")
-    return found.unionByName(blank)

@@ -7,6 +7,7 @@ star schema gives trees. Doubles are rounded last, so results can be compared be
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import algebra, encode, passes, placement, rates, segments, trees, trials
+from ..operators import absorption, algebra, encode, passes, placement, rates, segments, site_models, trees, trials
 from ..sources import trees as tree_text
 from ..streaming import incremental
 
@@ -275,8 +276,9 @@ def q30_reroot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q31_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Documents that no label stands for."""
+    name = F.col("doc_id").cast("string").alias("name")
+    return trees.unplaced(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), name), table(spark, sf_dir, "labels").select(name)).select("seq", "name")
 
 
 def q32_resampled_support(spark: SparkSession, sf_dir: str, replicates: int = 100) -> DataFrame:
@@ -297,14 +299,30 @@ def q33_two_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(top, 6).alias("first"), F.round(F.greatest(F.least(a, b), F.least(F.greatest(a, b), c)), 6).alias("second"))
 
 
+#: What describes a part as characters: digits of brand and size, and first letters of the kind and of both words of the name, in turns.
+PART_LETTERS, PART_STATES = "0123456789" + string.ascii_uppercase + string.ascii_lowercase, "ACGTNACGT-" + "ACGTACGTACGTACGTACGTACGTAC" * 2
+
+
+def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(aln, seq, pos, ch): a short row of characters for each part, in alignments by the first letter of its kind."""
+    words = F.split("p_name", " ")
+    letters = F.concat(F.lpad(F.element_at(F.split("p_brand", "#"), 2), 2, "0"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.substring("p_type", 1, 1), F.substring(words[0], 1, 1), F.substring(words[1], 1, 1))
+    text = F.translate(letters, PART_LETTERS, PART_STATES)
+    wide = table(spark, sf_dir, "part").select(F.substring("p_type", 1, 1).alias("aln"), F.col("p_partkey").alias("seq"), F.posexplode(F.split(text, "")).alias("pos", "ch"))
+    return wide.where("ch <> ''")
+
+
 def _absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ch = F.when(F.col("ch") == "-", "N").otherwise(F.col("ch"))
-    rows = cells(spark, sf_dir, True).groupBy("aln", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", ch.alias("ch")))).alias("p"))
-    return segments.absorbed(rows.select("aln", "seq", F.array_join(F.transform("p", lambda x: x["ch"]), "").alias("text")), LENGTH)
+    sites = part_cells(spark, sf_dir)
+    ref = encode.consensus(sites)
+    bits = lambda c: F.coalesce(F.element_at(F.create_map(*[x for s, b in (("A", 1), ("C", 2), ("G", 4), ("T", 8)) for x in (F.lit(s), F.lit(b))]), F.col(c)), F.lit(15))
+    mut = encode.differences(sites, ref).join(ref, ["aln", "pos"])
+    diffs = mut.select("aln", "seq", F.col("pos").alias("start"), (F.col("pos") + F.col("len") - 1).alias("stop"), bits("type").alias("bits"), bits("ref").alias("ref_bits"))
+    return absorption.absorbed(_rows(sites), diffs)
 
 
 def q34_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that say no more than another row of their label (equal but for unknown sites), with the smallest such row."""
+    """Parts whose characters say no more than those of another part of their kind (equal but for unknown sites), with the smallest such part."""
     return _absorbed(spark, sf_dir)
 
 
@@ -449,7 +467,7 @@ def q45_support_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q46_minor_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with those that they absorb as clades without lengths."""
+    """Parts with those that they absorb as clades without lengths."""
     return tree_text.minor_clades(_absorbed(spark, sf_dir).select("aln", "host", "seq", F.concat(F.lit("s"), F.col("host").cast("string")).alias("host_name"), F.concat(F.lit("s"), F.col("seq").cast("string")).alias("name")))
 
 
@@ -515,5 +533,28 @@ def q54_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("from_state", "to_state", F.round("q", 6).alias("q"))
 
 
+def _shared_at_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """((pos, ref), (pos, q)): the reference, and the shared matrix at every site."""
+    ref = trees.written(encode.consensus(cells(spark, sf_dir)).select("pos", "ref"))
+    return ref, trees.written(rates.site_matrices(ref, _matrix(spark, sf_dir)))
+
+
+def q55_tree_site_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rate for each site from changes and waiting times along the branches of trees of four rows."""
+    p = _Passes.of(spark, sf_dir)
+    diagonal = _diagonal(spark, sf_dir).select(F.col("ref").alias("state"), "q")
+    return site_models.single_rates(trees.written(p.branches()), p.sums.select("pos", "ref"), diagonal).select("pos", F.round("rate", 6).alias("rate"))
+
+
+def q56_iterated_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of sites after two turns of expected changes along those branches."""
+    nodes, runs = _quartets(spark, sf_dir)
+    sites, shared = _shared_at_sites(spark, sf_dir)
+    m, _ = _model(spark, sf_dir)
+    last = site_models.iterated_matrices(nodes, runs, sites, m, shared, rounds=2, least=float("-inf"))[-1].matrices
+    to = lambda i: F.round(F.col("row")[i], 5)
+    return last.select("pos", F.posexplode("q").alias("i", "row")).select("pos", F.substring(F.lit("ACGT"), F.col("i") + 1, F.lit(1)).alias("from_state"), to(0).alias("to_a"), to(1).alias("to_c"), to(2).alias("to_g"), to(3).alias("to_t"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

@@ -107,27 +107,27 @@ def _list(f) -> str:  # noqa: ANN001
 
 
 _SIMPLE = "CASE WHEN list_sum([CAST(z > 1e-8 AS INTEGER) FOR z IN w]) = 1 THEN substr('ACGT', list_position([z > 1e-8 FOR z IN w], true), 1) ELSE 'O' END"
-_JOIN = "FROM {a} a JOIN {b} b ON b.tree = a.tree AND b.pos = a.pos, qm"
+_JOIN = "FROM {a} a JOIN {b} b ON b.tree = a.tree AND b.pos = a.pos JOIN {qm} qm ON qm.pos = a.pos"
 _NORMAL = "[z / list_sum(p) FOR z IN p] AS w"
 
 
-def _lower(name: str, a: str, b: str) -> str:
+def _lower(name: str, a: str, b: str, qm: str = "qm") -> str:
     """The CTE `name` (tree, pos, ty, n, r, v, gain): two runs merged from below."""
     product = _list(lambda i: f"({_below('a', i, _far('a'))}) * ({_below('b', i, _far('b'))})")
     return f"""
-{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, {_far('a')} AS fa, {_far('b')} AS fb, a.v AS av, b.v AS bv, q[instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)][instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)] AS own, {product} AS p {_JOIN.format(a=a, b=b)}),
+{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, {_far('a')} AS fa, {_far('b')} AS fb, a.v AS av, b.v AS bv, q[instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)][instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)] AS own, {product} AS p {_JOIN.format(a=a, b=b, qm=qm)}),
 {name}_w AS (SELECT *, {_NORMAL}, list_sum(p) AS s FROM {name}_p),
 {name} AS MATERIALIZED (SELECT tree, pos, CASE WHEN ka = 'N' THEN kb WHEN kb = 'N' OR ka = kb AND ka <> 'O' THEN ka ELSE {_SIMPLE} END AS ty,
   CASE WHEN ka = 'N' AND kb <> 'N' THEN fb WHEN kb = 'N' AND ka <> 'N' THEN fa END AS n, CAST(NULL AS DOUBLE) AS r, CASE WHEN ka = 'N' THEN bv WHEN kb = 'N' THEN av ELSE w END AS v,
   CASE WHEN ka = 'N' OR kb = 'N' THEN 0 WHEN ka = kb AND ka <> 'O' THEN (fa + fb) * own ELSE ln(s) END AS gain FROM {name}_w)"""
 
 
-def _upper(name: str, a: str, b: str) -> str:
+def _upper(name: str, a: str, b: str, qm: str = "qm") -> str:
     """The CTE `name`: a run above met by one below."""
     product = _list(lambda i: f"({_above('a', i)}) * ({_below('b', i, _far('b'))})")
     of_b, of_a = _list(lambda i: f"pi[{i}] * ({_below('b', i, _far('b'))})"), _list(lambda i: _above("a", i))
     return f"""
-{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, a.n AS an, a.r AS ar, {_far('a')} AS fa, {_far('b')} AS fb, {of_a} AS av, {of_b} AS bv, {product} AS p {_JOIN.format(a=a, b=b)}),
+{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, a.n AS an, a.r AS ar, {_far('a')} AS fa, {_far('b')} AS fb, {of_a} AS av, {of_b} AS bv, {product} AS p {_JOIN.format(a=a, b=b, qm=qm)}),
 {name}_w AS (SELECT *, {_NORMAL} FROM {name}_p),
 {name} AS MATERIALIZED (SELECT tree, pos, CASE WHEN ka = 'N' THEN kb WHEN kb = 'N' OR ka = kb AND ka <> 'O' THEN ka WHEN ka <> 'O' AND kb <> 'O' THEN 'O' ELSE {_SIMPLE} END AS ty,
   CASE WHEN ka = 'N' AND kb = 'N' THEN NULL WHEN ka = 'N' THEN CASE WHEN kb = 'O' THEN 0 ELSE fb END WHEN kb = 'N' THEN CASE WHEN ka = 'O' THEN 0 WHEN ar IS NOT NULL THEN an ELSE fa END END AS n,
@@ -135,10 +135,10 @@ def _upper(name: str, a: str, b: str) -> str:
   CASE WHEN ka = 'N' THEN [z / list_sum(bv) FOR z IN bv] WHEN kb = 'N' THEN av ELSE w END AS v FROM {name}_w)"""
 
 
-def _root(name: str, x: str) -> str:
+def _root(name: str, x: str, qm: str = "qm") -> str:
     """The CTE `name`: what a child of the root sees of the other child's run."""
     return f"""
-{name}_p AS (SELECT tree, pos, ty, n, r, CASE WHEN ty = 'O' THEN {_list(lambda i: f"pi[{i}] * ({_below('x', i, _far('x'))})")} END AS p FROM {x} x, qm),
+{name}_p AS (SELECT tree, x.pos, ty, n, r, CASE WHEN ty = 'O' THEN {_list(lambda i: f"pi[{i}] * ({_below('x', i, _far('x'))})")} END AS p FROM {x} x JOIN {qm} qm ON qm.pos = x.pos),
 {name} AS MATERIALIZED (SELECT tree, pos, ty, CASE WHEN ty = 'N' OR ty = 'O' THEN n ELSE coalesce(n, 0) + {_T} END AS n, CASE WHEN ty = 'N' OR ty = 'O' THEN r ELSE CAST(0 AS DOUBLE) END AS r, [z / list_sum(p) FOR z IN p] AS v FROM {name}_p)"""
 
 
@@ -155,22 +155,58 @@ def _body(text: str) -> str:
     return f"CASE WHEN regexp_full_match({plain}, '[A-Z0-9?.*~-]*') THEN {plain} END"
 
 
+def _passes(t: str, qm: str) -> str:
+    """Both passes over trees of four rows, with names that begin with `t`, by the matrices of sites in `qm`."""
+    l1, l2, l3 = (f"{t}l{k}" for k in (1, 2, 3))
+    tips = " ".join(f"UNION ALL SELECT tree, pos, 4 * tree + {k}, ty, n, r, v FROM {t}v{k}" for k in range(4))
+    return f"""{_lower(l2, 't0', 't1', qm)}, {_lower(l3, 't2', 't3', qm)}, {_lower(l1, l2, l3, qm)},
+{t}site_lh AS (SELECT a.tree, a.pos, a.gain + b.gain + c.gain + CASE WHEN a.ty = 'N' THEN 0 WHEN a.ty = 'O' THEN ln({_dot('a.v[{}]', 'pi[{}]')}) ELSE ln(pi[instr('ACGT', a.ty)]) END AS lh
+  FROM {l1} a JOIN {l2} b ON b.tree = a.tree AND b.pos = a.pos JOIN {l3} c ON c.tree = a.tree AND c.pos = a.pos JOIN {qm} qm ON qm.pos = a.pos),
+{t}lows AS (SELECT tree, pos, -1 AS node, ty, n, v FROM {l1} UNION ALL SELECT tree, pos, -2, ty, n, v FROM {l2} UNION ALL SELECT tree, pos, -3, ty, n, v FROM {l3} UNION ALL SELECT tree, pos, seq, ty, n, v FROM tip),
+{_root(f'{t}u2', l3, qm)}, {_root(f'{t}u3', l2, qm)}, {_upper(f'{t}v0', f'{t}u2', 't1', qm)}, {_upper(f'{t}v1', f'{t}u2', 't0', qm)}, {_upper(f'{t}v2', f'{t}u3', 't3', qm)}, {_upper(f'{t}v3', f'{t}u3', 't2', qm)},
+{t}ups AS (SELECT tree, pos, -2 AS node, ty, n, r, v FROM {t}u2 UNION ALL SELECT tree, pos, -3, ty, n, r, v FROM {t}u3 {tips}),
+{t}ends AS (SELECT u.pos, u.ty AS a, l.ty AS b, u.n AS an, u.r AS ar, u.v AS av, l.n AS bn, l.v AS bv FROM {t}ups u JOIN {t}lows l ON l.tree = u.tree AND l.pos = u.pos AND l.node = u.node WHERE u.ty <> 'N' AND l.ty <> 'N')"""
+
+
 _QUARTETS = f"""{_GTR},
-qm AS (SELECT (SELECT list(row ORDER BY a) FROM (SELECT a, list(q ORDER BY b) AS row FROM g GROUP BY a)) AS q, (SELECT list(freq ORDER BY state) FROM pi) AS pi),
+q1 AS (SELECT (SELECT list(row ORDER BY a) FROM (SELECT a, list(q ORDER BY b) AS row FROM g GROUP BY a)) AS q, (SELECT list(freq ORDER BY state) FROM pi) AS pi),
+qm AS (SELECT pos, q, pi FROM r0, q1),
 four AS (SELECT seq // 4 AS tree FROM (SELECT DISTINCT seq FROM c0) GROUP BY seq // 4 HAVING count(*) = 4),
 tip AS (SELECT seq // 4 AS tree, c0.seq, c0.pos, ref, CASE WHEN ch IN ('N', '-') THEN 'N' ELSE ch END AS ty, CAST(NULL AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS DOUBLE[]) AS v FROM c0 JOIN r0 ON r0.pos = c0.pos WHERE seq // 4 IN (SELECT tree FROM four)),
 {', '.join(f"t{k} AS MATERIALIZED (SELECT * FROM tip WHERE seq % 4 = {k})" for k in range(4))},
-{_lower('l2', 't0', 't1')}, {_lower('l3', 't2', 't3')}, {_lower('l1', 'l2', 'l3')},
-site_lh AS (SELECT l1.tree, l1.pos, l1.gain + l2.gain + l3.gain + CASE WHEN l1.ty = 'N' THEN 0 WHEN l1.ty = 'O' THEN ln({_dot('l1.v[{}]', 'pi[{}]')}) ELSE ln(pi[instr('ACGT', l1.ty)]) END AS lh
-  FROM l1 JOIN l2 ON l2.tree = l1.tree AND l2.pos = l1.pos JOIN l3 ON l3.tree = l1.tree AND l3.pos = l1.pos, qm),
-lows AS (SELECT tree, pos, -1 AS node, ty, n FROM l1 UNION ALL SELECT tree, pos, -2, ty, n FROM l2 UNION ALL SELECT tree, pos, -3, ty, n FROM l3)"""
-_UPPERS = f"""{_QUARTETS}, {_root('u2', 'l3')}, {_root('u3', 'l2')}, {_upper('v0', 'u2', 't1')}, {_upper('v1', 'u2', 't0')}, {_upper('v2', 'u3', 't3')}, {_upper('v3', 'u3', 't2')},
-ups AS (SELECT tree, pos, -2 AS node, ty, n, r FROM u2 UNION ALL SELECT tree, pos, -3, ty, n, r FROM u3 {' '.join(f'UNION ALL SELECT tree, pos, 4 * tree + {k}, ty, n, r FROM v{k}' for k in range(4))}),
-ends AS (SELECT u.ty AS a, l.ty AS b FROM ups u JOIN (SELECT tree, pos, node, ty FROM lows UNION ALL SELECT tree, pos, seq, ty FROM tip) l ON l.tree = u.tree AND l.pos = u.pos AND l.node = u.node WHERE u.ty NOT IN ('N', 'O') AND l.ty NOT IN ('N', 'O') AND u.ty <> l.ty),
-counted AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM ends GROUP BY a, b)"""
+{_passes('', 'qm')}"""
+_COUNTED = f"""{_QUARTETS}, counted AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM ends WHERE a <> 'O' AND b <> 'O' AND a <> b GROUP BY a, b)"""
+
+
+def _turn(t: str, qm: str, new: str) -> str:
+    """The CTE `new` (pos, q, pi): matrices of sites from the changes and waiting times that the ends of branches under `t` say by `qm`."""
+    vector = lambda ty, v: f"CASE WHEN {ty} = 'O' THEN [floor(z * 1000 + 0.5) / 1000 FOR z IN {v}] ELSE [CASE WHEN instr('ACGT', {ty}) = z THEN 1.0::DOUBLE ELSE 0.0 END FOR z IN [1, 2, 3, 4]] END"
+    return f"""
+{new}_e AS (SELECT pos, {vector('a', 'av')} AS x, {vector('b', 'bv')} AS y, {_T} + CASE WHEN coalesce(ar, 0) > 0 THEN ar ELSE coalesce(an, 0) END AS far, CASE WHEN a <> 'O' AND b <> 'O' THEN coalesce(ar, 0) > 0 ELSE ar IS NOT NULL END AS across,
+  {_T} + coalesce(ar, 0) AS dr, coalesce(an, 0) AS dn, row_number() OVER () AS id FROM {t}ends WHERE coalesce(bn, 0) <= 0),
+{new}_w AS (SELECT id, e.pos, far, across, dr, dn, i, j, q, pi, x[i] * y[j] * CASE WHEN i = j THEN 1 - far * q[i][j] ELSE far * q[i][j] END AS w FROM {new}_e e JOIN {qm} qm ON qm.pos = e.pos, unnest([1, 2, 3, 4]) AS t1(i), unnest([1, 2, 3, 4]) AS t2(j)),
+{new}_p AS (SELECT *, w / sum(w) OVER (PARTITION BY id) AS p FROM {new}_w),
+{new}_s AS (SELECT *, CASE WHEN NOT across THEN 1 WHEN i = j THEN 0 ELSE pi[i] * q[i][j] * dr / (pi[i] * q[i][j] * dr + pi[j] * q[j][i] * dn) END AS share, CASE WHEN across THEN dr ELSE far END AS len FROM {new}_p WHERE w > 0),
+{new}_c AS (SELECT pos, i, j, sum(p * share) AS c FROM {new}_s WHERE i <> j GROUP BY pos, i, j),
+{new}_t AS (SELECT pos, i, sum(wait) AS wait FROM (SELECT pos, i, CASE WHEN i = j THEN p * len ELSE p * share * len / 2 END AS wait FROM {new}_s
+  UNION ALL SELECT pos, j, p * share * len / 2 + CASE WHEN across THEN p * (1 - share) * len ELSE 0 END FROM {new}_s WHERE i <> j) GROUP BY pos, i),
+{new}_g AS (SELECT r0.pos, instr('ACGT', ref) AS r, i, j FROM r0, unnest([1, 2, 3, 4]) AS t1(i), unnest([1, 2, 3, 4]) AS t2(j) WHERE i <> j),
+{new}_ct AS (SELECT i, j, sum(c) AS c FROM {new}_c GROUP BY i, j), {new}_tt AS (SELECT i, sum(wait) AS wait FROM {new}_t GROUP BY i),
+{new}_r AS (SELECT g.pos, g.r, g.i, g.j, (coalesce(c.c, 0) + coalesce(ct.c * CAST(0.1 AS DOUBLE) / tt.wait, 0)) / (coalesce(t.wait, 0) + CAST(0.1 AS DOUBLE)) AS rate
+  FROM {new}_g g LEFT JOIN {new}_c c ON c.pos = g.pos AND c.i = g.i AND c.j = g.j LEFT JOIN {new}_t t ON t.pos = g.pos AND t.i = g.i LEFT JOIN {new}_ct ct ON ct.i = g.i AND ct.j = g.j LEFT JOIN {new}_tt tt ON tt.i = g.i),
+{new}_m AS (SELECT sum(rate) / (SELECT count(*) FROM r0) AS mean FROM {new}_r WHERE i = r),
+{new}_q AS (SELECT pos, i, j, least(greatest(rate / mean, CAST(0.001 AS DOUBLE)), CAST(250 AS DOUBLE)) AS q FROM {new}_r, {new}_m),
+{new}_d AS (SELECT pos, i, j, q FROM {new}_q UNION ALL SELECT pos, i, i, -sum(q) FROM {new}_q GROUP BY pos, i),
+{new} AS MATERIALIZED (SELECT pos, (SELECT list(row ORDER BY i) FROM (SELECT i, list(q ORDER BY j) AS row FROM {new}_d d WHERE d.pos = r0.pos GROUP BY i)) AS q, pi FROM r0, q1)"""
+
+
 _KIND = "CASE WHEN ty = ref THEN 'R' ELSE ty END"
 
 
+_PARTS = """t AS (SELECT substr(p_type, 1, 1) AS aln, p_partkey AS seq,
+  translate(lpad(split_part(p_brand, '#', 2), 2, '0') || lpad(CAST(p_size AS VARCHAR), 2, '0') || substr(p_type, 1, 1) || substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1), '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTNACGTNACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS text FROM part)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "q01_consensus": f"WITH {LABEL} SELECT aln, pos, ref FROM rl",
@@ -214,7 +250,7 @@ SELECT CAST(pos AS INTEGER) AS pos, round(sum(q) OVER w, 6) AS rate, CAST(sum(CA
 t AS (SELECT sum(abs(e.q - d.q)) AS change FROM e JOIN d ON e.a = d.a AND e.b = d.b WHERE e.a <> e.b) SELECT round(change, 6) AS change, change > 0.001 AS updated FROM t""",
         "q21_key_rates": f"""WITH {_STEPS},
 p AS (SELECT from_type, sum(CAST(from_type <> to_type AS INTEGER)) AS n, sum(wait_us / 86400000000.0) AS e FROM steps GROUP BY from_type),
-r AS (SELECT from_type, CASE WHEN e <= 0.01 THEN 1.0 WHEN n = 0 THEN 0.001 ELSE n / e END AS raw FROM p)
+r AS (SELECT from_type, CASE WHEN n = 0 THEN 0.001 WHEN e <= 0.01 THEN 1.0 ELSE n / e END AS raw FROM p)
 SELECT from_type, round(least(greatest(raw / (SELECT avg(raw) FROM r), 0.0001), 100.0), 6) AS rate FROM r""",
         "q22_count_matrices": f"""WITH {_STEPS},
 w AS (SELECT user_id, from_type, sum(wait_us) / 86400000000.0 AS wait FROM steps GROUP BY user_id, from_type),
@@ -237,7 +273,7 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
         "q30_reroot": f"""WITH RECURSIVE {_star(False)}, path(node, parent) AS (SELECT node, parent FROM tree WHERE node = 'c000000001'
   UNION ALL SELECT t.node, t.parent FROM path JOIN tree t ON t.node = path.parent)
 SELECT t.node, CASE WHEN t.node = 'c000000001' THEN NULL ELSE coalesce(p.node, t.parent) END AS parent FROM tree t LEFT JOIN path p ON p.parent = t.node""",
-        "q31_unplaced": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+        "q31_unplaced": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "q32_resampled_support": f"""WITH {ALL}, {LABEL}, hit AS (SELECT rl.aln AS label, rl.pos, CAST(rl.ref = r0.ref AS INTEGER) AS hit FROM rl JOIN r0 ON r0.pos = rl.pos),
 v AS (SELECT a.label, a.pos, a.hit - b.hit AS v FROM hit a JOIN hit b ON b.label = a.label + 1 AND b.pos = a.pos),
 draw AS (SELECT b, ((b * 1103515245 + i * 12345 + b * i * 7919) // 16) % 64 AS pos FROM unnest(range(0, 100)) AS t(b), unnest(range(0, 64)) AS u(i)),
@@ -264,22 +300,29 @@ SELECT 'JC' AS model, x.state AS from_state, y.state AS to_state, CASE WHEN x.st
         "q45_support_rows": f"""WITH {_COSTS}, s AS (SELECT seq, label, exp(lh - best) / sum(exp(lh - best)) OVER (PARTITION BY seq) AS support, row_number() OVER (PARTITION BY seq ORDER BY lh DESC, label) AS place, count(*) OVER (PARTITION BY seq) AS n FROM near WHERE lh >= best - round(ln(64.0), 6))
 SELECT a.seq, 's' || a.seq || chr(9) || a.label || chr(9) || printf('%.5f', a.support) || chr(9) || coalesce(string_agg('in' || b.label || ':' || printf('%.5f', b.support), ',' ORDER BY b.place), '') AS line
 FROM s a LEFT JOIN s b ON b.seq = a.seq AND b.place > 1 AND b.support >= 0.01 WHERE a.place = 1 GROUP BY a.seq, a.label, a.support""",
-        "q46_minor_clades": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq),
+        "q46_minor_clades": f"""WITH {_PARTS},
 h AS (SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq)
 SELECT aln, host, '(' || 's' || host || ':0,' || string_agg('s' || seq || ':0', ',' ORDER BY seq) || ')' AS clade FROM h WHERE host < seq GROUP BY aln, host""",
         "q36_streamed_placements": f"WITH {_COSTS} SELECT seq, min(label) AS label, max(lh) AS lh FROM near WHERE lh = best GROUP BY seq",
-        "q34_absorbed": f"""WITH {LABEL}, t AS (SELECT aln, seq, string_agg(CASE WHEN ch = '-' THEN 'N' ELSE ch END, '' ORDER BY pos) AS text FROM cl GROUP BY aln, seq)
+        "q34_absorbed": f"""WITH {_PARTS}
 SELECT b.aln, b.seq, min(a.seq) AS host FROM t b JOIN t a ON a.aln = b.aln AND regexp_full_match(a.text, replace(b.text, 'N', '.')) GROUP BY b.aln, b.seq HAVING min(a.seq) < b.seq""",
         "q35_site_likelihoods": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(pos AS INTEGER) AS pos, round(lh, 6) AS lh FROM site_lh",
         "q50_tree_likelihoods": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, round(sum(lh), 6) AS lh FROM site_lh GROUP BY tree",
-        "q51_lower_runs": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length FROM lows JOIN r0 USING (pos) GROUP BY ALL",
-        "q52_upper_sites": f"WITH {_UPPERS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length, round(sum(coalesce(r, 0)), 6) AS beyond FROM ups JOIN r0 USING (pos) GROUP BY ALL",
-        "q53_branch_counts": f"WITH {_UPPERS} SELECT a AS from_state, b AS to_state, n FROM counted",
-        "q54_tree_matrix": f"""WITH {_UPPERS},
+        "q51_lower_runs": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length FROM lows JOIN r0 USING (pos) WHERE node < 0 GROUP BY ALL",
+        "q52_upper_sites": f"WITH {_QUARTETS} SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {_KIND} AS type, CAST(count(*) AS BIGINT) AS sites, round(sum(coalesce(n, 0)), 6) AS length, round(sum(coalesce(r, 0)), 6) AS beyond FROM ups JOIN r0 USING (pos) GROUP BY ALL",
+        "q53_branch_counts": f"WITH {_COUNTED} SELECT a AS from_state, b AS to_state, n FROM counted",
+        "q54_tree_matrix": f"""WITH {_COUNTED},
 every AS (SELECT a, b, n FROM counted UNION ALL SELECT a, b, CAST(n AS DOUBLE) FROM {_SEEDS} AS t(a, b, n)),
 twice AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM every UNION ALL SELECT b, a, n FROM every) GROUP BY a, b),
 rate AS (SELECT a, b, n / freq AS q, freq FROM twice JOIN pi ON pi.state = a), diag AS (SELECT a, freq, -sum(q) AS q FROM rate GROUP BY a, freq), mean AS (SELECT -sum(freq * q) AS mean FROM diag)
 SELECT a AS from_state, b AS to_state, round(q / mean, 6) AS q FROM rate, mean UNION ALL SELECT a, a, round(q / mean, 6) FROM diag, mean""",
+        "q55_tree_site_rates": f"""WITH {_QUARTETS},
+n AS (SELECT pos, count(*) AS n FROM ends WHERE a <> 'O' AND b <> 'O' AND a <> b GROUP BY pos),
+e AS (SELECT ends.pos, sum({_T} * abs(q[instr('ACGT', a)][instr('ACGT', a)])) AS e FROM ends, q1 WHERE a <> 'O' AND a = b GROUP BY ends.pos),
+raw AS (SELECT r0.pos, CASE WHEN coalesce(n, 0) = 0 THEN 0.001::DOUBLE WHEN coalesce(e, 0) <= 0.01 THEN 1 ELSE n / e END AS raw FROM r0 LEFT JOIN n ON n.pos = r0.pos LEFT JOIN e ON e.pos = r0.pos)
+SELECT CAST(pos AS INTEGER) AS pos, round(least(greatest(raw / (SELECT avg(raw) FROM raw), 0.0001), 100.0), 6) AS rate FROM raw""",
+        "q56_iterated_matrices": f"""WITH {_QUARTETS}, {_turn('', 'qm', 'qa')}, {_passes('x', 'qa')}, {_turn('x', 'qa', 'qb')}
+SELECT CAST(pos AS INTEGER) AS pos, substr('ACGT', i, 1) AS from_state, round(q[i][1], 5) AS to_a, round(q[i][2], 5) AS to_c, round(q[i][3], 5) AS to_g, round(q[i][4], 5) AS to_t FROM qb, unnest([1, 2, 3, 4]) AS t1(i)""",
         "q47_length_trials": f"""WITH {_PAIRS}, w AS (SELECT way, CAST(k AS INTEGER) AS k, CAST(1 AS DOUBLE) / 64 * pow(factor, k) AS length FROM (VALUES ('shorter', 0.5::DOUBLE, 5), ('longer', 2.0::DOUBLE, 4)) AS v(way, factor, most), unnest(range(0, 6)) AS t(k) WHERE k <= most),
 c AS (SELECT seq, way, k, length, sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q * length ELSE ln(q * length) END) AS cost FROM w, pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq, way, k, length),
 u AS (SELECT *, cost > lag(cost) OVER (PARTITION BY seq, way ORDER BY k) AS gain FROM c),
@@ -291,7 +334,7 @@ r AS (SELECT aln, x.state AS a, y.state AS b, freq * CASE WHEN x.state || y.stat
 d AS (SELECT aln, a, -sum(q) AS q FROM r GROUP BY aln, a), mean AS (SELECT d.aln, -sum(d.q * freq) AS mean FROM d JOIN f ON f.aln = d.aln AND f.state = d.a GROUP BY d.aln)
 SELECT z.aln, a AS from_state, b AS to_state, round(q / mean, 6) AS q FROM (SELECT aln, a, b, q FROM r UNION ALL SELECT aln, a, a, q FROM d) z JOIN mean ON mean.aln = z.aln""",
         "q49_site_matrices": f"""WITH {_GTR}, p AS (SELECT c0.pos, sum(CAST(ch <> ref AS INTEGER)) AS n, count(*) / CAST(64 AS DOUBLE) AS e FROM c0 JOIN r0 ON r0.pos = c0.pos GROUP BY c0.pos),
-raw AS (SELECT pos, CASE WHEN e <= 0.01 THEN 1.0 WHEN n = 0 THEN 0.001 ELSE n / e END AS raw FROM p),
+raw AS (SELECT pos, CASE WHEN n = 0 THEN 0.001 WHEN e <= 0.01 THEN 1.0 ELSE n / e END AS raw FROM p),
 r AS (SELECT pos, least(greatest(raw / (SELECT avg(raw) FROM raw), 0.0001), 100.0) AS rate FROM raw)
 SELECT pos, a AS state, round(-q * rate, 6) AS leaves FROM r, g WHERE a = b""",
     }
