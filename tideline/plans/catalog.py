@@ -233,16 +233,16 @@ def q24_placement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir).select("seq", "label", F.round("lh", 6).alias("lh"))
 
 
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.near_placements(cells(spark, sf_dir), _profiles(spark, sf_dir), _matrix(spark, sf_dir), STEP, round(math.log(LENGTH), 6))
+
+
 def q25_best_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _costs(spark, sf_dir).withColumn("lh", F.round("lh", 6))
-    per = Window.partitionBy("seq")
-    near = scored.withColumn("best", F.max("lh").over(per)).where(F.col("lh") >= F.col("best") - round(math.log(LENGTH), 6))
-    return near.select("seq", "label", "lh", F.row_number().over(per.orderBy(F.desc("lh"), "label")).alias("place"))
+    return _near(spark, sf_dir).select("seq", "label", "lh", F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("lh"), "label")).alias("place"))
 
 
 def q26_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _costs(spark, sf_dir).withColumn("lh", F.round("lh", 6))
-    return rates.supports(scored, ["seq"], "lh", round(math.log(LENGTH), 6)).select("seq", "label", F.round("support", 6).alias("support"))
+    return rates.supports(_near(spark, sf_dir), ["seq"], "lh").select("seq", "label", F.round("support", 6).alias("support"))
 
 
 def star_tree(spark: SparkSession, sf_dir: str, orders: bool = True) -> DataFrame:
@@ -462,8 +462,7 @@ def q44_bound_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q45_support_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _costs(spark, sf_dir).withColumn("lh", F.round("lh", 6))
-    return rates.support_lines(rates.supports(scored, ["seq"], "lh", round(math.log(LENGTH), 6)), "seq", "label")
+    return rates.support_lines(rates.supports(_near(spark, sf_dir), ["seq"], "lh"), "seq", "label")
 
 
 def q46_minor_clades(spark: SparkSession, sf_dir: str) -> DataFrame:

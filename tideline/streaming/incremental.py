@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.placement import best_placement, placement_costs
+from ..operators.placement import best_places
 from ..operators.trees import shared_folder  # noqa: F401
 
 
@@ -22,7 +22,7 @@ def placements(spark: SparkSession, store: str) -> DataFrame:
 
 
 def place_stream(rows: DataFrame, to_sites: Callable[[DataFrame], DataFrame], profiles: DataFrame, matrix: DataFrame, store: str, step: float) -> StreamingQuery:
-    """Place the sequences of a stream on `profiles` (see placement_costs) and keep the results in `store`.
+    """Place the sequences of a stream on `profiles` (see operators.placement) and keep the results in `store`.
 
     `to_sites` turns a micro-batch into (seq, pos, ch). Sequences that the store has already are left alone. Everything that
     is there is read, then the query ends; started again with the same store, it goes on with what is new.
@@ -34,7 +34,7 @@ def place_stream(rows: DataFrame, to_sites: Callable[[DataFrame], DataFrame], pr
         sites = to_sites(batch)
         before = placements(batch.sparkSession, store).where(F.col("batch") < batch_id).select("seq")
         fresh = sites.join(before.hint("merge"), "seq", "left_anti")
-        placed = best_placement(placement_costs(fresh, profiles, matrix, step))
+        placed = best_places(fresh, profiles, matrix, step)
         placed.write.mode("overwrite").parquet(f"{store}/placed/batch={batch_id}")
 
     # an empty part, so that the store can be read before anything is placed
