@@ -130,17 +130,23 @@ def _packed(own: DataFrame, down: bool = False) -> DataFrame:
 
 
 def _fold(start: Column, steps: Column, merge) -> Column:  # noqa: ANN001
-    """Array of (step, run, gain, side) behind each step, from `start` on; merge(run, step) is struct(run, gain, side)."""
-    shape = f"array<struct<at:int,run:{RUN},gain:double,side:{RUN}>>"
-    begin = F.array(F.struct(F.lit(None).alias("at"), start.alias("run"), F.lit(0.0).alias("gain"), F.lit(None).cast(RUN).alias("side"))).cast(shape)
+    """Array of (at, run, gain, side, side_gain) behind each step, from `start` on; merge(run, step) is struct(run, gain, side, side_gain)."""
+    shape = f"array<struct<at:int,run:{RUN},gain:double,side:{RUN},side_gain:double>>"
+    begin = F.array(F.struct(F.lit(None).alias("at"), start.alias("run"), F.lit(0.0).alias("gain"), F.lit(None).cast(RUN).alias("side"), F.lit(0.0).alias("side_gain"))).cast(shape)
 
     def step(done: Column, s: Column) -> Column:
-        met = F.transform(F.array(merge(F.element_at(done, -1)["run"], s)), lambda x: F.struct(s["step"]["at"].alias("at"), x["run"].alias("run"), x["gain"].alias("gain"), x["side"].alias("side")))
+        met = F.transform(F.array(merge(F.element_at(done, -1)["run"], s)), lambda x: F.struct(s["step"]["at"].alias("at"), x["run"].alias("run"), x["gain"].alias("gain"), x["side"].alias("side"), x["side_gain"].alias("side_gain")))
         return F.concat(done, met.cast(shape))
 
     return F.aggregate(steps, begin, step)
 
 
+def _possible(a: Column, b: Column, merged: Column) -> Column:
+    """struct(run, gain) of a merge; what is impossible stays so."""
+    never = F.struct(F.lit(None).cast(RUN).alias("run"), F.lit(float("-inf")).alias("gain"))
+    return F.when(a.isNull() | b.isNull(), never).otherwise(merged)
+
+
 def _run_in(cells: Column, slot: Column) -> Column:
     """The run of a slot; a slot without a list is unknown everywhere."""
     found = F.element_at(F.filter(cells, lambda x: x["slot"] == slot), 1)
@@ -157,7 +163,7 @@ def _with_matrices(met: DataFrame, m: Model, matrices: DataFrame | None) -> tupl
 
 def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, gains) of the lower pass: lists (tree, chain, at, node, last, top, ...) behind every step, leaves' own included, and
-    (tree, node, start, stop, gain, same_rate) of all merges.
+    (tree, chain, at, node, start, stop, gain, same_rate) of all merges.
 
     `steps` comes from `chains`; `leaves` are lists (tree, node, ...); `ends` is one row of the reference's sums over all sites (rate, log_pi);
     `matrices` (pos, q) replace the model's matrix at each site."""
@@ -174,25 +180,28 @@ def lower_lists(steps: DataFrame, leaves: DataFrame, m: Model, ends: DataFrame,
 
             def merge(x: Column, s: Column, m: Model = of_site) -> Column:
                 both = algebra.merge_lowers(m, x, s["step"]["x_length"], s["run"], s["step"]["sib_length"], F.col("ref"), F.col("same_rate"))
-                never = F.struct(F.lit(None).cast(RUN).alias("run"), F.lit(float("-inf")).alias("gain"))
-                met = F.when(x.isNull() | s["run"].isNull(), never).otherwise(both)
-                return F.element_at(F.transform(F.array(met), lambda y: F.struct(y["run"].alias("run"), y["gain"].alias("gain"), F.lit(None).cast(RUN).alias("side"))), 1)
+                met = _possible(x, s["run"], both)
+                return F.element_at(F.transform(F.array(met), lambda y: F.struct(y["run"].alias("run"), y["gain"].alias("gain"), F.lit(None).cast(RUN).alias("side"), F.lit(0.0).alias("side_gain"))), 1)
 
             given = F.transform("steps", lambda s: F.struct(s.alias("step"), _run_in(F.col("cells"), s["at"]).alias("run")))
             folded = met.withColumn("given", given).withColumn("out", _fold(_run_in(F.col("cells"), F.lit(0)), F.col("given"), merge))
             each = folded.select(*CHAIN, "start", "stop", "ref", "rate", "log_pi", "same_rate", F.explode(F.arrays_zip(F.slice("out", 2, F.size("steps")).alias("o"), F.col("steps").alias("s"))).alias("z"))
             found = written(each.select(*CHAIN, "z.s.at", "z.s.node", "z.s.last", "z.s.top", "start", "stop", "z.o.run", "ref", "rate", "log_pi", "z.o.gain", "same_rate"))
-            gains.append(found.select("tree", "node", "start", "stop", "gain", "same_rate"))
+            gains.append(found.select(*CHAIN, "at", "node", "start", "stop", "gain", "same_rate"))
             done.append(written(joined(found.select(*CHAIN, *marks, *PARTS), [*CHAIN, *marks])))
-    none = done[0].select("tree", "node", "start", "stop", F.lit(0.0).alias("gain"), F.lit(0.0).alias("same_rate")).limit(0)
+    none = done[0].select(*CHAIN, "at", "node", "start", "stop", F.lit(0.0).alias("gain"), F.lit(0.0).alias("same_rate")).limit(0)
     return _every(done), _every(gains) if gains else none
 
 
-def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
-    """(tree, node, length, ...) lists of the upper pass: for each node but a root, all that is not below it, as seen from its parent's place; `length` is
-    that of the node's branch. `lower` is the first result of `lower_lists`."""
+def _down(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None, toward) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(lists, gains) of a pass from the roots down, both by (tree, chain, at): lists (..., node, length, ...) for each branch, `node` null within a node of
+    several children, and gains (..., gain), summed over sites.
+
+    toward(m, a, above, b, length, step) gives struct(run, gain): what stands beyond a branch, from `a`, what stands beyond the branch above, over its length,
+    and `b`, what lies below the other branch, over its own."""
     marks = ["chain", "at", "node", "length"]
     done: list[DataFrame] = []
+    gains: list[DataFrame] = []
     for depth, pieces in reversed(_plan(steps)):
         for piece in reversed(range(pieces)):
             own = steps.where((F.col("depth") == depth) & (F.col("at") > piece * STEPS_AT_ONCE) & (F.col("at") <= (piece + 1) * STEPS_AT_ONCE))
@@ -206,23 +215,83 @@ def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, m
             met, of_site = _with_matrices(laid_over(_every(lists), CHAIN, ends).join(_packed(own, down=True), CHAIN), m, matrices)
 
             def merge(a: Column, s: Column, m: Model = of_site) -> Column:
-                step, ref = s["step"], F.col("ref")
-                root = step["top"] & (step["depth"] == 0)
-                toward = lambda b, t: F.when(b.isNull(), None).when(root, algebra.root_total(m, b, t)).when(a.isNotNull(), algebra.merge_upper_lower(m, a, step["above"], b, t, ref))
-                return F.struct(toward(s["sib"], step["sib_length"]).alias("run"), F.lit(0.0).alias("gain"), toward(s["x"], step["x_length"]).alias("side"))
+                step = s["step"]
+                both = F.struct(toward(m, a, step["above"], s["sib"], step["sib_length"], step).alias("on"), toward(m, a, step["above"], s["x"], step["x_length"], step).alias("off"))
+                return F.element_at(F.transform(F.array(both), lambda y: F.struct(y["on"]["run"].alias("run"), y["on"]["gain"].alias("gain"), y["off"]["run"].alias("side"), y["off"]["gain"].alias("side_gain"))), 1)
 
             given = F.transform("steps", lambda s: F.struct(s.alias("step"), _run_in(F.col("cells"), 2 * s["at"]).alias("sib"), _run_in(F.col("cells"), 2 * s["at"] + 1).alias("x")))
             folded = met.withColumn("given", given).withColumn("out", _fold(_run_in(F.col("cells"), F.lit(0)), F.col("given"), merge))
             each = folded.select("tree", "chain", "start", "stop", "ref", "rate", "log_pi", F.explode(F.arrays_zip(F.slice("out", 2, F.size("steps")).alias("o"), F.col("steps").alias("s"))).alias("z"))
             size = steps.where("top").select("tree", F.col("chain").alias("sib"), F.col("at").alias("sib_at"))
             found = written(each.select("tree", "chain", "z.s", "z.o", "start", "stop", "ref", "rate", "log_pi"))
-            on = found.select("tree", "chain", (F.col("s.at") - 1).alias("at"), F.when(F.col("s.first"), F.col("s.x")).alias("node"), F.col("s.x_length").alias("length"), "start", "stop", "o.run", "ref", "rate", "log_pi")
-            off = found.where("s.sib is not null").select("tree", F.col("s.sib").alias("sib"), F.col("s.sib_length").alias("length"), "start", "stop", F.col("o.side").alias("run"), "ref", "rate", "log_pi").join(size, ["tree", "sib"])
-            off = off.select("tree", F.col("sib").alias("chain"), F.col("sib_at").alias("at"), F.col("sib").alias("node"), "length", *PARTS)
-            done.append(written(joined(on.select("tree", *marks, *PARTS).unionByName(off), ["tree", *marks])))
+            on = found.select("tree", "chain", (F.col("s.at") - 1).alias("at"), F.when(F.col("s.first"), F.col("s.x")).alias("node"), F.col("s.x_length").alias("length"), "start", "stop", "o.run", "ref", "rate", "log_pi", "o.gain")
+            off = found.where("s.sib is not null").select("tree", F.col("s.sib").alias("sib"), F.col("s.sib_length").alias("length"), "start", "stop", F.col("o.side").alias("run"), "ref", "rate", "log_pi", F.col("o.side_gain").alias("gain")).join(size, ["tree", "sib"])
+            off = off.select("tree", F.col("sib").alias("chain"), F.col("sib_at").alias("at"), F.col("sib").alias("node"), "length", *PARTS, "gain")
+            branches = on.select("tree", *marks, *PARTS, "gain").unionByName(off)
+            gains.append(branches.groupBy(*CHAIN, "at").agg(F.sum("gain").alias("gain")))
+            done.append(written(joined(branches.select("tree", *marks, *PARTS), ["tree", *marks])))
     if not done:
-        return lower.select("tree", "node", F.lit(0.0).alias("length"), *PARTS).limit(0)
-    return _every(done).where("node is not null").select("tree", "node", "length", *PARTS)
+        none = lower.limit(0)
+        return none.select(*CHAIN, "at", "node", F.lit(0.0).alias("length"), *PARTS), none.select(*CHAIN, "at", F.lit(0.0).alias("gain"))
+    return _every(done), _every(gains)
+
+
+def upper_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
+    """(tree, node, length, ...) lists of the upper pass: for each node but a root, all that is not below it, as seen from its parent's place; `length` is
+    that of the node's branch. `lower` is the first result of `lower_lists`."""
+
+    def toward(m: Model, a: Column, above: Column, b: Column, t: Column, step: Column) -> Column:
+        root = step["top"] & (step["depth"] == 0)
+        run = F.when(b.isNull(), None).when(root, algebra.root_total(m, b, t)).when(a.isNotNull(), algebra.merge_upper_lower(m, a, above, b, t, F.col("ref")))
+        return F.struct(run.alias("run"), F.lit(0.0).alias("gain"))
+
+    lists, _ = _down(steps, lower, m, ends, matrices, toward)
+    return lists.where("node is not null").select("tree", "node", "length", *PARTS)
+
+
+def rest_lists(steps: DataFrame, lower: DataFrame, m: Model, ends: DataFrame, matrices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lists, gains) as `_down`: what would lie below a branch's upper end if the tree hung from that branch, so merged as from below, the frequencies
+    of the root left out; and the log-likelihood of the one merge that this takes."""
+
+    def toward(m: Model, a: Column, above: Column, b: Column, t: Column, step: Column) -> Column:
+        root, none = step["top"] & (step["depth"] == 0), algebra.run(F.lit("N"))
+        # the old root is no node any more: its other branch goes on
+        moved = algebra.merge_lowers(m, b, t, none, F.lit(0.0), F.col("ref"), F.col("same_rate"))
+        merged = algebra.merge_lowers(m, a, above, b, t, F.col("ref"), F.col("same_rate"))
+        return F.when(root, _possible(b, b, moved)).otherwise(_possible(a, b, merged))
+
+    return _down(steps, lower, m, ends, matrices, toward)
+
+
+def root_likelihoods(steps: DataFrame, lower: DataFrame, gains: DataFrame, m: Model, ends: DataFrame) -> DataFrame:
+    """(tree, node, lh): the log-likelihood of each tree if its root were in the middle of the branch above `node`, and for the root's own node as it is.
+
+    Of the merges of the lower pass those on the way to the root go, and those of the pass down take their place; both are sums along pointers."""
+    rest, won = rest_lists(steps, lower, m, ends)
+    # steps as nodes: behind the last step of a chain comes the one that has the chain beside it
+    beside = steps.where("sib is not null").select("tree", F.col("sib").alias("chain"), F.col("chain").alias("next_chain"), F.col("at").alias("next_at"))
+    key = lambda chain, at: F.struct(F.col("tree"), F.col(chain).alias("chain"), at.alias("at"))
+    after = steps.join(beside, CHAIN, "left").select(*CHAIN, "at", "node", "last", key("chain", F.col("at")).alias("id"), F.when(~F.col("top"), key("chain", F.col("at") + 1)).when(F.col("next_at").isNotNull(), key("next_chain", F.col("next_at"))).alias("parent"))
+    of_step = gains.groupBy(*CHAIN, "at").agg(F.sum("gain").alias("lost"))
+    valued = after.join(of_step, [*CHAIN, "at"], "left").join(won.withColumnRenamed("gain", "won"), [*CHAIN, "at"], "left").fillna(0.0, ["lost", "won"])
+    valued = written(valued)
+    paths = trees.climbed(valued.select(F.col("id").alias("node"), "parent", "lost", "won"), {"lost": "lost", "won": "won"}, "double").select(F.col("node").alias("id"), F.col("lost").alias("path_lost"), F.col("won").alias("path_won"))
+    whole = gains.groupBy("tree").agg(F.sum("gain").alias("all"))
+    # the merge in the middle of each branch, and the root's term there
+    below = lower.where("last").select(*CHAIN, "at", F.lit(1).alias("slot"), *PARTS)
+    ways = rest.where("node is not null")
+    met = laid_over(ways.select(*CHAIN, "at", F.lit(0).alias("slot"), *PARTS).unionByName(below.join(ways.select(*CHAIN, "at").distinct(), [*CHAIN, "at"])), [*CHAIN, "at"], ends)
+    half = ways.select(*CHAIN, "at", (F.col("length") / 2).alias("half")).distinct()
+    a, b = F.col("cells")[0]["cell"]["run"], F.col("cells")[1]["cell"]["run"]
+    both = met.join(half, [*CHAIN, "at"]).select(*CHAIN, "at", "ref", "same_pi", _possible(a, b, algebra.merge_lowers(m, a, F.col("half"), b, F.col("half"), F.col("ref"), F.col("same_rate"))).alias("x"))
+    term = F.col("x.gain") + F.coalesce(algebra.root_likelihood(m, F.col("x.run"), F.col("ref"), F.col("same_pi")), F.lit(0.0))
+    at_root = both.groupBy(*CHAIN, "at").agg(F.sum(term).alias("here"))
+    every = valued.where("last").join(paths, "id").join(at_root, [*CHAIN, "at"]).join(whole, "tree")
+    # a merge that was impossible cannot be taken off again
+    kept = F.col("all") - (F.col("path_lost") - F.col("lost")) + F.col("path_won") + F.col("here")
+    moved = every.select("tree", "node", F.when(F.isnan(kept), None).otherwise(kept).alias("lh"))
+    own = tree_likelihoods(lower, gains, steps, m, ends).join(steps.where("depth = 0 and top").select("tree", "node"), "tree").select("tree", "node", "lh")
+    return moved.unionByName(own)
 
 
 def node_lists(lower: DataFrame) -> DataFrame:

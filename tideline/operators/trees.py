@@ -47,10 +47,10 @@ def _rounds(ways: DataFrame) -> Iterator[None]:
     raise ValueError("parents form a cycle")
 
 
-def climbed(nodes: DataFrame, values: dict[str, str]) -> DataFrame:
+def climbed(nodes: DataFrame, values: dict[str, str], kind: str = "bigint") -> DataFrame:
     """(node, top, steps, the columns of `values`): the root above each node, how many ancestors it has, and the sums of columns over itself
     and its ancestors. A parent that is not in the table counts as none; a cycle is an error."""
-    start = rooted(nodes).select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast("bigint").alias(k) for k, v in values.items()])
+    start = rooted(nodes).select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast(kind).alias(k) for k, v in values.items()])
     ways = written(start)
     rounds = _rounds(ways)
     while not ways.where("up is not null").isEmpty():

@@ -555,5 +555,12 @@ def q56_iterated_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("pos", F.posexplode("q").alias("i", "row")).select("pos", F.substring(F.lit("ACGT"), F.col("i") + 1, F.lit(1)).alias("from_state"), to(0).alias("to_a"), to(1).alias("to_c"), to(2).alias("to_g"), to(3).alias("to_t"))
 
 
+def q57_root_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each branch of trees of four rows carries the root: log-likelihood of the tree hung from its middle, and its share among those near the best."""
+    p = _Passes.of(spark, sf_dir)
+    lh = passes.root_likelihoods(p.steps, p.lower, p.gains, p.m, p.ends).withColumn("lh", F.round("lh", 6))
+    return rates.supports(lh, ["tree"], "lh", round(math.log(LENGTH), 6)).where("support >= 0.01").select("tree", "node", "lh", F.round("support", 5).alias("support"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

@@ -81,8 +81,8 @@ _UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
 _T = "(CAST(1 AS DOUBLE) / 64)"
 
 
-def _far(x: str) -> str:
-    return f"(coalesce({x}.n, 0) + {_T})"
+def _far(x: str, t: str = _T) -> str:
+    return f"(coalesce({x}.n, 0) + {t})"
 
 
 def _dot(a: str, b: str) -> str:
@@ -111,11 +111,11 @@ _JOIN = "FROM {a} a JOIN {b} b ON b.tree = a.tree AND b.pos = a.pos JOIN {qm} qm
 _NORMAL = "[z / list_sum(p) FOR z IN p] AS w"
 
 
-def _lower(name: str, a: str, b: str, qm: str = "qm") -> str:
+def _lower(name: str, a: str, b: str, qm: str = "qm", t: str = _T) -> str:
     """The CTE `name` (tree, pos, ty, n, r, v, gain): two runs merged from below."""
-    product = _list(lambda i: f"({_below('a', i, _far('a'))}) * ({_below('b', i, _far('b'))})")
+    product = _list(lambda i: f"({_below('a', i, _far('a', t))}) * ({_below('b', i, _far('b', t))})")
     return f"""
-{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, {_far('a')} AS fa, {_far('b')} AS fb, a.v AS av, b.v AS bv, q[instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)][instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)] AS own, {product} AS p {_JOIN.format(a=a, b=b, qm=qm)}),
+{name}_p AS (SELECT a.tree, a.pos, a.ty AS ka, b.ty AS kb, {_far('a', t)} AS fa, {_far('b', t)} AS fb, a.v AS av, b.v AS bv, q[instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)][instr('ACGT', CASE WHEN a.ty IN ('N', 'O') THEN 'A' ELSE a.ty END)] AS own, {product} AS p {_JOIN.format(a=a, b=b, qm=qm)}),
 {name}_w AS (SELECT *, {_NORMAL}, list_sum(p) AS s FROM {name}_p),
 {name} AS MATERIALIZED (SELECT tree, pos, CASE WHEN ka = 'N' THEN kb WHEN kb = 'N' OR ka = kb AND ka <> 'O' THEN ka ELSE {_SIMPLE} END AS ty,
   CASE WHEN ka = 'N' AND kb <> 'N' THEN fb WHEN kb = 'N' AND ka <> 'N' THEN fa END AS n, CAST(NULL AS DOUBLE) AS r, CASE WHEN ka = 'N' THEN bv WHEN kb = 'N' THEN av ELSE w END AS v,
@@ -203,6 +203,23 @@ def _turn(t: str, qm: str, new: str) -> str:
 _KIND = "CASE WHEN ty = ref THEN 'R' ELSE ty END"
 
 
+def _hung() -> str:
+    """The CTE `hung` (tree, pos, node, lh): sites of trees of four rows, hung from the middle of the branch above each node."""
+    half = "(CAST(1 AS DOUBLE) / 128)"
+    moved = lambda name, x: f"{name} AS (SELECT tree, pos, ty, CASE WHEN ty <> 'N' THEN coalesce(n, 0) + {_T} END AS n, r, v FROM {x})"
+    pi_of = f"CASE WHEN z.ty = 'N' THEN 0 WHEN z.ty = 'O' THEN ln({_dot('z.v[{}]', 'pi[{}]')}) ELSE ln(pi[instr('ACGT', z.ty)]) END"
+    parts, found = [moved("m2", "l3"), moved("m3", "l2")], ["SELECT tree, pos, -1 AS node, lh FROM site_lh"]
+    for node, rest, own, other, far in ((-2, "m2", "l2", None, "l3"), (-3, "m3", "l3", None, "l2"), *((f"4 * z.tree + {k}", f"g{k}", f"t{k}", "l3" if k < 2 else "l2", None) for k in range(4))):
+        k = str(node)[-1]
+        kept = [f"SELECT tree, pos, gain FROM {x}" for x in ("l2", "l3")]
+        if own[0] == "t":  # the cherry's own merge goes, one with its sibling comes
+            parts.append(_lower(rest, "m2" if k in "01" else "m3", f"t{int(k) ^ 1}"))
+            kept = [f"SELECT tree, pos, gain FROM {other}", f"SELECT tree, pos, gain FROM {rest}"]
+        parts.append(_lower(f"z{own}", rest, own, t=half))
+        found.append(f"SELECT z.tree, z.pos, {node}, z.gain + c.gain + d.gain + {pi_of} FROM z{own} z JOIN ({kept[0]}) c ON c.tree = z.tree AND c.pos = z.pos JOIN ({kept[1]}) d ON d.tree = z.tree AND d.pos = z.pos JOIN qm ON qm.pos = z.pos")
+    return ", ".join(parts) + ", hung AS (" + " UNION ALL ".join(found) + ")"
+
+
 _PARTS = """t AS (SELECT substr(p_type, 1, 1) AS aln, p_partkey AS seq,
   translate(lpad(split_part(p_brand, '#', 2), 2, '0') || lpad(CAST(p_size AS VARCHAR), 2, '0') || substr(p_type, 1, 1) || substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1), '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTNACGTNACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS text FROM part)"""
 
@@ -323,6 +340,10 @@ raw AS (SELECT r0.pos, CASE WHEN coalesce(n, 0) = 0 THEN 0.001::DOUBLE WHEN coal
 SELECT CAST(pos AS INTEGER) AS pos, round(least(greatest(raw / (SELECT avg(raw) FROM raw), 0.0001), 100.0), 6) AS rate FROM raw""",
         "q56_iterated_matrices": f"""WITH {_QUARTETS}, {_turn('', 'qm', 'qa')}, {_passes('x', 'qa')}, {_turn('x', 'qa', 'qb')}
 SELECT CAST(pos AS INTEGER) AS pos, substr('ACGT', i, 1) AS from_state, round(q[i][1], 5) AS to_a, round(q[i][2], 5) AS to_c, round(q[i][3], 5) AS to_g, round(q[i][4], 5) AS to_t FROM qb, unnest([1, 2, 3, 4]) AS t1(i)""",
+        "q57_root_supports": f"""WITH {_QUARTETS}, {_hung()},
+h AS (SELECT tree, node, round(sum(lh), 6) AS lh FROM hung GROUP BY tree, node), b AS (SELECT *, max(lh) OVER (PARTITION BY tree) AS best FROM h),
+s AS (SELECT tree, node, lh, exp(lh - best) / sum(exp(lh - best)) OVER (PARTITION BY tree) AS support FROM b WHERE lh >= best - round(ln(64.0), 6))
+SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, lh, round(support, 5) AS support FROM s WHERE support >= 0.01""",
         "q47_length_trials": f"""WITH {_PAIRS}, w AS (SELECT way, CAST(k AS INTEGER) AS k, CAST(1 AS DOUBLE) / 64 * pow(factor, k) AS length FROM (VALUES ('shorter', 0.5::DOUBLE, 5), ('longer', 2.0::DOUBLE, 4)) AS v(way, factor, most), unnest(range(0, 6)) AS t(k) WHERE k <= most),
 c AS (SELECT seq, way, k, length, sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q * length ELSE ln(q * length) END) AS cost FROM w, pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq, way, k, length),
 u AS (SELECT *, cost > lag(cost) OVER (PARTITION BY seq, way ORDER BY k) AS gain FROM c),
