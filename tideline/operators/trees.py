@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    """The frame as such a table, and how many of its rows meet a condition, counted while it is written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.when(what, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def rooted(nodes: DataFrame) -> DataFrame:
     """The nodes with null for a parent that is not in the table: such a node is a root."""
     known = nodes.select(F.col("node").alias("_known")).where("_known is not null").distinct()
@@ -40,9 +47,9 @@ def rooted(nodes: DataFrame) -> DataFrame:
     return joined.select(*[F.col("_known").alias("parent") if c == "parent" else F.col(c) for c in nodes.columns])
 
 
-def _rounds(ways: DataFrame) -> Iterator[None]:
-    """As many rounds as pointers need to be doubled to the root of a tree of so many nodes; more mean that parents form a cycle."""
-    for _ in range(max(1, ways.count()).bit_length() + 1):
+def _rounds(open_nodes: int) -> Iterator[None]:
+    """As many rounds as pointers need to be doubled until none of so many nodes has one; more mean that parents form a cycle."""
+    for _ in range(max(1, open_nodes).bit_length() + 2):
         yield
     raise ValueError("parents form a cycle")
 
@@ -51,13 +58,13 @@ def climbed(nodes: DataFrame, values: dict[str, str], kind: str = "bigint") -> D
     """(node, top, steps, the columns of `values`): the root above each node, how many ancestors it has, and the sums of columns over itself
     and its ancestors. A parent that is not in the table counts as none; a cycle is an error."""
     start = rooted(nodes).select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), *[F.col(v).cast(kind).alias(k) for k, v in values.items()])
-    ways = written(start)
-    rounds = _rounds(ways)
-    while not ways.where("up is not null").isEmpty():
+    ways, left = counted(start, F.col("up").isNotNull())
+    rounds = _rounds(left)
+    while left:
         next(rounds)
         above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"), *[F.col(k).alias(f"more_{k}") for k in values])
         moved = ways.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), F.col("next_top").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), *[(F.col(k) + F.col(f"more_{k}")).alias(k) for k in values])
-        ways = written(moved.unionByName(ways.where("up is null")))
+        ways, left = counted(moved.unionByName(ways.where("up is null")), F.col("up").isNotNull())
     return ways.drop("up")
 
 
@@ -75,14 +82,14 @@ def _below(nodes: DataFrame, own: DataFrame) -> DataFrame:
     """(node, n): the sum of `own` (node, n) over a node and all below it.
 
     Each round adds what has been gathered by nodes 2**k below, then doubles the pointers."""
-    total = written(rooted(nodes).select("node", F.col("parent").alias("up")).join(own, "node", "left").fillna(0, ["n"]))
-    rounds = _rounds(total)
-    while not total.where("up is not null").isEmpty():
+    total, left = counted(rooted(nodes).select("node", F.col("parent").alias("up")).join(own, "node", "left").fillna(0, ["n"]), F.col("up").isNotNull())
+    rounds = _rounds(left)
+    while left:
         next(rounds)
         gained = total.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"))
         above = total.select(F.col("node").alias("up"), F.col("up").alias("next"))
         summed = total.join(gained, "node", "left").join(above, "up", "left")
-        total = written(summed.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        total, left = counted(summed.select("node", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), F.col("up").isNotNull())
     return total.select("node", "n")
 
 
@@ -106,14 +113,16 @@ def pre_order(nodes: DataFrame, order: str = "node") -> DataFrame:
 
 def ancestors(nodes: DataFrame, node: object) -> DataFrame:
     """(node, parent) of a node and all nodes above it: pointers are doubled, and what is marked marks what it points at."""
-    ways = written(rooted(nodes).select("node", "parent", F.col("parent").alias("up"), (F.col("node") == F.lit(node)).alias("marked")))
-    rounds = _rounds(ways)
-    while not ways.where("up is not null and marked").isEmpty():
+    going = F.col("up").isNotNull() & F.col("marked")
+    start = rooted(nodes).select("node", "parent", F.col("parent").alias("up"), (F.col("node") == F.lit(node)).alias("marked"))
+    ways, left = counted(start, going)
+    rounds = _rounds(nodes.count())
+    while left:
         next(rounds)
         hit = ways.where("marked and up is not null").select(F.col("up").alias("node")).distinct().withColumn("hit", F.lit(True))
         above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"))
         ways = ways.join(hit, "node", "left").join(above, "up", "left").select("node", "parent", F.col("next").alias("up"), (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked"))
-        ways = written(ways)
+        ways, left = counted(ways, going)
     return ways.where("marked").select("node", "parent")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import absorption, algebra, encode, passes, placement, rates, segments, site_models, trees, trials
+from ..operators import absorption, algebra, branch_tests, encode, passes, placement, rates, segments, site_models, trees, trials
 from ..sources import trees as tree_text
 from ..streaming import incremental
 
@@ -282,15 +282,14 @@ def q31_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q32_resampled_support(spark: SparkSession, sf_dir: str, replicates: int = 100) -> DataFrame:
-    """Per label: the share of site resamples in which the label's consensus agrees with more of the overall one than the next label's."""
-    ref = encode.consensus(cells(spark, sf_dir)).select("pos", F.col("ref").alias("base"))
-    own = encode.consensus(cells(spark, sf_dir, True)).select(F.col("aln").alias("label"), "pos", "ref").join(ref, "pos").select("label", "pos", (F.col("ref") == F.col("base")).cast("int").alias("hit"))
-    following = own.select((F.col("label") - 1).alias("label"), "pos", F.col("hit").alias("next_hit"))
-    value = own.join(following, ["label", "pos"]).select("label", "pos", (F.col("hit") - F.col("next_hit")).alias("v"))
-    draws = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(LENGTH - 1))).alias("i"))
-    draws = draws.select("b", (((F.col("b") * 1103515245 + F.col("i") * 12345 + F.col("b") * F.col("i") * 7919) / 16).cast("long") % LENGTH).cast("int").alias("pos"))
-    sums = value.join(draws, "pos").groupBy("label", "b").agg(F.sum("v").alias("s"))
-    return sums.groupBy("label").agg(F.round(100 * F.avg((F.col("s") >= 0).cast("double")), 6).alias("support"))
+    """Support of the inner branches of trees of four rows by resampled sites, with the log-likelihoods of the two neighbouring trees less that of the tree."""
+    p = _Passes.of(spark, sf_dir)
+    nodes, _ = _quartets(spark, sf_dir)
+    rest, _ = passes.rest_lists(p.steps, p.lower, p.m, p.ends)
+    around = trees.written(branch_tests.quartets(nodes, passes.node_lists(p.lower), rest.where("node is not null")))
+    differences = trees.written(branch_tests.site_differences(around, p.m, p.sums, p.ends))
+    found = branch_tests.resampled_supports(around, differences, branch_tests.site_weights(spark, LENGTH, replicates), replicates)
+    return found.select("tree", "node", F.round("d2", 6).alias("d2"), F.round("d3", 6).alias("d3"), F.round("support", 4).alias("support"))
 
 
 def q33_two_largest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,16 @@ def _hung() -> str:
     return ", ".join(parts) + ", hung AS (" + " UNION ALL ".join(found) + ")"
 
 
+def _swapped() -> str:
+    """The CTEs `swap2` and `swap3` (tree, pos, lh): sites of the two neighbouring trees of four rows."""
+    pi_of = f"CASE WHEN a.ty = 'N' THEN 0 WHEN a.ty = 'O' THEN ln({_dot('a.v[{}]', 'pi[{}]')}) ELSE ln(pi[instr('ACGT', a.ty)]) END"
+    parts = []
+    for name, (i, j), (k, l) in (("swap2", (2, 1), (0, 3)), ("swap3", (0, 2), (1, 3))):
+        parts += [_lower(f"{name}a", f"t{i}", f"t{j}"), _lower(f"{name}b", f"t{k}", f"t{l}"), _lower(f"{name}c", f"{name}a", f"{name}b")]
+        parts.append(f"{name} AS (SELECT a.tree, a.pos, a.gain + b.gain + c.gain + {pi_of} AS lh FROM {name}c a JOIN {name}a b ON b.tree = a.tree AND b.pos = a.pos JOIN {name}b c ON c.tree = a.tree AND c.pos = a.pos JOIN qm ON qm.pos = a.pos)")
+    return ", ".join(parts)
+
+
 _PARTS = """t AS (SELECT substr(p_type, 1, 1) AS aln, p_partkey AS seq,
   translate(lpad(split_part(p_brand, '#', 2), 2, '0') || lpad(CAST(p_size AS VARCHAR), 2, '0') || substr(p_type, 1, 1) || substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1), '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTNACGTNACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS text FROM part)"""
 
@@ -291,10 +301,13 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
   UNION ALL SELECT t.node, t.parent FROM path JOIN tree t ON t.node = path.parent)
 SELECT t.node, CASE WHEN t.node = 'c000000001' THEN NULL ELSE coalesce(p.node, t.parent) END AS parent FROM tree t LEFT JOIN path p ON p.parent = t.node""",
         "q31_unplaced": "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
-        "q32_resampled_support": f"""WITH {ALL}, {LABEL}, hit AS (SELECT rl.aln AS label, rl.pos, CAST(rl.ref = r0.ref AS INTEGER) AS hit FROM rl JOIN r0 ON r0.pos = rl.pos),
-v AS (SELECT a.label, a.pos, a.hit - b.hit AS v FROM hit a JOIN hit b ON b.label = a.label + 1 AND b.pos = a.pos),
-draw AS (SELECT b, ((b * 1103515245 + i * 12345 + b * i * 7919) // 16) % 64 AS pos FROM unnest(range(0, 100)) AS t(b), unnest(range(0, 64)) AS u(i)),
-s AS (SELECT label, b, sum(v) AS s FROM v JOIN draw USING (pos) GROUP BY label, b) SELECT label, round(100 * avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END), 6) AS support FROM s GROUP BY label""",
+        "q32_resampled_support": f"""WITH {_QUARTETS}, {_swapped()},
+d AS (SELECT s.tree, s.pos, b.lh - s.lh AS d2, c.lh - s.lh AS d3 FROM site_lh s JOIN swap2 b ON b.tree = s.tree AND b.pos = s.pos JOIN swap3 c ON c.tree = s.tree AND c.pos = s.pos),
+t AS (SELECT tree, sum(d2) AS d2, sum(d3) AS d3 FROM d GROUP BY tree),
+w AS (SELECT b, pos, count(*) AS n FROM (SELECT b, CAST('0x' || substr(md5('0:' || b || ':' || j), 1, 8) AS BIGINT) % 64 AS pos FROM unnest(range(0, 100)) AS t1(b), unnest(range(0, 64)) AS t2(j)) GROUP BY b, pos),
+x AS (SELECT d.tree, g.b, sum(d2 * (coalesce(n, 0) - 1)) AS x2, sum(d3 * (coalesce(n, 0) - 1)) AS x3 FROM d CROSS JOIN unnest(range(0, 100)) AS g(b) LEFT JOIN w ON w.b = g.b AND w.pos = d.pos GROUP BY d.tree, g.b),
+h AS (SELECT x.tree, count(*) FILTER (WHERE -greatest(d2, d3) > list_sort([0, x2, x3])[3] - list_sort([0, x2, x3])[2] + CAST(0.05 AS DOUBLE)) AS hits FROM x JOIN t ON t.tree = x.tree GROUP BY x.tree)
+SELECT CAST(t.tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, round(d2, 6) AS d2, round(d3, 6) AS d3, round(CAST(100 AS DOUBLE) * hits / 100, 4) AS support FROM t JOIN h ON h.tree = t.tree, (VALUES (-2), (-3)) AS n(node)""",
         "q33_two_largest": """SELECT l_orderkey, l_linenumber, l_partkey, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[3], 6) AS first, round(list_sort([l_tax, l_discount, l_linenumber / 100.0])[2], 6) AS second FROM lineitem""",
         "q37_cherry_likelihoods": f"""WITH {_PAIRS}
 SELECT seq, round(sum(CASE WHEN a = 'N' AND b = 'N' THEN 0 WHEN a = 'N' THEN ln(pb.freq) WHEN b = 'N' THEN ln(pa.freq) WHEN a = b THEN ln(pa.freq) + gs.q * 2 / 64 ELSE mix.lh END), 6) AS lh
