@@ -103,12 +103,22 @@ def subtree_counts(nodes: DataFrame, weight: str | None = None) -> DataFrame:
 def pre_order(nodes: DataFrame, order: str = "node") -> DataFrame:
     """(node, depth, place): position in pre-order with siblings by `order`: a node adds one and the sizes of its siblings before to its
     parent's place."""
+    return toured(nodes, order).select("node", "depth", "place")
+
+
+def toured(nodes: DataFrame, order: str = "node") -> DataFrame:
+    """(node, depth, place, size, nth, enter, leave): pre-order with siblings by `order`, the nodes below (itself included), the number among its
+    siblings (from 1), and when a walk around the tree enters a node and leaves it: numbers from 0 without a gap, two for each node."""
     nodes = rooted(nodes)
     sizes = _below(nodes, nodes.select("node", F.lit(1).cast("bigint").alias("n"))).withColumnRenamed("n", "size")
-    before = Window.partitionBy("parent").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    shift = nodes.join(sizes, "node").withColumn("shift", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0))))
-    placed = _climb(shift.select("node", "parent", "shift"), {"place": "shift"})
-    return placed.select("node", F.col("steps").cast("int").alias("depth"), "place")
+    siblings = Window.partitionBy("parent").orderBy(order)
+    shift = F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.when(F.col("parent").isNull(), 1).otherwise(F.row_number().over(siblings))
+    known = written(nodes.join(sizes, "node").select("node", "parent", "size", shift.alias("shift"), nth.cast("int").alias("nth")))
+    placed = climbed(known.select("node", "parent", "shift"), {"place": "shift"}).select("node", F.col("steps").cast("int").alias("depth"), "place")
+    # of the nodes before a node all have been left but those above it
+    enter = 2 * F.col("place") - F.col("depth")
+    return placed.join(known.select("node", "size", "nth"), "node").select("node", "depth", "place", "size", "nth", enter.alias("enter"), (enter + 2 * F.col("size") - 1).alias("leave"))
 
 
 def ancestors(nodes: DataFrame, node: object) -> DataFrame:

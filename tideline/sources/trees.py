@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import trees
+
 NODES = "tree long, node long, parent long, ord int, name string, length double"
 
 
@@ -69,8 +71,8 @@ def parse_newick(text: str) -> list[tuple[int, int | None, int, str | None, floa
     return [tuple(x) for x in nodes]  # type: ignore[misc]
 
 
-def newick_nodes(trees: DataFrame) -> DataFrame:
-    """Node rows of trees (tree, text); NEXUS text is taken from its first bracket after BEGIN TREES."""
+def newick_nodes(texts: DataFrame) -> DataFrame:
+    """Node rows of tree texts (tree, text); NEXUS text is taken from its first bracket after BEGIN TREES."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,7 +87,7 @@ def newick_nodes(trees: DataFrame) -> DataFrame:
                 rows += [(tree, *x) for x in parse_newick(text)]
             yield pd.DataFrame(rows, columns=["tree", "node", "parent", "ord", "name", "length"]).astype({"tree": "int64", "node": "int64", "parent": "Int64", "ord": "int32"})
 
-    return trees.select("tree", "text").mapInPandas(parse, NODES)
+    return texts.select("tree", "text").mapInPandas(parse, NODES)
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
@@ -94,48 +96,74 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return newick_nodes(rows.select(F.monotonically_increasing_id().alias("tree"), F.concat("value", F.lit(";")).alias("text")))
 
 
+def number_text(x: Column, digits: int = 12) -> Column:
+    """A number above 0 with that many digits at most, without zeros at its end, as an exponent where it is far from 1; 0 for others."""
+    shown = F.format_string(f"%.{digits - 1}e", x)
+    digit = F.replace(F.substring_index(shown, "e", 1), F.lit("."), F.lit(""))
+    e = F.substring_index(shown, "e", -1).cast("int")
+    fixed = F.when(e >= 0, F.concat(F.substring(digit, F.lit(1), e + 1), F.lit("."), F.substring(digit, e + 2, F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), digit))
+    power = F.abs(e).cast("string")
+    far = F.concat(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.?0*$", ""), F.when(e < 0, "e-").otherwise("e+"), F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    return F.when(x > 0, F.when((e < -4) | (e >= digits), far).otherwise(F.regexp_replace(fixed, r"\.?0*$", ""))).otherwise("0")
+
+
+def tree_tokens(nodes: DataFrame) -> DataFrame:
+    """(tree, rank, token): the text of trees in pieces, numbered without a gap: what a walk around the tree writes when it enters and leaves a node.
+
+    A node row may have a `note`, which is written in brackets behind the name, as supports and other annotations are."""
+    kind = nodes.select(F.struct("tree", "node").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tree", F.col("parent").alias("node"))).alias("parent"), F.struct("ord", "node").alias("order"))
+    tour = trees.toured(kind, "order")
+    facts = nodes.select(F.struct("tree", "node").alias("node"), "tree", F.coalesce("name", F.lit("")).alias("name"), "length", F.col("note") if "note" in nodes.columns else F.lit(None).cast("string").alias("note"))
+    both = tour.join(facts, "node")
+    inner, root = F.col("size") > 1, F.col("depth") == 0
+    enter = F.concat(F.when(F.col("nth") > 1, ",").otherwise(""), F.when(inner, "(").otherwise(""))
+    length = F.when(F.col("length").isNotNull() & ~root, F.concat(F.lit(":"), number_text(F.col("length")))).otherwise("")
+    note = F.when(F.col("note").isNotNull(), F.concat(F.lit("[&"), F.col("note"), F.lit("]"))).otherwise("")
+    leave = F.concat(F.when(inner, ")").otherwise(""), "name", note, length, F.when(root, ";").otherwise(""))
+    tokens = F.array(F.struct(F.col("enter").alias("rank"), enter.alias("token")), F.struct(F.col("leave").alias("rank"), leave.alias("token")))
+    return both.select("tree", F.inline(tokens))
+
+
+def newick_lines(nodes: DataFrame, tokens: int = 2_000) -> DataFrame:
+    """(tree, line, text): the text of each tree in lines of so many pieces, so that no row holds a large tree."""
+    lines = tree_tokens(nodes).groupBy("tree", F.floor(F.col("rank") / tokens).alias("line")).agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("own"))
+    return lines.select("tree", "line", F.array_join(F.transform("own", lambda x: x["token"]), "").alias("text"))
+
+
+def write_newick(nodes: DataFrame, path: str, tokens: int = 2_000, parts: int | None = None) -> None:
+    """Write trees as text files in order of trees and lines: many tasks write a part each, and the parts one behind the other are the text. Without
+    `parts` their number follows the text's size."""
+    newick_lines(nodes, tokens).repartitionByRange(*([parts] if parts else []), "tree", "line").sortWithinPartitions("tree", "line").select("text").write.text(path)
+
+
 def newick_text(nodes: DataFrame) -> DataFrame:
-    """(tree, text) of node rows: children in their order, lengths with up to 12 digits, 0 for those not above 0."""
-
-    def number(x: float) -> str:
-        return f"{x:.12g}" if x > 0 else "0"
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids: dict[int, list[int]] = {}
-        facts = {}
-        root = None
-        for r in pdf.sort_values(["ord", "node"]).itertuples():
-            facts[r.node] = (r.name if isinstance(r.name, str) else "", None if pd.isna(r.length) else float(r.length))
-            if pd.isna(r.parent):
-                root = r.node
-            else:
-                kids.setdefault(int(r.parent), []).append(r.node)
-        out: list[str] = []
-        stack: list[tuple[object, bool]] = [(root, False)]
-        while stack:
-            x, done = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-                continue
-            own = kids.get(x, [])
-            if own and not done:
-                out.append("(")
-                stack.append((x, True))
-                for i, k in enumerate(reversed(own)):
-                    if i:
-                        stack.append((",", True))
-                    stack.append((k, False))
-                continue
-            name, length = facts[x]
-            out.append((")" if own else "") + name + ("" if length is None or x == root else ":" + number(length)))
-        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "text": ["".join(out) + ";"]})
-
-    named = nodes.withColumnRenamed("name", "label").select("tree", "node", "parent", "ord", F.col("label").alias("name"), "length")
-    return named.groupBy("tree").applyInPandas(write, "tree long, text string")
+    """(tree, text) of node rows, a row with the whole text of each tree: children in their order, lengths with up to 12 digits, 0 for those not
+    above 0. Large trees are written by lines, see `write_newick`."""
+    lines = newick_lines(nodes).groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("own"))
+    return lines.select(F.col("tree").cast("bigint").alias("tree"), F.array_join(F.transform("own", lambda x: x["text"]), "").alias("text"))
+
+
+def nexus_lines(nodes: DataFrame) -> DataFrame:
+    """(tree, part, line, text): a NEXUS document for each tree in lines, in order of part and line: a block of the leaves' names in the order of the
+    tree, and a block with the tree and the notes of its nodes."""
+    keyed = nodes.select(F.struct("tree", "node").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tree", F.col("parent").alias("node"))).alias("parent"), F.struct("ord", "node").alias("order"))
+    leaves = trees.toured(keyed, "order").where("size = 1").join(nodes.select(F.struct("tree", "node").alias("node"), "tree", "name"), "node").select("tree", "place", "name")
+    count = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    block = lambda part, text: count.select("tree", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("line"), text.alias("text"))
+    head = block(0, F.concat(F.lit("#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX="), F.col("n").cast("string"), F.lit(";\nTAXLABELS")))
+    taxa = leaves.select("tree", F.lit(1).alias("part"), F.col("place").alias("line"), F.coalesce("name", F.lit("")).alias("text"))
+    middle = block(2, F.lit(";\nEND;\nBEGIN TREES;\nTREE tree1 = [&R]"))
+    body = newick_lines(nodes).select("tree", F.lit(3).alias("part"), "line", "text")
+    return head.unionByName(taxa).unionByName(middle).unionByName(body).unionByName(block(4, F.lit("END;")))
+
+
+def write_nexus(nodes: DataFrame, path: str) -> None:
+    """Write a NEXUS document of one tree, as `write_newick` does."""
+    nexus_lines(nodes).repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("text").write.text(path)
 
 
 def nexus_text(names: list[str], newick: str) -> str:
-    """A NEXUS document with a taxa block and one tree."""
+    """A NEXUS document with a taxa block and one tree, of a few names and a short text."""
     taxa = "\n".join(names)
     return f"#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS\n{taxa}\n;\nEND;\nBEGIN TREES;\nTREE tree1 = [&R] {newick}\nEND;\n"
 
