@@ -73,7 +73,7 @@ def test_differences_order_and_round_trip(spark, fasta, tmp_path):
         al.write_text(al.fasta_lines(rows), path)
 
 
-@pytest.mark.parametrize("body", [">REF\nACGT\nACGT\n>a\nt\t1\n", ">a\nt\t1\n", ">REF\nACGT\n>x\na\t1\n", ">REF\nACGT\n>x\nt\t1\t2\n", ">REF\nACGT\n>x\nt\t9\n"])
+@pytest.mark.parametrize("body", [">REF\nACGT\nACGT\n>a\nt\t1\n", ">a\nt\t1\n", ">REF\nACGT\n>x\na\t1\n", ">REF\nACGT\n>x\nt\t1\t2\n", ">REF\nACGT\n>x\nt\t9\n", ">REF\nACGTACGTACGTRACGT\n>x\nt\t9\n"])
 def test_delta_errors(spark, tmp_path, body):
     path = tmp_path / "x.txt"
     path.write_text(body)

@@ -19,8 +19,16 @@ def root_frequencies(ref: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 def equal_rates(spark: SparkSession, states: str = STATES) -> DataFrame:
     """(from_state, to_state, q): every change as likely, at a mean rate of 1, whatever the data."""
-    rate = lambda a, b: -1.0 if a == b else 1.0 / (len(states) - 1)
-    return spark.createDataFrame([(a, b, rate(a, b)) for a in states for b in states], "from_state string, to_state string, q double")
+    return equal_rates_of(spark.createDataFrame([(s,) for s in states], "state string"))
+
+
+def equal_rates_of(states: DataFrame) -> DataFrame:
+    """The same for the states (state) that occur. A few rows: one for each state."""
+    known = states.select("state").where("state is not null").distinct()
+    n = known.agg(F.count(F.lit(1)).alias("n"))
+    pairs = known.select(F.col("state").alias("from_state")).crossJoin(F.broadcast(known.select(F.col("state").alias("to_state")))).crossJoin(F.broadcast(n))  # states x states
+    rate = F.when(F.col("from_state") == F.col("to_state"), F.when(F.col("n") > 1, -1.0).otherwise(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("n") - 1))
+    return pairs.select("from_state", "to_state", rate.alias("q"))
 
 
 def seed_counts(like: DataFrame) -> DataFrame:

@@ -96,10 +96,12 @@ def q10_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q11_state_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = spark.range(26).select(F.char(F.col("id") + 65).alias("ch"))
+    """Letters of parts' names and kinds that stand for a nucleotide or an unknown site: how often, their codes, and what is possible there."""
+    text = table(spark, sf_dir, "part").select(F.explode(F.split(F.upper(F.concat_ws("", "p_name", "p_brand", "p_type")), "")).alias("ch"))
+    letters = text.where("ch between 'A' and 'Z'").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     code = states.state_code(F.col("ch"))
     vector = F.array_join(F.transform(states.ambiguity_vector(F.col("code")), lambda x: F.format_string("%.4f", x)), ",")
-    return letters.withColumn("code", code).where("code is not null").select("ch", "code", states.state_char(F.col("code")).alias("back"), F.coalesce(vector, F.lit("")).alias("vector"))
+    return letters.withColumn("code", code).where("code is not null").select("ch", "n", "code", states.state_char(F.col("code")).alias("back"), F.coalesce(vector, F.lit("")).alias("vector"))
 
 
 def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,7 +445,9 @@ def q41_subtree_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q42_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.equal_rates(spark).select(F.lit("JC").alias("model"), "from_state", "to_state", F.round("q", 6).alias("q"))
+    """Equal rates between the states that the labels' consensus rows have."""
+    found = encode.consensus(cells(spark, sf_dir, True)).select("aln", F.col("ref").alias("state"))
+    return rates.equal_rates_of(found).select(F.lit("JC").alias("model"), "from_state", "to_state", F.round("q", 6).alias("q"))
 
 
 def q43_collapsed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

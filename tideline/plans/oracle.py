@@ -255,8 +255,9 @@ SELECT seq, rpad('seq_' || seq, CAST(width AS INTEGER), ' ') || text AS line FRO
         "q09_clean_body": f"SELECT page_id, {_body('''regexp_replace(url, '[:/]', ' ', 'g')''')} AS url_body, {_body('html')} AS html_body FROM pages",
         "q10_regions": f"WITH {_REGIONS} SELECT seq, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, type FROM rg",
         "q11_state_codes": """WITH t(ch, code, back, bits) AS (VALUES ('A',0,'A',1),('C',1,'C',2),('G',2,'G',4),('T',3,'T',8),('U',3,'T',8),('M',6,'M',3),('R',8,'R',5),('S',9,'S',6),('V',10,'V',7),
-  ('W',12,'W',9),('Y',13,'Y',10),('H',14,'H',11),('K',15,'K',12),('D',16,'D',13),('B',17,'B',14),('N',252,'-',0),('O',252,'-',0),('X',252,'-',0))
-SELECT ch, code, back, CASE WHEN bits = 0 THEN '' ELSE array_to_string([printf('%.4f', CASE WHEN bits & b > 0 THEN 1.0 / bit_count(bits) ELSE 0.0 END) FOR b IN [1, 2, 4, 8]], ',') END AS vector FROM t""",
+  ('W',12,'W',9),('Y',13,'Y',10),('H',14,'H',11),('K',15,'K',12),('D',16,'D',13),('B',17,'B',14),('N',252,'-',0),('O',252,'-',0),('X',252,'-',0)),
+l AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(upper(coalesce(p_name, '') || coalesce(p_brand, '') || coalesce(p_type, '')), '')) AS ch FROM part) GROUP BY ch)
+SELECT t.ch, CAST(n AS BIGINT) AS n, code, back, CASE WHEN bits = 0 THEN '' ELSE array_to_string([printf('%.4f', CASE WHEN bits & b > 0 THEN 1.0 / bit_count(bits) ELSE 0.0 END) FOR b IN [1, 2, 4, 8]], ',') END AS vector FROM t JOIN l ON l.ch = t.ch""",
         "q12_overlay": f"WITH {_OVERLAY} SELECT seq, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, a, b FROM ov",
         "q12_shared_segments": f"WITH {_OVERLAY} SELECT seq, count(*) + 1 AS n_segments FROM ov GROUP BY seq",
         "q13_informativeness": f"""WITH {_OVERLAY},
@@ -323,8 +324,8 @@ t AS (SELECT seq, sum(CASE WHEN a = b THEN q ELSE 0 END) AS linear, sum(CASE WHE
 SELECT seq, round(linear, 6) AS linear, CAST(m AS BIGINT) AS n_ratios, CASE WHEN m > 0 THEN round(least(CAST(0.1 AS DOUBLE), m / -linear), 6) END AS length FROM t""",
         "q41_subtree_costs": f"""WITH {_PAIRS}
 SELECT seq, round(-1 + sum(CASE WHEN a = 'N' OR b = 'N' OR a = b AND a = ref THEN 0 WHEN a = b THEN q / 64 ELSE ln(q / 64) END), 6) AS cost FROM pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq""",
-        "q42_models": f"""WITH {ALL}, {_PI}, s(state) AS (VALUES ('A'), ('C'), ('G'), ('T'))
-SELECT 'JC' AS model, x.state AS from_state, y.state AS to_state, CASE WHEN x.state = y.state THEN CAST(-1 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / 3, 6) END AS q FROM s x, s y""",
+        "q42_models": f"""WITH {LABEL}, s AS (SELECT DISTINCT ref AS state FROM rl)
+SELECT 'JC' AS model, x.state AS from_state, y.state AS to_state, CASE WHEN x.state = y.state THEN CAST(-1 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / ((SELECT count(*) FROM s) - 1), 6) END AS q FROM s x, s y""",
         "q43_collapsed_leaves": """SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS node, host FROM (SELECT c_custkey, 'c' || lpad(CAST(min(c_custkey) OVER (PARTITION BY c_nationkey) AS VARCHAR), 9, '0') AS host FROM customer WHERE c_acctbal <= 0) WHERE 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') <> host""",
         "q44_bound_leaves": """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, c_custkey AS seq, CAST(count(*) AS BIGINT) AS n FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') GROUP BY ALL""",
         "q45_support_rows": f"""WITH {_COSTS}, s AS (SELECT seq, label, exp(lh - best) / sum(exp(lh - best)) OVER (PARTITION BY seq) AS support, row_number() OVER (PARTITION BY seq ORDER BY lh DESC, label) AS place, count(*) OVER (PARTITION BY seq) AS n FROM near WHERE lh >= best - round(ln(64.0), 6))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.states import clean_body
+from ..functions.states import PROTEIN, clean_body
 from ..operators import encode
 
 REFERENCE_NAMES = ("REF", "REFERENCE")
+DNA_STATES = "ACGTU"
 LEAST_ROWS = 3
 
 
@@ -132,6 +133,10 @@ def read_delta(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFram
     if "\n" in body:
         raise FormatError("the reference must be one line")
     reference = body.strip().upper()
+    # nucleotides if nine in ten letters are; a reference says one state for each site
+    states = DNA_STATES if sum(reference.count(c) for c in DNA_STATES) > 0.9 * len(reference) else PROTEIN
+    if unclear := sorted(set(reference) - set(states)):
+        raise FormatError(f"the reference holds {', '.join(unclear)}, which is no single state")
     rows = records.where("seq > 0").select((F.col("seq") - 1).alias("seq"), "name", "body")
     lines = rows.select("seq", F.explode(F.split("body", "\n")).alias("line")).where("trim(line) <> ''").withColumn("f", F.split(F.trim("line"), r"\s+"))
     up = F.upper(F.col("f")[0])
