@@ -75,7 +75,8 @@ def expected_changes(branches: DataFrame, m: Model, sites: DataFrame, matrices:
     across = F.when(determined, beyond > 0).otherwise(a["r"].isNotNull())
     index = lambda x: m.index(F.when(x["type"] == "R", F.col("ref")).otherwise(x["type"]))
     vector = lambda x: F.when(x["type"] == "O", F.transform(x["v"], lambda y: F.floor(y * 1000 + 0.5) / 1000)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i == index(x), 1.0).otherwise(0.0)))
-    single = single.select("pos", "q", "far", across.alias("across"), (t + beyond).alias("to_root"), seen.alias("to_seen"), vector(a).alias("av"), vector(b).alias("bv"))
+    # a table of its own: the optimizer moves conditions on what follows below the join, where the matrix is not known yet
+    single = written(single.select("pos", "q", "far", across.alias("across"), (t + beyond).alias("to_root"), seen.alias("to_seen"), vector(a).alias("av"), vector(b).alias("bv")))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.struct((F.floor(k / n) + 1).cast("int").alias("i"), (k % n + 1).cast("int").alias("j")))
     weighed = single.withColumn("pairs", pairs)
     rate = lambda i, j: F.element_at(F.element_at(F.col("q"), i), j)
