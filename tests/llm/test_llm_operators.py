@@ -583,6 +583,37 @@ def test_most_rule_and_given_sections(spark):
                 assert [(a, b) for a, b, k, _ in own if k >= 0] == spans[i]
 
 
+def test_tokens_over_many_short_sections():
+    """The rules against a walk over bytes, where tokens touch up to ten sections; and time that grows with their number only."""
+    rng = random.Random(2)
+    ends = np.cumsum([rng.randint(1, 9) for _ in range(60)])
+    first = np.array(sorted({0, *rng.sample(range(1, int(ends[-1])), 120)}))
+    owner = np.searchsorted(first, np.arange(ends[-1]), side="right") - 1
+    want = {rule: np.zeros(len(first)) for rule in token_counts.RULES}
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        held = collections.Counter(owner[a:b].tolist())
+        want["first"][owner[a]] += 1
+        want["last"][owner[b - 1]] += 1
+        want["most"][min(k for k in held if held[k] == max(held.values()))] += 1
+        for k, n in held.items():
+            want["share"][k] += n / (b - a)
+    for rule in token_counts.RULES:
+        np.testing.assert_allclose(token_counts.allocate(ends, first, rule)[0], want[rule])
+    n = 1_000_000
+    assert token_counts.allocate(np.arange(1, n + 1) * 3, np.arange(0, 3 * n, 2), "most")[0].sum() == n
+
+
+def test_tokens_of_odd_sections_and_rows(spark):
+    """Overlapping, empty and unbounded sections, null ids, other columns, no rows."""
+    kind = "doc_id long, text string, parts array<struct<start: int, stop: int>>, n_tokens string"
+    rows = [(1, "one two three", [(0, 7), (4, 9), (None, 3), (5, 5)], "x"), (None, "one", None, None), (None, None, [(0, 4)], "y")]
+    docs = spark.createDataFrame(rows, kind)
+    got = sorted((r.doc_id or 0, r.section, r.start, r.stop) for r in token_counts.section_tokens(docs, sections="parts").collect())
+    assert [g for g in got if g[0]] == [(1, -1, 9, 13), (1, 0, 0, 7), (1, 1, 7, 9), (1, 3, 9, 9)]
+    assert (0, -1, 0, 3) in got
+    assert token_counts.section_tokens(docs.limit(0), sections="parts").count() == 0
+
+
 # personal data
 
 BASE = {
@@ -688,6 +719,25 @@ def test_passages(spark, empty):
     assert chunking.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 20, 51])
+def test_chunks_are_told_by_their_words(size):
+    """Every window has a whole chunk, told by its own words alone, and chunks have one digest if and only if they have the same words."""
+    rng = np.random.default_rng(size)
+    value = np.append(rng.integers(0, 2**63, 3000), rng.integers(0, 3, 1000)).astype(np.uint64)
+    value[2000:2300] = value[100:400]
+    word = textkernel.mix(value)
+    border, after = chunking.borders(word, size)
+    start = np.arange(len(border))
+    assert (border >= start).all() and (after > border).all() and (after < start + size).all()
+    for s in (*range(100, 350 - size), *range(3500, 3600)):
+        alone = chunking.borders(word[s : s + size], size)
+        assert (border[s], after[s]) == (alone[0][0] + s, alone[1][0] + s)
+    content = [word[a + 1 : b + 1].tobytes() for a, b in zip(border, after, strict=True)]
+    digest = chunking.chunk_digests(word, border, after).tolist()
+    assert len(set(digest)) == len(set(content)) == len(set(zip(digest, content, strict=True)))
+    assert digest[100 : 400 - size] == digest[2000 : 2300 - size]
+
+
 def brute_passages(rows: list[tuple], size: int = 51) -> set[tuple]:
     """(id, start, stop, words, first id) of each run of windows of `size` words that two ids have."""
     texts = sorted({(i, t or "") for i, t in rows if i is not None})

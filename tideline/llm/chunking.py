@@ -1,13 +1,14 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash over words.
 
-The gear hash of a word depends on it and the GEAR - 1 words before it only. Every window of PASSAGE words, the shortest
-passage that counts, names the word inside it whose gear hash is least (the first of equals), among those whose hash
-depends on words of the window only. So equal windows name the same word wherever they stand, and chunk borders,
-the words that are named, move with the text. A chunk is the run of windows that name one border.
-
-A chunk is known by a 64-bit digest of the GEAR words up to its border, and carries a 64-bit digest of each of its windows.
-Only chunks whose digest two documents have are looked at further; there, a window that two documents have is
-shared. Equal windows are always in chunks of one digest, so no passage is lost and none is guessed: all words of a
+The gear hash of a word depends on it and the GEAR - 1 words before it only. A word is a border if its gear hash is the least
+(the first of equals) of some run of `reach` words; so borders move with the text, at most `reach` words apart. A chunk
+is the text behind a border up to the next one, of a length that its content sets, and is known by a 64-bit digest of all
+its words. Chunks whose digest two documents have are repeats.
+
+`reach` is chosen so that every window of PASSAGE words, the shortest passage that counts, has two borders that are told
+by its own words alone: it holds a whole chunk, the same wherever it stands. So no passage is lost if only repeated chunks
+are looked at further. How far a repeat goes beyond its chunks is measured by windows: each belongs to its first
+whole chunk, and those of repeated chunks are compared by digests of their own. All words of a
 passage stand together in another document, and its extent is exact. Only digests and places are shuffled, never
 texts. Collisions (two of 2**64) are the only approximation.
 
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE_SEPARATORS, chunks, mix, words
+from .textkernel import _INV, SPACE_SEPARATORS, _powers, chunks, mix, words
 
 #: Words of the shortest passage: over 50.
 PASSAGE = 51
-#: Words that a gear hash depends on: of 32 bits, two leave with each word.
-GEAR = 16
+#: Words that a gear hash depends on: of 32 bits, eight leave with each word.
+GEAR = 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -64,13 +65,30 @@ def _least(key: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(key[: len(key) - rest], key[rest:])
 
 
-def borders(h: np.ndarray, size: int) -> np.ndarray:
-    """The border that each window of `size` words names, from the hashes of all words."""
+def reach(size: int) -> int:
+    """Words of a run whose least gear hash is a border: a window of `size` words has two runs without a word in common."""
+    return (size - GEAR + 1) // 2
+
+
+def borders(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first two borders in each window of `size` words, from the hashes of all words. Between them is the window's first chunk."""
     gear = (mix(h) >> np.uint64(32)).astype(np.uint32)
-    for k in (1, 2, 4, 8):
-        gear[k:] = gear[k:] + (gear[:-k] << np.uint32(2 * k))
+    for k in (1, 2):
+        gear[k:] = gear[k:] + (gear[:-k] << np.uint32(8 * k))
     key = (gear.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-    return (_least(key[GEAR - 1 :], size - GEAR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    named = (_least(key[GEAR - 1 :], reach(size)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.append(True, named[1:] != named[:-1])
+    after = np.append(named[new][1:], -1)[np.cumsum(new) - 1]
+    n = len(h) - size + 1
+    return named[:n], after[:n]
+
+
+def chunk_digests(h: np.ndarray, border: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A digest of all words behind each border up to the one after it."""
+    running = np.append(np.uint64(0), np.cumsum(h * _powers(_BASE, len(h))))
+    content = (running[after + 1] - running[border + 1]) * _powers(_INV, len(h) + 1)[border + 1]
+    # lengths are told apart by values that no short word has
+    return mix(content ^ mix((after - border).astype(np.uint64) + np.uint64(_BASE)))
 
 
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -78,7 +96,7 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, doc_id), or with `whole` also (body, word, digests, places): a digest of the text, the number of the first
+    """Rows (chunk, doc_id) of the chunks, or with `whole` also (body, word, digests, places): a digest of the text, the number of the first
     window's first word, and of each window the digest, and where it starts and stops."""
     for batch in batches:
         for chunk in chunks(batch.column(1)):
@@ -88,9 +106,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> It
             inside = np.flatnonzero(w.row[: len(w.row) - size + 1] == w.row[size - 1 :])
             if not len(inside):
                 continue
-            border = borders(w.hash, size)[inside]
+            border, after = (x[inside] for x in borders(w.hash, size))
             first = np.flatnonzero(np.append(True, (border[1:] != border[:-1]) | (w.row[inside[1:]] != w.row[inside[:-1]])))
-            digest = _grams(w.hash, GEAR)[border[first] - GEAR + 1]
+            digest = chunk_digests(w.hash, border[first], after[first])
             row = w.row[inside[first]]
             columns = [pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(row + chunk.lo))]
             if not whole:
@@ -120,6 +138,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> It
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
     """Passages of at least `passage` words that other documents have too: doc_id, start and stop (code points), n_words, n_chunks,
     and first_doc, the smallest id of a document that has `passage` words of it. Documents without such a passage have no row."""
+    if passage <= GEAR:
+        raise ValueError(f"a passage has more than {GEAR} words")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     kind = source.schema["doc_id"].dataType.simpleString()
     brief = source.mapInArrow(lambda it: _chunk_rows(it, False, passage), f"chunk bigint, doc_id {kind}")

@@ -10,7 +10,9 @@ The vocabulary is read once by the driver from a path that the caller names, and
 to the tasks.
 
 Defined results: null counts as an empty text; an empty text has one empty section with 0 tokens; text that no section
-covers is section -1; repeated rows each get their own rows.
+covers is section -1; repeated rows each get their own rows, and a null id stays null. Other columns are not looked at. Of given
+sections, one that overlaps an earlier one has what lies behind that; one without a start or a stop has no row. A text is
+encoded in one task, whatever its length, in time that grows with its tokens and sections.
 """
 
 from __future__ import annotations
@@ -65,15 +67,21 @@ def allocate(ends: np.ndarray, first: np.ndarray, rule: str) -> tuple[np.ndarray
         return np.bincount(b, minlength=n), crossing
     inner = a == b
     out = np.bincount(a[inner], minlength=n).astype(float)
-    for t in np.flatnonzero(~inner):
-        touched = np.arange(a[t], b[t] + 1)
-        upper = np.append(first, ends[-1])[touched + 1]
-        part = np.minimum(upper, ends[t]) - np.maximum(first[touched], starts[t])
-        if rule == "most":
-            out[touched[part.argmax()]] += 1
-        else:
-            out[touched] += part / part.sum()
-    return out, crossing
+    across = np.flatnonzero(~inner)
+    if not len(across):
+        return out, crossing
+    # a row for each such token and section that it touches: at most the sections and as many again
+    sizes = b[across] - a[across] + 1
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(across)), sizes)
+    touched = np.arange(len(owner)) - begin[owner] + a[across][owner]
+    upper = np.append(first[1:], ends[-1])[touched]
+    part = np.minimum(upper, ends[across][owner]) - np.maximum(first[touched], starts[across][owner])
+    if rule == "share":
+        return out + np.bincount(touched, part / np.add.reduceat(part, begin)[owner], n), crossing
+    largest = np.flatnonzero(part == np.maximum.reduceat(part, begin)[owner])
+    earliest = largest[np.unique(owner[largest], return_index=True)[1]]
+    return out + np.bincount(touched[earliest], minlength=n), crossing
 
 
 def line_starts(data: np.ndarray) -> np.ndarray:
@@ -91,12 +99,13 @@ def _section_rows(batches: Iterator[pa.RecordBatch], vocabulary: bytes, rule: st
             for i in range(len(chunk.begin)):
                 data = chunk.data[chunk.begin[i] : chunk.end[i]]
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                if given:  # (start, stop) in code points, disjoint; what lies between is section -1
-                    spans = sorted((s["start"], s["stop"], k) for k, s in enumerate(batch.column(2)[chunk.lo + i].as_py() or []))
-                    to_byte = lambda c, chars=chars: int(np.searchsorted(chars, c, side="right")) - 1
+                if given:  # (start, stop) in code points; what lies between is section -1
+                    spans = sorted((s["start"], s["stop"], k) for k, s in enumerate(batch.column(2)[chunk.lo + i].as_py() or []) if s and None not in (s["start"], s["stop"]))
+                    to_byte = lambda c, chars=chars: max(0, int(np.searchsorted(chars, c, side="right")) - 1)
                     first, label = [0], [-1]
                     for s, e, k in spans:
-                        first += [to_byte(s), to_byte(e)]
+                        low = max(to_byte(s), first[-1])
+                        first += [low, max(to_byte(e), low)]
                         label += [k, -1]
                     first, label = np.array(first), np.array(label)
                     keep = np.append(first[1:] > first[:-1], first[-1] < len(data)) | (label >= 0)
