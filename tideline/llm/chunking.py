@@ -91,13 +91,23 @@ def chunk_digests(h: np.ndarray, border: np.ndarray, after: np.ndarray) -> np.nd
     return mix(content ^ mix((after - border).astype(np.uint64) + np.uint64(_BASE)))
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
+def _window_lists(digest: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Of each chunk a list of the digests of its n windows, then of their places (start and size): two to a number, or, where `far`, one
+    to a number. Lists have n + ceil(n / 2) numbers then, or 2 * n. `owner` is the chunk of each window, `first` its first window."""
+    at, n = np.arange(len(owner)) - first[owner], np.diff(np.append(first, len(owner)))
+    far = np.bincount(owner, (start >= 1 << 15) | (size >= 1 << 16), len(first)) > 0
+    offset = np.append(0, np.cumsum(n + np.where(far, n, (n + 1) // 2)))
+    values = np.zeros(offset[-1], np.int64)
+    values[offset[owner] + at] = digest.view(np.int64)
+    behind, apart = offset[owner] + n[owner], far[owner]
+    values[(behind + at)[apart]] = ((start << 32) | size)[apart]
+    values.view("<i4")[(2 * behind + at)[~apart]] = ((start << 16) | size)[~apart]
+    return pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(values)), far
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, doc_id) of the chunks, or with `whole` also (body, word, digests, places): a digest of the text, the number of the first
-    window's first word, and of each window the digest, and where it starts and stops."""
+    """Rows (chunk, doc_id) of the chunks, or with `whole` also (body, origin, windows): a digest of the text, the number of the first
+    window's first word and where that starts (all bits turned where places are far apart), and the lists of windows."""
     for batch in batches:
         for chunk in chunks(batch.column(1)):
             w = words(chunk, SPACE_SEPARATORS)
@@ -123,16 +133,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], whole: bool, size: int) -> It
             # places are told from the first window's start, so that they are small numbers
             begin = start[first]
             owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(inside))))
-            places = ((start - begin[owner]) << 32) | (stop - start)
-            short = places.copy()
-            fits = (start - begin[owner] < 1 << 15) & (stop - start < 1 << 16)
-            short = np.where(fits, ((start - begin[owner]) << 16) | (stop - start), 0).astype(np.int32)
-            wide = np.bincount(owner, ~fits, len(first)) > 0
-            compact = _lists(short, first)
-            full = pa.array([places[a:b].tolist() if x else None for a, b, x in zip(first, np.append(first[1:], len(inside)), wide, strict=True)], pa.list_(pa.int64())) if wide.any() else pa.nulls(len(first), pa.list_(pa.int64()))
-            columns += [pa.array(body.view(np.int64)), pa.array(number[inside[first]].astype(np.int32)), pa.array(begin.astype(np.int32))]
-            columns += [_lists(_grams(w.hash, size)[inside].view(np.int64), first), compact, full]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "body", "word", "begin", "digests", "places", "far"])
+            windows, far = _window_lists(_grams(w.hash, size)[inside], start - begin[owner], stop - start, owner, first)
+            origin = (number[inside[first]] << 32) | begin
+            columns += [pa.array(body.view(np.int64)), pa.array(np.where(far, ~origin, origin)), windows]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "body", "origin", "windows"])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
@@ -144,13 +148,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     kind = source.schema["doc_id"].dataType.simpleString()
     brief = source.mapInArrow(lambda it: _chunk_rows(it, False, passage), f"chunk bigint, doc_id {kind}")
     shared = brief.groupBy("chunk").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("chunk")
-    fields = f"chunk bigint, doc_id {kind}, body bigint, word int, begin int, digests array<bigint>, places array<int>, far array<bigint>"
-    whole = source.mapInArrow(lambda it: _chunk_rows(it, True, passage), fields)
+    whole = source.mapInArrow(lambda it: _chunk_rows(it, True, passage), f"chunk bigint, doc_id {kind}, body bigint, origin bigint, windows array<bigint>")
     # dealt by chunk once: equal windows are in one chunk, so all windows and groups up to the next deal use that
-    each = whole.join(shared.hint("merge"), "chunk").select("chunk", "doc_id", "body", "word", "begin", "places", "far", F.posexplode("digests").alias("at", "digest"))
-    near, far = F.get("places", F.col("at")), F.get("far", F.col("at"))
-    start = F.col("begin") + F.coalesce(F.shiftright(far, 32).cast("int"), F.shiftright(near, 16))
-    length = F.coalesce(far.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), near.bitwiseAND(F.lit((1 << 16) - 1)))
+    far, low = F.col("origin") < 0, F.lit((1 << 32) - 1)
+    origin = F.when(far, F.bitwise_not("origin")).otherwise(F.col("origin"))
+    n = F.when(far, F.size("windows") / 2).otherwise(F.floor(F.size("windows") * 2 / 3)).cast("int")
+    each = whole.join(shared.hint("merge"), "chunk").withColumns({"n": n, "far": far, "word": F.shiftright(origin, 32).cast("int"), "begin": origin.bitwiseAND(low).cast("int")})
+    each = each.select("chunk", "doc_id", "body", "word", "begin", "n", "far", "windows", F.posexplode(F.slice("windows", F.lit(1), F.col("n"))).alias("at", "digest"))
+    pair = F.get("windows", F.col("n") + F.shiftright("at", 1))
+    place = F.when(F.col("at").bitwiseAND(F.lit(1)) == 1, F.shiftrightunsigned(pair, 32)).otherwise(pair.bitwiseAND(low))
+    wide = F.get("windows", F.col("n") + F.col("at"))
+    start = F.col("begin") + F.when(F.col("far"), F.shiftright(wide, 32)).otherwise(F.shiftright(place, 16)).cast("int")
+    length = F.when(F.col("far"), wide.bitwiseAND(low)).otherwise(place.bitwiseAND(F.lit((1 << 16) - 1))).cast("int")
     each = each.select("chunk", "digest", "doc_id", "body", "word", (F.col("word") + F.col("at")).alias("lo"), start.alias("start"), (start + length).alias("stop"))
     copies = Window.partitionBy("chunk", "digest")
     found = each.withColumn("first_doc", F.min("doc_id").over(copies)).withColumn("last_doc", F.max("doc_id").over(copies)).where("first_doc < last_doc")
