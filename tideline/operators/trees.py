@@ -142,6 +142,51 @@ def reroot(nodes: DataFrame, new_root: object) -> DataFrame:
     return nodes.join(turned, "node", "left").select("node", F.when(F.col("node") == F.lit(new_root), F.lit(None)).otherwise(F.coalesce("below", "parent")).alias("parent"))
 
 
+def reroot_branch(nodes: DataFrame, below: object, share: float = 0.5, new_root: object = None, notes: tuple[str, ...] = ()) -> DataFrame:
+    """The tree (node, parent, length, other columns) with its root on the branch above the node `below`, `share` of it towards that node.
+
+    On the way to the old root parents turn around, and lengths and `notes`, columns that say something of a branch, go with the branches
+    to the nodes that are below them now; both halves of the split branch keep its notes. An old root with two children
+    goes, since it would be left between two branches: they become one, as long as both, with the notes of the branch that the new
+    root is not on, and the old root's row is the new root. An old root with other numbers of children stays, and `new_root`
+    names the new one. If `below` is a root, or hangs on one with two children, the root is on its branch already and nothing is changed."""
+    up = ancestors(nodes, below)
+    ends = up.where("parent is null").select("node").take(1)
+    if not ends:
+        raise ValueError(f"no node {below}")
+    root = ends[0].node
+    children = nodes.where(F.col("parent") == F.lit(root)).select("node").take(3)
+    pair = len(children) == 2
+    if root == below or (pair and below in [c.node for c in children]):
+        return nodes
+    if not pair and new_root is None:
+        raise ValueError(f"the root {root} has not two children and stays; name the new one")
+    top = F.lit(root if pair else new_root).cast(nodes.schema["node"].dataType)
+    branch = ["length", *notes]
+    path = up.where("parent is not null").select(F.col("parent").alias("_turned"), F.col("node").alias("_child"))
+    path = written(path.join(nodes.select(F.col("node").alias("_child"), *[F.col(c).alias(f"_{c}") for c in branch]), "_child"))
+    node, child = F.col("node"), F.col("_child")
+    part = lambda c, w: F.when(c > 0, c * w).when(c.isNotNull(), 0.0)
+    own = {"parent": F.when((node == F.lit(below)) | (child == F.lit(below)), top).otherwise(F.coalesce(child, "parent"))}
+    own["length"] = F.when(node == F.lit(below), part(F.col("length"), share)).when(child == F.lit(below), part(F.col("_length"), 1 - share)).when(child.isNotNull(), F.col("_length")).otherwise(F.col("length"))
+    own |= {c: F.when(child.isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in notes}
+    joined = nodes.join(path, node == F.col("_turned"), "left")
+    if not pair:
+        fresh = {"node": top}
+        turned = joined.select(*[own.get(c, F.col(c)).alias(c) for c in nodes.columns])
+        row = nodes.limit(1).select(*[fresh.get(c, F.lit(None)).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns])
+        return turned.unionByName(row)
+    # the branches on both sides of the old root become one
+    last = path.where(F.col("_turned") == F.lit(root)).select("_child", "_length").first()
+    sibling = (F.col("parent") == F.lit(root)) & (node != F.lit(last["_child"]))
+    one = F.when(F.col("length").isNull() & F.lit(last["_length"] is None), F.lit(None)).otherwise(F.coalesce("length", F.lit(0.0)) + F.lit(last["_length"] or 0.0))
+    is_root = node == F.lit(root)
+    own["parent"] = F.when(is_root, F.lit(None)).when(sibling, F.lit(last["_child"])).otherwise(own["parent"])
+    own["length"] = F.when(is_root, F.lit(None)).when(sibling, one).otherwise(own["length"])
+    own |= {c: F.when(is_root, F.lit(None)).otherwise(own[c]) for c in notes}
+    return joined.select(*[own.get(c, F.col(c)).alias(c) for c in nodes.columns])
+
+
 def unknown_leaves(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(node, name) of leaves (rows with a name) that the alignment's names do not have: a tree is bound only if there are none."""
     return nodes.where("name is not null").join(names.select("name").distinct(), "name", "left_anti").select("node", "name")

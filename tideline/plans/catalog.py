@@ -565,5 +565,37 @@ def q57_root_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.supports(lh, ["tree"], "lh", round(math.log(LENGTH), 6)).where("support >= 0.01").select("tree", "node", "lh", F.round("support", 5).alias("support"))
 
 
+def q58_rerooted_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers with the root on the branch of the first customer: lengths and notes of turned branches go with them."""
+    code = F.substring("node", 2, 9).cast("long")
+    length = F.when(F.col("parent").isNotNull(), (code % 7 + 1) / 8.0)
+    nodes = star_tree(spark, sf_dir, False).select("node", "parent", length.alias("length"), F.concat_ws("-", "node", "parent").alias("note"))
+    return trees.reroot_branch(nodes, "c000000001", 0.25, "top", ("note",))
+
+
+def _shape_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, start, stop, run): each vector as 16 runs of the sizes of four components, to four digits."""
+    size = lambda i: F.round(F.abs(F.element_at("embedding", i).cast("double")), 4)
+    parts = F.array(*[F.struct(F.lit(4 * k).alias("start"), F.lit(4 * k + 3).alias("stop"), algebra.run(F.lit("O"), F.lit(STEP), None, F.array(*[size(4 * k + i) for i in range(1, 5)])).alias("run")) for k in range(16)])
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.inline(parts))
+
+
+def q59_changed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows k and k + 1 as lists of vectors: runs that differ by more than the limits, and whether the lists are equal within a wider one."""
+    lists = _shape_lists(spark, sf_dir)
+    left, right = lists.where("seq % 2 = 0"), lists.where("seq % 2 = 1").withColumn("seq", F.col("seq") - 1)
+    moved = segments.changed_lists(left, right, ["seq"], limit=0.26005, update=0.32005, fold=1.001)
+    return moved.join(segments.equal_lists(left, right, ["seq"], 0.30005), "seq").select("seq", "n_changed", "changed", "equal")
+
+
+def q60_coalesced_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as runs with lengths: neighbours of one type and of nearly equal lengths become one."""
+    at = ["l_orderkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").groupBy(*at).agg(F.min("l_linestatus").alias("status"), F.min("l_discount").alias("n"), F.min("l_tax").alias("r"))
+    runs = lines.select("l_orderkey", F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("stop"), algebra.run(F.when(F.col("status") == "O", "R").otherwise("N"), F.col("n"), F.col("r")).alias("run"))
+    found = segments.coalesce_within(runs, ["l_orderkey"], 0.035)
+    return found.select("l_orderkey", "start", "stop", "run.type", F.round("run.n", 6).alias("n"), F.round("run.r", 6).alias("r"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q") and name[1:3].isdigit()}

@@ -358,6 +358,20 @@ SELECT CAST(pos AS INTEGER) AS pos, substr('ACGT', i, 1) AS from_state, round(q[
 h AS (SELECT tree, node, round(sum(lh), 6) AS lh FROM hung GROUP BY tree, node), b AS (SELECT *, max(lh) OVER (PARTITION BY tree) AS best FROM h),
 s AS (SELECT tree, node, lh, exp(lh - best) / sum(exp(lh - best)) OVER (PARTITION BY tree) AS support FROM b WHERE lh >= best - round(ln(64.0), 6))
 SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, lh, round(support, 5) AS support FROM s WHERE support >= 0.01""",
+        "q58_rerooted_branch": f"""WITH RECURSIVE {_star(False)},
+t AS (SELECT node, parent, CASE WHEN parent IS NOT NULL THEN (CAST(substr(node, 2, 9) AS BIGINT) % 7 + 1) / CAST(8 AS DOUBLE) END AS length, concat_ws('-', node, parent) AS note FROM tree),
+path AS (SELECT * FROM t WHERE node = 'c000000001' UNION ALL SELECT t.* FROM path JOIN t ON t.node = path.parent)
+SELECT t.node, CASE WHEN t.node = 'c000000001' OR p.node = 'c000000001' THEN 'top' ELSE coalesce(p.node, t.parent) END AS parent,
+  CASE WHEN t.node = 'c000000001' THEN t.length * 0.25::DOUBLE WHEN p.node = 'c000000001' THEN p.length * 0.75::DOUBLE WHEN p.node IS NOT NULL THEN p.length ELSE t.length END AS length, coalesce(p.note, t.note) AS note
+FROM t LEFT JOIN path p ON p.parent = t.node UNION ALL SELECT 'top', NULL, NULL, NULL""",
+        "q59_changed_lists": """WITH v AS (SELECT vec_id AS seq, i, round(abs(CAST(embedding[i + 1] AS DOUBLE)), 4) AS x FROM embeddings, unnest(range(0, 64)) AS t(i)),
+p AS (SELECT coalesce(a.seq, b.seq - 1) AS seq, coalesce(a.i, b.i) AS i, a.x AS a, b.x AS b, abs(a.x - b.x) AS d FROM (SELECT * FROM v WHERE seq % 2 = 0) a FULL JOIN (SELECT * FROM v WHERE seq % 2 = 1) b ON b.seq = a.seq + 1 AND b.i = a.i),
+s AS (SELECT seq, i // 4 AS k, bool_or(coalesce(d > 0 AND (a = 0 OR b = 0 OR d > 0.32005 OR (d > 0.26005 AND (d > 1.001 * a OR d > 1.001 * b))), true)) AS moved, bool_and(coalesce(d <= 0.30005, false)) AS near FROM p GROUP BY seq, i // 4)
+SELECT seq, count(*) FILTER (WHERE moved) AS n_changed, bool_or(moved) AS changed, bool_and(near) AS equal FROM s GROUP BY seq""",
+        "q60_coalesced_lengths": """WITH o AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN min(l_linestatus) = 'O' THEN 'R' ELSE 'N' END AS type, min(l_discount) AS n, min(l_tax) AS r FROM lineitem GROUP BY l_orderkey, l_linenumber),
+f AS (SELECT *, CASE WHEN type = 'R' AND lag(type) OVER w = 'R' AND abs(n - lag(n) OVER w) < 0.035 AND abs(r - lag(r) OVER w) < 0.035 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY k)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY k) AS island FROM f)
+SELECT l_orderkey, min(k) AS start, max(k) AS stop, max_by(type, k) AS type, round(max_by(n, k), 6) AS n, round(max_by(r, k), 6) AS r FROM i GROUP BY l_orderkey, island""",
         "q47_length_trials": f"""WITH {_PAIRS}, w AS (SELECT way, CAST(k AS INTEGER) AS k, CAST(1 AS DOUBLE) / 64 * pow(factor, k) AS length FROM (VALUES ('shorter', 0.5::DOUBLE, 5), ('longer', 2.0::DOUBLE, 4)) AS v(way, factor, most), unnest(range(0, 6)) AS t(k) WHERE k <= most),
 c AS (SELECT seq, way, k, length, sum(CASE WHEN a = 'N' OR b = 'N' THEN 0 WHEN a = b THEN q * length ELSE ln(q * length) END) AS cost FROM w, pairs LEFT JOIN gg ON ga = pairs.a AND gb = pairs.b GROUP BY seq, way, k, length),
 u AS (SELECT *, cost > lag(cost) OVER (PARTITION BY seq, way ORDER BY k) AS gain FROM c),
