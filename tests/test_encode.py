@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import collections
+import random
+
 import pytest
 
 from tideline.functions import states
@@ -112,3 +115,27 @@ def test_distance_order_in_blocks_is_one_stable_order(spark, block):
     assert {(r.aln, r.seq): r.ord for r in found} == want
     assert len(found) == len(want)
     assert not encode.distances(sites.limit(0), encode.differences(sites, ref).limit(0), block).collect()
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8, 9])
+def test_contested_sites_are_decided_by_blocks_of_rows(spark, n):
+    """Sites where two characters reach half, against a walk over the rows, in blocks of any size."""
+    rng = random.Random(n)
+    texts = ["".join(rng.choice("AC" if p < 30 else "AC-GN") for p in range(40)) for _ in range(n)]
+    cells = spark.createDataFrame([(0, 10 * s, p, ch) for s, t in enumerate(texts) for p, ch in enumerate(t)], "aln int, seq long, pos int, ch string")
+    want = []
+    for p in range(40):
+        seen = collections.Counter()
+        found = None
+        for t in texts:
+            if t[p] != "-":
+                seen[t[p]] += 1
+                found = found or (t[p] if seen[t[p]] >= max(n // 2, 1) else None)
+        found = found or min(seen, key=lambda c: (-seen[c], c), default="A")
+        want.append(found if found in "ACGT" else "A")
+    for block in (5, 25, 65_536):
+        assert [r.ref for r in encode.consensus(cells, block).orderBy("pos").collect()] == want
+    ref = encode.consensus(cells)
+    mut, rows = encode.differences(cells, ref), cells.select("aln", "seq").distinct()
+    for most in (39, 40):
+        assert {r.seq: r.text for r in encode.reconstruct(mut, ref, rows, most).collect()} == {10 * s: t for s, t in enumerate(texts)}

@@ -7,15 +7,16 @@ differences of a sequence only, which are few.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def consensus(cells: DataFrame) -> DataFrame:
+def consensus(cells: DataFrame, block: int = 65_536) -> DataFrame:
     """(aln, pos, ref): at each site, the first character other than a gap that reaches half of the rows, in row order; without
     one, the most frequent (the smallest of equals); at a site of gaps, A. An ambiguous character becomes A as well.
 
-    Row order matters only where several characters reach half; only rows of those sites are ranked.
+    Row order matters only where several characters reach half. There, rows are counted by block of `block` row numbers; running sums tell the
+    block that the decisive row is in, and only rows of that block are ranked.
     """
     sizes = cells.groupBy("aln").agg(F.countDistinct("seq").alias("n"))
     counts = cells.where("ch <> '-'").groupBy("aln", "pos", "ch").agg(F.count(F.lit(1)).alias("k")).join(sizes, "aln")
@@ -25,8 +26,13 @@ def consensus(cells: DataFrame) -> DataFrame:
     first = F.row_number().over(site.orderBy(F.desc("reach"), F.desc("k"), "ch"))
     clear = counts.where("rivals < 2").withColumn("place", first).where("place = 1").select("aln", "pos", "ch")
     rival = counts.where("rivals > 1 and reach = 1").select("aln", "pos", "ch", "need")
-    nth = F.row_number().over(Window.partitionBy("aln", "pos", "ch").orderBy("seq"))
-    reached = cells.join(rival, ["aln", "pos", "ch"]).withColumn("nth", nth).where("nth = need")
+    key = ["aln", "pos", "ch"]
+    of_block = F.floor(F.col("seq") / block)
+    sizes_of = cells.join(rival, key).groupBy(*key, "need", of_block.alias("block")).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.partitionBy(*key).orderBy("block")) - F.col("k")
+    decisive = sizes_of.withColumn("before", before).where("before < need and need <= before + k").select(*key, "block", (F.col("need") - F.col("before")).alias("left"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
+    reached = cells.withColumn("block", of_block).join(decisive, [*key, "block"]).withColumn("nth", nth).where("nth = left")
     decided = reached.groupBy("aln", "pos").agg(F.min_by("ch", "seq").alias("ch"))
     winner = clear.unionByName(decided)
     sites = cells.select("aln", "pos").distinct().join(winner, ["aln", "pos"], "left")
@@ -73,8 +79,30 @@ def effectiveness(mut: DataFrame, sizes: DataFrame, max_share: float = 0.067, me
     return out.select("aln", "n", "most", "total", ok.alias("effective"))
 
 
-def reconstruct(mut: DataFrame, ref: DataFrame, rows: DataFrame) -> DataFrame:
-    """(aln, seq, text): full sequences from differences. The reference is laid out per sequence and overlaid at run positions."""
+def reconstruct(mut: DataFrame, ref: DataFrame, rows: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """(aln, seq, text): full sequences from differences, which are spliced into the text of the reference.
+
+    The reference is sent to all tasks if it has at most `most` sites over all alignments; beyond that, sites are laid out for each sequence and
+    joined by alignment, sequence and position."""
+    if ref.count() > most:
+        return _reconstruct_by_site(mut, ref, rows)
+    whole = ref.groupBy("aln").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("sites"))
+    whole = whole.select("aln", F.array_join(F.transform("sites", lambda x: x["ref"]), "").alias("whole"))
+    runs = mut.groupBy("aln", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "type"))).alias("runs"))
+    none = F.array().cast(runs.schema["runs"].dataType)
+    both = rows.join(runs, ["aln", "seq"], "left").withColumn("runs", F.coalesce("runs", none)).join(F.broadcast(whole), "aln")
+
+    def stop(i: Column) -> Column:
+        """Where the run before the i-th stops, or the sequence starts."""
+        before = F.get("runs", i - 1)
+        return F.coalesce(before["pos"] + before["len"], F.lit(0))
+
+    parts = F.transform("runs", lambda x, i: F.concat(F.substr("whole", stop(i) + 1, x["pos"] - stop(i)), F.repeat(x["type"], x["len"])))
+    tail = F.substr("whole", stop(F.size("runs")) + 1)
+    return both.select("aln", "seq", F.concat(F.array_join(parts, ""), tail).alias("text"))
+
+
+def _reconstruct_by_site(mut: DataFrame, ref: DataFrame, rows: DataFrame) -> DataFrame:
     over = mut.select("aln", "seq", F.col("type").alias("ch"), F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos"))
     base = rows.join(ref, "aln").select("aln", "seq", "pos", "ref")
     sites = base.join(over, ["aln", "seq", "pos"], "left").select("aln", "seq", "pos", F.coalesce("ch", "ref").alias("ch"))

@@ -69,7 +69,7 @@ def q04_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q05_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = cells(spark, sf_dir)
-    ref = encode.consensus(sites)
+    ref = trees.written(encode.consensus(sites))
     return encode.reconstruct(encode.differences(sites, ref), ref, _rows(sites)).select("seq", "text")
 
 
