@@ -108,3 +108,14 @@ def test_no_rows(spark):
     rows, diffs = frames(spark, {(0, 1): "AC"}, "AC")[0], spark.createDataFrame([], "aln int, seq long, start int, stop int, bits int, ref_bits int")
     assert absorption.absorbed(rows.limit(0), diffs).count() == 0
     assert absorption.absorbed(rows, diffs).where(F.lit(True)).count() == 0
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    rows, diffs = as_frames(spark, near_equal(60, 200))
+    planned = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    # the rows without a difference, one for each alignment, go to all tasks and nothing else does
+    assert planned(absorption.absorbed(rows, diffs)).count("BroadcastHashJoin") == 1
+    packed = absorption.runs_of_rows(rows, diffs)
+    assert "Broadcast" not in planned(packed)
+    distinct = absorption.classes(packed)
+    assert "Broadcast" not in planned(absorption.candidates(distinct, absorption.hosts(distinct).select("aln", "pos", "bits", "host", "host_hard", "host_mask").localCheckpoint()))

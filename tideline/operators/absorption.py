@@ -8,6 +8,9 @@ A possible host is listed once, under the rarest of its runs, and a row looks fo
 nobody's rarest, unless a row has no others, so rows that meet grow with the rows and not with their square. Equal rows are one row here. A
 host without any run is the reference itself and takes in all rows that rule it out nowhere: an aggregate finds those. Nothing is put
 into one task but the runs of one row.
+
+Tables whose rows grow with the sequences are joined by sorting both sides, whatever their files' sizes say: packed columns of a small file
+may be many rows, which must not be sent to the driver and to all tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .segments import prefix_sums
+from .trees import written
 
 UNKNOWN = 15
 #: Sites that one row of a long run is expanded to.
@@ -32,7 +36,7 @@ def runs_of_rows(rows: DataFrame, diffs: DataFrame) -> DataFrame:
     hard = (F.col("bits").bitwiseAND(F.col("ref_bits")) == 0).alias("hard")
     whole = numbered.groupBy("aln", "seq", "_run", "bits", hard).agg(F.min("start").cast("int").alias("start"), F.max("stop").cast("int").alias("stop"))
     per = whole.groupBy("aln", "seq").agg(F.sort_array(F.collect_list(F.struct("start", "stop", F.col("bits").cast("int").alias("bits"), "hard"))).alias("runs"))
-    return rows.select("aln", "seq").distinct().join(per, ["aln", "seq"], "left").select("aln", "seq", F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int,bits:int,hard:boolean>>")).alias("runs"))
+    return rows.select("aln", "seq").distinct().join(per.hint("merge"), ["aln", "seq"], "left").select("aln", "seq", F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int,bits:int,hard:boolean>>")).alias("runs"))
 
 
 def _mask(runs: Column) -> Column:
@@ -58,10 +62,10 @@ def hosts(distinct: DataFrame) -> DataFrame:
     covered = prefix_sums(change, ["aln"], "pos", {"n_unknown": F.col("d")}, 65_536)
     known = items.where(F.col("bits") != UNKNOWN).groupBy("aln", F.col("start").alias("pos"), "bits").agg(F.count(F.lit(1)).alias("n"))
     at = items.select("aln", "row", F.explode(F.array_distinct(F.array("start", F.when(F.col("bits") == UNKNOWN, F.col("stop")).otherwise(F.col("start"))))).alias("pos"), "bits")
-    counted = at.join(known, ["aln", "pos", "bits"], "left").join(covered, ["aln", "pos"], "left")
+    counted = at.join(known.hint("merge"), ["aln", "pos", "bits"], "left").join(covered.hint("merge"), ["aln", "pos"], "left")
     rarity = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce("n_unknown", F.lit(0))
     best = counted.groupBy("aln", "row").agg(F.min(F.struct(rarity.alias("n"), "pos", "bits")).alias("x"))
-    return best.select("aln", "row", "x.pos", "x.bits").join(distinct.select("aln", "row", "n_hard", "mask"), ["aln", "row"]).select("aln", "pos", "bits", F.col("row").alias("host"), F.col("n_hard").alias("host_hard"), F.col("mask").alias("host_mask"))
+    return best.select("aln", "row", "x.pos", "x.bits").join(distinct.select("aln", "row", "n_hard", "mask").hint("merge"), ["aln", "row"]).select("aln", "pos", "bits", F.col("row").alias("host"), F.col("n_hard").alias("host_hard"), F.col("mask").alias("host_mask"))
 
 
 def candidates(distinct: DataFrame, listed: DataFrame) -> DataFrame:
@@ -71,9 +75,9 @@ def candidates(distinct: DataFrame, listed: DataFrame) -> DataFrame:
     # a long run only looks at sites under which some host is listed
     sites = listed.select("aln", "pos").distinct().groupBy("aln", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.collect_list("pos").alias("listed"))
     blocks = items.where(F.col("start") < F.col("stop")).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("stop") / BLOCK))))
-    inside = blocks.join(sites, ["aln", "block"]).withColumn("pos", F.explode(F.filter("listed", lambda p: (p >= F.col("start")) & (p <= F.col("stop")))))
+    inside = blocks.join(sites.hint("merge"), ["aln", "block"]).withColumn("pos", F.explode(F.filter("listed", lambda p: (p >= F.col("start")) & (p <= F.col("stop")))))
     asked = single.unionByName(inside.select("aln", "pos", "row", "n_hard", "mask", F.col("bits").alias("own")))
-    met = asked.join(listed, ["aln", "pos"]).where("host < row and n_hard <= host_hard")
+    met = asked.join(listed.hint("merge"), ["aln", "pos"]).where("host < row and n_hard <= host_hard")
     return met.where((F.col("bits").bitwiseAND(F.col("own")) == F.col("bits")) & (F.col("mask").bitwiseAND(F.col("host_mask")) == F.col("mask"))).select("aln", "row", "host")
 
 
@@ -81,17 +85,18 @@ def absorbed(rows: DataFrame, diffs: DataFrame) -> DataFrame:
     """(aln, seq, host): rows (aln, seq) that say no more than another one before them in their alignment, with the smallest such row.
 
     Of two equal rows the later one is taken in by the earlier. `diffs` is (aln, seq, start, stop, bits, ref_bits)."""
-    packed = runs_of_rows(rows, diffs)
-    distinct = classes(packed)
+    packed = written(runs_of_rows(rows, diffs))
+    distinct = written(classes(packed))
+    listed = written(hosts(distinct))
     a, b = (distinct.select("aln", F.col("row").alias(k), F.col("runs").alias(f"{k}_runs")) for k in ("host", "row"))
     inside = lambda r: F.exists("row_runs", lambda t: (t["start"] <= r["start"]) & (t["stop"] >= r["stop"]) & (t["bits"].bitwiseAND(r["bits"]) == r["bits"]))
     met = lambda t: F.exists("host_runs", lambda r: r["start"] == t["start"])
-    pairs = candidates(distinct, hosts(distinct)).join(a, ["aln", "host"]).join(b, ["aln", "row"])
+    pairs = candidates(distinct, listed).join(a.hint("merge"), ["aln", "host"]).join(b.hint("merge"), ["aln", "row"])
     holds = pairs.where(F.forall("host_runs", inside) & F.forall(F.filter("row_runs", lambda t: t["hard"]), met))
     plain = distinct.where(F.size("runs") == 0).select("aln", F.col("row").alias("host"))
-    of_plain = distinct.where((F.col("n_hard") == 0) & (F.size("runs") > 0)).select("aln", "row").join(plain, "aln").where("host < row")
+    of_plain = distinct.where((F.col("n_hard") == 0) & (F.size("runs") > 0)).select("aln", "row").join(F.broadcast(plain), "aln").where("host < row")  # one row for each alignment
     found = holds.select("aln", "row", "host").unionByName(of_plain).groupBy("aln", "row").agg(F.min("host").alias("best"))
-    per = packed.join(distinct.select("aln", "runs", "row"), ["aln", "runs"]).join(found, ["aln", "row"], "left")
+    per = packed.join(distinct.select("aln", "runs", "row").hint("merge"), ["aln", "runs"]).join(found.hint("merge"), ["aln", "row"], "left")
     # an earlier equal row is a host as well; what takes that one in comes before both
     host = F.least(F.when(F.col("seq") > F.col("row"), F.col("row")), F.col("best"))
     return per.select("aln", "seq", host.alias("host")).where("host is not null")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import counted, written
+
 
 def consensus(cells: DataFrame, block: int = 65_536) -> DataFrame:
     """(aln, pos, ref): at each site, the first character other than a gap that reaches half of the rows, in row order; without
@@ -19,24 +21,33 @@ def consensus(cells: DataFrame, block: int = 65_536) -> DataFrame:
     block that the decisive row is in, and only rows of that block are ranked.
     """
     sizes = cells.groupBy("aln").agg(F.countDistinct("seq").alias("n"))
-    counts = cells.where("ch <> '-'").groupBy("aln", "pos", "ch").agg(F.count(F.lit(1)).alias("k")).join(sizes, "aln")
+    # written, so that plans know how few rows of it there are, and tables of all cells are never what is sent to all tasks
+    counts = cells.groupBy("aln", "pos", "ch").agg(F.count(F.lit(1)).alias("k")).join(sizes, "aln", "left")
     need = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
     site = Window.partitionBy("aln", "pos")
-    counts = counts.withColumn("need", need).withColumn("reach", (F.col("k") >= need).cast("int")).withColumn("rivals", F.sum("reach").over(site))
+    known = F.coalesce(F.col("ch") != "-", F.lit(False))
+    counts = counts.withColumn("need", need).withColumn("reach", F.coalesce(known & (F.col("k") >= need), F.lit(False)).cast("int")).withColumn("rivals", F.sum("reach").over(site))
+    counts, rivals = counted(counts, F.col("rivals") > 1)
     first = F.row_number().over(site.orderBy(F.desc("reach"), F.desc("k"), "ch"))
-    clear = counts.where("rivals < 2").withColumn("place", first).where("place = 1").select("aln", "pos", "ch")
+    clear = counts.where("rivals < 2").where(known).withColumn("place", first).where("place = 1").select("aln", "pos", "ch")
+    sites = counts.select("aln", "pos").distinct()
+    if not rivals:
+        return _references(sites, clear)
     rival = counts.where("rivals > 1 and reach = 1").select("aln", "pos", "ch", "need")
     key = ["aln", "pos", "ch"]
     of_block = F.floor(F.col("seq") / block)
     sizes_of = cells.join(rival, key).groupBy(*key, "need", of_block.alias("block")).agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(Window.partitionBy(*key).orderBy("block")) - F.col("k")
-    decisive = sizes_of.withColumn("before", before).where("before < need and need <= before + k").select(*key, "block", (F.col("need") - F.col("before")).alias("left"))
+    decisive = written(sizes_of.withColumn("before", before).where("before < need and need <= before + k").select(*key, "block", (F.col("need") - F.col("before")).alias("left")))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
     reached = cells.withColumn("block", of_block).join(decisive, [*key, "block"]).withColumn("nth", nth).where("nth = left")
     decided = reached.groupBy("aln", "pos").agg(F.min_by("ch", "seq").alias("ch"))
-    winner = clear.unionByName(decided)
-    sites = cells.select("aln", "pos").distinct().join(winner, ["aln", "pos"], "left")
-    return sites.select("aln", "pos", F.when(F.col("ch").isin("A", "C", "G", "T"), F.col("ch")).otherwise("A").alias("ref"))
+    return _references(sites, clear.unionByName(decided))
+
+
+def _references(sites: DataFrame, winner: DataFrame) -> DataFrame:
+    found = sites.join(winner, ["aln", "pos"], "left")
+    return written(found.select("aln", "pos", F.when(F.col("ch").isin("A", "C", "G", "T"), F.col("ch")).otherwise("A").alias("ref")))
 
 
 def differences(cells: DataFrame, ref: DataFrame) -> DataFrame:
