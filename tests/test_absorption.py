@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import absorption, segments
+from tideline.operators import absorption, segments, trees
 
 BITS = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "M": 3, "N": 15, "-": 15}
 
@@ -111,7 +111,7 @@ def test_no_rows(spark):
 
 
 def test_growing_tables_are_not_broadcast(spark):
-    rows, diffs = as_frames(spark, near_equal(60, 200))
+    rows, diffs = map(trees.written, as_frames(spark, near_equal(60, 200)))
     planned = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
     # the rows without a difference, one for each alignment, go to all tasks and nothing else does
     assert planned(absorption.absorbed(rows, diffs)).count("BroadcastHashJoin") == 1
