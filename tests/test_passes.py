@@ -291,3 +291,21 @@ def test_orphans_and_cycles(spark):
     for call in (trees.depths, trees.subtree_counts, trees.pre_order, lambda x: trees.ancestors(x, "d")):
         with pytest.raises(ValueError, match="cycle"):
             call(ring)
+
+
+def test_lists_are_laid_over_with_two_shuffles(spark):
+    kind = "tree int, slot int, start int, stop int, run string, ref string, rate double, log_pi double"
+    lists = {(1, 0): [(0, 3, "a"), (4, 4, "b"), (5, 9, "c")], (1, 2): [(0, 4, "d"), (5, 7, "e"), (8, 9, "f")], (1, 7): [(0, 9, "g")], (2, 3): [(0, 9, "h")]}
+    rows = [(tree, slot, start, stop, run, "A" if start == stop else None, -1.0 * start, -2.0 * start) for (tree, slot), runs in lists.items() for start, stop, run in runs]
+    slots, ends = trees.written(spark.createDataFrame(rows, kind)), spark.createDataFrame([(-10.0, -20.0)], "rate double, log_pi double")
+    met = passes.laid_over(slots, ["tree"], ends)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.tree, r.start): (r.stop, r.ref, r.rate, r.log_pi, r.same_rate, r.same_pi, [(c.slot, c.cell.run) for c in r.cells]) for r in met.collect()}
+    want = {}
+    for tree in (1, 2):
+        own = {slot: runs for (t, slot), runs in lists.items() if t == tree}
+        starts = sorted({r[0] for runs in own.values() for r in runs})
+        for start, after in zip(starts, [*starts[1:], 10], strict=True):
+            cells = [(slot, next(run for a, b, run in own[slot] if a <= start <= b)) for slot in sorted(own)]
+            want[tree, start] = (after - 1, "A" if start == 4 else None, -1.0 * start, -2.0 * start, -1.0 * (after - start), -2.0 * (after - start), cells)
+    assert got == want

@@ -44,8 +44,8 @@ def _rows(sites: DataFrame) -> DataFrame:
     return sites.select("aln", "seq").distinct()
 
 
-def _mut(sites: DataFrame) -> DataFrame:
-    return encode.differences(sites, encode.consensus(sites))
+def _mut(sites: DataFrame, ref: DataFrame | None = None) -> DataFrame:
+    return encode.differences(sites, encode.consensus(sites) if ref is None else ref)
 
 
 def q01_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +144,9 @@ def q15_coalesced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.coalesce_runs(one, ["l_orderkey"], "l_linenumber", "l_returnflag").select("l_orderkey", F.col("run").cast("long").alias("run"), "l_returnflag", "first", "last", "n")
 
 
-def _matrix(spark: SparkSession, sf_dir: str, symmetric: bool = True, part: Column | None = None) -> DataFrame:
+def _matrix(spark: SparkSession, sf_dir: str, symmetric: bool = True, part: Column | None = None, ref: DataFrame | None = None) -> DataFrame:
     counts = _counts(spark, sf_dir, part).groupBy("from_state", "to_state").agg(F.sum("n").alias("n"))
-    return rates.rate_matrix(counts, rates.root_frequencies(encode.consensus(cells(spark, sf_dir))), symmetric)
+    return rates.rate_matrix(counts, rates.root_frequencies(encode.consensus(cells(spark, sf_dir)) if ref is None else ref), symmetric)
 
 
 def _counts(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
@@ -286,9 +286,8 @@ def q31_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q32_resampled_support(spark: SparkSession, sf_dir: str, replicates: int = 100) -> DataFrame:
     """Support of the inner branches of trees of four rows by resampled sites, with the log-likelihoods of the two neighbouring trees less that of the tree."""
     p = _Passes.of(spark, sf_dir)
-    nodes, _ = _quartets(spark, sf_dir)
     rest, _ = passes.rest_lists(p.steps, p.lower, p.m, p.ends)
-    around = trees.written(branch_tests.quartets(nodes, passes.node_lists(p.lower), rest.where("node is not null")))
+    around = trees.written(branch_tests.quartets(p.nodes, passes.node_lists(p.lower), rest.where("node is not null")))
     differences = trees.written(branch_tests.site_differences(around, p.m, p.sums, p.ends))
     found = branch_tests.resampled_supports(around, differences, branch_tests.site_weights(spark, LENGTH, replicates), replicates)
     return found.select("tree", "node", F.round("d2", 6).alias("d2"), F.round("d3", 6).alias("d3"), F.round("support", 4).alias("support"))
@@ -327,15 +326,18 @@ def q34_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _absorbed(spark, sf_dir)
 
 
-def _quartets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _quartets(spark: SparkSession, sf_dir: str, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trees ((4k, 4k + 1), (4k + 2, 4k + 3)) of four rows, all branches of length STEP: nodes, and runs of leaves. Inner nodes are -1 (the root) to -3."""
     sites = cells(spark, sf_dir)
     tree = F.floor(F.col("seq") / 4).cast("bigint")
-    rows = _rows(sites).withColumn("tree", tree)
+    every = trees.written(_rows(sites))
+    rows = every.withColumn("tree", tree)
     whole = trees.written(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("tree"))
     tips = rows.join(whole, "tree").select("tree", F.col("seq").cast("bigint").alias("node"), F.when(F.col("seq") % 4 < 2, -2).otherwise(-3).cast("bigint").alias("parent"), F.lit(STEP).alias("length"))
     inner = whole.select("tree", F.inline(F.array(*[F.struct(F.lit(n).cast("bigint").alias("node"), F.lit(p).cast("bigint").alias("parent"), F.lit(STEP).alias("length")) for n, p in ((-1, None), (-2, -1), (-3, -1))])))
-    runs = encode.regions(_mut(sites), _rows(sites), LENGTH).withColumn("tree", tree).join(whole, "tree")
+    # what differs is few of all cells: a table of its own, since regions look at it three times
+    mut = trees.written(_mut(sites, ref))
+    runs = encode.regions(mut, every, LENGTH).withColumn("tree", tree).join(whole, "tree")
     return tips.unionByName(inner), runs.select("tree", F.col("seq").cast("bigint").alias("node"), "start", "stop", "type")
 
 
@@ -347,14 +349,20 @@ class _Passes:
     steps: DataFrame
     lower: DataFrame
     gains: DataFrame
+    nodes: DataFrame
+    matrix: DataFrame
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> _Passes:
-        m, sums = _model(spark, sf_dir)
+        ref = encode.consensus(cells(spark, sf_dir))
+        matrix = trees.written(_matrix(spark, sf_dir, ref=ref))
+        m, sums = _model(spark, sf_dir, ref, matrix)
         ends = sums.where(F.col("pos") == LENGTH - 1).select("rate", "log_pi")
-        nodes, runs = _quartets(spark, sf_dir)
+        nodes, runs = _quartets(spark, sf_dir, ref)
+        nodes = trees.written(nodes)
         steps = passes.chains(nodes)
-        return cls(m, sums, ends, steps, *passes.lower_lists(steps, passes.runs_of(runs, sums), m, ends))
+        lower, gains = passes.lower_lists(steps, passes.runs_of(runs, sums), m, ends)
+        return cls(m, sums, ends, steps, lower, gains, nodes, matrix)
 
     def upper(self) -> DataFrame:
         return passes.upper_lists(self.steps, self.lower, self.m, self.ends)
@@ -379,10 +387,11 @@ def q36_streamed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.placements(spark, store).select("seq", "label", "lh")
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[algebra.Model, DataFrame]:
+def _model(spark: SparkSession, sf_dir: str, ref: DataFrame | None = None, matrix: DataFrame | None = None) -> tuple[algebra.Model, DataFrame]:
     """The shared model as columns, and (pos, ref, rate, log_pi): running sums over sites of what the reference's states have of both."""
-    q = {(r.from_state, r.to_state): r.q for r in _matrix(spark, sf_dir).collect()}  # 16 rows
-    ref = encode.consensus(cells(spark, sf_dir))
+    ref = encode.consensus(cells(spark, sf_dir)) if ref is None else ref
+    matrix = _matrix(spark, sf_dir, ref=ref) if matrix is None else matrix
+    q = {(r.from_state, r.to_state): r.q for r in matrix.collect()}  # 16 rows
     pi = {r.state: r.freq for r in rates.root_frequencies(ref).collect()}  # 4 rows
     m = algebra.Model.of([[q[a, b] for b in "ACGT"] for a in "ACGT"], [pi.get(s, 0.0) for s in "ACGT"])
     number = m.index(F.col("ref"))
@@ -535,24 +544,20 @@ def q54_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("from_state", "to_state", F.round("q", 6).alias("q"))
 
 
-def _shared_at_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """((pos, ref), (pos, q)): the reference, and the shared matrix at every site."""
-    ref = trees.written(encode.consensus(cells(spark, sf_dir)).select("pos", "ref"))
-    return ref, trees.written(rates.site_matrices(ref, _matrix(spark, sf_dir)))
-
-
 def q55_tree_site_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rate for each site from changes and waiting times along the branches of trees of four rows."""
     p = _Passes.of(spark, sf_dir)
-    diagonal = _diagonal(spark, sf_dir).select(F.col("ref").alias("state"), "q")
+    diagonal = p.matrix.where("from_state = to_state").select(F.col("from_state").alias("state"), "q")
     return site_models.single_rates(trees.written(p.branches()), p.sums.select("pos", "ref"), diagonal).select("pos", F.round("rate", 6).alias("rate"))
 
 
 def q56_iterated_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of sites after two turns of expected changes along those branches."""
-    nodes, runs = _quartets(spark, sf_dir)
-    sites, shared = _shared_at_sites(spark, sf_dir)
-    m, _ = _model(spark, sf_dir)
+    ref = encode.consensus(cells(spark, sf_dir))
+    sites, matrix = ref.select("pos", "ref"), trees.written(_matrix(spark, sf_dir, ref=ref))
+    nodes, runs = _quartets(spark, sf_dir, ref)
+    m, _ = _model(spark, sf_dir, ref, matrix)
+    shared = trees.written(rates.site_matrices(sites, matrix))
     last = site_models.iterated_matrices(nodes, runs, sites, m, shared, rounds=2, least=float("-inf"))[-1].matrices
     to = lambda i: F.round(F.col("row")[i], 5)
     return last.select("pos", F.posexplode("q").alias("i", "row")).select("pos", F.substring(F.lit("ACGT"), F.col("i") + 1, F.lit(1)).alias("from_state"), to(0).alias("to_a"), to(1).alias("to_c"), to(2).alias("to_g"), to(3).alias("to_t"))
