@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language_id, mixture
+from tideline.llm import decontaminate, language_id, mixture, ngram_join
 from tideline.llm.common import scratch
 
 
@@ -56,3 +57,12 @@ def test_a_language_with_few_lettered_texts_is_learnt(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     network = language_id.train_language_id(docs, bound=64)
     assert set(network.languages) == {"fr", "xx"}
+
+
+def test_texts_travel_once_within_their_rows():
+    texts = ["a b c d e f", "a  b c d e f", None, "x"]
+    row = pa.StructArray.from_arrays([pa.array(texts), pa.array([4, 3, 2, 1])], names=["body", "doc_id"])
+    out = pa.Table.from_batches(ngram_join._with_class(iter([pa.RecordBatch.from_arrays([row, pa.array([4, 3, 2, 1])], names=["row", "doc_id"])]), 5, "body")).to_pydict()
+    assert [r["body"] for r in out["row"]] == texts and out["doc_id"] == [4, 3, 2, 1]
+    # white space is no part of words
+    assert out["node"][0] == out["node"][1] and out["body"][0] == out["body"][1] and len(set(out["node"])) == 3

@@ -359,12 +359,12 @@ def ngram_groups(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _with_class(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From (row, doc_id, text) rows (row, doc_id, node, body), body being a digest of the words as they stand; of equal rows mostly one a task."""
+def _with_class(batches: Iterator[pa.RecordBatch], n: int, text: str) -> Iterator[pa.RecordBatch]:
+    """From (row, doc_id), the text being a field of the row, rows (row, doc_id, node, body), body being a digest of the words as they stand; of equal rows mostly one a task."""
     seen: set[tuple] = set()
     for batch in batches:
         nodes, bodies = [], []
-        for chunk in chunks(batch.column(2)):
+        for chunk in chunks(batch.column(0).field(text)):
             nodes.append(_digest(*distinct_ngrams(chunk, n)))
             w = words(chunk, SPACE_SEPARATORS)
             place = np.arange(len(w.hash), dtype=np.int64) - w.first[w.row]
@@ -392,9 +392,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     known = _components(*ngram_links(docs, n, percent, text, doc_id)).where("n_shingles > 0 and doc_id is not null")
     kept = known.groupBy("key").agg(F.min(F.struct("doc_id", "node")).alias("kept")).select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.node").alias("node"))
     wordy = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(doc_id).isNotNull()
-    packed = docs.where(wordy).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # the text goes to the tasks once, within its row
+    packed = docs.where(wordy).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"))
     schema = T.StructType([packed.schema["row"], packed.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("body", T.LongType())])
-    classed = packed.mapInArrow(lambda it: _with_class(it, n), schema)
+    classed = packed.mapInArrow(lambda it: _with_class(it, n, text), schema)
     # one shuffle of the texts: the rows of one id and class are together after the join
     stay = classed.join(kept.hint("merge"), ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min_by("row", "body").alias("row"))
     return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where(~wordy))
