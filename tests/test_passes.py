@@ -309,3 +309,15 @@ def test_lists_are_laid_over_with_two_shuffles(spark):
             cells = [(slot, next(run for a, b, run in own[slot] if a <= start <= b)) for slot in sorted(own)]
             want[tree, start] = (after - 1, "A" if start == 4 else None, -1.0 * start, -2.0 * start, -1.0 * (after - start), -2.0 * (after - start), cells)
     assert got == want
+
+
+def test_few_lists_are_laid_over_with_one_shuffle(spark):
+    kind = "tree int, slot int, start int, stop int, run string, ref string, rate double, log_pi double"
+    lists = {(1, 0): [(0, 3, "a"), (4, 4, None), (5, 9, "c")], (1, 2): [(0, 4, "d"), (5, 7, "e"), (8, 9, "f")], (1, 7): [(0, 9, "g")], (2, 2): [(0, 0, "h"), (1, 9, "i")]}
+    rows = [(tree, slot, start, stop, run, "A" if start == stop else None, -1.0 * start, -2.0 * start) for (tree, slot), runs in lists.items() for start, stop, run in runs]
+    slots, ends = trees.written(spark.createDataFrame(rows, kind)), spark.createDataFrame([(-10.0, -20.0)], "rate double, log_pi double")
+    met = passes.laid_over(slots, ["tree"], ends, [0, 2, 3, 7])
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    by_name = lambda rows: sorted(rows.select("tree", "start", "stop", "cells", "ref", "rate", "log_pi", "same_rate", "same_pi").collect(), key=lambda r: (r.tree, r.start))
+    # an impossible run is null and hides the one before it
+    assert by_name(met) == by_name(passes.laid_over(slots, ["tree"], ends)) and by_name(met)[1].cells[0].cell.run is None

@@ -53,7 +53,7 @@ def site_differences(around: DataFrame, m: Model, sums: DataFrame, ends: DataFra
     `quartets`, `sums` is (pos, ref, rate, ...) with the reference's running sums of rates."""
     key = ["tree", "node"]
     lengths = around.groupBy(*key).agg(F.max("center").alias("center"), F.map_from_entries(F.collect_set(F.struct("slot", "t"))).alias("lengths"))
-    met = passes.laid_over(around.select(*key, "slot", *passes.PARTS), key, ends).join(lengths, key)
+    met = passes.laid_over(around.select(*key, "slot", *passes.PARTS), key, ends, [0, 1, 2, 3]).join(lengths, key)
     run = lambda i: F.col("cells")[i]["cell"]["run"]
     t = lambda i: F.element_at("lengths", F.lit(i))
     ref, same = F.col("ref"), F.col("same_rate")
