@@ -70,3 +70,19 @@ def test_inner_branch_below_the_root(spark):
 def test_weights_add_up(spark):
     rows = branch_tests.site_weights(spark, 50, 20).groupBy("replicate").agg(F.sum("w").alias("w"), F.min("w").alias("least")).collect()
     assert len(rows) == 20 and all(r.w == 0 and r.least == -1 for r in rows)
+
+
+def test_sites_alike_at_all_four_ends_are_left_out(spark, monkeypatch):
+    """Only segments that can tell the three trees apart are merged: not those of the reference, one state or nothing known all around."""
+    nodes = {0: (None, 0.0), 1: (0, 0.02), 2: (0, 0.03), 3: (1, 0.04), 4: (1, 0.01), 5: (2, 0.02), 6: (2, 0.015)}
+    texts = {(1, 3): "ACTNACGAACGT", (1, 4): "ACTNTCGTACGT", (1, 5): "ACTNTCGTACGT", (1, 6): "ACTNTGGTACGT"}
+    model = algebra.Model.of(Q.tolist(), PI.tolist())
+    sums, ends, steps, lower, _, _ = both_passes(spark, model, {1: nodes}, texts, REF)
+    rest, _ = passes.rest_lists(steps, lower, model, ends)
+    frame = spark.createDataFrame([(1, x, p, t) for x, (p, t) in nodes.items()], "tree long, node long, parent long, length double")
+    around = branch_tests.quartets(frame, passes.node_lists(lower), rest.where("node is not null"))
+    merged, write = [], branch_tests.written
+    monkeypatch.setattr(branch_tests, "written", lambda df: merged.append(write(df)) or merged[-1])
+    found = branch_tests.site_differences(around, model, sums, ends)
+    assert {r.start for r in merged[0].collect()} == {4, 5, 7}
+    assert {r.pos for r in found.collect()} <= {4, 5, 7}

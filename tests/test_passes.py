@@ -321,3 +321,35 @@ def test_few_lists_are_laid_over_with_one_shuffle(spark):
     by_name = lambda rows: sorted(rows.select("tree", "start", "stop", "cells", "ref", "rate", "log_pi", "same_rate", "same_pi").collect(), key=lambda r: (r.tree, r.start))
     # an impossible run is null and hides the one before it
     assert by_name(met) == by_name(passes.laid_over(slots, ["tree"], ends)) and by_name(met)[1].cells[0].cell.run is None
+
+
+def test_lists_go_to_their_merges_without_joins(spark, model, monkeypatch):
+    """The plan of each round deals lists and steps, one shuffle each, however many chains hang on others."""
+    nodes = {0: (None, 0.0), 1: (0, 0.02), 2: (0, 0.03), 3: (1, 0.04), 4: (1, 0.01), 5: (2, 0.02), 6: (2, 0.015)}
+    texts = {(1, x): text for x, text in ((3, "ACGA"), (4, "ACTT"), (5, "NCGT"), (6, "ACGT"))}
+    rounds, write = [], passes.written
+
+    def counting(df):
+        if {"run", "start"} <= set(df.columns) or "s" in df.columns:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            rounds.append(("Generate" in plan, plan.count("Exchange hashpartitioning")))
+        return write(df)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(passes, "written", counting)
+    try:
+        both_passes(spark, model, {1: nodes}, texts, "ACGT")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    folds = [n for folded, n in rounds if folded]
+    assert len(folds) == 4 and max(folds) == 2
+
+
+def test_values_that_are_looked_at_often_are_worked_out_once():
+    """Lambdas share nothing, so an operand that stands in an expression twice is worked out twice for each state."""
+    m = algebra.Model.of(Q.tolist(), PI.tolist())
+    once = lambda x: str(x._jc.toString()).count("operand")
+    operand, t = F.col("operand"), F.lit(0.1)
+    assert once(algebra.normalized(operand)) == once(algebra.carried(m, operand, t)) == once(algebra.evolved(m, operand, t)) == 1
+    assert once(algebra.column_of(m, operand, t)) == once(algebra.row_of(m, operand, t)) == 1

@@ -47,6 +47,11 @@ class Model:
         return F.transform(F.array(*[F.lit(i + 1) for i in range(len(self.states))]), f)
 
 
+def bound(x: Column, f) -> Column:  # noqa: ANN001
+    """f(x) with `x` worked out once, however often f looks at it: expressions inside of lambdas are not shared."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -56,7 +61,7 @@ def total(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: x / total(a))
+    return bound(a, lambda v: bound(total(v), lambda s: F.transform(v, lambda x: x / s)))
 
 
 def possible_sum(a: Column, b: Column) -> Column:
@@ -66,12 +71,12 @@ def possible_sum(a: Column, b: Column) -> Column:
 
 def evolved(m: Model, v: Column, t: Column) -> Column:
     """(I + tQ) v: what lies below, seen from `t` above."""
-    return F.zip_with(v, F.transform(m.q, lambda row: dot(row, v)), lambda x, y: x + t * y)
+    return bound(F.struct(v.alias("v"), t.alias("t")), lambda a: F.zip_with(a["v"], F.transform(m.q, lambda row: dot(row, a["v"])), lambda x, y: x + a["t"] * y))
 
 
 def carried(m: Model, v: Column, t: Column) -> Column:
     """(I + tQ)' v: what lies above, seen from `t` below."""
-    return m.each(lambda j: F.element_at(v, j) + t * F.aggregate(F.zip_with(v, m.q, lambda x, row: x * F.element_at(row, j)), F.lit(0.0), lambda s, x: s + x))
+    return bound(F.struct(v.alias("v"), t.alias("t")), lambda a: m.each(lambda j: F.element_at(a["v"], j) + a["t"] * F.aggregate(F.zip_with(a["v"], m.q, lambda x, row: x * F.element_at(row, j)), F.lit(0.0), lambda s, x: s + x)))
 
 
 def _bounded(x: Column) -> Column:
@@ -80,16 +85,16 @@ def _bounded(x: Column) -> Column:
 
 def column_of(m: Model, s: Column, t: Column) -> Column:
     """Chance of the state `s` (its number) at `t` below, from each state."""
-    return m.each(lambda i: F.when(i == s, _bounded(1 + t * m.rate(s, s))).otherwise(t * m.rate(i, s)))
+    return bound(F.struct(s.alias("s"), t.alias("t")), lambda a: m.each(lambda i: F.when(i == a["s"], _bounded(1 + a["t"] * m.rate(a["s"], a["s"]))).otherwise(a["t"] * m.rate(i, a["s"]))))
 
 
 def row_of(m: Model, s: Column, t: Column) -> Column:
     """Chance of each state at `t` below the state `s`."""
-    return m.each(lambda j: F.when(j == s, _bounded(1 + t * m.rate(s, s))).otherwise(t * m.rate(s, j)))
+    return bound(F.struct(s.alias("s"), t.alias("t")), lambda a: m.each(lambda j: F.when(j == a["s"], _bounded(1 + a["t"] * m.rate(a["s"], a["s"]))).otherwise(a["t"] * m.rate(a["s"], j))))
 
 
 def one_hot(m: Model, s: Column) -> Column:
-    return m.each(lambda i: F.when(i == s, 1.0).otherwise(0.0))
+    return bound(s, lambda k: m.each(lambda i: F.when(i == k, 1.0).otherwise(0.0)))
 
 
 def run(type_: Column, n: Column | None = None, r: Column | None = None, v: Column | None = None) -> Column:
@@ -112,10 +117,14 @@ def _state(x: Column, ref: Column) -> Column:
 
 def _simple(m: Model, v: Column, ref: Column) -> Column:
     """A vector with one state above the threshold is that state."""
-    best = F.array_position(F.transform(v, lambda x: x > THRESHOLD), F.lit(True)).cast("int")
-    state = F.substring(F.lit(m.states), best, F.lit(1))
-    single = F.aggregate(v, F.lit(0), lambda s, x: s + (x > THRESHOLD).cast("int")) == 1
-    return F.when(single, run(F.when(state == ref, F.lit("R")).otherwise(state))).otherwise(run(F.lit("O"), v=v))
+
+    def of(v: Column) -> Column:
+        best = F.array_position(F.transform(v, lambda x: x > THRESHOLD), F.lit(True)).cast("int")
+        state = F.substring(F.lit(m.states), best, F.lit(1))
+        single = F.aggregate(v, F.lit(0), lambda s, x: s + (x > THRESHOLD).cast("int")) == 1
+        return F.when(single, run(F.when(state == ref, F.lit("R")).otherwise(state))).otherwise(run(F.lit("O"), v=v))
+
+    return bound(v, of)
 
 
 def _longer(t: Column) -> Column:
@@ -139,7 +148,8 @@ def merge_lowers(m: Model, a: Column, t_a: Column, b: Column, t_b: Column, ref:
     vector = lambda x, s, far: F.when(x["type"] == "O", F.when(far > 0, evolved(m, x["v"], far)).otherwise(x["v"])).otherwise(F.when(far > 0, column_of(m, s, far)).otherwise(one_hot(m, s)))
     product = F.zip_with(vector(a, s_a, far_a), vector(b, s_b, far_b), lambda x, y: x * y)
     own = F.when(a["type"] == "R", same_rate).otherwise(m.rate(s_a, s_a))
-    mixed = F.element_at(F.transform(F.array(product), lambda p: F.when(total(p) > 0, both(_simple(m, normalized(p), ref), F.log(total(p)))).otherwise(both(F.lit(None).cast(RUN), F.lit(float("-inf"))))), 1)
+    never = both(F.lit(None).cast(RUN), F.lit(float("-inf")))
+    mixed = bound(product, lambda p: bound(total(p), lambda s: F.when(s > 0, both(_simple(m, F.transform(p, lambda x: x / s), ref), F.log(s))).otherwise(never)))
     return (
         F.when((a["type"] == "N") & (b["type"] == "N"), both(run(F.lit("N")), F.lit(0.0)))
         .when(b["type"] == "N", only(a, t_a, far_a))
@@ -160,7 +170,7 @@ def merge_upper_lower(m: Model, a: Column, u: Column, b: Column, low: Column, re
     across = carried(m, F.zip_with(m.pi, column_of(m, s_a, F.coalesce(a["n"], zero)), lambda p, x: p * x), a["r"] + positive(u))
     above = F.when(a["type"] == "O", F.when(far_a > 0, carried(m, a["v"], far_a)).otherwise(a["v"])).when(a["r"].isNotNull(), across).otherwise(row_of(m, s_a, positive(far_a)))
     product = F.zip_with(above, below, lambda x, y: x * y)
-    mixed = F.element_at(F.transform(F.array(product), lambda p: F.when(total(p) > 0, F.when((a["type"] != "O") & (b["type"] != "O"), run(F.lit("O"), v=normalized(p))).otherwise(_simple(m, normalized(p), ref)))), 1)
+    mixed = bound(product, lambda p: F.when(total(p) > 0, F.when((a["type"] != "O") & (b["type"] != "O"), run(F.lit("O"), v=normalized(p))).otherwise(_simple(m, normalized(p), ref))))
     from_below = F.when(b["type"] == "O", run(F.lit("O"), zero, zero, normalized(F.zip_with(m.pi, F.when(far_b > 0, evolved(m, b["v"], far_b)).otherwise(b["v"]), lambda p, x: p * x)))).when(far_b > 0, run(b["type"], far_b, zero)).otherwise(run(b["type"]))
     from_above = (
         F.when(a["type"] == "O", F.when(far_a > 0, run(F.lit("O"), zero, zero, carried(m, a["v"], far_a))).otherwise(a))

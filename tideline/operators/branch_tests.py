@@ -52,10 +52,12 @@ def site_differences(around: DataFrame, m: Model, sums: DataFrame, ends: DataFra
     """(tree, node, pos, d2, d3): log-likelihoods of sites in the two neighbouring trees less that in the tree, where they differ. `around` comes from
     `quartets`, `sums` is (pos, ref, rate, ...) with the reference's running sums of rates."""
     key = ["tree", "node"]
-    lengths = around.groupBy(*key).agg(F.max("center").alias("center"), F.map_from_entries(F.collect_set(F.struct("slot", "t"))).alias("lengths"))
-    met = passes.laid_over(around.select(*key, "slot", *passes.PARTS), key, ends, [0, 1, 2, 3]).join(lengths, key)
+    lengths = around.groupBy(*key).agg(F.max("center").alias("center"), *[F.max(F.when(F.col("slot") == i, F.col("t"))).alias(f"t{i}") for i in range(4)])
     run = lambda i: F.col("cells")[i]["cell"]["run"]
-    t = lambda i: F.element_at("lengths", F.lit(i))
+    t = lambda i: F.col(f"t{i}")
+    # where one determined state, the reference or nothing known stands at all four ends, the three trees say the same
+    alike = (run(0)["type"] != "O") & (run(0)["type"] == run(1)["type"]) & (run(0)["type"] == run(2)["type"]) & (run(0)["type"] == run(3)["type"])
+    met = passes.laid_over(around.select(*key, "slot", *passes.PARTS), key, ends, [0, 1, 2, 3]).where(~F.coalesce(alike, F.lit(False))).join(lengths, key)
     ref, same = F.col("ref"), F.col("same_rate")
 
     def merged(a: Column, t_a: Column, b: Column, t_b: Column) -> Column:
@@ -64,7 +66,7 @@ def site_differences(around: DataFrame, m: Model, sums: DataFrame, ends: DataFra
 
     half = F.col("center") / 2
     # each merge is bound to a name of its own, as the next one looks at it many times
-    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    bound = algebra.bound
 
     def term(pairs: tuple) -> Column:
         (i, j), (k, l) = pairs
