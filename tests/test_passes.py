@@ -346,7 +346,7 @@ def test_lists_go_to_their_merges_without_joins(spark, model, monkeypatch):
     assert len(folds) == 4 and max(folds) == 2
 
 
-def test_values_that_are_looked_at_often_are_worked_out_once():
+def test_values_that_are_looked_at_often_are_worked_out_once(spark):
     """Lambdas share nothing, so an operand that stands in an expression twice is worked out twice for each state."""
     m = algebra.Model.of(Q.tolist(), PI.tolist())
     once = lambda x: str(x._jc.toString()).count("operand")
