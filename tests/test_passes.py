@@ -253,6 +253,34 @@ def test_passes_against_recursion(spark, model, monkeypatch, at_once):
         assert total[t] == pytest.approx(whole[t], abs=1e-8) or np.isinf(whole[t]) and np.isinf(total[t])
 
 
+@pytest.mark.parametrize("at_once", [512, 2])
+def test_sides_of_branches_come_with_the_upper_pass(spark, model, monkeypatch, at_once):
+    """Site by site what lists that are laid over again say, without that, and without the roots' own merges."""
+    monkeypatch.setattr(passes, "STEPS_AT_ONCE", at_once)
+    rng = np.random.default_rng(11)
+    ref = "ACGTTGCA"
+    forest, leaves = forest_of(rng)
+    texts = {(t, x): "".join(str(rng.choice(list("ACGTNN"))) if rng.random() < 0.25 else c for c in ref) for t, own in leaves.items() for x in own}
+    sums, ends, steps, lower, _, upper = both_passes(spark, model, forest, texts, ref)
+    want = passes.branch_segments(upper, passes.node_lists(lower), ends)
+    regions = [(t, x, *r) for (t, x), text in texts.items() for r in runs(text, ref)]
+    below = passes.runs_of(spark.createDataFrame(regions, "tree long, node long, start int, stop int, type string"), sums)
+    fewer, _ = passes.lower_lists(steps, below, model, ends, roots=False)
+    assert fewer.where("top and depth = 0 and at > 0").isEmpty() and not lower.where("top and depth = 0 and at > 0").isEmpty()
+    rounds, lay = [], passes.laid_over
+    monkeypatch.setattr(passes, "laid_over", lambda *a, **k: rounds.append(1) or lay(*a, **k))
+    got = passes.branch_sides(steps, fewer, model, ends)
+    assert len(rounds) == sum(len(pieces) for _, pieces in passes._plan(steps))
+
+    def spread(rows):
+        shown = lambda x: x and (x.type, *[None if y is None else round(y, 9) for y in (x.n, x.r, *(x.v or []))])
+        found = [((r.tree, r.node, p), (r.length, shown(r.above), shown(r.below))) for r in rows.collect() for p in range(r.start, r.stop + 1)]
+        assert len(dict(found)) == len(found)
+        return dict(found)
+
+    assert spread(got) == spread(want)
+
+
 def test_a_path_of_2000_nodes(spark, model):
     """A tree like a comb: a chain of 2,000 merges, a leaf beside each."""
     rng = np.random.default_rng(2)

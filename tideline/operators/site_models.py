@@ -32,7 +32,11 @@ def _equal_runs(branches: DataFrame) -> Column:
 def _along_reference(runs: DataFrame, sites: DataFrame) -> DataFrame:
     """(pos, state, wait): for each site its reference's state and the sum of `wait` over the runs (start, stop, wait) that hold it."""
     borders = runs.select(F.col("start").alias("pos"), F.col("wait")).unionByName(runs.select((F.col("stop") + 1).alias("pos"), (-F.col("wait")).alias("wait")))
-    change = borders.groupBy("pos").agg(F.sum("wait").alias("change"))
+    return _from_borders(borders.groupBy("pos").agg(F.sum("wait").alias("change")), sites)
+
+
+def _from_borders(change: DataFrame, sites: DataFrame) -> DataFrame:
+    """The same from what runs that start or have stopped at a site change there (pos, change)."""
     every = sites.select("pos", "ref").join(change, "pos", "left").fillna(0.0, ["change"])
     sums = prefix_sums(every, [], "pos", {"wait": F.col("change")}, BLOCK)
     # what is left of sums that cancel is not a waiting time
@@ -43,12 +47,15 @@ def single_rates(branches: DataFrame, sites: DataFrame, diagonal: DataFrame) ->
     """(pos, rate): changes at a site over those to be expected while it waited in determined states; 0.001 without any change, 1 where hardly
     any is to be expected; divided by the mean, and bounded. `sites` is (pos, ref), `diagonal` (state, q)."""
     own = branches.where("length > 0 and above.type not in ('N', 'O') and below.type not in ('N', 'O')")
-    equal = _along_reference(own.where(_equal_runs(own)).select("start", "stop", F.col("length").alias("wait")), sites)
-    single = own.where(~_equal_runs(own))
-    same = F.col("above.type") == F.col("below.type")
-    waits = equal.unionByName(single.where(same).select(F.col("start").alias("pos"), F.col("above.type").alias("state"), F.col("length").alias("wait")))
+    fact = lambda pos, state, wait, n: F.struct(pos.alias("pos"), state.cast("string").alias("state"), wait.cast("double").alias("wait"), F.lit(n).cast("bigint").alias("n"))
+    start, length = F.col("start"), F.col("length")
+    borders = F.array(fact(start, F.lit("R"), length, 0), fact(F.col("stop") + 1, F.lit("R"), -length, 0))
+    facts = F.when(_equal_runs(own), borders).when(F.col("above.type") == F.col("below.type"), F.array(fact(start, F.col("above.type"), length, 0))).otherwise(F.array(fact(start, F.lit(None), F.lit(0.0), 1)))
+    # branches are read once, and leave a row for each site and state
+    met = written(own.select(F.inline(facts)).groupBy("pos", "state").agg(F.sum("wait").alias("wait"), F.sum("n").alias("n")))
+    waits = _from_borders(met.where("state = 'R'").select("pos", F.col("wait").alias("change")), sites).unionByName(met.where("state <> 'R'").select("pos", "state", "wait"))
     expected = waits.join(F.broadcast(diagonal), "state").groupBy("pos").agg(F.sum(F.col("wait") * F.abs("q")).alias("expected"))  # a row for each state
-    changes = single.where(~same).groupBy(F.col("start").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    changes = met.where("state is null").select("pos", "n")
     per = sites.select("pos").join(expected, "pos", "left").join(changes, "pos", "left").fillna(0)
     raw = F.when(F.col("n") == 0, 0.001).when(F.col("expected") <= 0.01, 1.0).otherwise(F.col("n") / F.col("expected"))
     scaled = per.select("pos", raw.alias("raw"))
@@ -160,7 +167,6 @@ def iterated_matrices(nodes: DataFrame, regions: DataFrame, sites: DataFrame, m:
         turns.append(Turn(lh, matrices))
         if turn == rounds or turn and lh - turns[-2].likelihood <= least:
             return turns
-        upper = passes.upper_lists(steps, lower, m, ends, matrices)
-        branches = written(passes.branch_segments(upper, passes.node_lists(lower), ends))
+        branches = written(passes.branch_sides(steps, lower, m, ends, matrices))
         matrices = written(count_matrices(expected_changes(branches, m, sites, matrices), sites, m.states))
     return turns

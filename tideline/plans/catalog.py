@@ -353,7 +353,8 @@ class _Passes:
     matrix: DataFrame
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> _Passes:
+    def of(cls, spark: SparkSession, sf_dir: str, roots: bool = True) -> _Passes:
+        """Without `roots`, for what looks at branches only, the lists of the roots and what their merges add are left out."""
         ref = encode.consensus(cells(spark, sf_dir))
         matrix = trees.written(_matrix(spark, sf_dir, ref=ref))
         m, sums = _model(spark, sf_dir, ref, matrix)
@@ -361,14 +362,14 @@ class _Passes:
         nodes, runs = _quartets(spark, sf_dir, ref)
         nodes = trees.written(nodes)
         steps = passes.chains(nodes)
-        lower, gains = passes.lower_lists(steps, passes.runs_of(runs, sums), m, ends)
+        lower, gains = passes.lower_lists(steps, passes.runs_of(runs, sums), m, ends, roots=roots)
         return cls(m, sums, ends, steps, lower, gains, nodes, matrix)
 
     def upper(self) -> DataFrame:
         return passes.upper_lists(self.steps, self.lower, self.m, self.ends)
 
     def branches(self) -> DataFrame:
-        return passes.branch_segments(self.upper(), passes.node_lists(self.lower), self.ends)
+        return passes.branch_sides(self.steps, self.lower, self.m, self.ends)
 
 
 def q35_site_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,7 +526,7 @@ def q51_lower_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q52_upper_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies on the other side of each branch: sites by type of run, lengths since they were seen and beyond the root."""
-    runs = _Passes.of(spark, sf_dir).upper()
+    runs = _Passes.of(spark, sf_dir, roots=False).upper()
     sites = (F.col("stop") - F.col("start") + 1).cast("bigint")
     length = lambda c: F.round(F.sum(sites * F.coalesce(c, F.lit(0.0))), 6)
     return runs.groupBy("tree", "node", "run.type").agg(F.sum(sites).alias("sites"), length("run.n").alias("length"), length("run.r").alias("beyond"))
@@ -533,12 +534,12 @@ def q52_upper_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q53_branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes along the branches of these trees: unequal determined states at both ends."""
-    return passes.branch_counts(_Passes.of(spark, sf_dir).branches())
+    return passes.branch_counts(_Passes.of(spark, sf_dir, roots=False).branches())
 
 
 def q54_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symmetric matrix from those changes and the starting pseudo-counts."""
-    counts = passes.branch_counts(_Passes.of(spark, sf_dir).branches())
+    counts = trees.written(passes.branch_counts(_Passes.of(spark, sf_dir, roots=False).branches()))
     sites = cells(spark, sf_dir)
     found = rates.rate_matrix(counts.unionByName(rates.seed_counts(sites)), rates.root_frequencies(encode.consensus(sites)))
     return found.select("from_state", "to_state", F.round("q", 6).alias("q"))
@@ -546,9 +547,9 @@ def q54_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q55_tree_site_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rate for each site from changes and waiting times along the branches of trees of four rows."""
-    p = _Passes.of(spark, sf_dir)
+    p = _Passes.of(spark, sf_dir, roots=False)
     diagonal = p.matrix.where("from_state = to_state").select(F.col("from_state").alias("state"), "q")
-    return site_models.single_rates(trees.written(p.branches()), p.sums.select("pos", "ref"), diagonal).select("pos", F.round("rate", 6).alias("rate"))
+    return site_models.single_rates(p.branches(), p.sums.select("pos", "ref"), diagonal).select("pos", F.round("rate", 6).alias("rate"))
 
 
 def q56_iterated_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
